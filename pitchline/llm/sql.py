@@ -49,9 +49,9 @@ classes as (
 reps as (select distinct rep from classes),
 rg as (select g.doc_id, g.g from grams g join reps on reps.rep = g.doc_id),
 pairs as (
-  select a.doc_id as a, b.doc_id as b, count(*) as both from rg a join rg b on a.g = b.g and a.doc_id < b.doc_id group by all),
+  select a.doc_id as a, b.doc_id as b, count(*) as shared from rg a join rg b on a.g = b.g and a.doc_id < b.doc_id group by all),
 links as (
-  select a, b from pairs join sized x on x.doc_id = a join sized y on y.doc_id = b where 100 * both >= 85 * (x.n + y.n - both)),
+  select a, b from pairs join sized x on x.doc_id = a join sized y on y.doc_id = b where 100 * shared >= 85 * (x.n + y.n - shared)),
 edges as (select a, b from links union all select b, a from links),
 reach as (
   select rep as node, rep as root from reps
