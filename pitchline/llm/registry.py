@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing
+from . import fingerprint, minhash, mixing, pieces, vectors
 from . import sql as S
 
 
@@ -18,13 +18,25 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_documents(spark, sf_dir))
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op9_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_with_next(_documents(spark, sf_dir))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_source_mix, op3_sentencepiece_sampling, op8_embedding_near_dedup, op9_edit_fingerprint, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mix": S.SOURCE_MIX, "op10_minhash_near_dedup": S.MINHASH}
+    return {"op1_source_mix": S.SOURCE_MIX, "op8_embedding_near_dedup": S.NEAR_VECTORS, "op10_minhash_near_dedup": S.MINHASH}

@@ -62,3 +62,21 @@ select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, coalesce(m.root, d.doc_
        coalesce(m.root, d.doc_id) = d.doc_id as kept
 from documents d left join sized s on s.doc_id = d.doc_id left join classes c on c.doc_id = d.doc_id left join comp m on m.node = c.rep
 """
+
+#: Every pair of vectors by cosine in double precision.
+NEAR_VECTORS = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.95),
+reach as (
+  select vec_id as node, vec_id as root from embeddings
+  union
+  select l.b, r.root from reach r join links l on l.a = r.node),
+comp as (select node, min(root) as root from reach group by node),
+deg as (select a, count(*) as n from links group by a)
+select e.vec_id, coalesce(d.n, 0)::bigint as n_links, c.root as component_id, c.root = e.vec_id as kept
+from embeddings e join comp c on c.node = e.vec_id left join deg d on d.a = e.vec_id
+"""
