@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprint, minhash, mixing, pieces, vectors
+from . import fingerprint, langid, minhash, mixing, pieces, vectors
 from . import sql as S
 
 
@@ -22,6 +23,14 @@ def op3_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_documents(spark, sf_dir))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3))
+    model = langid.fit(docs, fold != 1)
+    held_out = docs.select(F.col("doc_id").alias("doc_id"), "text", (fold == 1).alias("held_out"))
+    return langid.predict(held_out, model, keep=["held_out"]).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -35,7 +44,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op3_sentencepiece_sampling, op8_embedding_near_dedup, op9_edit_fingerprint, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_source_mix, op3_sentencepiece_sampling, op5_language_id, op8_embedding_near_dedup, op9_edit_fingerprint, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -49,6 +49,12 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Concatenation of start[i] .. start[i] + size[i] - 1."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string array; null counts as empty."""
     texts = texts.fill_null("").cast(pa.large_string())
@@ -61,12 +67,12 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of whole texts of about CHUNK_BYTES."""
+def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of runs of whole texts of about ``size`` bytes."""
     data, off = buffers(texts)
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(off, off[at] + CHUNK_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(off, off[at] + size, "right")) - 1)
         yield at, to, data[off[at] : off[to]], off[at : to + 1] - off[at]
         at = to
 
@@ -90,13 +96,18 @@ def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, off)
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words, and for every text the index of its first word (with an end)."""
-    starts, ends, first = word_bounds(data, off)
+def range_hashes(data: np.ndarray):
+    """A function of start and end arrays that gives the hash of each byte range."""
     power, inverse = _power(len(data) + 1)
     sums = np.zeros(len(data) + 1, U)
     np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverse[starts]
+    return lambda start, end: (sums[end] - sums[start]) * inverse[start]
+
+
+def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and for every text the index of its first word (with an end)."""
+    starts, ends, first = word_bounds(data, off)
+    h = range_hashes(data)(starts, ends)
     return mix(h + (ends - starts).astype(U) * U(0x9E3779B97F4A7C15)), first
 
 
