@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, minhash, mixing, pieces, vectors
+from . import fingerprint, langid, lmscore, minhash, mixing, pieces, vectors
 from . import sql as S
 
 
@@ -31,6 +31,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(held_out, model, keep=["held_out"]).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10))
+    return lmscore.score(_documents(spark, sf_dir), fold == 0, fold == 1)
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -44,7 +49,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op3_sentencepiece_sampling, op5_language_id, op8_embedding_near_dedup, op9_edit_fingerprint, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_source_mix, op3_sentencepiece_sampling, op5_language_id, op6_lm_score, op8_embedding_near_dedup, op9_edit_fingerprint, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
