@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, lmscore, minhash, mixing, pieces, vectors
+from . import fingerprint, langid, lmscore, minhash, mixing, pieces, quality, vectors
 from . import sql as S
 
 
@@ -36,6 +36,13 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(_documents(spark, sf_dir), fold == 0, fold == 1)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score(docs, model, host=F.col("source"), path=F.col("lang"))
+    return scored.select("doc_id", "evidence", "host_share", "path_share", "quality", "keep")
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -49,7 +56,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op3_sentencepiece_sampling, op5_language_id, op6_lm_score, op8_embedding_near_dedup, op9_edit_fingerprint, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_source_mix, op3_sentencepiece_sampling, op5_language_id, op6_lm_score, op7_quality, op8_embedding_near_dedup, op9_edit_fingerprint, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
