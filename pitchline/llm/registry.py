@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, lmscore, minhash, mixing, pieces, quality, vectors
+from . import fingerprint, html, langid, lmscore, minhash, mixing, pieces, quality, secrets, vectors
 from . import sql as S
 
 
@@ -19,10 +19,19 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(_documents(spark, sf_dir))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return secrets.scan(docs, secrets.fit(docs), path=F.col("source"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3))
@@ -55,8 +64,14 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # stands at the top of the repository
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op3_sentencepiece_sampling, op5_language_id, op6_lm_score, op7_quality, op8_embedding_near_dedup, op9_edit_fingerprint, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_source_mix, op2_html_text, op3_sentencepiece_sampling, op4_secret_scan, op5_language_id, op6_lm_score, op7_quality, op8_embedding_near_dedup, op9_edit_fingerprint, op10_minhash_near_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
