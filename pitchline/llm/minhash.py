@@ -1,29 +1,32 @@
 """Operator 10: MinHash near-duplicates by a multi-index Hamming join.
 
 A document's set of five-word shingles gets a signature of ``POSITIONS`` minimum hashes of
-``BITS`` bits.  Signatures that differ in at most ``2 * CHUNKS - 1`` positions agree, by the
-pigeonhole, up to one error in one of their ``CHUNKS`` chunks.  Every allowed error is
+``BITS`` bits.  Signatures that differ in at most ``2 * chunks - 1`` positions agree, by the
+pigeonhole, up to one error in one of their chunks.  Every allowed error is
 enumerated as a key: the chunk with one position left out, which stands for all values of
 that position.  Two signatures under the threshold so share a key with certainty, and pairs
 that share one are confirmed on their full shingle sets.
 
-With 64 positions and 12 chunks the threshold is 23 differing positions; a pair of Jaccard
-similarity 0.85 differs in 9.6 on average and in over 23 with a probability below 1e-5.
+The number of chunks follows from the similarity: the fewest for which a pair at that similarity
+lies beyond the distance with a probability below ``MISS``.  At 0.85 that is 12 chunks and a
+distance of 23 (such a pair differs in 9.6 positions on average), at 0.8 it is 14 and 27.
 
 Equal sets form one class from the start, so copies cost one row.  Of the pairs in a bucket
 only those are compared that could still join two components:
 
 1. every class goes to the group of one leader, the smallest member of its buckets, in parts of
-   at most ``PART`` rows by hash; parts are compared whole and give a spanning forest of links;
-2. the same with the largest member as leader, for buckets whose members aren't yet all in one
-   component;
-3. in buckets that still hold several components, every pair from different components is
-   compared.  This step is exact; the first two only leave it less to do.
+   at most about ``PART`` rows by hash; parts are compared whole and give a spanning forest of links;
+2. in buckets that still hold several components, every pair from different components is
+   compared: pair by pair in buckets of up to ``SMALL`` members, at most ``SMALL`` pairs a member;
+   larger buckets are joined where they overlap, dealt into parts, and parts meet two by two.  A
+   part's rows go to each of its meetings, the pairs are never rows.  Parts of one large component
+   don't meet one another.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +37,22 @@ from . import wordhash as W
 from .components import connected_components
 from .storage import cut, table
 
-POSITIONS, BITS, CHUNKS = 64, 16, 12
+POSITIONS, BITS, MISS = 64, 16, 2e-5
 #: Rows compared in one task's group; its memory is that of so many shingle sets.
 PART = 256
+#: Members up to which a bucket's pairs are compared one by one.
+SMALL = 32
 _rng = np.random.default_rng(1010)
 _PERM = _rng.integers(0, 2**63, POSITIONS, dtype=W.U) * W.U(2) + W.U(1)
-_BOUNDS = np.linspace(0, POSITIONS, CHUNKS + 1).round().astype(int)
 _ROLE = _rng.integers(0, 2**63, POSITIONS, dtype=W.U) * W.U(2) + W.U(1)
 _SALT = _rng.integers(0, 2**63, POSITIONS, dtype=W.U)
-MAX_DISTANCE = 2 * CHUNKS - 1
+
+
+def chunks_for(percent: int) -> int:
+    """The fewest chunks whose distance of 2 * chunks - 1 a pair at the similarity exceeds with a probability below MISS."""
+    p = 1 - percent / 100
+    tail = [sum(comb(POSITIONS, k) * p**k * (1 - p) ** (POSITIONS - k) for k in range(d + 1, POSITIONS + 1)) for d in range(POSITIONS + 1)]
+    return next(c for c in range(1, POSITIONS // 2 + 1) if 2 * c > POSITIONS or tail[2 * c - 1] < MISS)
 
 
 def signatures(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -53,11 +63,12 @@ def signatures(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def keys(sig: np.ndarray) -> np.ndarray:
+def keys(sig: np.ndarray, chunks: int) -> np.ndarray:
     """For each signature its 64-bit keys: every chunk with each of its positions left out in turn."""
     part = sig.astype(W.U) * _ROLE
     out = np.empty(sig.shape, W.U)
-    for a, b in zip(_BOUNDS[:-1], _BOUNDS[1:], strict=True):
+    bounds = np.linspace(0, POSITIONS, chunks + 1).round().astype(int)
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         whole = part[:, a:b].sum(axis=1, dtype=W.U)
         out[:, a:b] = W.mix(whole[:, None] - part[:, a:b] + _SALT[a:b])
     return out
@@ -92,13 +103,16 @@ def _sketch(words: int):
     return run
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, POSITIONS)
-            k = keys(sig).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, k.size + 1, POSITIONS), pa.int32()), pa.array(k.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), lists], names=["rep", "keys"])
+def _keys(chunks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, POSITIONS)
+                k = keys(sig, chunks).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, k.size + 1, POSITIONS), pa.int32()), pa.array(k.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), lists], names=["rep", "keys"])
+
+    return run
 
 
 def _sets(words: int):
@@ -113,20 +127,32 @@ def _sets(words: int):
 
 
 def _forest(percent: int):
-    """Links within one group that span its components: pairs already connected aren't compared."""
+    """Links between rows of different components that span what they join; connected pairs aren't compared.
+
+    side 0 meets side 1; side 2 meets itself.  One row's intersections with all others are counted at once.
+    """
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("hub", "descending"), ("rep", "ascending")])
-        rep = group.column("rep").to_numpy()
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(-1, POSITIONS)
-        full = [np.frombuffer(x, W.U) for x in group.column("full").to_pylist()]
-        root = np.arange(len(rep))
-        links = []
-        for i in range(len(rep) - 1):
-            near = (sig[i + 1 :] != sig[i]).sum(axis=1) <= MAX_DISTANCE
-            for j in np.flatnonzero(near) + i + 1:
-                if root[i] != root[j] and similar(full[i], full[j], percent):
-                    root[root == root[j]] = root[i]
+        rep, side = group.column("rep").to_numpy(), group.column("side").to_numpy()
+        full = [np.frombuffer(x.as_buffer(), W.U) for x in group.column("full")]
+        _, label = np.unique(group.column("comp").to_numpy(), return_inverse=True)
+        size = np.array([len(x) for x in full])
+        known, code = np.unique(np.concatenate(full), return_inverse=True)
+        off = np.concatenate([[0], np.cumsum(size)])
+        own = bool((side == 2).any())
+        right = np.flatnonzero(side != 0)
+        code_r = code if own else code[W.ranges(off[right], size[right])]
+        off_r = off[:-1] if own else np.concatenate([[0], np.cumsum(size[right])])[:-1]
+        mark, links = np.zeros(len(known), bool), []
+        for i in np.flatnonzero(side != 1):
+            if (label[right] == label[i]).all():
+                continue
+            mark[code[off[i] : off[i + 1]]] = True
+            both = np.add.reduceat(mark[code_r], off_r, dtype=np.int64)
+            mark[code[off[i] : off[i + 1]]] = False
+            for j in right[(100 * both >= percent * (size[i] + size[right] - both)) & (label[right] != label[i])]:
+                if label[i] != label[j]:
+                    label[label == label[j]] = label[i]
                     links.append((rep[i], rep[j]))
         a, b = zip(*links, strict=True) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -134,11 +160,14 @@ def _forest(percent: int):
     return run
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, POSITIONS) for c in ("sig_a", "sig_b"))
-            yield batch.select(["a", "b"]).filter(pa.array((x != y).sum(axis=1) <= MAX_DISTANCE))
+def _near(distance: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, POSITIONS) for c in ("sig_a", "sig_b"))
+                yield batch.select(["a", "b"]).filter(pa.array((x != y).sum(axis=1) <= distance))
+
+    return run
 
 
 def _confirm(percent: int):
@@ -154,15 +183,48 @@ def _confirm(percent: int):
 def _grouped_links(choice: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links found in the groups of ``choice`` (rep, lead), each split by hash into parts of at most about PART rows."""
     parts = choice.groupBy("lead").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    members = choice.filter("rep <> lead").join(parts, "lead").select("rep", "lead", F.pmod(F.xxhash64("rep", "lead"), "parts").cast("int").alias("part"), F.lit(0).alias("hub"))
-    hubs = parts.select(F.col("lead").alias("rep"), "lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("hub"))
-    return members.unionAll(hubs).join(sets, "rep").groupBy("lead", "part").applyInArrow(_forest(percent), "a long, b long")
+    members = choice.filter("rep <> lead").join(parts, "lead").select("rep", "lead", F.pmod(F.xxhash64("rep", "lead"), "parts").cast("int").alias("part"))
+    hubs = parts.select(F.col("lead").alias("rep"), "lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    rows = members.unionAll(hubs).join(sets.select("rep", "full"), "rep").select("lead", "part", "rep", F.col("rep").alias("comp"), F.lit(2).alias("side"), "full")
+    return rows.groupBy("lead", "part").applyInArrow(_forest(percent), "a long, b long")
+
+
+def _pairwise_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components in small buckets; at most SMALL pairs a bucket row."""
+    left, right = (mixed.select("key", F.col("rep").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
+    pairs = left.join(right, "key").filter("comp_a < comp_b").select("a", "b").distinct()
+    for x, test in (("sig", _near(2 * chunks_for(percent) - 1)), ("full", _confirm(percent))):
+        for end in "ab":
+            pairs = pairs.join(sets.select(F.col("rep").alias(end), F.col(x).alias(f"{x}_{end}")), end)
+        pairs = pairs.mapInArrow(test, "a long, b long")
+    return pairs
+
+
+def _meeting_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across components in large buckets, which are joined where they overlap and compared part by part."""
+    lows = mixed.groupBy("key").agg(F.min("rep").alias("b"))
+    cluster = connected_components(mixed.join(lows, "key").select(F.col("rep").alias("a"), "b")).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    rows = mixed.select("rep", "comp").distinct().join(cluster, "rep")
+    of = rows.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
+    # a component of PART rows or more has parts of its own; the others share parts (comp null)
+    of = of.withColumn("pure", F.when(F.col("c") >= PART, F.col("comp")))
+    parts = of.groupBy("cluster", "pure").agg(F.ceil(F.sum("c") / PART).cast("int").alias("parts"))
+    rows = rows.join(of.select("cluster", "comp", "pure"), ["cluster", "comp"])
+    same = rows["pure"].eqNullSafe(parts["pure"]) & (rows["cluster"] == parts["cluster"])
+    rows = rows.join(parts, same).select(rows["rep"], rows["comp"], F.xxhash64(rows["cluster"], rows["pure"], F.pmod(F.xxhash64(rows["rep"]), parts["parts"]).cast("int")).alias("part"))
+    each = parts.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cluster", "pure", F.xxhash64("cluster", "pure", "k").alias("part"))
+    other = each.select("cluster", F.col("pure").alias("pure_b"), F.col("part").alias("part_b"))
+    meet = each.join(other, "cluster").filter("part <= part_b and (pure is null or pure_b is null or pure <> pure_b)").withColumn("m", F.xxhash64("part", "part_b"))
+    sides = F.when(F.col("part") == F.col("part_b"), F.array(F.struct(F.col("part").alias("part"), F.lit(2).alias("side")))).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("side")), F.struct(F.col("part_b").alias("part"), F.lit(1).alias("side"))))
+    seats = meet.select("m", F.explode(sides).alias("s")).select("m", "s.part", "s.side")
+    dealt = rows.join(sets.select("rep", "full"), "rep").join(seats, "part").select("m", "rep", "comp", "side", "full")
+    return dealt.groupBy("m").applyInArrow(_forest(percent), "a long, b long")
 
 
 def _mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Bucket rows (key, rep, comp) of buckets whose members aren't all in one component."""
+    """Rows (key, rep, comp, c) of buckets of c members that aren't all in one component."""
     rows = members.join(comp, members.rep == comp.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    spread = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    spread = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo < hi").select("key", "c")
     return rows.join(spread, "key")
 
 
@@ -178,8 +240,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     """
     rows = cut(df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(_sketch(words), "id long, n long, h1 long, h2 long, sig binary"))
     classes = cut(rows.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.min("sig").alias("sig")).filter("rep is not null"))
-    bucket = classes.select("rep", "sig").mapInArrow(_keys, "rep long, keys array<long>").select("rep", F.explode("keys").alias("key"))
-    shared = bucket.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
+    bucket = classes.select("rep", "sig").mapInArrow(_keys(chunks_for(percent)), "rep long, keys array<long>").select("rep", F.explode("keys").alias("key"))
+    shared = bucket.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").drop("high")
     members = table(bucket.join(shared, "key"))
     wanted = members.select("rep").distinct().join(classes, "rep").select(F.col("rep").alias("id"), "h1", "h2", "sig")
     found = rows.select("id", "h1", "h2").distinct()
@@ -187,19 +249,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     sets = docs.join(wanted.join(found, ["id", "h1", "h2"], "left_semi").select("id", "sig"), "id").select("id", "text", "sig").mapInArrow(_sets(words), "rep long, sig binary, full binary")
     sets = table(sets)
     links = cut(_grouped_links(members.groupBy("rep").agg(F.min("low").alias("lead")), sets, percent))
-    comp = connected_components(links)
-    mixed = _mixed(members.select("key", "rep"), comp)
-    high = mixed.join(members.select("key", "rep", "high"), ["key", "rep"]).groupBy("rep").agg(F.max("high").alias("lead"))
-    links = cut(links.unionAll(_grouped_links(high, sets, percent)))
-    comp = connected_components(links)
-    mixed = table(_mixed(members.select("key", "rep"), comp))
-    left, right = (mixed.select("key", F.col("rep").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
-    pairs = left.join(right, "key").filter("comp_a < comp_b").select("a", "b").distinct()
-    for x, what, test in (("sig", "sig", _near), ("full", "full", _confirm(percent))):
-        for end in "ab":
-            pairs = pairs.join(sets.select(F.col("rep").alias(end), F.col(what).alias(f"{x}_{end}")), end)
-        pairs = pairs.mapInArrow(test, "a long, b long")
-    comp = connected_components(links.unionAll(pairs).unionAll(_same_key(rows)))
+    mixed = table(_mixed(members.select("key", "rep"), connected_components(links)))
+    more = _pairwise_links(mixed.filter(F.col("c") <= SMALL), sets, percent)
+    large = mixed.filter(F.col("c") > SMALL)
+    if large.limit(1).count():
+        more = more.unionAll(_meeting_links(large, sets, percent))
+    comp = connected_components(links.unionAll(more).unionAll(_same_key(rows)))
     rep = classes.select("h1", "h2", "n", "rep")
     out = rows.drop("sig").join(rep, ["h1", "h2", "n"], "left").join(comp, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "rep", "id")).otherwise(F.col("id"))
