@@ -36,6 +36,6 @@ def poisson(rate: Column, k: int) -> Column:
 
 def confidence(h: Column, d: Column, a: Column, high: float = 0.30, medium: float = 0.15) -> Column:
     """High, Medium or Low by the gap of the two largest probabilities."""
-    top = F.greatest(h, d, a)
-    gap = top - (h + d + a - top - F.least(h, d, a))
+    by_size = F.sort_array(F.array(h, d, a), asc=False)
+    gap = by_size[0] - by_size[1]
     return F.when(gap >= high, "High").when(gap >= medium, "Medium").otherwise("Low")

@@ -1,7 +1,7 @@
 """Rule-based (Mamdani) inference as generated column expressions.
 
 Membership functions and rules are data; strengths are least() and greatest() over columns, and the
-centroid is a fold over a literal array of 101 points.  No row leaves the JVM.
+centroid is a sum over the points where two terms meet.  No row leaves the JVM.
 """
 
 from __future__ import annotations
@@ -143,16 +143,24 @@ def infer(df: DataFrame, key: str = "MatchID") -> DataFrame:
             fired.setdefault(then, []).append(F.least(*parts) if len(parts) > 1 else parts[0])
     strength = [(F.greatest(*fired[o, t]) if len(fired[o, t]) > 1 else fired[o, t][0]) if (o, t) in fired else F.lit(0.0) for o in OUTPUTS for t in OUTPUT_TERMS]
     rows = rows.select(key, *[c.alias(f"s_{o}_{t}") for c, (o, t) in zip(strength, [(o, t) for o in OUTPUTS for t in OUTPUT_TERMS], strict=True)])
-    points = []
-    for y in range(101):
-        mf = [max(0.0, min(1.0 if a == b else (y - a) / (b - a), 1.0, 1.0 if c == d else (d - y) / (d - c))) for a, b, c, d in OUTPUT_TERMS.values()]
-        points.append(F.struct(F.lit(float(y)).alias("y"), *[F.lit(v).alias(t) for v, t in zip(mf, OUTPUT_TERMS, strict=True)]))
-    shape = F.array(*points)
 
     def centroid(o: str) -> Column:
-        cut = lambda p: F.greatest(*[F.least(F.col(f"s_{o}_{t}"), p[t]) for t in OUTPUT_TERMS])
-        sums = F.aggregate(shape, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d")), lambda s, p: F.struct((s["n"] + p["y"] * cut(p)).alias("n"), (s["d"] + cut(p)).alias("d")), lambda s: F.when(s["d"] > 0, s["n"] / s["d"]).otherwise(50.0))
-        return sums
+        """Centroid of the clipped terms on 0..100.
+
+        Outside 26..49 and 51..74 one term stands alone, so those points are sums in closed form; in between
+        the larger of two counts, 24 points a side.
+        """
+        low, mid, high = (F.col(f"s_{o}_{t}") for t in OUTPUT_TERMS)
+        between = F.array(*[F.struct(F.lit(i / 25).alias("up"), F.lit((25 - i) / 25).alias("down"), F.lit(float(i)).alias("i")) for i in range(1, 25)])
+
+        def meet(falling: Column, rising: Column, base: int) -> Column:
+            larger = lambda p: F.greatest(F.least(falling, p["down"]), F.least(rising, p["up"]))
+            return F.aggregate(between, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("m")), lambda s, p: F.struct((s["a"] + larger(p)).alias("a"), (s["m"] + larger(p) * (p["i"] + base)).alias("m")))
+
+        left, right = meet(low, mid, 25), meet(mid, high, 50)
+        area = low * 26 + mid + high * 26 + left["a"] + right["a"]
+        moment = low * sum(range(26)) + mid * 50 + high * sum(range(75, 101)) + left["m"] + right["m"]
+        return F.when(area > 0, moment / area).otherwise(50.0)
 
     rows = rows.select(key, *[centroid(o).alias(f"Fuzzy_{n}Potential") for o, n in OUTPUTS.items()])
     p = {n: F.col(f"Fuzzy_{n}Potential") for n in OUTPUTS.values()}

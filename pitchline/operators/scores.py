@@ -35,53 +35,57 @@ def with_rates(matches: DataFrame, teams: DataFrame, base: float, advantage: flo
     return out.select(*[F.col(c) for c in matches.columns], rate_h.alias("rate_h"), rate_a.alias("rate_a"))
 
 
-def marginals(df: DataFrame, rho: Column | float, max_goals: int = MAX_GOALS) -> DataFrame:
-    """Adds P_HomeWin, P_Draw, P_AwayWin, P_Over25, P_Under25, P_BTTS_Yes, P_BTTS_No to rows with rate_h and rate_a."""
-    rho = rho if isinstance(rho, Column) else F.lit(float(rho))
+def _vectors(df: DataFrame, rho: Column | float, max_goals: int) -> tuple[DataFrame, list[Column], list[Column], dict[tuple[int, int], Column], Column]:
+    """``df`` with both sides' goal probabilities and the four corrections as columns, and what the grid sums to."""
     n = max_goals + 1
-    base = df.withColumn("_rho", rho)
+    base = df.withColumn("_rho", rho if isinstance(rho, Column) else F.lit(float(rho)))
     base = base.select("*", *[poisson(F.col(f"rate_{s}"), k).alias(f"_{s}{k}") for s in "ha" for k in range(n)])
     lh, la, r = F.col("rate_h"), F.col("rate_a"), F.col("_rho")
-    one = lambda k: F.lit(k)
-    extra = {(i, j): (tau(one(i), one(j), lh, la, r) - 1) * F.col(f"_h{i}") * F.col(f"_a{j}") for i in (0, 1) for j in (0, 1)}
+    extra = {(i, j): (tau(F.lit(i), F.lit(j), lh, la, r) - 1) * F.col(f"_h{i}") * F.col(f"_a{j}") for i in (0, 1) for j in (0, 1)}
     base = base.select("*", *[c.alias(f"_x{i}{j}") for (i, j), c in extra.items()])
     h, a = [F.col(f"_h{k}") for k in range(n)], [F.col(f"_a{k}") for k in range(n)]
     x = {(i, j): F.col(f"_x{i}{j}") for i in (0, 1) for j in (0, 1)}
-    add = lambda cols: sum(cols[1:], cols[0])
-    total = add(h) * add(a) + add(list(x.values()))
-    wins = add([h[k] * add(a[:k]) for k in range(1, n)]) + x[1, 0]
-    loses = add([a[k] * add(h[:k]) for k in range(1, n)]) + x[0, 1]
-    draws = add([h[k] * a[k] for k in range(n)]) + x[0, 0] + x[1, 1]
-    under = h[0] * (a[0] + a[1] + a[2]) + h[1] * (a[0] + a[1]) + h[2] * a[0] + add(list(x.values()))
-    both = add(h[1:]) * add(a[1:]) + x[1, 1]
+    return base, h, a, x, _add(h) * _add(a) + _add(list(x.values()))
+
+
+def _add(cols: list[Column]) -> Column:
+    return sum(cols[1:], cols[0])
+
+
+def marginals(df: DataFrame, rho: Column | float, max_goals: int = MAX_GOALS) -> DataFrame:
+    """Adds P_HomeWin, P_Draw, P_AwayWin, P_Over25, P_Under25, P_BTTS_Yes, P_BTTS_No to rows with rate_h and rate_a."""
+    base, h, a, x, total = _vectors(df, rho, max_goals)
+    n = max_goals + 1
+    wins = _add([h[k] * _add(a[:k]) for k in range(1, n)]) + x[1, 0]
+    loses = _add([a[k] * _add(h[:k]) for k in range(1, n)]) + x[0, 1]
+    draws = _add([h[k] * a[k] for k in range(n)]) + x[0, 0] + x[1, 1]
+    under = h[0] * (a[0] + a[1] + a[2]) + h[1] * (a[0] + a[1]) + h[2] * a[0] + _add(list(x.values()))
+    both = _add(h[1:]) * _add(a[1:]) + x[1, 1]
     base = base.select(*[F.col(c) for c in df.columns], *[c.alias(f"_{k}") for k, c in {"t": total, "w": wins, "l": loses, "d": draws, "u": under, "b": both}.items()])
     share = lambda c: F.col(f"_{c}") / F.col("_t")
     return base.select(*[F.col(c) for c in df.columns], share("w").alias("P_HomeWin"), share("d").alias("P_Draw"), share("l").alias("P_AwayWin"), (1 - share("u")).alias("P_Over25"), share("u").alias("P_Under25"), share("b").alias("P_BTTS_Yes"), (1 - share("b")).alias("P_BTTS_No"))
 
 
-def grid(rate_h: Column, rate_a: Column, rho: Column, max_goals: int = MAX_GOALS) -> Column:
-    """The match's score matrix as array<struct<h, a, probability>>, summing to 1."""
-    goals = F.sequence(F.lit(0), F.lit(max_goals))
-    pmf = lambda rate, k: F.exp(-rate) * F.pow(rate, k.cast("double")) / F.factorial(k).cast("double")
-    cells = F.flatten(F.transform(goals, lambda h: F.transform(goals, lambda a: F.struct(h.alias("h"), a.alias("a"), (pmf(rate_h, h) * pmf(rate_a, a) * tau(h, a, rate_h, rate_a, rho)).alias("p")))))
-    return cells
-
-
 def top_scores(df: DataFrame, rho: Column | float, top: int = TOP, max_goals: int = MAX_GOALS) -> DataFrame:
-    """Adds top_scorelines: array<struct<score, probability>> of the ``top`` most probable scores, ties by fewer goals."""
-    rho = rho if isinstance(rho, Column) else F.lit(float(rho))
-    cells = df.withColumn("_cells", grid(F.col("rate_h"), F.col("rate_a"), rho, max_goals))
-    total = F.aggregate("_cells", F.lit(0.0), lambda s, c: s + c["p"])
-    best = F.slice(F.array_sort(F.transform("_cells", lambda c: F.struct((-c["p"]).alias("m"), c["h"].alias("h"), c["a"].alias("a")))), 1, top)
-    named = F.transform(best, lambda c: F.struct(F.concat_ws("-", c["h"], c["a"]).alias("score"), (-c["m"] / F.col("_total")).alias("probability")))
-    return cells.withColumn("_total", total).select(*[F.col(c) for c in df.columns], named.alias("top_scorelines"))
+    """Adds top_scorelines: array<struct<score, probability>> of the ``top`` most probable scores.
+
+    Probabilities that agree to twelve digits count as equal; fewer goals come first then.
+    """
+    base, h, a, x, total = _vectors(df, rho, max_goals)
+    n = range(max_goals + 1)
+    cell = lambda i, j: h[i] * a[j] + (x[i, j] if (i, j) in x else F.lit(0.0))
+    cells = F.array(*[F.struct(F.rint(cell(i, j) * -1e12).alias("m"), F.lit(i).alias("h"), F.lit(j).alias("a"), cell(i, j).alias("p")) for i in n for j in n])
+    base = base.withColumn("_best", F.slice(F.sort_array(cells), 1, top)).withColumn("_t", total)
+    named = F.transform("_best", lambda c: F.struct(F.concat_ws("-", c["h"], c["a"]).alias("score"), (c["p"] / F.col("_t")).alias("probability")))
+    return base.select(*[F.col(c) for c in df.columns], named.alias("top_scorelines"))
 
 
 def score_matrix(df: DataFrame, rho: Column | float, key: str, max_goals: int = MAX_GOALS) -> DataFrame:
     """(key, h, a, probability): the grid as a relation; its cells are normalised within their row before they part."""
-    rho = rho if isinstance(rho, Column) else F.lit(float(rho))
-    cells = df.select(key, grid(F.col("rate_h"), F.col("rate_a"), rho, max_goals).alias("c")).withColumn("t", F.aggregate("c", F.lit(0.0), lambda s, x: s + x["p"]))
-    return cells.select(key, "t", F.explode("c").alias("x")).select(key, "x.h", "x.a", (F.col("x.p") / F.col("t")).alias("probability"))
+    base, h, a, x, total = _vectors(df, rho, max_goals)
+    n = range(max_goals + 1)
+    cells = F.array(*[F.struct(F.lit(i).alias("h"), F.lit(j).alias("a"), (h[i] * a[j] + (x[i, j] if (i, j) in x else F.lit(0.0))).alias("p")) for i in n for j in n])
+    return base.select(key, total.alias("_t"), F.explode(cells).alias("c")).select(key, "c.h", "c.a", (F.col("c.p") / F.col("_t")).alias("probability"))
 
 
 def time_weight(day: Column, as_of: Column, half_life: float = 260.0) -> Column:

@@ -274,7 +274,8 @@ def d7_score_matrix(s: SparkSession, d: str) -> DataFrame:
 @query
 def w9_top_scores(s: SparkSession, d: str) -> DataFrame:
     t = scores.top_scores(_rated(s, d), -0.08)
-    return rounded(t.select("id", F.posexplode("top_scorelines").alias("place", "x")).select("id", "place", F.col("x.score").alias("score"), F.col("x.probability").alias("probability")))
+    top = F.col("top_scorelines")
+    return rounded(t.select("id", F.array_join(F.transform(top, lambda x: x["score"]), " ").alias("scores"), top[0]["probability"].alias("first"), top[4]["probability"].alias("fifth")))
 
 
 @query
@@ -301,7 +302,7 @@ def _fuzzy_rows(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def f10_fuzzy_inference(s: SparkSession, d: str) -> DataFrame:
-    return rounded(fuzzy.infer(_fuzzy_rows(s, d), "id"))
+    return rounded(fuzzy.infer(_fuzzy_rows(s, d), "id"), 9)
 
 
 @query
