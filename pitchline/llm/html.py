@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import inner
+
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -280,7 +282,8 @@ def render(root: Node) -> str:
                 items = [c for c in items if isinstance(c, Node) or not c.isspace()]
             todo.extend((c, False) for c in reversed(items))
             continue
-        boxes[-1].flush()
+        if tag in BLOCK or tag in ("#root", "textarea"):
+            boxes[-1].flush()
         if tag in ("ul", "ol", "menu"):
             lists.pop()
         elif tag in ("li", "dd", "blockquote"):
@@ -315,11 +318,14 @@ def extract(html: str | None) -> str:
     return render(parse(html)) if html else ""
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        same = [c for c in batch.schema.names if c != "_html"]
-        texts = pa.array([extract(h) for h in batch.column("_html").to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in same), texts], names=[*same, "_text"])
+def _extract(html: str, out: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = [c for c in batch.schema.names if c != html]
+            texts = pa.array([extract(h) for h in batch.column(html).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in same), texts], names=[*same, out])
+
+    return run
 
 
 def extract_text(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
@@ -328,6 +334,7 @@ def extract_text(df: DataFrame, html: str = "html", out: str = "text") -> DataFr
     Null, empty and invisible pages give the empty text; anything else is read as leniently as a browser does, so no
     input fails.  Rows stay as they are, repeated ones too; a column of the name ``out`` is replaced.
     """
-    rows = df.withColumn("_html", F.col(html).cast("string")).drop(html, out)
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "_html")
-    return rows.mapInArrow(_extract, f"{kinds}_text string").withColumnRenamed("_text", out)
+    (body,) = inner(df, "html")
+    rows = df.withColumn(body, F.col(html).cast("string")).drop(html, out)
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != body)
+    return rows.mapInArrow(_extract(body, out), f"{kinds}`{out}` string")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash as W
 from .components import connected_components
-from .storage import cut, table
+from .storage import cut, inner, table
 
 POSITIONS, BITS, MISS = 64, 16, 2e-5
 #: Rows compared in one task's group; its memory is that of so many shingle sets.
@@ -274,7 +274,8 @@ def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text",
     Rows without shingles all stay.  Of rows that repeat the smallest key one stays.
     """
     found = near_duplicates(df, key, text, words, percent)
-    keep = found.filter("kept").groupBy(F.col(key).alias("_id")).agg(F.max("n_shingles").alias("_n"))
-    keyed = df.filter(F.col(key).isNotNull()).join(keep, F.col(key) == F.col("_id"), "left_semi").dropDuplicates([key])
+    (name,) = inner(df, "id")
+    keep = found.filter("kept").select(F.col(key).alias(name)).distinct()
+    keyed = df.filter(F.col(key).isNotNull()).join(keep, F.col(key) == F.col(name), "left_semi").dropDuplicates([key])
     alone = found.filter(f"{key} is null and kept").limit(1).count()
     return keyed.unionByName(df.filter(F.col(key).isNull()).dropDuplicates([text])) if alone else keyed

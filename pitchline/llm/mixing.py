@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import cut, inner
 
 WORD = r"[^\x20\x09-\x0D]+"
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -96,9 +96,10 @@ def plan_mix(df: DataFrame, key: str, source: str, text: str, weights: tuple[int
 
 
 def _with_plan(rows: DataFrame, source: Column, plan: DataFrame) -> DataFrame:
-    plan = plan.withColumnRenamed("source", "_plan_source")
+    (name,) = inner(rows, "plan_source")
+    plan = plan.withColumnRenamed("source", name)
     small = plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    return rows.join(F.broadcast(plan) if small else plan, source.eqNullSafe(F.col("_plan_source")), "left").drop("_plan_source")
+    return rows.join(F.broadcast(plan) if small else plan, source.eqNullSafe(F.col(name)), "left").drop(name)
 
 
 def mix_report(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, budget: float = 1.0) -> DataFrame:
@@ -120,7 +121,8 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     Only the narrow table is shuffled; texts stay in their partitions.
     """
     _, plan = plan_mix(df, key, source, text, weights, cap, budget)
-    plan = plan.select("source", F.col("repeats").alias("_repeats"), F.col("cut").alias("_cut"))
-    copies = (F.col("_repeats") + (id_hash(F.col(key)) <= F.col("_cut")).cast("long")).cast("int")
-    rows = _with_plan(df, F.col(source).cast("string"), plan).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.coalesce(copies, F.lit(0)))))
-    return rows.select(*df.columns)
+    whole, cut_at, one = inner(df, "repeats", "cut", "copy")
+    plan = plan.select("source", F.col("repeats").alias(whole), F.col("cut").alias(cut_at))
+    copies = (F.col(whole) + (id_hash(F.col(key)) <= F.col(cut_at)).cast("long")).cast("int")
+    rows = _with_plan(df, F.col(source).cast("string"), plan).withColumn(one, F.explode(F.array_repeat(F.lit(1), F.coalesce(copies, F.lit(0)))))
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .storage import table
+from .storage import inner, table
 
 #: Bound of the labelled rows that the classifier is fitted to.
 MAX_LABELLED = 20_000
@@ -127,21 +127,22 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     return train(x[order], got.column("good").to_numpy().astype(float)[order])
 
 
-def _evidence(model: Model):
+def _evidence(model: Model, body: str, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                z = model.evidence(features(batch.column("_text")))
-                keep = [c for c in batch.schema.names if c != "_text"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(z)], names=[*keep, "_evidence"])
+                z = model.evidence(features(batch.column(body)))
+                keep = [c for c in batch.schema.names if c != body]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(z)], names=[*keep, out])
 
     return run
 
 
-def with_evidence(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``df`` with its columns and ``_evidence``."""
+def with_evidence(df: DataFrame, model: Model, text: str, out: str) -> DataFrame:
+    """``df`` with its columns and ``out``, each text's evidence."""
+    (body,) = inner(df, "body")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.withColumn("_text", F.col(text).cast("string")).mapInArrow(_evidence(model), f"{kinds}, _evidence double")
+    return df.withColumn(body, F.col(text).cast("string")).mapInArrow(_evidence(model, body, out), f"{kinds}, `{out}` double")
 
 
 def site_priors(narrow: DataFrame, share: float) -> DataFrame:
@@ -185,16 +186,18 @@ def score(df: DataFrame, model: Model, host: Column, path: Column, text: str = "
     added = ["evidence", "host_share", "path_share", "quality", "keep"]
     base = df.drop(*added)
     prior = float(np.log(model.share / (1 - model.share)))
-    to_p = 1 / (1 + F.exp(-(F.col("_evidence") + prior)))
-    names = {"_host": host.cast("string"), "_path": path.cast("string")}
-    narrow = table(with_evidence(base.select(F.col(text).alias("_body"), *[c.alias(k) for k, c in names.items()]), model, "_body").select(F.col("_host").alias("host"), F.col("_path").alias("path"), to_p.alias("p")))
+    ev, hc, pc, *site = inner(base, "evidence", "host", "path", "sh", "sp", "ss", "sn", "sg", "sw", "hs", "share", "quality")
+    sh, sp, ss, sn, sg, sw, hs, sc, qc = site
+    to_p = 1 / (1 + F.exp(-(F.col(ev) + prior)))
+    names = {hc: host.cast("string"), pc: path.cast("string")}
+    bare = base.select(F.col(text).alias("body"), *[c.alias(k) for k, c in names.items()])
+    narrow = table(with_evidence(bare, model, "body", ev).select(F.col(hc).alias("host"), F.col(pc).alias("path"), to_p.alias("p")))
     sites = table(site_priors(narrow, model.share))
     small = sites.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS
-    sites = sites.withColumnsRenamed({"host": "_h", "path": "_p", "host_share": "_hs"})
-    rows = with_evidence(base.withColumns(names), model, text)
-    rows = rows.join(F.broadcast(sites) if small else sites, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")), "left")
-    own = F.col("s") - to_p
-    share = (F.col("prior_good") + own) / (F.col("prior_n") + F.col("n") - 1)
-    quality = 1 / (1 + F.exp(-(_logit(share) + F.col("_evidence"))))
-    rows = rows.withColumns({"_share": share, "_quality": quality})
-    return rows.select(*base.columns, F.col("_evidence").alias("evidence"), F.col("_hs").alias("host_share"), F.col("_share").alias("path_share"), F.col("_quality").alias("quality"), (F.col("_quality") >= threshold).alias("keep"))
+    sites = sites.select(*[F.col(c).alias(n) for c, n in (("host", sh), ("path", sp), ("s", ss), ("n", sn), ("prior_good", sg), ("prior_n", sw), ("host_share", hs))])
+    rows = with_evidence(base.withColumns(names), model, text, ev)
+    rows = rows.join(F.broadcast(sites) if small else sites, F.col(hc).eqNullSafe(F.col(sh)) & F.col(pc).eqNullSafe(F.col(sp)), "left")
+    share = (F.col(sg) + F.col(ss) - to_p) / (F.col(sw) + F.col(sn) - 1)
+    quality = 1 / (1 + F.exp(-(_logit(share) + F.col(ev))))
+    rows = rows.withColumns({sc: share, qc: quality})
+    return rows.select(*[F.col(f"`{c}`") for c in base.columns], F.col(ev).alias("evidence"), F.col(hs).alias("host_share"), F.col(sc).alias("path_share"), F.col(qc).alias("quality"), (F.col(qc) >= threshold).alias("keep"))

@@ -29,3 +29,15 @@ def table(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def inner(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns that no column of ``df`` bears, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        n = f"__{n}"
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
