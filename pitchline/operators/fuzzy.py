@@ -114,10 +114,10 @@ def membership(x: Column, kind: str, term: str) -> Column:
 
 
 def fatigue(rest_days: Column, recent: Column) -> Column:
-    """0.6 for short rest, 0.4 for many recent matches; missing parts count 0.3 and 0.2."""
+    """0.6 times short rest plus 0.4 times many recent matches; a missing part counts 0.3 and 0.2 of its weight."""
     rest = 0.6 * (1 - F.least(F.greatest(rest_days.cast("double"), F.lit(0.0)), F.lit(14.0)) / 14)
     load = 0.4 * F.least(F.greatest(recent.cast("double"), F.lit(0.0)), F.lit(4.0)) / 4
-    return F.coalesce(rest, F.lit(0.3)) + F.coalesce(load, F.lit(0.2))
+    return F.coalesce(rest, F.lit(0.6 * 0.3)) + F.coalesce(load, F.lit(0.4 * 0.2))
 
 
 def crisp_inputs(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ensemble, form, fuzzy, metrics, predict, rating, scores, splits
 from . import models, score_fit
+from .lineage import cut
 
 SCORE_MODEL = "Poisson"
 
@@ -54,16 +55,16 @@ class Trained:
 
 def train(dataset: DataFrame, current: int | None = None, entries: dict[str, models.Entry] | None = None) -> Trained:
     """Fits on Train, weighs and calibrates on Validation; Test isn't touched."""
-    split = splits.chronological_split(dataset, "SeasonStartYear", current)
+    split = cut(splits.chronological_split(dataset, "SeasonStartYear", current))
     tr, va = (split.filter(F.col("split") == s) for s in ("Train", "Validation"))
     columns = models.with_values(tr, models.feature_columns(dataset))
     fitted = models.fit_all(tr, columns, entries=entries)
     score = score_fit.fit(tr)
     half = Trained(columns, fitted, score, None, None, None)
     y = va.select("MatchID", F.col("FTR").alias("y"))
-    members = half.members(va).join(y, "MatchID").persist()
-    reports = metrics.full_report(members, ["model"])
-    weights = ensemble.log_loss_weights(reports)
+    members = cut(half.members(va).join(y, "MatchID"))
+    reports = cut(metrics.full_report(members, ["model"]))
+    weights = cut(ensemble.log_loss_weights(reports))
     platt = ensemble.fit_platt(ensemble.blend(members, weights, "MatchID").join(y, "MatchID"))
     return Trained(columns, fitted, score, weights, platt, reports)
 
@@ -71,9 +72,9 @@ def train(dataset: DataFrame, current: int | None = None, entries: dict[str, mod
 def predict_round(trained: Trained, calendar: DataFrame, history: DataFrame, season: int, round_number: int, version: str) -> DataFrame:
     """Prediction documents of a round: serving features, members, blend, calibration, scores, influences."""
     rows = predict.upcoming(calendar, season, round_number)
-    rated = rating.elo(history)
-    features = form.features_for_upcoming(rows, form.team_log(history), rating.latest_ratings(rated))
-    p = trained.blended(features)
+    rated = cut(rating.elo(history))
+    features = cut(form.features_for_upcoming(rows, form.team_log(history), rating.latest_ratings(rated)))
+    p = cut(trained.blended(features))
     rates = scores.with_rates(features.select("MatchID", "HomeTeam", "AwayTeam"), trained.scores.teams(calendar.sparkSession), trained.scores.base, trained.scores.advantage)
     grid = scores.top_scores(scores.marginals(rates, trained.scores.rho), trained.scores.rho).drop("HomeTeam", "AwayTeam")
     forest = next((f for f in trained.classifiers.values() if f.importances()), None)
@@ -93,7 +94,7 @@ def backtest(dataset: DataFrame, trained: Trained, entries: dict[str, models.Ent
         tr = dataset.filter(F.col("SeasonStartYear").isin(seasons[:i]))
         te = dataset.filter(F.col("SeasonStartYear") == seasons[i])
         fold = Trained(trained.columns, models.fit_all(tr, trained.columns, entries=entries), score_fit.fit(tr), trained.weights, trained.platt, trained.reports)
-        p = fold.blended(te).join(te.select("MatchID", F.col("SeasonStartYear").alias("season"), F.col("FTR").alias("y")), "MatchID")
+        p = cut(fold.blended(te).join(te.select("MatchID", F.col("SeasonStartYear").alias("season"), F.col("FTR").alias("y")), "MatchID"))
         out = p if out is None else out.unionByName(p)
     return out
 
