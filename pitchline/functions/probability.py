@@ -11,7 +11,8 @@ OUTCOMES = ("H", "D", "A")
 
 
 def result(home_goals: Column, away_goals: Column) -> Column:
-    return F.when(home_goals > away_goals, "H").when(home_goals < away_goals, "A").otherwise("D")
+    """H, A or D; null if a side's goals are."""
+    return F.when(home_goals > away_goals, "H").when(home_goals < away_goals, "A").when(home_goals == away_goals, "D")
 
 
 def argmax_label(h: Column, d: Column, a: Column) -> Column:

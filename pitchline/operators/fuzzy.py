@@ -104,7 +104,7 @@ def membership(x: Column, kind: str, term: str) -> Column:
     """Membership of ``x``, clipped to the universe, read off the sampled function by linear interpolation; null: 0."""
     low, high, step = UNIVERSES[kind]
     shape = TERMS[kind][term]
-    x = F.greatest(F.least(x, F.lit(float(high))), F.lit(float(low)))
+    x = F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(float(high))), F.lit(float(low))))
     if on_grid(shape, UNIVERSES[kind]):
         return F.coalesce(trapezoid(x, shape), F.lit(0.0))
     at = F.floor((x - low) / step)
@@ -115,9 +115,10 @@ def membership(x: Column, kind: str, term: str) -> Column:
 
 def fatigue(rest_days: Column, recent: Column) -> Column:
     """0.6 times short rest plus 0.4 times many recent matches; a missing part counts 0.3 and 0.2 of its weight."""
+    # least() and greatest() pass over nulls, so missing parts are told apart first
     rest = 0.6 * (1 - F.least(F.greatest(rest_days.cast("double"), F.lit(0.0)), F.lit(14.0)) / 14)
     load = 0.4 * F.least(F.greatest(recent.cast("double"), F.lit(0.0)), F.lit(4.0)) / 4
-    return F.coalesce(rest, F.lit(0.6 * 0.3)) + F.coalesce(load, F.lit(0.4 * 0.2))
+    return F.when(rest_days.isNotNull(), rest).otherwise(0.6 * 0.3) + F.when(recent.isNotNull(), load).otherwise(0.4 * 0.2)
 
 
 def crisp_inputs(df: DataFrame) -> DataFrame:

@@ -201,8 +201,8 @@ fz as (
 fi as (
   select id, coalesce(hf, 0.5)::double as "HomeForm", coalesce(af, 0.5)::double as "AwayForm", coalesce(hat, 1.4)::double as "HomeAttack", coalesce(aat, 1.4)::double as "AwayAttack", coalesce(hde, 1.4)::double as "HomeDefense", coalesce(ade, 1.4)::double as "AwayDefense",
          coalesce(hv, 0.5)::double as "HomeAdvantage", hs_ as "HomeStrength", as_ as "AwayStrength", hs_ - as_ as "StrengthGap", (coalesce(hf, 0.5) - coalesce(af, 0.5))::double as "FormGap",
-         coalesce(0.6 * (1 - least(greatest(hr, 0), 14) / 14.0), 0.18)::double + coalesce(0.4 * least(greatest(hn, 0), 4) / 4.0, 0.08)::double as "HomeFatigue",
-         coalesce(0.6 * (1 - least(greatest(ar, 0), 14) / 14.0), 0.18)::double + coalesce(0.4 * least(greatest(an, 0), 4) / 4.0, 0.08)::double as "AwayFatigue"
+         (case when hr is null then 0.18 else 0.6 * (1 - least(greatest(hr, 0), 14) / 14.0) end)::double + (case when hn is null then 0.08 else 0.4 * least(greatest(hn, 0), 4) / 4.0 end)::double as "HomeFatigue",
+         (case when ar is null then 0.18 else 0.6 * (1 - least(greatest(ar, 0), 14) / 14.0) end)::double + (case when an is null then 0.08 else 0.4 * least(greatest(an, 0), 4) / 4.0 end)::double as "AwayFatigue"
   from fz)"""
 )
 O["f5_fatigue"] = f'with {_FEED} select id, round("HomeFatigue", 6) as home, round("AwayFatigue", 6) as away from fi'
