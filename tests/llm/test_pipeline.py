@@ -15,7 +15,8 @@ DATA = "/root/testdata/sf0.001"
 
 def test_stages_against_brute_force(spark):
     """Each stage on the rows before it, held against a plain version of its decision."""
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").cache()
+    planted = F.when(F.col("doc_id") % 7 == 3, F.concat("text", F.lit(" so password=b7db7aa4a5fcc78305 too"))).otherwise(F.col("text"))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("text", planted).cache()
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     good = corpus_pipeline.quality_stage(spark, docs, DATA).cache()
     kept = {r["doc_id"] for r in good.collect()}
