@@ -23,7 +23,7 @@ _BASE = int(_RNG.integers(0, 2**63, dtype=np.int64)) * 2 + 1
 _UNBASE = pow(_BASE, -1, 2**64)
 _STEP = _RNG.integers(0, 2**63, 64, dtype=U) * U(2) + U(1)
 #: Text bytes hashed at a time; a longer text makes a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _powers = [np.ones(1, U), np.ones(1, U)]
 
 
