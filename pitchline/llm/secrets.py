@@ -4,7 +4,7 @@ Candidates are words that could be credentials: long enough and with a figure in
 value of an assignment to a telling name; private-key blocks are found by their borders.  Each
 candidate gets features (its length, how usual its character transitions are, how much of it the
 dictionary covers, its make-up, its path, the words beside it), and a random forest trained on
-labelled findings decides.  Dictionary and transitions come from a bounded sample of the corpus.
+labelled findings decides.  Dictionary and transitions are counted over all whole texts of the corpus.
 
 Words are cut out by array operations over whole chunks; Python only sees the few candidates.
 """
@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,10 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .storage import inner
+from .storage import cut, inner
 
-#: Bound of the texts from which dictionary and transitions are learned: rows, and characters per row.
-SAMPLE_ROWS, SAMPLE_CHARS = 400, 8_000
+#: The dictionary holds the words that occur COMMON times or more; if those were more than WORDS, the
+#: least frequency is the smallest that leaves no more.
+COMMON, WORDS = 3, 500_000
+#: Characters cut into words at a time, and distinct words that are counted before they are handed on.
+SLICE, HELD = 1_000_000, 100_000
 LEAST, MASK = 10, "[SECRET]"
 TREES, DEPTH, LEAF = 24, 8, 3
 TELLING = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "authorization", "bearer", "credential", "private_key", "client_secret", "key")
@@ -37,6 +40,7 @@ _EDGE = "\"'`()[]{}<>,;.!?"
 _ASSIGN = re.compile(r"^([\"']?[A-Za-z][\w.\-]{1,40}[\"']?)(?:=|:=|:)(?!//)(.+)$")
 _PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
+_GAP = re.compile(r"\s")
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 
@@ -94,24 +98,57 @@ def candidates(data: np.ndarray, off: np.ndarray) -> list[Candidate]:
 
 @dataclass
 class Knowledge:
-    """A dictionary and the log-probabilities of character transitions of ordinary words."""
+    """A dictionary and the log-probabilities of character transitions of ordinary words; ``rare`` is the least of them."""
 
     words: frozenset[str]
     moves: dict[str, float]
     rare: float
 
 
+_RARE = math.log(0.5 / 200.0)
+
+
+def count_words(texts: Iterable[str]) -> Iterator[tuple[Counter, Counter]]:
+    """Parts of the counts of ordinary words and of their character pairs, over whole texts."""
+    counts: Counter[str] = Counter()
+    for t in texts:
+        at = 0
+        while at < len(t):  # a slice ends at a space
+            gap = _GAP.search(t, at + SLICE)
+            to = gap.start() if gap else len(t)
+            counts.update(t[at:to].split())
+            at = to
+            if len(counts) >= HELD:
+                yield _plain(counts)
+                counts = Counter()
+    if counts:
+        yield _plain(counts)
+
+
+def _plain(counts: Counter) -> tuple[Counter, Counter]:
+    words, pairs = Counter(), Counter()
+    for w, n in counts.items():
+        w = w.lower().strip(_EDGE)
+        if len(w) <= 24 and w.isalpha():
+            words[w] += n
+            for a, b in zip("^" + w, w + "$", strict=True):
+                pairs[a + b] += n
+    return words, pairs
+
+
+def _move(n: int, first: int) -> float:
+    return math.log((n + 0.5) / (first + 20.0))
+
+
 def learn_words(texts: list[str]) -> Knowledge:
-    counts = Counter(w.lower().strip(_EDGE) for t in texts for w in t.split())
-    plain = {w: n for w, n in counts.items() if w.isalpha() and len(w) <= 24}
-    words = frozenset(w for w, n in plain.items() if n >= 3 and len(w) >= 3)
-    pairs, firsts = Counter(), Counter()
-    for w, n in plain.items():
-        for a, b in zip("^" + w, w + "$", strict=True):
-            pairs[a + b] += n
-            firsts[a] += n
-    moves = {p: math.log((n + 0.5) / (firsts[p[0]] + 20.0)) for p, n in pairs.items()}
-    return Knowledge(words, moves, math.log(0.5 / 200.0))
+    words, pairs, firsts = Counter(), Counter(), Counter()
+    for w, p in count_words(texts):
+        words.update(w)
+        pairs.update(p)
+    for p, n in pairs.items():
+        firsts[p[0]] += n
+    moves = {p: m for p, n in pairs.items() if (m := _move(n, firsts[p[0]])) > _RARE}
+    return Knowledge(frozenset(w for w, n in words.items() if n >= COMMON and len(w) >= 3), moves, _RARE)
 
 
 def _coverage(k: Knowledge, value: str) -> float:
@@ -211,7 +248,7 @@ def labelled_findings(known: Knowledge, n: int = 1400, seed: int = 44) -> list[t
     pick = lambda s, n: "".join(rng.choice(list(s), n))
     up, low, dig, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
     b62 = up + low + dig
-    word = lambda: str(rng.choice(words))
+    word = lambda: words[rng.integers(len(words))]
     some = lambda *x: x[rng.integers(len(x))]
     mixed = lambda a, b: pick(b62, int(rng.integers(a, b))) + pick(dig, 1)
 
@@ -248,7 +285,11 @@ class Model:
 
 def train(texts: list[str], findings: list[tuple[str, str, int]] | None = None) -> Model:
     """A model with the dictionary of ``texts``, trained on labelled findings (text, path, is a secret)."""
-    known = learn_words(texts)
+    return teach(learn_words(texts), findings)
+
+
+def teach(known: Knowledge, findings: list[tuple[str, str, int]] | None = None) -> Model:
+    """A model with this dictionary, trained on labelled findings (text, path, is a secret)."""
     x, y = [], []
     for text, path, label in findings if findings is not None else labelled_findings(known):
         raw = np.frombuffer(text.encode(), np.uint8)
@@ -258,12 +299,38 @@ def train(texts: list[str], findings: list[tuple[str, str, int]] | None = None)
     return Model(known, grow_forest(np.array(x), np.array(y, float)) if x else Forest([]))
 
 
-def fit(df: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
-    """A model whose dictionary comes from about ``rows`` texts of at most ``chars`` characters, those with the smallest key hashes."""
-    usable = df.filter(F.col(text).isNotNull() & (F.length(text) <= chars)).select(F.col(text).cast("string").alias("t"), F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(4)), F.lit(1 << 30)).alias("u"))
-    n = usable.count()
-    got = usable.filter(F.col("u") <= int((1 << 30) * min(1.0, 1.3 * rows / max(n, 1)))).collect()
-    return train([r["t"] for r in sorted(got, key=lambda r: (r["u"], r["t"]))[:rows]])
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = (t for batch in batches for t in batch.column(0).to_pylist() if t)
+    for parts in count_words(texts):
+        for pair, part in enumerate(parts):
+            yield pa.RecordBatch.from_arrays([pa.array([bool(pair)] * len(part), pa.bool_()), pa.array(list(part), pa.string()), pa.array(list(part.values()), pa.int64())], names=["pair", "item", "n"])
+
+
+def know(df: DataFrame, text: str = "text") -> Knowledge:
+    """What ``learn_words`` learns, over all whole texts of ``df``: words and pairs are counted where the texts lie.
+
+    The driver gets the dictionary, of at most ``WORDS`` words, and the pairs above the least log-probability,
+    of which a character begins no more than 400.
+    """
+    parts = df.select(F.col(text).cast("string").alias("text")).mapInArrow(_counts, "pair boolean, item string, n long")
+    counts = cut(parts.groupBy("pair", "item").agg(F.sum("n").alias("n")))
+    words = counts.filter(~F.col("pair") & (F.length("item") >= 3) & (F.col("n") >= COMMON))
+    left, least = 0, COMMON
+    for r in sorted(words.groupBy("n").count().collect(), reverse=True):
+        left += r["count"]
+        if left > WORDS:
+            least = r["n"] + 1
+            break
+    pairs = counts.filter("pair").withColumn("first", F.substring("item", 1, 1))
+    firsts = pairs.groupBy("first").agg(F.sum("n").alias("all"))
+    usual = pairs.join(firsts, "first").filter((F.col("n") + 0.5) / (F.col("all") + 20.0) > 0.5 / 200.0)
+    moves = {r["item"]: m for r in usual.collect() if (m := _move(r["n"], r["all"])) > _RARE}
+    return Knowledge(frozenset(r["item"] for r in words.filter(F.col("n") >= least).select("item").collect()), moves, _RARE)
+
+
+def fit(df: DataFrame, text: str = "text") -> Model:
+    """A model whose dictionary and transitions come from all whole texts."""
+    return teach(know(df, text))
 
 
 def scan_chunk(model: Model, data: np.ndarray, off: np.ndarray, paths: list[str]) -> list[tuple[int, int, int, str, float]]:

@@ -85,6 +85,31 @@ def test_secrets_scan_and_redact(spark, odd_docs, no_docs):
     assert secrets.scan(odd_docs, secrets.fit(no_docs), F.col("source")).filter("is_secret").count() == 0
 
 
+def test_secrets_dictionary_counts_all_whole_texts(spark, no_docs):
+    rng = random.Random(5)
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:05d}")
+    rows = [(i, f"{name(i % 700)} Étage, (quiet) x{i} " * 3) for i in range(2100)]
+    rows += [(9000 + i, " ".join(["onlyinlongtexts"] + [name(rng.randrange(700)) for _ in range(3000)])) for i in range(3)] + [(9999, None), (9998, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    known, want = secrets.fit(df).known, secrets.learn_words([t for _, t in rows if t])
+    assert known == want
+    assert "onlyinlongtexts" in known.words and all(name(i) in known.words for i in range(700))
+    assert secrets.know(no_docs).words == frozenset()
+
+
+def test_secrets_dictionary_bound_and_slices(spark, monkeypatch):
+    rows = [(i, "aaaa " * 9 + "bbbb " * 5 + "cccc dddd " * 3) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most, words in ((1, {"aaaa"}), (2, {"aaaa", "bbbb"}), (3, {"aaaa", "bbbb"}), (4, {"aaaa", "bbbb", "cccc", "dddd"})):
+        monkeypatch.setattr(secrets, "WORDS", most)
+        assert secrets.know(df).words == words
+    text = "ab cde\u2003fgh  cde " * 50
+    whole = secrets.learn_words([text])
+    monkeypatch.setattr(secrets, "SLICE", 7)
+    monkeypatch.setattr(secrets, "HELD", 2)
+    assert secrets.learn_words([text]) == whole
+
+
 PAGE = """<!doctype html><html><head><title>no</title><style>x{}</style></head><body><h1>Head &amp; er</h1><p>one  two<p>three<br>four <b>bo</b>ld
 <ul><li>a<li>b<ul><li>c<li>d</ul><li>e</ul><ol start=3><li>x<li>y</ol>
 <table><tr><th>Name<th>Qty<tr><td>apple pie<td>3<tr><td>z</table>tail<span hidden>no</span><span style="display: none">no</span><script>var a="</p>";</script><pre>
