@@ -1,7 +1,7 @@
 """Operator 4: secret scans with a random forest that removes false positives.
 
-Candidates are words that could be credentials: long enough and with a figure in them, or the
-value of an assignment to a telling name; private-key blocks are found by their borders.  Each
+Candidates are words that could be credentials: long enough and with a figure in them, the value
+of an assignment to a telling name, or with the start of a known kind of key; private-key blocks are found by their borders.  Each
 candidate gets features (its length, how usual its character transitions are, how much of it the
 dictionary covers, its make-up, its path, the words beside it), and a random forest trained on
 labelled findings decides.  Dictionary and transitions are counted over all whole texts of the corpus.
@@ -43,6 +43,11 @@ _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 _GAP = re.compile(r"\s")
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
+_QUOTES = np.zeros(256, bool)
+_QUOTES[list(_EDGE.encode())] = True
+_HEADS = tuple(p.encode() for p in PREFIXES)
+_TWO = np.zeros(1 << 16, bool)  # whether a prefix starts with these two bytes
+_TWO[[h[0] << 8 | h[1] for h in _HEADS]] = True
 
 
 @dataclass
@@ -76,8 +81,15 @@ def candidates(data: np.ndarray, off: np.ndarray) -> list[Candidate]:
     for i in np.flatnonzero((data[ends - 1] == 58) & (size <= 24)):
         if bytes(data[starts[i] : ends[i] - 1]).lower().strip(b"\"'") in telling:
             named[i + 1 : i + 2] = True
-    named &= (size >= 8) & (digits[ends] > digits[starts])
+    named &= size >= 8
     raw = data.tobytes()
+    # so is one that starts like a key, quotes and brackets aside
+    rest = np.flatnonzero((size >= LEAST) & ~hit)
+    body = np.append(np.flatnonzero(~_QUOTES[data]), len(data))
+    lead = np.minimum(body[np.searchsorted(body, starts[rest])], ends[rest] - 1)
+    two = data[lead].astype(np.uint16) << 8 | data[np.minimum(lead + 1, len(data) - 1)]
+    for i, a in zip(rest[_TWO[two]], lead[_TWO[two]], strict=True):
+        hit[i] = raw.startswith(_HEADS, a, ends[i])
     word = lambda i, r: raw[starts[i] : ends[i]].decode("utf-8", "replace") if 0 <= i < len(starts) and row[i] == r else ""
     out = []
     for i in np.flatnonzero(hit | named):
@@ -228,7 +240,8 @@ def grow_forest(x: np.ndarray, y: np.ndarray, seed: int = 4) -> Forest:
                 gini[(v[1:] == v[:-1]) | (n < LEAF) | (len(rows) - n < LEAF)] = 9
                 i = int(gini.argmin()) if len(gini) else 0
                 if len(gini) and gini[i] < best[0]:
-                    best = (float(gini[i]), int(f), float((v[i] + v[i + 1]) / 2))
+                    middle = float((v[i] + v[i + 1]) / 2)
+                    best = (float(gini[i]), int(f), middle if middle < v[i + 1] else float(v[i]))  # neighbouring floats have no middle
             if best[1] >= 0:
                 go = x[rows, best[1]] <= best[2]
                 nodes[me][:2] = best[1:]
@@ -251,6 +264,10 @@ def labelled_findings(known: Knowledge, n: int = 1400, seed: int = 44) -> list[t
     word = lambda: words[rng.integers(len(words))]
     some = lambda *x: x[rng.integers(len(x))]
     mixed = lambda a, b: pick(b62, int(rng.integers(a, b))) + pick(dig, 1)
+    bare = lambda a, b: pick(up + low, int(rng.integers(a, b)))
+    long_words = [w for w in words if len(w) >= 8] or [w * 8 for w in words]
+    longer = lambda: long_words[rng.integers(len(long_words))]
+    phrase = lambda: "".join(word().title() for _ in range(rng.integers(3, 5)))
 
     def card() -> str:
         d = "4" + pick(dig, 14)
@@ -261,6 +278,7 @@ def labelled_findings(known: Knowledge, n: int = 1400, seed: int = 44) -> list[t
         lambda: "xoxb-" + pick(dig, 12) + "-" + pick(b62, 24), lambda: "AIza" + pick(b62 + "-_", 35), lambda: "hf_" + pick(b62, 34), lambda: "glpat-" + pick(b62, 20), lambda: "eyJ" + pick(b62, 30) + "." + pick(b62, 60) + "." + pick(b62, 40),
         lambda: some("password", "passwd", "pwd", "secret", "api_key", "token", "client_secret") + some("=", ":") + some(pick(hexa, 18), pick(hexa, 32), mixed(12, 30), pick(b62 + "!#%+/", 16) + "9"),
         lambda: some("token", "secret", "api_key", "password", "auth") + some(" = ", ": ") + '"' + some(pick(hexa, 40), pick(hexa, 32), pick(hexa, 64), mixed(20, 44)) + '"',
+        lambda: some("password", "passwd", "secret", "token", "api_key") + some(" = ", ": ", "=", " := ") + some('"{}"', "{}").format(some(bare(8, 30), phrase())), lambda: some(*PREFIXES[:10]) + bare(16, 37),
         lambda: some("Authorization: Bearer ", "bearer ") + mixed(24, 60), lambda: "export " + some("AWS_SECRET_ACCESS_KEY", "API_KEY", "DB_PASSWORD", "AUTH_TOKEN") + "=" + mixed(16, 40),
     ]
     plain = [
@@ -268,6 +286,7 @@ def labelled_findings(known: Knowledge, n: int = 1400, seed: int = 44) -> list[t
         lambda: some("commit ", "sha1: ", "rev ", "", "md5 ") + pick(hexa, int(some(32, 40))), lambda: some("id: ", "uuid=", "") + "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)), lambda: "sha256:" + pick(hexa, 64), lambda: "https://www." + word() + ".com/" + word() + "/" + pick(dig, 5),
         lambda: f"20{pick(dig, 2)}-0{pick('123456789', 1)}-1{pick(dig, 1)}T1{pick(dig, 1)}:{pick('12345', 1)}0:00Z", lambda: word() + "_" + word() + pick(dig, 2), lambda: word() + word().title() + word().title() + pick(dig, 1), lambda: "version=" + pick(dig, 1) + "." + pick(dig, 2) + "." + pick(dig, 4), lambda: word() + "/" + word() + "/" + word() + pick(dig, 3) + ".html",
         lambda: some("password", "token", "secret", "api_key") + "=" + some("changeme123", "your_token_here1", "<your-key-1>", "example123456", "xxxxxxxxxxxx1", "${DB_PASSWORD1}", "0000000000"), lambda: "ISBN 978-" + pick(dig, 1) + "-" + pick(dig, 2) + "-" + pick(dig, 6) + "-" + pick(dig, 1), lambda: "order=" + pick(dig, 12), lambda: word() + "=" + word() + pick(dig, 1) + word(), lambda: word().upper() + pick(dig, 3) + word().upper(), lambda: word() + "***" + pick(dig, 2) + word(), lambda: word() * 3 + pick(dig, 2),
+        lambda: some("password", "secret", "token", "auth", "key", "api_key") + some(": ", " = ", ":") + some(longer(), longer().title(), longer() + "_" + word(), "changeme", "<your-key>", "undefined", "xxxxxxxxxx"), lambda: some("sk-", "npm_", "pypi-", "hf_", "SG.", "eyJ") + longer() + some("-", "_", "") + word(),
     ]
     out = []
     for i in range(n):
