@@ -28,14 +28,12 @@ from .components import connected_components
 from .storage import cut
 
 SLOTS, CLASSES = 128, 64
-#: Bands of the candidate search: each joins this many sampled slots.
-BANDS, BAND_SLOTS = 24, 8
+#: Buckets of more classes than SMALL are compared in parts of about PART rows that meet two by two.
+SMALL, PART = 24, 1000
 #: Characters whose walks run together; a longer text makes a chunk of its own.
 CHUNK_CHARS = 12_000_000
-_rng = np.random.default_rng(909)
 _BLOCK = 4096
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
-_BAND = [np.sort(_rng.choice(SLOTS, BAND_SLOTS, replace=False)) for _ in range(BANDS)]
 
 
 def _records(limit: int) -> list[tuple[int, int]]:
@@ -179,23 +177,65 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), _hex(walk(texts))], names=["id", "n_chars", "fingerprint"])
 
 
+def _slots(texts: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer("".join(texts.to_pylist()).encode(), np.uint8).reshape(-1, SLOTS)
+
+
+def _alike(need: int):
+    """Pairs (a, b) whose fingerprints agree in ``need`` slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                same = _slots(batch.column("print_a")) == _slots(batch.column("print_b"))
+                yield batch.select(["a", "b"]).filter(pa.array(same.sum(axis=1) >= need))
+
+    return run
+
+
+def _tile(need: int):
+    """Links that span all pairs of a meeting: side 0 meets side 1, side 2 meets itself."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rep, side, x = group.column("rep").to_numpy(), group.column("side").to_numpy(), _slots(group.column("fingerprint"))
+        right, label = np.flatnonzero(side != 0), np.arange(len(rep))
+        y, links = x[right], []
+        for i in np.flatnonzero(side != 1):
+            for j in right[(x[i] == y).sum(axis=1) >= need]:
+                if label[i] != label[j]:
+                    label[label == label[j]] = label[i]
+                    links.append((rep[i], rep[j]))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def near_by_edits(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
     """(key, component_id): documents joined over fingerprints that agree in ``least`` of their slots or more.
 
-    Equal fingerprints are one class.  Candidates come from ``BANDS`` bands of sampled slots; within a
-    band's bucket every class is verified against the bucket's smallest, so a bucket of any size
-    gives as many pairs as it has classes.  Rows without a key or with an empty text join nothing.
+    Equal fingerprints are one class.  Fingerprints that differ in at most d slots agree in one of d + 1
+    bands that share out the slots, so every pair meets in a bucket, and all pairs of a bucket are
+    verified: those of small buckets one by one, large buckets in parts that meet two by two.  A part's
+    rows go to each of its meetings.  Rows without a key or with an empty text join nothing.
     """
+    need = max(0, int(np.ceil(least * SLOTS - 1e-9)))
+    at = np.array_split(np.arange(SLOTS), SLOTS - need + 1) if need else [np.zeros(0, int)]
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(_prints, "id long, n_chars long, fingerprint string")
     rows = cut(rows)
-    classes = rows.filter("n_chars > 0 and id is not null").groupBy("fingerprint").agg(F.min("id").alias("rep"))
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.substring("fingerprint", int(i) + 1, 1) for i in at]) for b, at in enumerate(_BAND)])
+    classes = cut(rows.filter("n_chars > 0 and id is not null").groupBy("fingerprint").agg(F.min("id").alias("rep")))
+    bands = F.array(*[F.xxhash64(F.lit(b), *([F.substring("fingerprint", int(i[0]) + 1, len(i))] if len(i) else [])) for b, i in enumerate(at)])
     members = classes.select("rep", "fingerprint", F.explode(bands).alias("band"))
-    leads = members.groupBy("band").agg(F.min_by("fingerprint", "rep").alias("lead_print"), F.min("rep").alias("lead"), F.count("*").alias("c")).filter("c > 1")
-    pairs = members.join(leads, "band").filter("rep <> lead").select("rep", "lead", "fingerprint", "lead_print").distinct()
-    agree = F.aggregate(F.sequence(F.lit(1), F.lit(SLOTS)), F.lit(0), lambda n, i: n + F.when(F.substring(F.col("fingerprint"), i, F.lit(1)) == F.substring(F.col("lead_print"), i, F.lit(1)), 1).otherwise(0))
-    links = pairs.filter(agree >= least * SLOTS).select(F.col("rep").alias("a"), F.col("lead").alias("b"))
-    comp = connected_components(links)
+    sizes = members.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1")
+    members = cut(members.join(sizes, "band"))
+    left, right = (members.filter(F.col("c") <= SMALL).select("band", F.col("rep").alias(x), F.col("fingerprint").alias(f"print_{x}")) for x in "ab")
+    pairs = left.join(right, "band").filter("print_a < print_b").drop("band").mapInArrow(_alike(need), "a long, b long")
+    large = members.filter(F.col("c") > SMALL).withColumn("parts", F.ceil(F.col("c") / PART).cast("int"))
+    large = large.withColumn("part", F.pmod(F.xxhash64("fingerprint", "band"), "parts").cast("int"))
+    # each part meets itself, and every other part once
+    seats = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("p"), F.greatest("part", q).alias("q"), F.when(F.col("part") == q, 2).when(F.col("part") < q, 0).otherwise(1).alias("side")))
+    dealt = large.withColumn("seat", F.explode(seats)).select("band", "seat.p", "seat.q", "seat.side", "rep", "fingerprint")
+    comp = connected_components(pairs.unionAll(dealt.groupBy("band", "p", "q").applyInArrow(_tile(need), "a long, b long")))
     out = rows.join(classes, "fingerprint", "left").join(comp, F.col("rep") == F.col("node"), "left")
     component = F.when(F.col("n_chars") > 0, F.coalesce("component", "rep", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(key), component.alias("component_id"))

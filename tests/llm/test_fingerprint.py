@@ -73,3 +73,31 @@ def test_odd_rows_and_near_groups(spark, odd_docs, no_docs):
     comp = {r["doc_id"]: r["component_id"] for r in fingerprint.near_by_edits(odd_docs).collect()}
     assert comp[0] == comp[1] == comp[3] == comp[14] == 0 and comp[10] == 10 and comp[5] == 5
     assert fingerprint.near_by_edits(no_docs).count() == 0
+
+
+def test_near_groups_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(40):  # few symbols: strangers share buckets
+        base = "".join(rng.choice("aaaab") for _ in range(rng.choice([30, 200])))
+        texts.append(base)
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(base))
+            base = base[:i] + rng.choice("bc") + base[i + rng.randrange(3) :]
+            texts.append(base)
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = fingerprint.walk(texts)
+    for least in (0.8, 0.9):
+        want = list(range(len(texts)))
+        for i in range(len(texts)):
+            for j in range(i):
+                if (prints[i] == prints[j]).sum() >= least * fingerprint.SLOTS and want[i] != want[j]:
+                    lo, hi = sorted((want[i], want[j]))
+                    want = [lo if w == hi else w for w in want]
+        assert 10 < len(set(want)) < len(texts)
+        for small, part in ((24, 1000), (1, 7)):
+            monkeypatch.setattr(fingerprint, "SMALL", small)
+            monkeypatch.setattr(fingerprint, "PART", part)
+            got = {r["doc_id"]: r["component_id"] for r in fingerprint.near_by_edits(df, least=least).collect()}
+            assert [got[i] for i in range(len(texts))] == want
