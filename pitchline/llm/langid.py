@@ -186,12 +186,13 @@ def train(texts: list[str], langs: list[str], seed: int = 5) -> Model:
     return model
 
 
-def _label(model: Model, arr: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, posteriors, first word of each row, whether a word has a letter) of each chunk."""
+def _label(model: Model, arr: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, posteriors, first word of each row, whether a word has a letter, rows without an ASCII letter) of each chunk."""
     for a, b, data, off in W.chunks(arr, CHUNK_BYTES):
         starts, ends, first = W.word_bounds(data, off)
+        unsure = np.flatnonzero(np.diff(np.searchsorted(np.flatnonzero(_LETTER[data] & (data < 128)), off)) == 0)
         if not len(starts):
-            yield a, b, np.zeros((0, len(model.labels))), first, np.zeros(0, bool)
+            yield a, b, np.zeros((0, len(model.labels))), first, np.zeros(0, bool), unsure
             continue
         h = W.range_hashes(data)(starts, ends)
         _, pick, which = np.unique(h, return_index=True, return_inverse=True)
@@ -200,20 +201,20 @@ def _label(model: Model, arr: pa.Array) -> Iterator[tuple[int, int, np.ndarray,
         score = model.scores(data, starts[pick], ends[pick])[which]
         score[~wordy] = 0.0  # figures and signs take the language of their neighbours
         post, _ = posteriors(score, first, model.start, model.move)
-        yield a, b, post, first, wordy
+        yield a, b, post, first, wordy, unsure
 
 
 def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
-            for a, b, post, first, wordy in _label(model, texts):
+            for a, b, post, first, wordy, unsure in _label(model, texts):
                 row = np.repeat(np.arange(b - a), np.diff(first))[wordy]
                 sums = np.stack([np.bincount(row, post[wordy, j], b - a) for j in range(len(model.labels))], axis=1)
                 total = sums.sum(axis=1)
                 best = sums.argmax(axis=1)
                 lang, score = [model.labels[j] for j in best], sums.max(axis=1) / np.maximum(total, 1e-300)
-                for i in np.flatnonzero(np.bincount(row, minlength=b - a) < 3):  # bytes above 0x7F may all be signs
+                for i in unsure:  # bytes above 0x7F may all be signs
                     if not any(c.isalpha() for c in texts[a + int(i)].as_py() or ""):
                         lang[i], score[i] = UNDETERMINED, 0.0
                 same = [batch.column(c).slice(a, b - a) for c in range(batch.num_columns) if c != 1]
@@ -225,7 +226,7 @@ def _predict(model: Model):
 def _tag(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, post, first, _ in _label(model, batch.column(1)):
+            for a, b, post, first, _, _ in _label(model, batch.column(1)):
                 names = pa.array(model.labels, pa.string()).take(pa.array(post.argmax(axis=1) if len(post) else [], pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(first, pa.int32()), names)], names=["key", "langs"])
 

@@ -61,3 +61,13 @@ def test_odd_rows(odd_docs, no_docs):
     assert langid.predict(no_docs, model).count() == 0
     nothing = langid.fit(no_docs, F.lit(True))
     assert {r["lang_pred"] for r in langid.predict(odd_docs, nothing).collect()} == {"und"}
+
+
+def test_signs_of_any_number_are_undetermined(spark):
+    rng = random.Random(4)
+    rows = [(i, sentence(lang, 20, rng), lang) for i, lang in enumerate(list(WORDS) * 20)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    texts = ["— — — —", "• 😀 € 12 ─── ║ ║", "…", "— — — — être", "— — — é", "中 文 — —", "the — — — and", ""]
+    got = {r["doc_id"]: r for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert [got[i]["lang_pred"] == "und" for i in range(len(texts))] == [True, True, True, False, False, False, False, True]
+    assert all((r["lang_pred"] == "und") == (r["score"] == 0) for r in got.values())
