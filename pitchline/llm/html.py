@@ -2,7 +2,7 @@
 
 A tree builder reads tags leniently (implied ends of p, li, dt, dd, tr, td, th, option and their
 like, void elements, raw text, stray end tags), visibility rules drop what a browser wouldn't
-show, and a renderer walks the tree: blocks start new lines, paragraphs and headings stand apart,
+show (of an object that names data, the fallback; of an svg, all but its texts), and a renderer walks the tree: blocks start new lines, paragraphs and headings stand apart,
 lists are marked and indented, preformatted text keeps its spaces, and the cells of a table are
 aligned in columns.  Building and walking use explicit stacks, so deep nesting is no limit.
 """
@@ -25,8 +25,12 @@ _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title noscript".split())
-HIDDEN = frozenset("head script style template noscript title meta link base iframe noembed noframes object audio video canvas svg math map datalist param source track xmp".split())
-PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote ul ol dl table figure hr".split())
+HIDDEN = frozenset("head script style template noscript title meta link base iframe noembed noframes audio video canvas map datalist param source track annotation annotation-xml".split())
+#: Start tags that may stand in a head; any other ends it, as text does.
+_IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
+#: What of an svg has text to show, and what shows none of its content.
+_LABELS, _UNDRAWN = frozenset(["text", "foreignobject"]), frozenset("defs symbol clippath mask pattern marker metadata desc".split())
+PARAGRAPH = frozenset("xmp p h1 h2 h3 h4 h5 h6 pre blockquote ul ol dl table figure hr".split())
 BLOCK = PARAGRAPH | frozenset("html body address article aside center details dialog dd div dt fieldset figcaption footer form header hgroup legend li main menu nav optgroup option section summary tbody td tfoot th thead tr caption search".split())
 #: Elements that an opening tag ends, and those beyond which it doesn't look.
 _BARRIER = frozenset("table td th caption button body html".split())
@@ -54,6 +58,8 @@ def parse(html: str) -> Node:
 
     def add_text(s: str) -> None:
         if s:
+            if stack[-1].tag == "head" and not _SPACE.fullmatch(s):
+                close(frozenset(["head"]), frozenset())
             stack[-1].items.append(unescape(s) if "&" in s else s)
 
     def close(tags: frozenset[str], barrier: frozenset[str]) -> None:
@@ -93,11 +99,11 @@ def parse(html: str) -> Node:
             for a in _ATTR.finditer(m[3]):
                 value = a[2] if a[2] is not None else a[3] if a[3] is not None else a[4] or ""
                 attrs.setdefault(a[1].lower(), unescape(value) if "&" in value else value)
-        if tag in ("html", "body") and opened[tag]:
+        if tag in ("html", "head", "body") and opened[tag]:
             continue
         if tag in _ENDS_P:
             close(frozenset(["p"]), _BARRIER)
-        if tag == "body" or (tag in BLOCK and opened["head"]):
+        if tag == "body" or (opened["head"] and not opened["template"] and tag not in _IN_HEAD):
             close(frozenset(["head"]), frozenset())
         if tag in IMPLIED:
             tags, barrier = IMPLIED[tag]
@@ -105,7 +111,8 @@ def parse(html: str) -> Node:
                 close(tags, barrier)
         node = Node(tag, attrs)
         stack[-1].items.append(node)
-        if tag in VOID or m[3].endswith("/") and tag in ("path", "circle", "rect"):
+        foreign = (opened["svg"] or opened["math"]) and not opened["foreignobject"]
+        if tag in VOID or m[3].endswith("/") and (foreign or tag in ("path", "circle", "rect")):
             continue
         if tag in RAW:
             if low is None:
@@ -137,9 +144,25 @@ def visible(node: Node) -> bool:
     style = node.attrs.get("style")
     if style and _NO_DISPLAY.search(style):
         return False
+    if node.tag == "object" and "data" in node.attrs:
+        return False
     return not (node.tag == "dialog" and "open" not in node.attrs)
 
 
+def _labels(svg: Node) -> list[Node | str]:
+    """The texts of an svg, in order and apart from one another."""
+    out, todo = [], list(reversed(svg.items))
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str) or node.tag in _UNDRAWN or not visible(node):
+            continue
+        if node.tag in _LABELS:
+            out += [" ", node, " "]
+        else:
+            todo.extend(reversed(node.items))
+    return out
+
+
 class _Box:
     """Lines of a block container: text runs are joined and their white space collapsed."""
 
@@ -270,10 +293,10 @@ def render(root: Node) -> str:
                 tables[-1].append([])
             elif tag in ("td", "th", "caption"):
                 boxes.append(_Box())
-            elif tag in ("pre", "textarea"):
+            elif tag in ("pre", "textarea", "xmp"):
                 pre += 1
             todo.append((node, True))
-            items = node.items
+            items = _labels(node) if tag == "svg" else node.items
             if tag == "pre" and items and isinstance(items[0], str) and items[0].startswith("\n"):
                 items = [items[0][1:], *items[1:]]
             if tag == "details" and "open" not in node.attrs:
@@ -306,7 +329,7 @@ def render(root: Node) -> str:
             box.block(True)
             for i, line in enumerate(lines):
                 box._emit(line) if line or i == 0 else box.lines.append("")
-        elif tag in ("pre", "textarea"):
+        elif tag in ("pre", "textarea", "xmp"):
             pre -= 1
         if tag in BLOCK:
             boxes[-1].block(tag in PARAGRAPH and not (tag in ("ul", "ol", "dl") and lists))

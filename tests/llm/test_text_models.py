@@ -135,6 +135,18 @@ def test_html_layout():
     assert html.extract(PAGE) == want
 
 
+def test_html_shows_what_a_browser_shows():
+    assert html.extract("<p>so <math><mi>a</mi><mo>+</mo><mn>2</mn><annotation>no</annotation></math> is<p>b") == "so a+2 is\n\nb"
+    drawn = "<svg viewBox='0'><title>no</title><defs><text>no</text></defs>no<g><line x='1'/><text x='1'>Year <tspan>1</tspan></text><desc/><text>Two</text></g><style>no</style></svg>"
+    assert html.extract(f"<p>see {drawn} end") == "see Year 1 Two end"
+    assert html.extract("<p>a<xmp>x <b>\n  y</xmp>c") == "a\n\nx <b>\n  y\n\nc"
+    assert html.extract("<object><p>else</object> and <object data=x.swf>no</object>end") == "else\n\nand end"
+    head = "<head> <meta charset=x> <title>T</title> <script>no</script><template><div>no</div></template>\n"
+    assert html.extract(head + "Hello <b>you</b> <a>link</a><p>x") == "Hello you link\n\nx"
+    assert html.extract(head + "<b>you</b> <a>link</a><p>x") == "you link\n\nx"
+    assert html.extract(f"<html>{head}</head><body>x</body></html>") == "x"
+
+
 def test_html_is_lenient_and_linear():
     assert html.extract(None) == html.extract("") == html.extract("<p hidden>x</p>") == html.extract("<!-- x") == ""
     assert html.extract("a < b & c &lt;d&gt;") == "a < b & c <d>"
