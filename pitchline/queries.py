@@ -399,17 +399,10 @@ def j12_serving_features(s: SparkSession, d: str) -> DataFrame:
     return rounded(f.select(F.col("MatchID").alias("id"), "Home_GF_L5", "Away_Result_L10", "Home_VenueGA_L5", "Away_VenueResult_L5", "Home_RestDays", "Away_MatchesPlayedPrior", "HomeEloPre", "AwayEloPre"))
 
 
-def _small_registry():
-    from .plans import models
-
-    r = models.registry(trees=20)
-    return {k: r[k] for k in ("LogisticRegression", "RandomForest")}
-
-
 @query
 def m4_trained_members(s: SparkSession, d: str) -> DataFrame:
     data = pipelines.training_dataset(matches(s, d))
-    return rounded(pipelines.train(data, current=2001, entries=_small_registry()).reports)
+    return rounded(pipelines.train(data, current=2001).reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

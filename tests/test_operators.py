@@ -285,3 +285,21 @@ def test_train_predict_and_backtest(spark):
     b = pipelines.backtest(data, t, {"LogisticRegression": entries["LogisticRegression"]})
     assert {r["last_n"]: r["n"] for r in pipelines.pooled_report(b, 2).collect()} == {1: 20, 2: 40}
     assert probability.OUTCOMES == ("H", "D", "A")
+
+
+def test_trained_members_use_the_whole_registry(spark, monkeypatch):
+    from pitchline import queries
+
+    class Seen(Exception):
+        pass
+
+    def fit_all(train, columns, label="FTR", entries=None):
+        raise Seen(entries)
+
+    monkeypatch.setattr(models, "fit_all", fit_all)
+    with pytest.raises(Seen) as seen:
+        queries.queries()["m4_trained_members"](spark, "/root/testdata/sf0.001")
+    used, whole = seen.value.args[0] or models.registry(), models.registry()
+    available = [k for k, e in whole.items() if e.available]
+    assert [k for k, e in used.items() if e.available] == available and {"BoostedTrees", "BoostedTreesShallow"} <= set(available)
+    assert used["RandomForest"].build(9).getNumTrees() == whole["RandomForest"].build(9).getNumTrees() == 400
