@@ -1,15 +1,30 @@
 """Connected components by alternating large-star and small-star steps.
 
-All state is DataFrames: nothing but two numbers a round reaches the driver, and each
-round's edges are checkpointed in the shared folder, so a lost executor costs one round.
+All state is tables in the shared folder: nothing but two numbers a round reaches the driver, a
+lost executor costs part of a round, and a round's tables go once the next round stands.  Minima
+are combined before they are shuffled and every join has two written sides, so that Spark can
+split the rows of a node that very many edges share.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import Tables
+
+
+def lower_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Lowers labels (indices) of linked rows to the smallest one connected."""
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
+        while (further := label[label] < label).any():
+            label[further] = label[label[further]]
+        open_ = label[i] != label[j]
+        i, j = i[open_], j[open_]
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,15 +32,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Self-loops, repeated edges and edges with a null end are ignored; no edges give no rows.
     """
-    e = edges.filter(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e = cut(e)
+    now = Tables(edges.sparkSession)
+    e = now.table(edges.filter(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     before = None
     while (state := e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()) != before and state[0]:
-        before = state
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("x"), F.col("m").alias("y")).distinct()
-        low = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(low, "x").filter("y <> m").select(F.col("y").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionAll(low.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct())
+        before, last, now = state, now, Tables(edges.sparkSession)
+        least = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("m"))
+        least = now.table(least.filter("m < u").select(F.col("u").alias("v"), "m"))
+        large = now.table(e.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v")))
+        low = now.table(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = now.table(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
+        last.drop()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

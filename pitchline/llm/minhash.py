@@ -4,23 +4,25 @@ A document's set of five-word shingles gets a signature of ``POSITIONS`` minimum
 ``BITS`` bits.  Signatures that differ in at most ``2 * chunks - 1`` positions agree, by the
 pigeonhole, up to one error in one of their chunks.  Every allowed error is
 enumerated as a key: the chunk with one position left out, which stands for all values of
-that position.  Two signatures under the threshold so share a key with certainty, and pairs
-that share one are confirmed on their full shingle sets.
+that position.  Two signatures under the threshold so share a key with certainty.  One rule
+decides everywhere: a pair links if its signatures are within the distance and its full shingle
+sets reach the similarity.
 
 The number of chunks follows from the similarity: the fewest for which a pair at that similarity
 lies beyond the distance with a probability below ``MISS``.  At 0.85 that is 12 chunks and a
 distance of 23 (such a pair differs in 9.6 positions on average), at 0.8 it is 14 and 27.
 
-Equal sets form one class from the start, so copies cost one row.  Of the pairs in a bucket
-only those are compared that could still join two components:
+Equal sets form one class from the start (``cid``, a 64-bit hash of the set), so copies cost one
+row.  Of the pairs in a bucket only those are compared that could still join two components:
 
-1. every class goes to the group of one leader, the smallest member of its buckets, in parts of
-   at most about ``PART`` rows by hash; parts are compared whole and give a spanning forest of links;
-2. in buckets that still hold several components, every pair from different components is
-   compared: pair by pair in buckets of up to ``SMALL`` members, at most ``SMALL`` pairs a member;
-   larger buckets are joined where they overlap, dealt into parts, and parts meet two by two.  A
-   part's rows go to each of its meetings, the pairs are never rows.  Parts of one large component
-   don't meet one another.
+1. every class goes to the group of one leader, the smallest member of its buckets; the group is
+   compared in parts by hash, each with the leader, which joins dense groups in linear time;
+2. buckets that still hold several components are joined where they overlap, dealt into parts, and
+   parts meet two by two; parts of one large component don't meet one another.  A meeting first
+   sees signatures alone and hands on the rows, never the pairs, that have a partner within the
+   distance in another component; only those rows' full sets are then dealt and compared.
+
+A part is bounded in rows (``PART``) and in shingles (``SHINGLES``); small groups share parts.
 """
 
 from __future__ import annotations
@@ -30,17 +32,19 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .components import connected_components
-from .storage import cut, inner, table
+from .components import connected_components, lower_labels
+from .storage import inner, table
 
 POSITIONS, BITS, MISS = 64, 16, 2e-5
-#: Rows compared in one task's group; its memory is that of so many shingle sets.
-PART = 256
-#: Members up to which a bucket's pairs are compared one by one.
+#: Rows and shingles of a part, on average; a comparison holds two parts.
+PART, SHINGLES = 2048, 1_000_000
+#: Rows of a part that small groups share.
+PACK = 512
+#: Shingles held by at most so many sets of a comparison are counted pair by pair, others by matrix products.
 SMALL = 32
 _rng = np.random.default_rng(1010)
 _PERM = _rng.integers(0, 2**63, POSITIONS, dtype=W.U) * W.U(2) + W.U(1)
@@ -74,19 +78,12 @@ def keys(sig: np.ndarray, chunks: int) -> np.ndarray:
     return out
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """100 * |a and b| >= percent * |a or b| for sorted distinct arrays."""
-    small, large = min(len(a), len(b)), max(len(a), len(b))
-    if 100 * small < percent * large or not large:
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
 def _sketch(words: int):
+    """(id, row, text) -> (id, row, n, h1, h2, sig)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, first in W.chunks(batch.column(1)):
+            for a, b, data, first in W.chunks(batch.column(2)):
                 s, off = W.shingles(*W.words(data, first), words)
                 n = np.diff(off)
                 rows = np.flatnonzero(n)
@@ -98,134 +95,213 @@ def _sketch(words: int):
                     hashes[1, rows] = W.mix(np.bitwise_xor.reduceat(W.mix(s + W.U(77)), at[:-1]))
                     for row, x in zip(rows, signatures(s, at), strict=True):
                         sig[row] = x.tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(hashes[0].view(np.int64)), pa.array(hashes[1].view(np.int64)), pa.array(sig, pa.binary())], names=["id", "n", "h1", "h2", "sig"])
+                kept = [batch.column(c).slice(a, b - a) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), *(pa.array(h.view(np.int64)) for h in hashes), pa.array(sig, pa.binary())], names=["id", "row", "n", "h1", "h2", "sig"])
 
     return run
 
 
+def _signatures(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, POSITIONS)
+
+
 def _keys(chunks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, POSITIONS)
-                k = keys(sig, chunks).view(np.int64)
+                k = keys(_signatures(batch.column("sig")), chunks).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, k.size + 1, POSITIONS), pa.int32()), pa.array(k.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("rep"), lists], names=["rep", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("cid"), lists], names=["cid", "keys"])
 
     return run
 
 
 def _sets(words: int):
+    """(cid, sig, text) -> (cid, n, sig, full)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, first in W.chunks(batch.column(1)):
+            for a, b, data, first in W.chunks(batch.column(2)):
                 s, off = W.shingles(*W.words(data, first), words)
                 full = [s[x:y].tobytes() for x, y in zip(off[:-1], off[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(full, pa.binary())], names=["rep", "sig", "full"])
+                kept = [batch.column(c).slice(a, b - a) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([kept[0], pa.array(np.diff(off), pa.int64()), kept[1], pa.array(full, pa.binary())], names=["cid", "n", "sig", "full"])
 
     return run
 
 
-def _forest(percent: int):
-    """Links between rows of different components that span what they join; connected pairs aren't compared.
+def _within(x: np.ndarray, y: np.ndarray, distance: int) -> np.ndarray:
+    """Which rows of x and y differ in at most ``distance`` positions."""
+    out = np.empty((len(x), len(y)), bool)
+    columns = np.ascontiguousarray(y.T)
+    for a in range(0, len(x), 128):
+        differ = np.zeros((len(x[a : a + 128]), len(y)), np.uint8)
+        for k in range(POSITIONS):
+            differ += x[a : a + 128, k, None] != columns[k]
+        out[a : a + 128] = differ <= distance
+    return out
+
 
-    side 0 meets side 1; side 2 meets itself.  One row's intersections with all others are counted at once.
-    """
+def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows on the left (side 0) and on the right (1); rows of side 2 meet one another."""
+    side = group.column("side").to_numpy()
+    return np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+
+
+def _near(group: pa.Table, left: np.ndarray, right: np.ndarray, distance: int) -> np.ndarray:
+    """Pairs within the distance whose components differ."""
+    sig, comp = _signatures(group.column("sig")), group.column("comp").to_numpy()
+    return _within(sig[left], sig[right], distance) & (comp[left][:, None] != comp[right])
+
+
+def _scout(distance: int):
+    """Rows of a meeting that have a partner within the distance in another component."""
 
     def run(group: pa.Table) -> pa.Table:
-        rep, side = group.column("rep").to_numpy(), group.column("side").to_numpy()
-        full = [np.frombuffer(x.as_buffer(), W.U) for x in group.column("full")]
-        _, label = np.unique(group.column("comp").to_numpy(), return_inverse=True)
-        size = np.array([len(x) for x in full])
-        known, code = np.unique(np.concatenate(full), return_inverse=True)
-        off = np.concatenate([[0], np.cumsum(size)])
-        own = bool((side == 2).any())
-        right = np.flatnonzero(side != 0)
-        code_r = code if own else code[W.ranges(off[right], size[right])]
-        off_r = off[:-1] if own else np.concatenate([[0], np.cumsum(size[right])])[:-1]
-        mark, links = np.zeros(len(known), bool), []
-        for i in np.flatnonzero(side != 1):
-            if (label[right] == label[i]).all():
-                continue
-            mark[code[off[i] : off[i + 1]]] = True
-            both = np.add.reduceat(mark[code_r], off_r, dtype=np.int64)
-            mark[code[off[i] : off[i + 1]]] = False
-            for j in right[(100 * both >= percent * (size[i] + size[right] - both)) & (label[right] != label[i])]:
-                if label[i] != label[j]:
-                    label[label == label[j]] = label[i]
-                    links.append((rep[i], rep[j]))
-        a, b = zip(*links, strict=True) if links else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        left, right = _sides(group)
+        near = _near(group, left, right, distance)
+        hit = np.zeros(group.num_rows, bool)
+        hit[left] |= near.any(axis=1)
+        hit[right] |= near.any(axis=0)
+        return group.select(["m", "cid", "comp", "side"]).filter(pa.array(hit))
 
     return run
 
 
-def _near(distance: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, POSITIONS) for c in ("sig_a", "sig_b"))
-                yield batch.select(["a", "b"]).filter(pa.array((x != y).sum(axis=1) <= distance))
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets ``left`` with the sets ``right`` (distinct elements each)."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    both = np.zeros((len(left), len(right)), np.float32)
+    place = np.full((2, len(sets)), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    column = np.cumsum(count > SMALL) - 1
+    common = count[code] > SMALL
+    r, c = row[common], column[code[common]]
+    order = np.argsort(c, kind="stable")
+    r, c = r[order], c[order]
+    for at in range(0, int(c[-1]) + 1 if len(c) else 0, 1024):
+        a, b = np.searchsorted(c, [at, at + 1024])
+        held = np.zeros((len(sets), 1024), np.float32)
+        held[r[a:b], c[a:b] - at] = 1
+        both += held[left] @ held[right].T
+    rare = (count[code] > 1) & ~common
+    r, c = row[rare], code[rare]
+    order = np.argsort(c, kind="stable")
+    r, c = r[order], c[order]
+    for step in range(1, SMALL):
+        same = np.flatnonzero(c[step:] == c[:-step]) if step < len(c) else []
+        if not len(same):
+            break
+        for p, q in ((r[same], r[same + step]), (r[same + step], r[same])):
+            ok = (place[0, p] >= 0) & (place[1, q] >= 0)
+            np.add.at(both, (place[0, p[ok]], place[1, q[ok]]), 1)
+    return both
+
+
+def _forest(percent: int, distance: int):
+    """(cid, root): each linked row with the smallest class that the links of its comparison join it to."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("cid", "ascending")])
+        left, right = _sides(group)
+        label = np.arange(group.num_rows)
+        near = _near(group, left, right, distance)
+        if near.any():
+            sets = [np.frombuffer(x.as_buffer(), W.U) for x in group.column("full")]
+            size = np.array([len(x) for x in sets])
+            both = overlaps(sets, left, right).astype(np.int64)
+            p, q = np.nonzero(near & (100 * both >= percent * (size[left][:, None] + size[right] - both)))
+            lower_labels(label, left[p], right[q])
+        cid = group.column("cid")
+        return pa.table({"cid": cid, "root": cid.take(pa.array(label))}).filter(pa.array(label != np.arange(len(label))))
 
     return run
 
 
-def _confirm(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column("full_a"), batch.column("full_b"), strict=True)
-            keep = [similar(np.frombuffer(x.as_buffer(), W.U), np.frombuffer(y.as_buffer(), W.U), percent) for x, y in pairs]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _parts(rows: Column, shingles: Column) -> Column:
+    return rows / PART + shingles / SHINGLES
 
-    return run
 
+def _bins(rows: DataFrame) -> int:
+    """Into how many parts rows with sets of n shingles go if small groups share them."""
+    return int((rows.agg(_parts(F.count("*"), F.sum("n"))).first()[0] or 0) * PART / PACK) + 1
 
-def _grouped_links(choice: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links found in the groups of ``choice`` (rep, lead), each split by hash into parts of at most about PART rows."""
-    parts = choice.groupBy("lead").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    members = choice.filter("rep <> lead").join(parts, "lead").select("rep", "lead", F.pmod(F.xxhash64("rep", "lead"), "parts").cast("int").alias("part"))
-    hubs = parts.select(F.col("lead").alias("rep"), "lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    rows = members.unionAll(hubs).join(sets.select("rep", "full"), "rep").select("lead", "part", "rep", F.col("rep").alias("comp"), F.lit(2).alias("side"), "full")
-    return rows.groupBy("lead", "part").applyInArrow(_forest(percent), "a long, b long")
 
+def _leader_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(cid, root) found in the groups of the leaders, the smallest members of a class's buckets."""
+    choice = table(members.groupBy("cid").agg(F.min("low").alias("lead")).join(sets.select("cid", "n"), "cid"))
+    bins = _bins(choice)
+    share = choice.groupBy("lead").agg(_parts(F.count("*"), F.sum("n")).alias("w"))
+    alone = F.col("w") >= PACK / PART
+    share = table(share.select("lead", F.when(alone, F.ceil("w")).otherwise(0).cast("int").alias("parts")))
+    bin_ = F.when(F.col("parts") == 0, F.pmod(F.xxhash64("lead"), F.lit(bins)))
+    rows = choice.filter("cid <> lead").join(share, "lead").select("cid", F.coalesce(bin_, F.xxhash64("lead", F.pmod(F.xxhash64("cid"), "parts"))).alias("m"))
+    each = share.select("lead", "parts", F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts"), F.lit(1)) - 1)).alias("k"))
+    hubs = each.select(F.col("lead").alias("cid"), F.coalesce(bin_, F.xxhash64("lead", F.col("k").cast("long"))).alias("m"))
+    dealt = rows.unionAll(hubs).join(sets.select("cid", "sig", "full"), "cid").select("m", "cid", F.col("cid").alias("comp"), F.lit(2).alias("side"), "sig", "full")
+    return dealt.groupBy("m").applyInArrow(_forest(percent, 2 * chunks_for(percent) - 1), "cid long, root long")
 
-def _pairwise_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across components in small buckets; at most SMALL pairs a bucket row."""
-    left, right = (mixed.select("key", F.col("rep").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
-    pairs = left.join(right, "key").filter("comp_a < comp_b").select("a", "b").distinct()
-    for x, test in (("sig", _near(2 * chunks_for(percent) - 1)), ("full", _confirm(percent))):
-        for end in "ab":
-            pairs = pairs.join(sets.select(F.col("rep").alias(end), F.col(x).alias(f"{x}_{end}")), end)
-        pairs = pairs.mapInArrow(test, "a long, b long")
-    return pairs
+
+def _mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members (cid, comp, low) of the buckets whose members aren't all in one component."""
+    for x in ("cid", "low"):
+        to = comp.select(F.col("cid").alias(x), F.col("comp").alias(f"comp_{x}"))
+        members = members.join(to, x, "left").withColumn(f"comp_{x}", F.coalesce(f"comp_{x}", x))
+    members = table(members)
+    several = table(members.filter("comp_cid <> comp_low").select("key").distinct())
+    return members.join(several, "key", "left_semi").select("cid", F.col("comp_cid").alias("comp"), "low").distinct()
 
 
 def _meeting_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across components in large buckets, which are joined where they overlap and compared part by part."""
-    lows = mixed.groupBy("key").agg(F.min("rep").alias("b"))
-    cluster = connected_components(mixed.join(lows, "key").select(F.col("rep").alias("a"), "b")).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    rows = mixed.select("rep", "comp").distinct().join(cluster, "rep")
-    of = rows.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
-    # a component of PART rows or more has parts of its own; the others share parts (comp null)
-    of = of.withColumn("pure", F.when(F.col("c") >= PART, F.col("comp")))
-    parts = of.groupBy("cluster", "pure").agg(F.ceil(F.sum("c") / PART).cast("int").alias("parts"))
-    rows = rows.join(of.select("cluster", "comp", "pure"), ["cluster", "comp"])
-    same = rows["pure"].eqNullSafe(parts["pure"]) & (rows["cluster"] == parts["cluster"])
-    rows = rows.join(parts, same).select(rows["rep"], rows["comp"], F.xxhash64(rows["cluster"], rows["pure"], F.pmod(F.xxhash64(rows["rep"]), parts["parts"]).cast("int")).alias("part"))
-    each = parts.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cluster", "pure", F.xxhash64("cluster", "pure", "k").alias("part"))
+    """(cid, root) between components: overlapping buckets are one cluster, whose parts meet two by two."""
+    cluster = connected_components(mixed, "cid", "low").select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
+    rows = table(mixed.select("cid", "comp").distinct().join(cluster, "cid").join(sets.select("cid", "n"), "cid"))
+    bins = _bins(rows)
+    # a component that fills a part has parts of its own, the others of a cluster share parts (pure null); small clusters share meetings
+    of = rows.groupBy("cluster", "comp").agg(_parts(F.count("*"), F.sum("n")).alias("w")).withColumn("pure", F.when(F.col("w") >= 1, F.col("comp")))
+    of = table(of)
+    parts = of.groupBy("cluster", "pure").agg(F.ceil(F.sum("w")).cast("int").alias("parts"))
+    parts = table(parts.join(of.groupBy("cluster").agg((F.sum("w") < PACK / PART).alias("small")), "cluster").withColumn("hash", F.xxhash64("cluster", "pure", F.col("pure").isNull())))
+    rows = rows.join(of.select("cluster", "comp", F.xxhash64("cluster", "pure", F.col("pure").isNull()).alias("hash")), ["cluster", "comp"])
+    rows = rows.join(parts.select("hash", "parts"), "hash").select("cid", "comp", F.xxhash64("hash", F.pmod(F.xxhash64("cid"), "parts")).alias("part"))
+    each = parts.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cluster", "small", "pure", F.xxhash64("hash", F.col("k").cast("long")).alias("part"))
     other = each.select("cluster", F.col("pure").alias("pure_b"), F.col("part").alias("part_b"))
-    meet = each.join(other, "cluster").filter("part <= part_b and (pure is null or pure_b is null or pure <> pure_b)").withColumn("m", F.xxhash64("part", "part_b"))
-    sides = F.when(F.col("part") == F.col("part_b"), F.array(F.struct(F.col("part").alias("part"), F.lit(2).alias("side")))).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("side")), F.struct(F.col("part_b").alias("part"), F.lit(1).alias("side"))))
-    seats = meet.select("m", F.explode(sides).alias("s")).select("m", "s.part", "s.side")
-    dealt = rows.join(sets.select("rep", "full"), "rep").join(seats, "part").select("m", "rep", "comp", "side", "full")
-    return dealt.groupBy("m").applyInArrow(_forest(percent), "a long, b long")
+    meet = each.join(other, "cluster").filter("part <= part_b and (pure is null or pure_b is null or pure <> pure_b)")
+    meet = meet.withColumn("m", F.when(F.col("small"), F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.xxhash64("part", "part_b")))
+    seat = lambda part, side: F.struct(F.col(part).alias("part"), F.lit(side).alias("side"))
+    seats = meet.select("m", F.explode(F.when(F.col("part") == F.col("part_b"), F.array(seat("part", 2))).otherwise(F.array(seat("part", 0), seat("part_b", 1)))).alias("s")).select("m", "s.*")
+    distance = 2 * chunks_for(percent) - 1
+    dealt = rows.join(sets.select("cid", "sig"), "cid").join(seats, "part").select("m", "cid", "comp", "side", "sig")
+    hits = table(dealt.groupBy("m").applyInArrow(_scout(distance), "m long, cid long, comp long, side int"))
+    return hits.join(sets.select("cid", "sig", "full"), "cid").select("m", "cid", "comp", "side", "sig", "full").groupBy("m").applyInArrow(_forest(percent, distance), "cid long, root long")
+
+
+def _components(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, row, n, cid) of ``docs`` (id, row, text), and (cid, component) of the linked classes; ``row`` is a hash of the row."""
+    rows = table(docs.select("id", "row", "text").mapInArrow(_sketch(words), "id long, row long, n long, h1 long, h2 long, sig binary").withColumn("cid", F.xxhash64("h1", "h2", "n")))
+    classes = table(rows.filter("n > 0").groupBy("cid").agg(F.min("row").alias("row"), F.min("sig").alias("sig")))
+    bucket = classes.select("cid", "sig").mapInArrow(_keys(chunks_for(percent)), "cid long, keys array<long>").select("cid", F.explode("keys").alias("key"))
+    shared = bucket.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low < high").drop("high")
+    members = table(bucket.join(shared, "key"))
+    wanted = classes.join(members.select("cid").distinct(), "cid", "left_semi")
+    texts = docs.select("row", "text").join(wanted, "row").dropDuplicates(["row"])
+    sets = table(texts.select("cid", "sig", "text").mapInArrow(_sets(words), "cid long, n long, sig binary, full binary"))
+    led = table(_leader_links(members, sets, percent))
+    further = led.select(F.col("cid").alias("root"), F.col("root").alias("comp"))
+    comp = table(led.join(further, "root", "left").select("cid", F.coalesce("comp", "root").alias("comp")))
+    links = led
+    mixed = table(_mixed(members, comp))
+    if not mixed.isEmpty():
+        links = links.unionAll(_meeting_links(mixed, sets, percent))
+    found = connected_components(links.unionAll(_same_key(rows)), "cid", "root")
+    return rows.drop("h1", "h2", "sig"), found.select(F.col("node").alias("cid"), "component")
 
 
-def _mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Rows (key, rep, comp, c) of buckets of c members that aren't all in one component."""
-    rows = members.join(comp, members.rep == comp.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    spread = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo < hi").select("key", "c")
-    return rows.join(spread, "key")
+def _same_key(rows: DataFrame) -> DataFrame:
+    """Links between the classes of rows that repeat a key with different texts."""
+    several = rows.filter("n > 0 and id is not null").groupBy("id").agg(F.min("cid").alias("root"), F.max("cid").alias("high")).filter("root < high").select("id", "root")
+    return rows.filter("n > 0").select("id", "cid").join(several, "id").filter("cid <> root").select("cid", "root").distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 85) -> DataFrame:
@@ -235,47 +311,35 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     similarity; component_id is the smallest key reachable over links, itself included, and kept
     marks the document that bears it.  A null, empty or blank text has the empty set, links with
     nothing and is kept.  Rows that repeat a key count as one document.  A row without a key
-    joins the class of its equals: it gets their component_id and is kept only if none of them has
-    a key (component_id is then null).  An empty table gives an empty result.
+    links like any other; it gets its component's smallest key and is kept only if there is none
+    (component_id is then null).  An empty table gives an empty result.  Sets are told apart by
+    64-bit hashes.
     """
-    rows = cut(df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(_sketch(words), "id long, n long, h1 long, h2 long, sig binary"))
-    classes = cut(rows.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.min("sig").alias("sig")).filter("rep is not null"))
-    bucket = classes.select("rep", "sig").mapInArrow(_keys(chunks_for(percent)), "rep long, keys array<long>").select("rep", F.explode("keys").alias("key"))
-    shared = bucket.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").drop("high")
-    members = table(bucket.join(shared, "key"))
-    wanted = members.select("rep").distinct().join(classes, "rep").select(F.col("rep").alias("id"), "h1", "h2", "sig")
-    found = rows.select("id", "h1", "h2").distinct()
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    sets = docs.join(wanted.join(found, ["id", "h1", "h2"], "left_semi").select("id", "sig"), "id").select("id", "text", "sig").mapInArrow(_sets(words), "rep long, sig binary, full binary")
-    sets = table(sets)
-    links = cut(_grouped_links(members.groupBy("rep").agg(F.min("low").alias("lead")), sets, percent))
-    mixed = table(_mixed(members.select("key", "rep"), connected_components(links)))
-    more = _pairwise_links(mixed.filter(F.col("c") <= SMALL), sets, percent)
-    large = mixed.filter(F.col("c") > SMALL)
-    if large.limit(1).count():
-        more = more.unionAll(_meeting_links(large, sets, percent))
-    comp = connected_components(links.unionAll(more).unionAll(_same_key(rows)))
-    rep = classes.select("h1", "h2", "n", "rep")
-    out = rows.drop("sig").join(rep, ["h1", "h2", "n"], "left").join(comp, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "rep", "id")).otherwise(F.col("id"))
+    rows, found = _components(docs.withColumn("row", F.xxhash64("id", "text")), words, percent)
+    least = rows.filter("n > 0").groupBy("cid").agg(F.min("id").alias("least"))
+    least = table(least.join(found, "cid", "left").select("cid", "least", F.coalesce("component", "cid").alias("component")))
+    first = least.groupBy("component").agg(F.min("least").alias("component_id"))
+    first = table(least.select("cid", "component").join(first, "component").select("cid", "component_id"))
+    out = rows.join(first, "cid", "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
 
 
-def _same_key(rows: DataFrame) -> DataFrame:
-    """Edges between the classes that rows with one key, but different texts, fall into."""
-    texts = rows.filter("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
-    many = rows.filter("n > 0 and id is not null").select("id", "h1", "h2", "n").distinct().groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select("id")
-    return rows.filter("n > 0").join(many, "id").join(texts, ["h1", "h2", "n"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
-
-
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``df`` without near-duplicates: one row of each component stays, the one with the smallest key.
 
-    Rows without shingles all stay.  Of rows that repeat the smallest key one stays.
+    Of rows that repeat that key, and of rows without a key in a component that has none, the one
+    with the smallest hash of all its columns stays, so reruns agree; of equal rows one stays.  Rows
+    without shingles (null, empty or blank text) all stay.  An empty table gives an empty result.
     """
-    found = near_duplicates(df, key, text, words, percent)
-    (name,) = inner(df, "id")
-    keep = found.filter("kept").select(F.col(key).alias(name)).distinct()
-    keyed = df.filter(F.col(key).isNotNull()).join(keep, F.col(key) == F.col(name), "left_semi").dropDuplicates([key])
-    alone = found.filter(f"{key} is null and kept").limit(1).count()
-    return keyed.unionByName(df.filter(F.col(key).isNull()).dropDuplicates([text])) if alone else keyed
+    id_, row, body = inner(df, "id", "row", "body")
+    hashed = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and kind not in ("variant", "void")]
+    named = df.withColumns({id_: F.col(f"`{key}`").cast("long"), row: F.xxhash64(*hashed), body: F.col(f"`{text}`").cast("string")})
+    rows, found = _components(named.select(F.col(id_).alias("id"), F.col(row).alias("row"), F.col(body).alias("text")), words, percent)
+    first = F.struct(F.col("id").isNull().alias("no"), "id", "row")
+    best = rows.filter("n > 0").groupBy("cid").agg(F.min(first).alias("best"))
+    best = best.join(found, "cid", "left").groupBy(F.coalesce("component", "cid").alias("component")).agg(F.min("best").alias("best"))
+    blank = ~F.coalesce(F.col(body), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = named.filter(~blank).join(table(best.select(F.col("best.row").alias(row))), row, "left_semi").dropDuplicates([row])
+    return kept.unionByName(named.filter(blank)).select(*[f"`{c}`" for c in df.columns])

@@ -31,6 +31,22 @@ def table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Tables in a folder of their own in the shared checkpoint folder, dropped together when nothing needs them any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path = spark, f"{checkpoint_dir(spark)}/r-{uuid.uuid4().hex}"
+
+    def table(self, df: DataFrame) -> DataFrame:
+        path = f"{self.path}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def inner(df: DataFrame, *names: str) -> list[str]:
     """Names for working columns that no column of ``df`` bears, whatever its case."""
     taken, out = {c.lower() for c in df.columns}, []

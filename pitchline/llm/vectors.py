@@ -79,18 +79,6 @@ def _cells(axes: np.ndarray, wide: np.ndarray, width: float):
     return run
 
 
-def _smallest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Lowers labels (indices) of linked rows to the smallest one connected."""
-    while len(i):
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, label[i], low)
-        np.minimum.at(label, label[j], low)
-        while (further := label[label] < label).any():
-            label[further] = label[label[further]]
-        open_ = label[i] != label[j]
-        i, j = i[open_], j[open_]
-
-
 def _compare(axes: np.ndarray, threshold: float, lead: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("rep", "ascending")])
@@ -124,7 +112,7 @@ def _compare(axes: np.ndarray, threshold: float, lead: int):
                 cos[edge] = np.einsum("ij,ij->i", unit[p[edge]], unit[q[edge]])
                 p, q = p[cos >= threshold], q[cos >= threshold]
                 links += np.bincount(p, n[q], len(n)).astype(np.int64) + np.bincount(q, n[p], len(n)).astype(np.int64)
-                _smallest(label, p, q)
+                components.lower_labels(label, p, q)
         got = pa.array(links > 0)
         out = group.select(["h1", "h2", "rep"]).append_column("links", pa.array(links)).append_column("root", group.column("rep").take(pa.array(label)))
         return out.filter(got)
