@@ -79,25 +79,29 @@ def merge_sides(matches: DataFrame, featured: DataFrame) -> DataFrame:
 def snapshot(upcoming: DataFrame, log: DataFrame, team: str, as_of: str, key: str, metrics: tuple[str, ...] = METRICS, windows: tuple[int, ...] = WINDOWS, venue: Column | None = None, order: tuple[str, ...] = ("Date", "MatchID"), decay: float = DECAY, date: str = "Date", log_team: str = "Team") -> DataFrame:
     """As-of features: per row of ``upcoming`` the weighted means over its team's last rows with a date before ``as_of``.
 
-    ``venue`` restricts the log rows.  A team may have any number of upcoming rows.  The theta join is an
-    equi-join on the team with a date condition; only the last ``max(windows)`` rows a key are kept, found without
-    a sort of all rows: a bounded top-k aggregation per key.
+    ``venue`` restricts the log rows.  A team may have any number of upcoming rows.  Upcoming rows stand in the
+    log as markers before the rows of their day; one window by team looks back over rows that aren't markers,
+    so there is one shuffle and no join.  Rows without a team or date have no history and are none.
     """
-    deepest = max(windows)
     rows = log if venue is None else log.filter(venue)
-    u = upcoming.select(F.col(key).alias("_key"), F.col(team).alias("_team"), F.to_date(as_of).alias("_day"))
-    j = u.join(rows, (F.col("_team") == F.col(log_team)) & (F.to_date(date) < F.col("_day")))
-    j = j.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(*[F.col(c).desc() for c in order]))).withColumn("_gap", F.datediff("_day", F.to_date(date)))
-    aggs = [F.count("*").alias("MatchesPlayedPrior"), F.min("_gap").alias("RestDays"), F.count_if(F.col("_gap") < CONGESTION_DAYS).alias("MatchesLast14Days")]
+    past = rows.filter(F.col(log_team).isNotNull() & F.to_date(date).isNotNull())
+    past = past.select(F.col(log_team).alias("_team"), F.to_date(date).alias("_day"), F.lit(0).alias("_mark"), F.struct(*[F.col(m).cast("double").alias(m) for m in metrics]).alias("_s"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    marks = upcoming.select(F.col(team).alias("_team"), F.to_date(as_of).alias("_day"), F.lit(1).alias("_mark"), F.struct(*[F.col(c) for c in upcoming.columns]).alias("_up"))
+    both = past.unionByName(marks, allowMissingColumns=True)
+    by = ", ".join(["_day", "_mark DESC", *[f"_o{i}" for i in range(len(order))]])
+    lags = [F.expr(f"lag(_s, {k}) IGNORE NULLS OVER (PARTITION BY _team ORDER BY {by})").alias(f"_{k}") for k in range(1, max(windows) + 1)]
+    w = Window.partitionBy("_team").orderBy("_day", F.col("_mark").desc(), *[f"_o{i}" for i in range(len(order))])
+    recent = Window.partitionBy("_team").orderBy(F.unix_date("_day")).rangeBetween(1 - CONGESTION_DAYS, -1)
+    seen = F.when(F.col("_mark") == 0, F.col("_day"))
+    loads = [F.count(seen).over(w).alias("MatchesPlayedPrior"), F.datediff("_day", F.last(seen, ignorenulls=True).over(w)).alias("RestDays"), F.count(seen).over(recent).alias("MatchesLast14Days")]
+    got = both.select("_up", "_mark", *lags, *loads).filter("_mark = 1")
+    means = []
     for m in metrics:
-        for w in windows:
-            use = (F.col("_n") <= w) & F.col(m).isNotNull()
-            weight = F.pow(F.lit(decay), (F.col("_n") - 1).cast("double"))
-            aggs.append((F.sum(F.when(use, F.col(m) * weight)) / F.sum(F.when(use, weight))).alias(f"{m}_L{w}"))
-    got = j.groupBy("_key").agg(*aggs)
-    counts = {"MatchesPlayedPrior", "MatchesLast14Days"}
-    cols = ["MatchesPlayedPrior", "RestDays", "MatchesLast14Days", *[f"{m}_L{w}" for m in metrics for w in windows]]
-    return upcoming.join(got, upcoming[key] == F.col("_key"), "left").select(*[upcoming[c] for c in upcoming.columns], *[(F.coalesce(F.col(c), F.lit(0)) if c in counts else F.col(c)).alias(c) for c in cols])
+        for n in windows:
+            top = sum((F.coalesce(F.col(f"_{k}.{m}"), F.lit(0.0)) * decay ** (k - 1) for k in range(1, n + 1)), F.lit(0.0))
+            low = sum((F.when(F.col(f"_{k}.{m}").isNotNull(), decay ** (k - 1)).otherwise(0.0) for k in range(1, n + 1)), F.lit(0.0))
+            means.append(F.when(low > 0, top / low).alias(f"{m}_L{n}"))
+    return got.select("_up.*", "MatchesPlayedPrior", "RestDays", "MatchesLast14Days", *means)
 
 
 def features_for_upcoming(upcoming: DataFrame, log: DataFrame, ratings: DataFrame, default_rating: float = 1500.0) -> DataFrame:

@@ -132,6 +132,30 @@ def crisp_inputs(df: DataFrame) -> DataFrame:
     return df.select("*", (F.col("_HomeStrength") - F.col("_AwayStrength")).alias("_StrengthGap"), (F.col("_HomeForm") - F.col("_AwayForm")).alias("_FormGap"))
 
 
+#: Points between two corners of neighbouring output terms.
+STRETCH = 25
+
+
+def _cuts(falling: Column, rising: Column) -> tuple[Column, Column, Column]:
+    """Where two terms meet over points 1..24: up to n the falling one is larger, up to k it is cut off at its strength, up to q the rising one isn't."""
+    last = float(STRETCH - 1)
+    within = lambda x, low: F.least(F.greatest(x, low), F.lit(last))
+    cross = F.ceil(F.least(STRETCH * falling, F.lit(STRETCH / 2)))
+    cross = F.when(falling <= rising, cross).otherwise(F.greatest(cross, F.ceil(STRETCH * (1 - rising)))).cast("double")
+    n = within(cross - 1, F.lit(0.0))
+    return n, F.least(within(F.floor(STRETCH * (1 - falling)).cast("double"), F.lit(0.0)), n), within(F.floor(STRETCH * rising).cast("double"), n)
+
+
+def _meeting(falling: Column, rising: Column, n: Column, k: Column, q: Column) -> tuple[Column, Column]:
+    """Sum over points i = 1..24 of the larger of two clipped terms, and the sum weighted by i: arithmetic series between the cuts."""
+    one = lambda x: x * (x + 1) / 2
+    two = lambda x: x * (x + 1) * (2 * x + 1) / 6
+    last = STRETCH - 1
+    area = falling * k + (n - k) - (one(n) - one(k)) / STRETCH + (one(q) - one(n)) / STRETCH + rising * (last - q)
+    moment = falling * one(k) + (one(n) - one(k)) - (two(n) - two(k)) / STRETCH + (two(q) - two(n)) / STRETCH + rising * (one(last) - one(q))
+    return area, moment
+
+
 def infer(df: DataFrame, key: str = "MatchID") -> DataFrame:
     """(key, 7 potentials from 0 to 100, 5 probabilities): inference over a table of feature rows."""
     rows = crisp_inputs(df)
@@ -145,22 +169,18 @@ def infer(df: DataFrame, key: str = "MatchID") -> DataFrame:
     strength = [(F.greatest(*fired[o, t]) if len(fired[o, t]) > 1 else fired[o, t][0]) if (o, t) in fired else F.lit(0.0) for o in OUTPUTS for t in OUTPUT_TERMS]
     rows = rows.select(key, *[c.alias(f"s_{o}_{t}") for c, (o, t) in zip(strength, [(o, t) for o in OUTPUTS for t in OUTPUT_TERMS], strict=True)])
 
-    def centroid(o: str) -> Column:
-        """Centroid of the clipped terms on 0..100.
-
-        Outside 26..49 and 51..74 one term stands alone, so those points are sums in closed form; in between
-        the larger of two counts, 24 points a side.
-        """
+    for o in OUTPUTS:
         low, mid, high = (F.col(f"s_{o}_{t}") for t in OUTPUT_TERMS)
-        between = F.array(*[F.struct(F.lit(i / 25).alias("up"), F.lit((25 - i) / 25).alias("down"), F.lit(float(i)).alias("i")) for i in range(1, 25)])
-
-        def meet(falling: Column, rising: Column, base: int) -> Column:
-            larger = lambda p: F.greatest(F.least(falling, p["down"]), F.least(rising, p["up"]))
-            return F.aggregate(between, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("m")), lambda s, p: F.struct((s["a"] + larger(p)).alias("a"), (s["m"] + larger(p) * (p["i"] + base)).alias("m")))
+        cuts = {f"{c}_{o}_{side}": v for side, f, r in (("l", low, mid), ("r", mid, high)) for c, v in zip("nkq", _cuts(f, r), strict=True)}
+        rows = rows.select("*", *[v.alias(c) for c, v in cuts.items()])
 
-        left, right = meet(low, mid, 25), meet(mid, high, 50)
-        area = low * 26 + mid + high * 26 + left["a"] + right["a"]
-        moment = low * sum(range(26)) + mid * 50 + high * sum(range(75, 101)) + left["m"] + right["m"]
+    def centroid(o: str) -> Column:
+        """Centroid of the clipped terms on 0..100: points where one term stands alone, and the two stretches where two meet."""
+        low, mid, high = (F.col(f"s_{o}_{t}") for t in OUTPUT_TERMS)
+        left, left_moment = _meeting(low, mid, *[F.col(f"{c}_{o}_l") for c in "nkq"])
+        right, right_moment = _meeting(mid, high, *[F.col(f"{c}_{o}_r") for c in "nkq"])
+        area = low * 26 + mid + high * 26 + left + right
+        moment = low * sum(range(26)) + mid * 50 + high * sum(range(75, 101)) + left_moment + 25 * left + right_moment + 50 * right
         return F.when(area > 0, moment / area).otherwise(50.0)
 
     rows = rows.select(key, *[centroid(o).alias(f"Fuzzy_{n}Potential") for o, n in OUTPUTS.items()])

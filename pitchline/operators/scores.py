@@ -70,12 +70,37 @@ def top_scores(df: DataFrame, rho: Column | float, top: int = TOP, max_goals: in
     """Adds top_scorelines: array<struct<score, probability>> of the ``top`` most probable scores.
 
     Probabilities that agree to twelve digits count as equal; fewer goals come first then.
+
+    The cell of the home side's i-th and the away side's j-th likeliest goals is beaten by the i * j - 1 cells
+    before it in both, less the four corrected ones.  So besides those four only cells with i * j < top + 5 can
+    win; where the first cells beyond them tie with the last winner, all cells are sorted.
     """
     base, h, a, x, total = _vectors(df, rho, max_goals)
-    n = range(max_goals + 1)
-    cell = lambda i, j: h[i] * a[j] + (x[i, j] if (i, j) in x else F.lit(0.0))
-    cells = F.array(*[F.struct(F.rint(cell(i, j) * -1e12).alias("m"), F.lit(i).alias("h"), F.lit(j).alias("a"), cell(i, j).alias("p")) for i in n for j in n])
-    base = base.withColumn("_best", F.slice(F.sort_array(cells), 1, top)).withColumn("_t", total)
+    n = max_goals + 1
+    ranked = lambda v: F.sort_array(F.array(*[F.struct((-p).alias("p"), F.lit(k).alias("k")) for k, p in enumerate(v)]))
+    extra = F.array(F.array(x[0, 0], x[0, 1]), F.array(x[1, 0], x[1, 1]))
+    base = base.select(*[F.col(c) for c in df.columns], ranked(h).alias("_rh"), ranked(a).alias("_ra"), extra.alias("_x"), total.alias("_t"))
+    corrected = lambda i, j: (i["k"] < 2) & (j["k"] < 2)
+
+    def cell(i: Column, j: Column) -> Column:
+        p = i["p"] * j["p"] + F.when(corrected(i, j), F.get(F.get("_x", i["k"]), j["k"])).otherwise(0.0)
+        return F.struct(F.rint(p * -1e12).alias("m"), i["k"].alias("h"), j["k"].alias("a"), p.alias("p"))
+
+    def cells(upto: int | None) -> Column:
+        """Cells with ranks i * j < upto, and the corrected ones."""
+        mine = lambda i, at: F.slice("_ra", 1, F.lit(n) if upto is None else F.least(F.floor((upto - 1) / (at + 1)).cast("int"), F.lit(n)))
+        some = F.flatten(F.transform("_rh", lambda i, at: F.transform(mine(i, at), lambda j: cell(i, j))))
+        if upto is None:
+            return some
+        low = lambda c: F.filter(c, lambda g: g["k"] < 2)
+        some = F.filter(some, lambda c: (c["h"] > 1) | (c["a"] > 1))
+        return F.concat(some, F.flatten(F.transform(low("_rh"), lambda i: F.transform(low("_ra"), lambda j: cell(i, j)))))
+
+    reach = top + 5
+    outer = F.array_max(F.transform("_rh", lambda i, at: F.coalesce(i["p"] * F.get("_ra", F.floor((reach - 1) / (at + 1)).cast("int"))["p"], F.lit(0.0))))
+    best = lambda c: F.slice(F.sort_array(c), 1, top)
+    base = base.withColumn("_best", best(cells(reach))).withColumn("_tie", F.rint(outer * -1e12) <= F.get("_best", F.lit(top - 1))["m"])
+    base = base.withColumn("_best", F.when(F.col("_tie"), best(cells(None))).otherwise(F.col("_best")))
     named = F.transform("_best", lambda c: F.struct(F.concat_ws("-", c["h"], c["a"]).alias("score"), (c["p"] / F.col("_t")).alias("probability")))
     return base.select(*[F.col(c) for c in df.columns], named.alias("top_scorelines"))
 

@@ -60,20 +60,28 @@ _SQL_ELO = (
     "recursive "
     + SQL_MATCHES
     + """,
-o as (select *, row_number() over (order by d, id) as rn from m),
+s as (select id, t, row_number() over (partition by t order by d, id) as n from (select id, d, home as t from m union all select id, d, away from m)),
+o as (
+  select m.id, m.home, m.away, h.n as hn, a.n as an, case when abs(fthg - ftag) <= 1 then 1.0 when abs(fthg - ftag) = 2 then 1.5 else (11 + abs(fthg - ftag)) / 8.0 end::double as mult,
+         case when fthg > ftag then 1.0 when fthg = ftag then 0.5 else 0.0 end::double as won
+  from m join s h on h.id = m.id and h.t = m.home join s a on a.id = m.id and a.t = m.away),
 st as (
-  select 0::bigint as rn, null::bigint as id, list_transform(range(25), lambda x: 1500.0::double) as r, null::double as hp, null::double as ap, null::double as hq, null::double as aq
+  select t, 0::bigint as n, 1500.0::double as r, null::bigint as id, null::double as pre from (select distinct t from s)
   union all
-  select n.rn, n.id, list_transform(n.r, lambda x, i: case when i = n.home + 1 then x + n.k when i = n.away + 1 then x - n.k else x end), n.hp, n.ap, n.hp + n.k, n.ap - n.k
-  from (select o.rn, o.id, o.home, o.away, st.r, st.r[o.home + 1] as hp, st.r[o.away + 1] as ap,
-               20.0 * (case when abs(fthg - ftag) <= 1 then 1.0 when abs(fthg - ftag) = 2 then 1.5 else (11 + abs(fthg - ftag)) / 8.0 end)
-               * ((case when fthg > ftag then 1.0 when fthg = ftag then 0.5 else 0.0 end) - 1 / (1 + power(10.0, -((st.r[o.home + 1] + 100) - st.r[o.away + 1]) / 400))) as k
-        from st join o on o.rn = st.rn + 1) n)"""
+  select * from (
+    with ready as (
+      select o.*, 20.0 * mult * (won - 1 / (1 + power(10.0, -((h.r + 100) - a.r) / 400))) as k
+      from o join st h on o.home = h.t and o.hn = h.n + 1 join st a on o.away = a.t and o.an = a.n + 1)
+    select st.t, st.n + (q.id is not null)::int, st.r + coalesce(q.k, 0), q.id, case when q.id is not null then st.r end
+    from st left join (select home as t, id, k from ready union all select away, id, -k from ready) q on q.t = st.t
+    where exists (select 1 from ready))),
+fin as (select t, arg_max(r, n) as r from st group by t)"""
 )
-O["w6_elo"] = f"with {_SQL_ELO} select id, round(hp, 6) as home_pre, round(ap, 6) as away_pre, round(hq, 6) as home_post, round(aq, 6) as away_post from st where rn > 0"
-O["w7_latest_ratings"] = f"""
-with {_SQL_ELO}, z as (select r from st order by rn desc limit 1), played as (select home as t from m union select away from m)
-select t as team, round(r[t + 1], 1) as rating from z, played"""
+O["w6_elo"] = f"""
+with {_SQL_ELO}
+select h.id, round(h.pre, 6) as home_pre, round(a.pre, 6) as away_pre, round(h.r, 6) as home_post, round(a.r, 6) as away_post
+from m join st h on h.id = m.id and h.t = m.home join st a on a.id = m.id and a.t = m.away"""
+O["w7_latest_ratings"] = f"with {_SQL_ELO} select t as team, round(r, 1) as rating from fin"
 
 O["p3_season_calendar"] = """
 select o_orderkey as id, s as start, s::varchar || '-' || lpad(((s + 1) % 100)::varchar, 2, '0') as label
@@ -102,13 +110,13 @@ O["a4_global_aggregates"] = f"with {SQL_MATCHES} select max(d) as last, round(av
 O["a8_quantiles"] = f"""
 with {SQL_MATCHES} select n as column_name, {", ".join(f"round(quantile_cont(v, {p / 100}), 6) as p{p}" for p in (10, 25, 50, 75, 90))}
 from (select 'HS' as n, hs::double as v from m union all select 'AS', as_::double from m) group by n"""
-O["j7_played"] = f"with {SQL_MATCHES} select id, exists (select 1 from m x where x.id % 3 <> 0 and x.d = m.d and x.home = m.home and x.away = m.away) as played from m"
-O["p13_schedule_gaps"] = f"with {SQL_MATCHES} select id from m where id % 3 = 0 and d < date '1997-12-30'"
+O["j7_played"] = f"with {SQL_MATCHES} select id, exists (select 1 from m x where x.d < date '1997-10-01' and x.d = m.d and x.home = m.home and x.away = m.away) as played from m"
+O["p13_schedule_gaps"] = f"with {SQL_MATCHES} select id from m where d >= date '1997-10-01' and d < date '1997-12-30'"
 O["a6_next_round"] = f"""
-with {SQL_MATCHES}, c as (select *, dayofyear(d)::int % 38 as r from m where id % 3 = 0)
+with {SQL_MATCHES}, c as (select *, dayofyear(d)::int % 38 as r from m where d >= date '1997-10-01')
 select 'smallest' as rule, min(r)::int as next_round from c where season = 1998
 union all select 'by date', (select r from c where d >= date '1998-06-01' order by d, r limit 1)::int"""
-O["p14_upcoming_round"] = f"with {SQL_MATCHES} select strftime(d, '%Y%m%d') || '_' || home || '_' || away as match_key, (dayofyear(d) % 38)::int as round from m where id % 3 = 0 and season = 1997 and dayofyear(d) % 38 = 5"
+O["p14_upcoming_round"] = f"with {SQL_MATCHES} select strftime(d, '%Y%m%d') || '_' || home || '_' || away as match_key, (dayofyear(d) % 38)::int as round from m where d >= date '1997-10-01' and season = 1997 and dayofyear(d) % 38 = 5"
 
 _ARGMAX = "case when p_h >= p_d and p_h >= p_a then 'H' when p_d >= p_a then 'D' else 'A' end"
 _ROWS = f"""
@@ -152,7 +160,7 @@ O["a21_goals_sanity"] = f"""
 with {SQL_PROBS}, {_ROWS.format(rows="p")} select round(avg((guess = y)::int), 6) as accuracy, round(avg(((p_h + p_d / 2 > 0.5) = (goals > 2.5))::int), 6) as over_under_accuracy,
   {", ".join(f"round(avg(p_h) filter (y = '{k}'), 6) as mean_p_h_{k.lower()}" for k in "HDA")} from s"""
 O["a29_comparison"] = f"with {SQL_PROBS}, {_ROWS.format(rows='p')} select model, count(*) as n, round(avg((guess = y)::int), 4) as accuracy, round(avg(ll), 4) as log_loss, round(avg(br), 4) as brier, round(avg((guess = y)::int) filter (y = 'H'), 3) as recall_h from s group by model"
-O["a30_beating_baseline"] = f"with {SQL_PROBS}, {_report('p', 'model')}, l as (select model, avg(ll) as x, coalesce(avg((guess = y)::int) filter (y = 'D'), 0) as rd from s group by model) select model, round(x, 6) as log_loss, rd < 0.05 as hardly_any_draw from l where model <> 'm1' and x < (select x from l where model = 'm1')"
+O["a30_beating_baseline"] = f"with {SQL_PROBS}, {_report('p', 'model')}, l as (select model, avg(ll) as x, coalesce(avg((guess = y)::int) filter (y = 'D'), 0) as rd from s group by model) select model, round(x, 6) as log_loss, rd < 0.05 as hardly_any_draw from l where model <> 'm0' and x < (select x from l where model = 'm0')"
 O["a25_extremes_by_key"] = f"with {SQL_PROBS}, {_ROWS.format(rows='p')}, l as (select model, avg(ll) as x, avg((guess = y)::int) as acc from s group by model) select arg_min(model, x) as best, arg_max(model, acc) as most_accurate, round(min(x), 6) as log_loss from l"
 O["w12_walk_forward"] = f"""
 with {SQL_MATCHES}, z as (select season, row_number() over (order by season) - 1 as i from (select distinct season from m))
@@ -264,7 +272,7 @@ _PRED = (
     + """,
 pr as (select home as home_team, away as away_team, date_trunc('month', d)::date as match_date, m.id % 50 as prediction_time, printf('v%09d', m.id) as model_version, p_h, p_d, p_a from p join m on m.id = p.id),
 lt as (select * from pr qualify row_number() over (partition by home_team, away_team, match_date order by prediction_time desc, model_version) = 1),
-ac as (select home as home_team, away as away_team, date_trunc('month', d)::date as match_date, arg_min(fthg, id) as actual_home, arg_min(ftag, id) as actual_away from m where id % 4 <> 0 group by all),
+ac as (select home as home_team, away as away_team, date_trunc('month', d)::date as match_date, arg_min(fthg, id) as actual_home, arg_min(ftag, id) as actual_away from m where d < date '2000-03-01' group by all),
 sc as (
   select l.*, actual_home, actual_away, y as actual_result, guess as predicted_result, guess = y as correct,
          round((p_h - (y = 'H')::int) ^ 2 + (p_d - (y = 'D')::int) ^ 2 + (p_a - (y = 'A')::int) ^ 2, 4) as brier_score, round(-ln(case y when 'H' then p_h when 'D' then p_d else p_a end), 4) as log_loss
@@ -273,19 +281,19 @@ sc as (
     + """ as guess from lt) l join (select *, case when actual_home > actual_away then 'H' when actual_home < actual_away then 'A' else 'D' end as y from ac) a using (home_team, away_team, match_date))"""
 )
 O["a26_latest_prediction"] = f"with {_PRED} select home_team, away_team, match_date, prediction_time, model_version, round(p_h, 6) as p_h, round(p_d, 6) as p_d, round(p_a, 6) as p_a from lt"
-O["j9_reconciled_history"] = f"with {_PRED} select prediction_time, home_team, away_team, match_date, predicted_result, actual_home, actual_away, actual_result, correct, round(brier_score, 3) as brier_score, round(log_loss, 3) as log_loss, model_version from sc where home_team % 5 <> 0"
+O["j9_reconciled_history"] = f"with {_PRED} select prediction_time, home_team, away_team, match_date, predicted_result, actual_home, actual_away, actual_result, correct, round(brier_score, 3) as brier_score, round(log_loss, 3) as log_loss, model_version from sc where match_date >= date '1996-01-01'"
 O["a22_history_summary"] = f"with {_PRED} select count(*) as n, round(avg(correct::int), 3) as hit_rate, round(avg(brier_score), 3) as mean_brier, round(avg(log_loss), 3) as mean_log_loss from sc"
 O["j8_pending"] = f"with {_PRED} select count(*) as pending from lt where not exists (select 1 from ac where ac.home_team = lt.home_team and ac.away_team = lt.away_team and ac.match_date = lt.match_date)"
 O["l4_newest_rows"] = "select event_id, user_id from events order by ts desc, event_id limit 100"
 O["s12_latest_version"] = "select 'models/model_v1205' as path, 1206 as next_version"
 O["u2_set_operations"] = f"""
-with {SQL_MATCHES}, h as (select distinct home as team, season from m where id % 2 = 0), a as (select distinct away as team, season from m where id % 3 = 0)
+with {SQL_MATCHES}, h as (select home as team, season from m group by all having avg(fthg) > 2), a as (select away as team, season from m group by all having avg(ftag) > 1.5)
 select 'union' as op, * from (select * from h union select * from a) union all select 'difference', * from (select * from h except select * from a) union all select 'intersection', * from (select * from h intersect select * from a)"""
 
 
 def _serving_sql() -> str:
     """Correlated snapshots of both sides; ratings by the recursive fold over the history."""
-    elo = _SQL_ELO.replace("from m)", "from m where season < 2000)")
+    elo = _SQL_ELO.replace(SQL_MATCHES, f"{SQL_MATCHES.replace('m as (', 'every as (', 1)}, m as (select * from every where season < 2000)")
     log = _SQL_LOG[len(SQL_MATCHES) :].replace(" from m", " from m where season < 2000")
 
     def mean(v: str, k: int, team: str, venue: str = "") -> str:
@@ -293,10 +301,10 @@ def _serving_sql() -> str:
         return f"(select round(sum(v * power(0.85, n - 1)) / sum(power(0.85, n - 1)), 6) from {inner} where n <= {k})"
 
     return f"""
-with {elo}{log}, u as (select id, d, home, away from m where season = 2000 and id % 5 = 0), fin as (select r from st order by rn desc limit 1)
+with {elo}{log}, u as (select id, d, home, away from every where season = 2000)
 select id, {mean("gf", 5, "home")} as "Home_GF_L5", {mean("res", 10, "away")} as "Away_Result_L10", {mean("ga", 5, "home", "and venue = 'H'")} as "Home_VenueGA_L5", {mean("res", 5, "away", "and venue = 'A'")} as "Away_VenueResult_L5",
   (u.d - (select max(d) from log where team = u.home and d < u.d))::int as "Home_RestDays", (select count(*) from log where team = u.away and d < u.d) as "Away_MatchesPlayedPrior",
-  round(coalesce((select r[u.home + 1] from fin), 1500), 6) as "HomeEloPre", round(coalesce((select r[u.away + 1] from fin), 1500), 6) as "AwayEloPre" from u"""
+  round(coalesce((select r from fin where t = u.home), 1500), 6) as "HomeEloPre", round(coalesce((select r from fin where t = u.away), 1500), 6) as "AwayEloPre" from u"""
 
 
 O["j12_serving_features"] = _serving_sql()

@@ -13,6 +13,9 @@ from .functions import calendar, names, probability
 from .operators import cleaning, ensemble, form, fuzzy, metrics, predict, rating, reconcile, scores, splits
 from .plans import pipelines, score_fit
 
+#: Days before which a match counts as played, has a result on file, or an entry in the old history.
+PLAYED_BEFORE, RESULTS_BEFORE, OLD_BEFORE = date(1997, 10, 1), date(2000, 3, 1), date(1996, 1, 1)
+
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -145,13 +148,13 @@ def _calendar(s: SparkSession, d: str) -> DataFrame:
 @query
 def j7_played(s: SparkSession, d: str) -> DataFrame:
     m = matches(s, d)
-    done = m.filter(F.col("MatchID") % 3 != 0)
+    done = m.filter(F.col("Date") < PLAYED_BEFORE)
     key = lambda c: (F.col(c), F.col(c))
     return cleaning.mark_existing(_calendar(s, d), done, {"d": key("Date"), "h": key("HomeTeam"), "a": key("AwayTeam")}, "Played").select("id", F.col("Played").alias("played"))
 
 
 def _played(s: SparkSession, d: str) -> DataFrame:
-    return _calendar(s, d).withColumn("Played", F.col("id") % 3 != 0)
+    return _calendar(s, d).withColumn("Played", F.col("Date") < PLAYED_BEFORE)
 
 
 @query
@@ -233,7 +236,7 @@ def a29_comparison(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def a30_beating_baseline(s: SparkSession, d: str) -> DataFrame:
-    return rounded(metrics.beating_baseline(metrics.full_report(probabilities(s, d), ["model"]), "m1"))
+    return rounded(metrics.beating_baseline(metrics.full_report(probabilities(s, d), ["model"]), "m0"))
 
 
 @query
@@ -336,7 +339,7 @@ def _predictions(s: SparkSession, d: str) -> DataFrame:
 
 def _actual(s: SparkSession, d: str) -> DataFrame:
     m = matches(s, d).select(F.col("HomeTeam").alias("home_team"), F.col("AwayTeam").alias("away_team"), F.date_trunc("month", "Date").cast("date").alias("match_date"), "FTHG", "FTAG", "MatchID")
-    return m.filter("MatchID % 4 <> 0").groupBy(*reconcile.KEY).agg(F.min_by("FTHG", "MatchID").alias("actual_home"), F.min_by("FTAG", "MatchID").alias("actual_away"))
+    return m.filter(F.col("Date") < RESULTS_BEFORE).groupBy(*reconcile.KEY).agg(F.min_by("FTHG", "MatchID").alias("actual_home"), F.min_by("FTAG", "MatchID").alias("actual_away"))
 
 
 @query
@@ -346,7 +349,7 @@ def a26_latest_prediction(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def j9_reconciled_history(s: SparkSession, d: str) -> DataFrame:
-    old = _predictions(s, d).filter("home_team % 5 = 0")
+    old = _predictions(s, d).filter(F.col("match_date") < OLD_BEFORE)
     return rounded(reconcile.score_history(reconcile.latest_per_match(_predictions(s, d)), _actual(s, d), old).drop("p_h", "p_d", "p_a"), 3)
 
 
@@ -375,7 +378,8 @@ def s12_latest_version(s: SparkSession, d: str) -> DataFrame:
 @query
 def u2_set_operations(s: SparkSession, d: str) -> DataFrame:
     m = matches(s, d)
-    home, away = m.filter("MatchID % 2 = 0").select(F.col("HomeTeam").alias("team"), "SeasonStartYear").distinct(), m.filter("MatchID % 3 = 0").select(F.col("AwayTeam").alias("team"), "SeasonStartYear").distinct()
+    mean = lambda c, g, least: m.groupBy(F.col(c).alias("team"), "SeasonStartYear").agg(F.avg(g).alias("g")).filter(F.col("g") > least).drop("g")
+    home, away = mean("HomeTeam", "FTHG", 2.0), mean("AwayTeam", "FTAG", 1.5)
     tag = lambda df, n: df.select(F.lit(n).alias("op"), "team", F.col("SeasonStartYear").alias("season"))
     return tag(home.union(away).distinct(), "union").unionAll(tag(home.subtract(away), "difference")).unionAll(tag(home.intersect(away), "intersection"))
 
@@ -394,7 +398,7 @@ def a25_extremes_by_key(s: SparkSession, d: str) -> DataFrame:
 def j12_serving_features(s: SparkSession, d: str) -> DataFrame:
     m = matches(s, d)
     history = m.filter("SeasonStartYear < 2000")
-    up = m.filter("SeasonStartYear = 2000 and MatchID % 5 = 0").select("MatchID", "Date", "HomeTeam", "AwayTeam")
+    up = m.filter("SeasonStartYear = 2000").select("MatchID", "Date", "HomeTeam", "AwayTeam")
     f = form.features_for_upcoming(up, form.team_log(history), rating.latest_ratings(rating.elo(history)).withColumn("team", F.col("team")))
     return rounded(f.select(F.col("MatchID").alias("id"), "Home_GF_L5", "Away_Result_L10", "Home_VenueGA_L5", "Away_VenueResult_L5", "Home_RestDays", "Away_MatchesPlayedPrior", "HomeEloPre", "AwayEloPre"))
 
