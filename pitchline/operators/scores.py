@@ -2,13 +2,20 @@
 
 The 11 x 11 grid of a match factors into two vectors but for four cells, so all marginals are
 closed sums over 22 columns: no grid rows, no shuffle, whole-stage code.  Only the list of
-likely scores needs the cells themselves, as an array within the row.
+likely scores needs the cells themselves, as an array over a batch of rows.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.probability import poisson
 
@@ -66,43 +73,40 @@ def marginals(df: DataFrame, rho: Column | float, max_goals: int = MAX_GOALS) ->
     return base.select(*[F.col(c) for c in df.columns], share("w").alias("P_HomeWin"), share("d").alias("P_Draw"), share("l").alias("P_AwayWin"), (1 - share("u")).alias("P_Over25"), share("u").alias("P_Under25"), share("b").alias("P_BTTS_Yes"), (1 - share("b")).alias("P_BTTS_No"))
 
 
-def top_scores(df: DataFrame, rho: Column | float, top: int = TOP, max_goals: int = MAX_GOALS) -> DataFrame:
-    """Adds top_scorelines: array<struct<score, probability>> of the ``top`` most probable scores.
+def _likeliest(top: int, max_goals: int):
+    """Appends the list of likely scores to batches whose last columns are the two rates and rho."""
+    goals = np.arange(max_goals + 1)
+    factorial = np.array([math.factorial(k) for k in goals], float)
+    labels = pa.array([f"{h}-{a}" for h in goals for a in goals])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rate_h, rate_a, rho = (batch.column(i).to_numpy(zero_copy_only=False).astype(float)[:, None] for i in range(batch.num_columns - 3, batch.num_columns))
+            h, a = (np.exp(-r) * r**goals / factorial for r in (rate_h, rate_a))
+            cells = h[:, :, None] * a[:, None, :]
+            low = np.concatenate([1 - rate_h * rate_a * rho, 1 + rate_h * rho, 1 + rate_a * rho, 1 - rho], axis=1).reshape(-1, 2, 2)
+            cells[:, :2, :2] *= np.maximum(low, TAU_FLOOR)
+            cells = cells.reshape(len(cells), -1)
+            best = np.argsort(np.rint(-1e12 * cells), axis=1, kind="stable")[:, :top]
+            share = np.take_along_axis(cells, best, axis=1) / cells.sum(axis=1, keepdims=True)
+            ends = np.arange(0, best.size + 1, best.shape[1], dtype=np.int32)
+            pairs = pa.StructArray.from_arrays([labels.take(pa.array(best.ravel())), pa.array(share.ravel())], names=["score", "probability"])
+            known = pa.array(np.isfinite(cells).all(axis=1))
+            lists = pc.if_else(known, pa.ListArray.from_arrays(pa.array(ends), pairs), None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], lists], names=[*batch.schema.names[:-3], "top_scorelines"])
+
+    return run
 
-    Probabilities that agree to twelve digits count as equal; fewer goals come first then.
 
-    The cell of the home side's i-th and the away side's j-th likeliest goals is beaten by the i * j - 1 cells
-    before it in both, less the four corrected ones.  So besides those four only cells with i * j < top + 5 can
-    win; where the first cells beyond them tie with the last winner, all cells are sorted.
+def top_scores(df: DataFrame, rho: Column | float, top: int = TOP, max_goals: int = MAX_GOALS) -> DataFrame:
+    """Adds top_scorelines: array<struct<score, probability>> of the ``top`` most probable scores; null where a rate is.
+
+    Probabilities that agree to twelve digits count as equal; fewer goals come first then.  The grid of a
+    row is only sorted here, a batch of rows at a time; no grid leaves its batch.
     """
-    base, h, a, x, total = _vectors(df, rho, max_goals)
-    n = max_goals + 1
-    ranked = lambda v: F.sort_array(F.array(*[F.struct((-p).alias("p"), F.lit(k).alias("k")) for k, p in enumerate(v)]))
-    extra = F.array(F.array(x[0, 0], x[0, 1]), F.array(x[1, 0], x[1, 1]))
-    base = base.select(*[F.col(c) for c in df.columns], ranked(h).alias("_rh"), ranked(a).alias("_ra"), extra.alias("_x"), total.alias("_t"))
-    corrected = lambda i, j: (i["k"] < 2) & (j["k"] < 2)
-
-    def cell(i: Column, j: Column) -> Column:
-        p = i["p"] * j["p"] + F.when(corrected(i, j), F.get(F.get("_x", i["k"]), j["k"])).otherwise(0.0)
-        return F.struct(F.rint(p * -1e12).alias("m"), i["k"].alias("h"), j["k"].alias("a"), p.alias("p"))
-
-    def cells(upto: int | None) -> Column:
-        """Cells with ranks i * j < upto, and the corrected ones."""
-        mine = lambda i, at: F.slice("_ra", 1, F.lit(n) if upto is None else F.least(F.floor((upto - 1) / (at + 1)).cast("int"), F.lit(n)))
-        some = F.flatten(F.transform("_rh", lambda i, at: F.transform(mine(i, at), lambda j: cell(i, j))))
-        if upto is None:
-            return some
-        low = lambda c: F.filter(c, lambda g: g["k"] < 2)
-        some = F.filter(some, lambda c: (c["h"] > 1) | (c["a"] > 1))
-        return F.concat(some, F.flatten(F.transform(low("_rh"), lambda i: F.transform(low("_ra"), lambda j: cell(i, j)))))
-
-    reach = top + 5
-    outer = F.array_max(F.transform("_rh", lambda i, at: F.coalesce(i["p"] * F.get("_ra", F.floor((reach - 1) / (at + 1)).cast("int"))["p"], F.lit(0.0))))
-    best = lambda c: F.slice(F.sort_array(c), 1, top)
-    base = base.withColumn("_best", best(cells(reach))).withColumn("_tie", F.rint(outer * -1e12) <= F.get("_best", F.lit(top - 1))["m"])
-    base = base.withColumn("_best", F.when(F.col("_tie"), best(cells(None))).otherwise(F.col("_best")))
-    named = F.transform("_best", lambda c: F.struct(F.concat_ws("-", c["h"], c["a"]).alias("score"), (c["p"] / F.col("_t")).alias("probability")))
-    return base.select(*[F.col(c) for c in df.columns], named.alias("top_scorelines"))
+    work = df.select("*", F.col("rate_h").cast("double").alias("_rate_h"), F.col("rate_a").cast("double").alias("_rate_a"), (rho if isinstance(rho, Column) else F.lit(float(rho))).alias("_rho"))
+    shape = StructType([*df.schema.fields, *StructType.fromDDL("top_scorelines array<struct<score: string, probability: double>>").fields])
+    return work.mapInArrow(_likeliest(top, max_goals), shape)
 
 
 def score_matrix(df: DataFrame, rho: Column | float, key: str, max_goals: int = MAX_GOALS) -> DataFrame:
