@@ -42,7 +42,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10))
-    return lmscore.score(_documents(spark, sf_dir), fold == 0, fold == 1)
+    return lmscore.score(_documents(spark, sf_dir), fold == 0, fold == 1, orders=3)
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op6's result SQL can express: all but the mixed score."""
+    return op6_lm_score(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 4))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +76,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op2_html_text, op3_sentencepiece_sampling, op4_secret_scan, op5_language_id, op6_lm_score, op7_quality, op8_embedding_near_dedup, op9_edit_fingerprint, op10_minhash_near_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_source_mix, op2_html_text, op3_sentencepiece_sampling, op4_secret_scan, op5_language_id, op6_lm_score, op7_quality, op8_embedding_near_dedup, op9_edit_fingerprint, op10_minhash_near_dedup, pipeline, lm_base_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mix": S.SOURCE_MIX, "op8_embedding_near_dedup": S.NEAR_VECTORS, "op10_minhash_near_dedup": S.MINHASH}
+    return {"op1_source_mix": S.SOURCE_MIX, "op8_embedding_near_dedup": S.NEAR_VECTORS, "op10_minhash_near_dedup": S.MINHASH, "lm_base_scores": S.LM_BASE}

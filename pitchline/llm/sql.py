@@ -80,3 +80,19 @@ deg as (select a, count(*) as n from links group by a)
 select e.vec_id, coalesce(d.n, 0)::bigint as n_links, c.root as component_id, c.root = e.vec_id as kept
 from embeddings e join comp c on c.node = e.vec_id left join deg d on d.a = e.vec_id
 """
+
+#: Unigram scores of every document; the fold's checksum bit by bit.
+LM_BASE = """
+with bits as (
+  select doc_id, flatten(list_transform(str_split(doc_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])) as b from documents),
+folds as (
+  select doc_id, xor(list_reduce([4294967295::bigint] || b, lambda s, x: case when x >= 0 then xor(s, x) when s % 2 = 1 then xor(s // 2, 3988292384) else s // 2 end), 4294967295) % 10 = 0 as held_out from bits),
+tokens as (
+  select d.doc_id, f.held_out, unnest(list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+'), lambda w: 'w' || w) || ['end']) as t
+  from documents d join folds f on f.doc_id = d.doc_id),
+counts as (select t, count(*) as c from tokens where not held_out group by t),
+all_ as (select sum(c)::bigint as n, count(*) as v from counts)
+select doc_id, any_value(held_out) as held_out, count(*) as n_tokens, count(c) as n_known, any_value(n) as train_tokens,
+       round(sum(log10((coalesce(c, 0) + 0.1::double) / (n + 0.1::double * (v + 1)))), 4) as base_score
+from tokens left join counts using (t), all_ group by doc_id
+"""

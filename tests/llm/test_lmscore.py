@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from pitchline.llm import lmscore
+from pitchline.llm import lmscore, storage
 
 
 def tokens(text: str | None) -> list:
@@ -91,3 +91,60 @@ def test_odd_rows(odd_docs, no_docs):
     assert all(r["n_tokens"] == 1 for r in out if r["doc_id"] in (5, 6, 7))
     assert all(np.isfinite(r["score"]) and r["score"] <= 0 for r in out)
     assert lmscore.score(no_docs, fold == 0, fold == 1).count() == 0
+
+
+def brute_three(rows, held, weights):
+    """Scores by three orders, from plain counters."""
+    uni, bi, tri = Counter(), Counter(), Counter()
+    for t in (t for i, t in rows if not held(i)):
+        w = tokens(t)
+        uni.update(w)
+        bi.update(zip(["END", *w], w, strict=False))
+        tri.update(zip(["END", *w], w, w[1:], strict=False))
+    n, v = sum(uni.values()), len(uni)
+    share = lambda c, of, m: (m[int(math.floor(math.log2(of))) + 1] if of else 0.0, c / of if of else 0.0)
+    out = []
+    for _, t in rows:
+        w = ["END", *tokens(t)]
+        total = 0.0
+        for k in range(1, len(w)):
+            p = (uni[w[k]] + 0.1) / (n + 0.1 * (v + 1))
+            m, x = share(bi[w[k - 1], w[k]], uni[w[k - 1]], weights[0])
+            p = m * x + (1 - m) * p
+            if k > 1:
+                m, x = share(tri[w[k - 2], w[k - 1], w[k]], bi[w[k - 2], w[k - 1]], weights[1])
+                p = m * x + (1 - m) * p
+            total += math.log10(p)
+        out.append(total)
+    return out
+
+
+def test_three_orders_equal_plain_counting_and_lower_the_loss(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(200):
+        w = [rng.choice("abcd"), rng.choice("abcd")]
+        for _ in range(rng.randint(0, 40)):  # the next word follows from the last two, mostly
+            w.append(chr(97 + (ord(w[-1]) * 3 + ord(w[-2])) % 6) if rng.random() < 0.9 else rng.choice("abcdef"))
+        texts.append(" ".join(w) if rng.random() < 0.97 else None)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = []
+    real = lmscore.mixture_weights
+    monkeypatch.setattr(lmscore, "mixture_weights", lambda h: seen.append(real(h)) or seen[-1])
+    got = {r["doc_id"]: r["score"] for r in lmscore.score(df, F.col("doc_id") % 10 == 0, F.col("doc_id") % 10 == 1, block_chars=700, orders=3).collect()}
+    assert len(seen) == 2 and np.allclose([got[i] for i, _ in rows], brute_three(rows, lambda i: i % 10 == 0, seen), rtol=1e-9)
+    two = {r["doc_id"]: r["score"] for r in lmscore.score(df, F.col("doc_id") % 10 == 0, F.col("doc_id") % 10 == 1, block_chars=700).collect()}
+    held = [i for i, _ in rows if i % 10 == 0]
+    assert sum(got[i] for i in held) > sum(two[i] for i in held)
+
+
+def test_rows_without_a_key_go_to_several_blocks(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(None, " ".join(rng.choice(["aa", "bb", "cc"]) for _ in range(20))) for _ in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(lmscore, "table", lambda df: seen.append(storage.table(df)) or seen[-1])
+    seen = []
+    assert lmscore.score(df, F.lit(False), F.lit(False), block_chars=6_000, orders=3).count() == 1000
+    blocks = {r["block"] for r in seen[0].filter("block >= 0").select("block").distinct().collect()}
+    assert len(blocks) >= 8
