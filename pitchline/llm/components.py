@@ -1,9 +1,9 @@
 """Connected components by alternating large-star and small-star steps.
 
-All state is tables in the shared folder: nothing but two numbers a round reaches the driver, a
-lost executor costs part of a round, and a round's tables go once the next round stands.  Minima
-are combined before they are shuffled and every join has two written sides, so that Spark can
-split the rows of a node that very many edges share.
+All state is tables in the shared folder: nothing but one number a round reaches the driver, a
+lost executor costs part of a round, and a round's table goes once the next round stands.  Minima
+are combined before they are shuffled, and no join relies on a grouping's shuffle, so that Spark
+can split the rows of a node that very many edges share.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Tables
+from .storage import Tables, apart
 
 
 def lower_labels(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -34,14 +34,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     now = Tables(edges.sparkSession)
     e = now.table(edges.filter(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    before = None
-    while (state := e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()) != before and state[0]:
-        before, last, now = state, now, Tables(edges.sparkSession)
-        least = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("m"))
-        least = now.table(least.filter("m < u").select(F.col("u").alias("v"), "m"))
-        large = now.table(e.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v")))
-        low = now.table(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    while _loose(e):
+        last, now = now, Tables(edges.sparkSession)
+        least = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u").agg(F.min("v").alias("m")).filter("m < u")
+        large = e.withColumn("k", apart("v")).join(least.select(apart("u").alias("k"), "m"), "k", "left").select("u", F.coalesce("m", "v").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"))
+        several = low.filter("m < most").select(apart("u").alias("k"), "m")
+        small = large.withColumn("k", apart("u")).join(several, "k").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = now.table(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
         last.drop()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _loose(e: DataFrame) -> bool:
+    """Whether a node has two smaller neighbours, or smaller and larger ones: the edges aren't stars around smallest nodes yet."""
+    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("s")).select("s.*")
+    bad = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up + down > 1")
+    return bool(bad.agg(F.count("*")).first()[0])

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash as W
 from .components import connected_components, lower_labels
-from .storage import inner, table
+from .storage import apart, inner, table
 
 POSITIONS, BITS, MISS = 64, 16, 2e-5
 #: Rows and shingles of a part, on average; a comparison holds two parts.
@@ -234,9 +234,9 @@ def _leader_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     bins = _bins(choice)
     share = choice.groupBy("lead").agg(_parts(F.count("*"), F.sum("n")).alias("w"))
     alone = F.col("w") >= PACK / PART
-    share = table(share.select("lead", F.when(alone, F.ceil("w")).otherwise(0).cast("int").alias("parts")))
+    share = share.select("lead", F.when(alone, F.ceil("w")).otherwise(0).cast("int").alias("parts"))
     bin_ = F.when(F.col("parts") == 0, F.pmod(F.xxhash64("lead"), F.lit(bins)))
-    rows = choice.filter("cid <> lead").join(share, "lead").select("cid", F.coalesce(bin_, F.xxhash64("lead", F.pmod(F.xxhash64("cid"), "parts"))).alias("m"))
+    rows = choice.filter("cid <> lead").withColumn("k", apart("lead")).join(share.select(apart("lead").alias("k"), "parts"), "k").select("cid", F.coalesce(bin_, F.xxhash64("lead", F.pmod(F.xxhash64("cid"), "parts"))).alias("m"))
     each = share.select("lead", "parts", F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts"), F.lit(1)) - 1)).alias("k"))
     hubs = each.select(F.col("lead").alias("cid"), F.coalesce(bin_, F.xxhash64("lead", F.col("k").cast("long"))).alias("m"))
     dealt = rows.unionAll(hubs).join(sets.select("cid", "sig", "full"), "cid").select("m", "cid", F.col("cid").alias("comp"), F.lit(2).alias("side"), "sig", "full")
@@ -248,9 +248,9 @@ def _mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
     for x in ("cid", "low"):
         to = comp.select(F.col("cid").alias(x), F.col("comp").alias(f"comp_{x}"))
         members = members.join(to, x, "left").withColumn(f"comp_{x}", F.coalesce(f"comp_{x}", x))
-    members = table(members)
-    several = table(members.filter("comp_cid <> comp_low").select("key").distinct())
-    return members.join(several, "key", "left_semi").select("cid", F.col("comp_cid").alias("comp"), "low").distinct()
+    members = members.withColumn("k", apart("key"))
+    several = members.filter("comp_cid <> comp_low").select("key").distinct().select(apart("key").alias("k"))
+    return members.join(several, "k", "left_semi").select("cid", F.col("comp_cid").alias("comp"), "low").distinct()
 
 
 def _meeting_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -260,10 +260,10 @@ def _meeting_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     bins = _bins(rows)
     # a component that fills a part has parts of its own, the others of a cluster share parts (pure null); small clusters share meetings
     of = rows.groupBy("cluster", "comp").agg(_parts(F.count("*"), F.sum("n")).alias("w")).withColumn("pure", F.when(F.col("w") >= 1, F.col("comp")))
-    of = table(of)
     parts = of.groupBy("cluster", "pure").agg(F.ceil(F.sum("w")).cast("int").alias("parts"))
-    parts = table(parts.join(of.groupBy("cluster").agg((F.sum("w") < PACK / PART).alias("small")), "cluster").withColumn("hash", F.xxhash64("cluster", "pure", F.col("pure").isNull())))
-    rows = rows.join(of.select("cluster", "comp", F.xxhash64("cluster", "pure", F.col("pure").isNull()).alias("hash")), ["cluster", "comp"])
+    hash_ = F.xxhash64("cluster", "pure", F.col("pure").isNull()).alias("hash")
+    parts = parts.join(of.groupBy("cluster").agg((F.sum("w") < PACK / PART).alias("small")), "cluster").select("*", hash_)
+    rows = rows.withColumn("k", apart("cluster")).join(of.select(apart("cluster").alias("k"), "comp", hash_), ["k", "comp"])
     rows = rows.join(parts.select("hash", "parts"), "hash").select("cid", "comp", F.xxhash64("hash", F.pmod(F.xxhash64("cid"), "parts")).alias("part"))
     each = parts.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cluster", "small", "pure", F.xxhash64("hash", F.col("k").cast("long")).alias("part"))
     other = each.select("cluster", F.col("pure").alias("pure_b"), F.col("part").alias("part_b"))
@@ -278,9 +278,9 @@ def _meeting_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def _components(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, row, n, cid) of ``docs`` (id, row, text), and (cid, component) of the linked classes; ``row`` is a hash of the row."""
+    """Rows (id, row, n, cid) of ``docs`` (id, row, text), and (cid, smallest id, component) of all classes; ``row`` is a hash of the row."""
     rows = table(docs.select("id", "row", "text").mapInArrow(_sketch(words), "id long, row long, n long, h1 long, h2 long, sig binary").withColumn("cid", F.xxhash64("h1", "h2", "n")))
-    classes = table(rows.filter("n > 0").groupBy("cid").agg(F.min("row").alias("row"), F.min("sig").alias("sig")))
+    classes = table(rows.filter("n > 0").groupBy("cid").agg(F.min("id").alias("id"), F.min("row").alias("row"), F.min("sig").alias("sig")))
     bucket = classes.select("cid", "sig").mapInArrow(_keys(chunks_for(percent)), "cid long, keys array<long>").select("cid", F.explode("keys").alias("key"))
     shared = bucket.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low < high").drop("high")
     members = table(bucket.join(shared, "key"))
@@ -289,13 +289,14 @@ def _components(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     sets = table(texts.select("cid", "sig", "text").mapInArrow(_sets(words), "cid long, n long, sig binary, full binary"))
     led = table(_leader_links(members, sets, percent))
     further = led.select(F.col("cid").alias("root"), F.col("root").alias("comp"))
-    comp = table(led.join(further, "root", "left").select("cid", F.coalesce("comp", "root").alias("comp")))
+    comp = led.join(further, "root", "left").select("cid", F.coalesce("comp", "root").alias("comp"))
     links = led
     mixed = table(_mixed(members, comp))
     if not mixed.isEmpty():
         links = links.unionAll(_meeting_links(mixed, sets, percent))
     found = connected_components(links.unionAll(_same_key(rows)), "cid", "root")
-    return rows.drop("h1", "h2", "sig"), found.select(F.col("node").alias("cid"), "component")
+    found = classes.select("cid", "id").join(found.select(F.col("node").alias("cid"), "component"), "cid", "left")
+    return rows.drop("h1", "h2", "sig"), found.select("cid", "id", F.coalesce("component", "cid").alias("component"))
 
 
 def _same_key(rows: DataFrame) -> DataFrame:
@@ -317,10 +318,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     """
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     rows, found = _components(docs.withColumn("row", F.xxhash64("id", "text")), words, percent)
-    least = rows.filter("n > 0").groupBy("cid").agg(F.min("id").alias("least"))
-    least = table(least.join(found, "cid", "left").select("cid", "least", F.coalesce("component", "cid").alias("component")))
-    first = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    first = table(least.select("cid", "component").join(first, "component").select("cid", "component_id"))
+    first = found.groupBy("component").agg(F.min("id").alias("component_id")).select(apart("component").alias("k"), "component_id")
+    first = found.select("cid", apart("component").alias("k")).join(first, "k").select("cid", "component_id")
     out = rows.join(first, "cid", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
@@ -339,7 +338,7 @@ def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text",
     rows, found = _components(named.select(F.col(id_).alias("id"), F.col(row).alias("row"), F.col(body).alias("text")), words, percent)
     first = F.struct(F.col("id").isNull().alias("no"), "id", "row")
     best = rows.filter("n > 0").groupBy("cid").agg(F.min(first).alias("best"))
-    best = best.join(found, "cid", "left").groupBy(F.coalesce("component", "cid").alias("component")).agg(F.min("best").alias("best"))
+    best = best.join(found, "cid").groupBy("component").agg(F.min("best").alias("best"))
     blank = ~F.coalesce(F.col(body), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = named.filter(~blank).join(table(best.select(F.col("best.row").alias(row))), row, "left_semi").dropDuplicates([row])
+    kept = named.filter(~blank).join(best.select(F.col("best.row").alias(row)), row, "left_semi").dropDuplicates([row])
     return kept.unionByName(named.filter(blank)).select(*[f"`{c}`" for c in df.columns])

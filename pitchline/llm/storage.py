@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no folder, as in single-machine tests.
 FALLBACK_DIR = "/tmp/checkpoints/pitchline"
@@ -47,6 +48,14 @@ class Tables:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def apart(name: str) -> Column:
+    """A join key by which the result of a grouping by ``name`` doesn't count as dealt out yet.
+
+    Both sides of the join are then shuffled by it, and Spark can split the rows of a frequent key.
+    """
+    return F.bitwise_not(F.col(name))
+
+
 def inner(df: DataFrame, *names: str) -> list[str]:
     """Names for working columns that no column of ``df`` bears, whatever its case."""
     taken, out = {c.lower() for c in df.columns}, []
