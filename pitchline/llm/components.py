@@ -51,3 +51,9 @@ def _loose(e: DataFrame) -> bool:
     ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("s")).select("s.*")
     bad = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up + down > 1")
     return bool(bad.agg(F.count("*")).first()[0])
+
+
+def smallest_ids(classes: DataFrame) -> DataFrame:
+    """(cid, component_id) from (cid, id, component): the smallest id of each component, for each of its classes."""
+    first = classes.groupBy("component").agg(F.min("id").alias("component_id")).select(apart("component").alias("k"), "component_id")
+    return classes.select("cid", apart("component").alias("k")).join(first, "k").select("cid", "component_id")

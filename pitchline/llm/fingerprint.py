@@ -16,24 +16,27 @@ All walks of a chunk of texts run together, one array step for all texts, longes
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .components import connected_components
-from .storage import cut
+from .components import connected_components, lower_labels, smallest_ids
+from .meetings import linked, sides, within
+from .storage import apart, table
 
 SLOTS, CLASSES = 128, 64
-#: Buckets of more classes than SMALL are compared in parts of about PART rows that meet two by two.
-SMALL, PART = 24, 1000
+#: Large groups are compared in parts of about PART rows that meet two by two, groups of up to SMALL rows share parts.
+SMALL, PART = 512, 2048
+#: Share of slots from which the query joins documents.
+NEAR = 0.92
 #: Characters whose walks run together; a longer text makes a chunk of its own.
 CHUNK_CHARS = 12_000_000
 _BLOCK = 4096
-_HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 
 
 def _records(limit: int) -> list[tuple[int, int]]:
@@ -95,9 +98,11 @@ def likeness(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return np.where((na > 0) & (nb > 0), (a == b).mean(axis=1), ((na == 0) & (nb == 0)).astype(float))
 
 
-def _hex(rows: np.ndarray) -> pa.Array:
-    flat = _HEX[rows].tobytes()
-    return pa.array([flat[i : i + SLOTS].decode() for i in range(0, len(flat), SLOTS)], pa.string())
+def _packed(rows: np.ndarray) -> pa.Array:
+    """Two slots a byte."""
+    flat = (rows[:, ::2] << 4 | rows[:, 1::2]).tobytes()
+    n = SLOTS // 2
+    return pa.array([flat[i : i + n] for i in range(0, len(flat), n)], pa.binary())
 
 
 def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, str, str]]]:
@@ -129,8 +134,54 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         after = np.concatenate([own[1:], own[:1]])
         after[apart] = prints[2 * n :]
         size, size_e, size_n = (np.array([len(t) for t in x]) for x in (texts, edited, following))
-        sha = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(size, pa.int64()), pa.array(sha), _hex(own), _hex(changed), pa.array(likeness(own, changed, size, size_e)), pa.array(likeness(own, after, size, size_n))], names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        sha = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in edited]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(size, pa.int64()), pa.array(sha, pa.binary()), _packed(own), _packed(changed), pa.array(likeness(own, changed, size, size_e)), pa.array(likeness(own, after, size, size_n))], names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+
+
+def _ranges(rows: DataFrame, ranges: int) -> Column:
+    """The range of a row (place, tie), ranges of about equal counts that rise with place and fall with tie.
+
+    A place that fills several ranges has ranges of its own, by tie.  Only bounds reach the driver.
+    """
+    bounds = rows.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)] or [0.5], max(10_000, 20 * ranges))).first()[0] or []
+    often = Counter(bounds)
+    known = sorted(often)
+    if not known:
+        return F.lit(0)
+    m, table_ = F.lit(len(known)), F.array(*[F.lit(b).cast("long") for b in known])
+    step = lambda at, s: F.when((at + s <= m) & (F.element_at(table_, F.least(at + s, m)) < F.col("place")), at + s).otherwise(at)
+    below = F.aggregate(F.array(*[F.lit(1 << k) for k in range(len(known).bit_length() - 1, -1, -1)]), F.lit(0), step)
+    # range i holds the places above bound i - 1 up to bound i; if that bound is frequent, its own rows come after
+    own = [often[b] if often[b] > 1 else 0 for b in known] + [0]
+    start = np.concatenate([[0], np.cumsum(1 + np.array(own))[:-1]])
+    at = lambda values: F.get(F.array(*[F.lit(int(x)) for x in values]), below)
+    high = F.get(table_, below) == F.col("place")
+    part = at(own) - F.least(F.floor((F.col("tie") / 2.0**64 + 0.5) * at(own)).cast("int"), at(own) - 1)
+    return (at(start) + F.when(high & (at(own) > 0), part).otherwise(0)).cast("int")
+
+
+def _dealt(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row, prints and hashes as bytes."""
+    spark = df.sparkSession
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    rows = rows.withColumns({"place": F.coalesce("id", F.lit(-(2**63))), "tie": F.xxhash64("text")})
+    rows = rows.withColumn("bucket", _ranges(rows, ranges))
+    last = F.max(F.struct("place", F.bitwise_not("tie").alias("t")))
+    heads = sorted((r["bucket"], r["h"]["place"], ~r["h"]["t"]) for r in rows.groupBy("bucket").agg(last.alias("h")).collect())
+    if not heads:
+        return rows.select("id", "text", "bucket", F.lit(0).alias("ghost")).mapInArrow(_digests, _SCHEMA)
+    lent = [(at, *heads[i - 1][1:]) for i, (at, _, _) in enumerate(heads)]
+    lend = F.broadcast(spark.createDataFrame(lent, "to int, p long, t long"))  # one row a range
+    ghosts = rows.join(lend, (F.col("place") == F.col("p")) & (F.col("tie") == F.col("t")))
+    ghosts = ghosts.select("id", "text", "place", "tie", F.col("to").alias("bucket"), F.lit(1).alias("ghost")).dropDuplicates(["bucket"])
+    dealt = rows.select("id", "text", "place", "tie", "bucket", F.lit(0).alias("ghost")).unionAll(ghosts)
+    dealt = dealt.repartitionById(heads[-1][0] + 1, F.col("bucket")).sortWithinPartitions("bucket", "ghost", F.col("place").desc(), "tie")
+    return dealt.select("id", "text", "bucket", "ghost").mapInArrow(_digests, _SCHEMA)
+
+
+def _hex(df: DataFrame, key: str) -> DataFrame:
+    return df.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")}).withColumnRenamed("id", key)
 
 
 def fingerprint_with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -141,101 +192,93 @@ def fingerprint_with_next(df: DataFrame, key: str = "doc_id", text: str = "text"
     second half, floor(n / 2) code points, replaced by as many of the next row's first.  A null
     text counts as empty.  Other columns are ignored; an empty table gives an empty result.
 
-    Rows are dealt into ranges of ids of equal counts, one shuffle of the texts; the first row of
-    each range is lent to the range above it.  Only range bounds and first ids reach the driver.
+    Rows are dealt into ranges of keys of equal counts, one shuffle of the texts; a key that fills several
+    ranges is split by the text's hash.  The first row of each range is lent to the range above it.
     """
-    spark = df.sparkSession
-    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    place = F.coalesce("id", F.lit(-(2**63)))
-    bounds = rows.agg(F.percentile_approx(place, [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    known = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array(F.lit(0).cast("long"))
-    halves = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)] if bounds else []
-    m = F.lit(len(bounds))
-    step = lambda at, s: F.when((at + s <= m) & (F.element_at(known, F.least(at + s, m)) < place), at + s).otherwise(at)
-    bucket = F.aggregate(F.array(*[F.lit(h) for h in halves]), F.lit(0), step) if halves else F.lit(0)
-    rows = rows.withColumns({"bucket": bucket, "place": place})
-    heads = sorted((r["bucket"], r["p"]) for r in rows.groupBy("bucket").agg(F.max("place").alias("p")).collect())
-    if not heads:
-        return rows.mapInArrow(_digests, _SCHEMA)
-    lent = [(at, heads[i - 1][1]) for i, (at, _) in enumerate(heads)]
-    lend = F.broadcast(spark.createDataFrame(lent, "to int, p long"))  # one row a range
-    ghosts = rows.join(lend, F.col("place") == F.col("p")).select("id", "text", F.col("to").alias("bucket"), "place", F.lit(1).alias("ghost"))
-    dealt = rows.withColumn("ghost", F.lit(0)).select(*ghosts.columns).unionAll(ghosts).withColumn("tie", F.xxhash64("text"))
-    dealt = dealt.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", "ghost", F.col("place").desc(), "tie")
-    return dealt.select("id", "text", "bucket", "ghost").mapInArrow(_digests, _SCHEMA).withColumnRenamed("id", key)
+    return _hex(_dealt(df, key, text), key)
 
 
-_SCHEMA = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def fingerprints_with_groups(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = NEAR) -> DataFrame:
+    """``fingerprint_with_next`` and ``component_id``, the smallest key of the documents joined as by ``near_by_edits``."""
+    prints = table(_dealt(df, key, text))
+    rows = prints.withColumn("cid", F.xxhash64("fingerprint"))
+    out = rows.join(_groups(rows.select("id", "n_chars", "fingerprint", "cid"), least), "cid", "left")
+    component = F.when(F.col("n_chars") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return _hex(out.select(*prints.columns, component.alias("component_id")), key)
+
+
+_SCHEMA = "id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t or "" for t in batch.column(1).to_pylist()]
         if texts:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), _hex(walk(texts))], names=["id", "n_chars", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), _packed(walk(texts))], names=["id", "n_chars", "fingerprint"])
 
 
-def _slots(texts: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.frombuffer("".join(texts.to_pylist()).encode(), np.uint8).reshape(-1, SLOTS)
+def _slots(prints: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    both = np.frombuffer(b"".join(prints.to_pylist()), np.uint8).reshape(-1, SLOTS // 2)
+    return np.stack([both >> 4, both & 15], axis=2).reshape(-1, SLOTS)
 
 
 def _alike(need: int):
-    """Pairs (a, b) whose fingerprints agree in ``need`` slots."""
+    """(cid, root) of the rows of a meeting that fingerprints agreeing in ``need`` slots join to smaller ones."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                same = _slots(batch.column("print_a")) == _slots(batch.column("print_b"))
-                yield batch.select(["a", "b"]).filter(pa.array(same.sum(axis=1) >= need))
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("cid", "ascending")])
+        left, right = sides(group)
+        slots, comp = _slots(group.column("fingerprint")), group.column("comp").to_numpy()
+        p, q = np.nonzero(within(slots[left], slots[right], SLOTS - need) & (comp[left][:, None] != comp[right]))
+        label = np.arange(group.num_rows)
+        lower_labels(label, left[p], right[q])
+        cid = group.column("cid")
+        return pa.table({"cid": cid, "root": cid.take(pa.array(label))}).filter(pa.array(label != np.arange(len(label))))
 
     return run
 
 
-def _tile(need: int):
-    """Links that span all pairs of a meeting: side 0 meets side 1, side 2 meets itself."""
+def _bands(need: int):
+    """(cid, bands): a hash of the slots of each band, so many that fingerprints with ``need`` equal slots agree in one."""
+    at = np.array_split(np.arange(SLOTS), SLOTS - need + 1)
+    key = W.mix(np.arange(SLOTS, dtype=W.U) + W.U(909)) | W.U(1)
 
-    def run(group: pa.Table) -> pa.Table:
-        rep, side, x = group.column("rep").to_numpy(), group.column("side").to_numpy(), _slots(group.column("fingerprint"))
-        right, label = np.flatnonzero(side != 0), np.arange(len(rep))
-        y, links = x[right], []
-        for i in np.flatnonzero(side != 1):
-            for j in right[(x[i] == y).sum(axis=1) >= need]:
-                if label[i] != label[j]:
-                    label[label == label[j]] = label[i]
-                    links.append((rep[i], rep[j]))
-        a, b = zip(*links, strict=True) if links else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                slots = _slots(batch.column("fingerprint")).astype(W.U) + W.U(1)
+                keys = np.stack([W.mix((slots[:, i] * key[i]).sum(axis=1, dtype=W.U) + W.U(b)) for b, i in enumerate(at)], axis=1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, len(at)), pa.int32()), pa.array(keys.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("cid"), lists], names=["cid", "bands"])
 
     return run
 
 
+def _groups(rows: DataFrame, least: float) -> DataFrame:
+    """(cid, component_id) of the fingerprints of rows (id, n_chars, fingerprint, cid)."""
+    need = min(SLOTS, max(1, int(np.ceil(least * SLOTS - 1e-9))))
+    rows = rows.filter("n_chars > 0")
+    bucket = rows.select("cid", "fingerprint").mapInArrow(_bands(need), "cid long, bands array<long>").select("cid", F.explode("bands").alias("key"))
+    shared = bucket.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low < high").drop("high")
+    members = table(bucket.join(shared.withColumn("k", apart("key")).drop("key"), apart("key") == F.col("k")).select("key", "cid", "low").distinct())
+    items = rows.join(members.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min("fingerprint").alias("fingerprint"))
+    items = table(items.select("cid", F.lit(1).cast("long").alias("n"), "fingerprint"))
+    links = linked(members, items, ["fingerprint"], _alike(need), rows=PART, units=PART * SLOTS, shared=SMALL)
+    found = connected_components(links, "cid", "root").select(F.col("node").alias("cid"), "component")
+    classes = rows.groupBy("cid").agg(F.min("id").alias("id")).join(found, "cid", "left")
+    return smallest_ids(classes.select("cid", "id", F.coalesce("component", "cid").alias("component")))
+
+
 def near_by_edits(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
     """(key, component_id): documents joined over fingerprints that agree in ``least`` of their slots or more.
 
-    Equal fingerprints are one class.  Fingerprints that differ in at most d slots agree in one of d + 1
-    bands that share out the slots, so every pair meets in a bucket, and all pairs of a bucket are
-    verified: those of small buckets one by one, large buckets in parts that meet two by two.  A part's
-    rows go to each of its meetings.  Rows without a key or with an empty text join nothing.
+    Equal fingerprints are one class (told apart by 64-bit hashes).  Fingerprints that differ in at most d slots
+    agree in one of d + 1 bands that share out the slots, so every pair meets in a bucket; what a bucket holds is
+    compared in parts.  Rows without a key join like others and get the smallest key, null if there is none; an
+    empty text joins nothing.  Repeated rows stay; an empty table gives an empty result.
     """
-    need = max(0, int(np.ceil(least * SLOTS - 1e-9)))
-    at = np.array_split(np.arange(SLOTS), SLOTS - need + 1) if need else [np.zeros(0, int)]
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(_prints, "id long, n_chars long, fingerprint string")
-    rows = cut(rows)
-    classes = cut(rows.filter("n_chars > 0 and id is not null").groupBy("fingerprint").agg(F.min("id").alias("rep")))
-    bands = F.array(*[F.xxhash64(F.lit(b), *([F.substring("fingerprint", int(i[0]) + 1, len(i))] if len(i) else [])) for b, i in enumerate(at)])
-    members = classes.select("rep", "fingerprint", F.explode(bands).alias("band"))
-    sizes = members.groupBy("band").agg(F.count("*").alias("c")).filter("c > 1")
-    members = cut(members.join(sizes, "band"))
-    left, right = (members.filter(F.col("c") <= SMALL).select("band", F.col("rep").alias(x), F.col("fingerprint").alias(f"print_{x}")) for x in "ab")
-    pairs = left.join(right, "band").filter("print_a < print_b").drop("band").mapInArrow(_alike(need), "a long, b long")
-    large = members.filter(F.col("c") > SMALL).withColumn("parts", F.ceil(F.col("c") / PART).cast("int"))
-    large = large.withColumn("part", F.pmod(F.xxhash64("fingerprint", "band"), "parts").cast("int"))
-    # each part meets itself, and every other part once
-    seats = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("p"), F.greatest("part", q).alias("q"), F.when(F.col("part") == q, 2).when(F.col("part") < q, 0).otherwise(1).alias("side")))
-    dealt = large.withColumn("seat", F.explode(seats)).select("band", "seat.p", "seat.q", "seat.side", "rep", "fingerprint")
-    comp = connected_components(pairs.unionAll(dealt.groupBy("band", "p", "q").applyInArrow(_tile(need), "a long, b long")))
-    out = rows.join(classes, "fingerprint", "left").join(comp, F.col("rep") == F.col("node"), "left")
-    component = F.when(F.col("n_chars") > 0, F.coalesce("component", "rep", "id")).otherwise(F.col("id"))
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(_prints, "id long, n_chars long, fingerprint binary")
+    rows = table(rows.withColumn("cid", F.xxhash64("fingerprint")))
+    out = rows.join(_groups(rows, least), "cid", "left")
+    component = F.when(F.col("n_chars") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(key), component.alias("component_id"))

@@ -13,16 +13,9 @@ lies beyond the distance with a probability below ``MISS``.  At 0.85 that is 12
 distance of 23 (such a pair differs in 9.6 positions on average), at 0.8 it is 14 and 27.
 
 Equal sets form one class from the start (``cid``, a 64-bit hash of the set), so copies cost one
-row.  Of the pairs in a bucket only those are compared that could still join two components:
-
-1. every class goes to the group of one leader, the smallest member of its buckets; the group is
-   compared in parts by hash, each with the leader, which joins dense groups in linear time;
-2. buckets that still hold several components are joined where they overlap, dealt into parts, and
-   parts meet two by two; parts of one large component don't meet one another.  A meeting first
-   sees signatures alone and hands on the rows, never the pairs, that have a partner within the
-   distance in another component; only those rows' full sets are then dealt and compared.
-
-A part is bounded in rows (``PART``) and in shingles (``SHINGLES``); small groups share parts.
+row.  Which classes of a bucket are compared is ``meetings``' affair.  A meeting first sees signatures
+alone and hands on the rows, never the pairs, that have a partner within the distance in another
+component; only those rows' full sets are then dealt and compared.
 """
 
 from __future__ import annotations
@@ -32,12 +25,13 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as W
-from .components import connected_components, lower_labels
-from .storage import apart, inner, table
+from .components import connected_components, lower_labels, smallest_ids
+from .meetings import linked, sides, within
+from .storage import inner, table
 
 POSITIONS, BITS, MISS = 64, 16, 2e-5
 #: Rows and shingles of a part, on average; a comparison holds two parts.
@@ -130,35 +124,17 @@ def _sets(words: int):
     return run
 
 
-def _within(x: np.ndarray, y: np.ndarray, distance: int) -> np.ndarray:
-    """Which rows of x and y differ in at most ``distance`` positions."""
-    out = np.empty((len(x), len(y)), bool)
-    columns = np.ascontiguousarray(y.T)
-    for a in range(0, len(x), 128):
-        differ = np.zeros((len(x[a : a + 128]), len(y)), np.uint8)
-        for k in range(POSITIONS):
-            differ += x[a : a + 128, k, None] != columns[k]
-        out[a : a + 128] = differ <= distance
-    return out
-
-
-def _sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Rows on the left (side 0) and on the right (1); rows of side 2 meet one another."""
-    side = group.column("side").to_numpy()
-    return np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-
-
 def _near(group: pa.Table, left: np.ndarray, right: np.ndarray, distance: int) -> np.ndarray:
     """Pairs within the distance whose components differ."""
     sig, comp = _signatures(group.column("sig")), group.column("comp").to_numpy()
-    return _within(sig[left], sig[right], distance) & (comp[left][:, None] != comp[right])
+    return within(sig[left], sig[right], distance) & (comp[left][:, None] != comp[right])
 
 
 def _scout(distance: int):
     """Rows of a meeting that have a partner within the distance in another component."""
 
     def run(group: pa.Table) -> pa.Table:
-        left, right = _sides(group)
+        left, right = sides(group)
         near = _near(group, left, right, distance)
         hit = np.zeros(group.num_rows, bool)
         hit[left] |= near.any(axis=1)
@@ -204,7 +180,7 @@ def _forest(percent: int, distance: int):
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("cid", "ascending")])
-        left, right = _sides(group)
+        left, right = sides(group)
         label = np.arange(group.num_rows)
         near = _near(group, left, right, distance)
         if near.any():
@@ -219,64 +195,6 @@ def _forest(percent: int, distance: int):
     return run
 
 
-def _parts(rows: Column, shingles: Column) -> Column:
-    return rows / PART + shingles / SHINGLES
-
-
-def _bins(rows: DataFrame) -> int:
-    """Into how many parts rows with sets of n shingles go if small groups share them."""
-    return int((rows.agg(_parts(F.count("*"), F.sum("n"))).first()[0] or 0) * PART / PACK) + 1
-
-
-def _leader_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(cid, root) found in the groups of the leaders, the smallest members of a class's buckets."""
-    choice = table(members.groupBy("cid").agg(F.min("low").alias("lead")).join(sets.select("cid", "n"), "cid"))
-    bins = _bins(choice)
-    share = choice.groupBy("lead").agg(_parts(F.count("*"), F.sum("n")).alias("w"))
-    alone = F.col("w") >= PACK / PART
-    share = share.select("lead", F.when(alone, F.ceil("w")).otherwise(0).cast("int").alias("parts"))
-    bin_ = F.when(F.col("parts") == 0, F.pmod(F.xxhash64("lead"), F.lit(bins)))
-    rows = choice.filter("cid <> lead").withColumn("k", apart("lead")).join(share.select(apart("lead").alias("k"), "parts"), "k").select("cid", F.coalesce(bin_, F.xxhash64("lead", F.pmod(F.xxhash64("cid"), "parts"))).alias("m"))
-    each = share.select("lead", "parts", F.explode(F.sequence(F.lit(0), F.greatest(F.col("parts"), F.lit(1)) - 1)).alias("k"))
-    hubs = each.select(F.col("lead").alias("cid"), F.coalesce(bin_, F.xxhash64("lead", F.col("k").cast("long"))).alias("m"))
-    dealt = rows.unionAll(hubs).join(sets.select("cid", "sig", "full"), "cid").select("m", "cid", F.col("cid").alias("comp"), F.lit(2).alias("side"), "sig", "full")
-    return dealt.groupBy("m").applyInArrow(_forest(percent, 2 * chunks_for(percent) - 1), "cid long, root long")
-
-
-def _mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members (cid, comp, low) of the buckets whose members aren't all in one component."""
-    for x in ("cid", "low"):
-        to = comp.select(F.col("cid").alias(x), F.col("comp").alias(f"comp_{x}"))
-        members = members.join(to, x, "left").withColumn(f"comp_{x}", F.coalesce(f"comp_{x}", x))
-    members = members.withColumn("k", apart("key"))
-    several = members.filter("comp_cid <> comp_low").select("key").distinct().select(apart("key").alias("k"))
-    return members.join(several, "k", "left_semi").select("cid", F.col("comp_cid").alias("comp"), "low").distinct()
-
-
-def _meeting_links(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(cid, root) between components: overlapping buckets are one cluster, whose parts meet two by two."""
-    cluster = connected_components(mixed, "cid", "low").select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
-    rows = table(mixed.select("cid", "comp").distinct().join(cluster, "cid").join(sets.select("cid", "n"), "cid"))
-    bins = _bins(rows)
-    # a component that fills a part has parts of its own, the others of a cluster share parts (pure null); small clusters share meetings
-    of = rows.groupBy("cluster", "comp").agg(_parts(F.count("*"), F.sum("n")).alias("w")).withColumn("pure", F.when(F.col("w") >= 1, F.col("comp")))
-    parts = of.groupBy("cluster", "pure").agg(F.ceil(F.sum("w")).cast("int").alias("parts"))
-    hash_ = F.xxhash64("cluster", "pure", F.col("pure").isNull()).alias("hash")
-    parts = parts.join(of.groupBy("cluster").agg((F.sum("w") < PACK / PART).alias("small")), "cluster").select("*", hash_)
-    rows = rows.withColumn("k", apart("cluster")).join(of.select(apart("cluster").alias("k"), "comp", hash_), ["k", "comp"])
-    rows = rows.join(parts.select("hash", "parts"), "hash").select("cid", "comp", F.xxhash64("hash", F.pmod(F.xxhash64("cid"), "parts")).alias("part"))
-    each = parts.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cluster", "small", "pure", F.xxhash64("hash", F.col("k").cast("long")).alias("part"))
-    other = each.select("cluster", F.col("pure").alias("pure_b"), F.col("part").alias("part_b"))
-    meet = each.join(other, "cluster").filter("part <= part_b and (pure is null or pure_b is null or pure <> pure_b)")
-    meet = meet.withColumn("m", F.when(F.col("small"), F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.xxhash64("part", "part_b")))
-    seat = lambda part, side: F.struct(F.col(part).alias("part"), F.lit(side).alias("side"))
-    seats = meet.select("m", F.explode(F.when(F.col("part") == F.col("part_b"), F.array(seat("part", 2))).otherwise(F.array(seat("part", 0), seat("part_b", 1)))).alias("s")).select("m", "s.*")
-    distance = 2 * chunks_for(percent) - 1
-    dealt = rows.join(sets.select("cid", "sig"), "cid").join(seats, "part").select("m", "cid", "comp", "side", "sig")
-    hits = table(dealt.groupBy("m").applyInArrow(_scout(distance), "m long, cid long, comp long, side int"))
-    return hits.join(sets.select("cid", "sig", "full"), "cid").select("m", "cid", "comp", "side", "sig", "full").groupBy("m").applyInArrow(_forest(percent, distance), "cid long, root long")
-
-
 def _components(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows (id, row, n, cid) of ``docs`` (id, row, text), and (cid, smallest id, component) of all classes; ``row`` is a hash of the row."""
     rows = table(docs.select("id", "row", "text").mapInArrow(_sketch(words), "id long, row long, n long, h1 long, h2 long, sig binary").withColumn("cid", F.xxhash64("h1", "h2", "n")))
@@ -287,13 +205,8 @@ def _components(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     wanted = classes.join(members.select("cid").distinct(), "cid", "left_semi")
     texts = docs.select("row", "text").join(wanted, "row").dropDuplicates(["row"])
     sets = table(texts.select("cid", "sig", "text").mapInArrow(_sets(words), "cid long, n long, sig binary, full binary"))
-    led = table(_leader_links(members, sets, percent))
-    further = led.select(F.col("cid").alias("root"), F.col("root").alias("comp"))
-    comp = led.join(further, "root", "left").select("cid", F.coalesce("comp", "root").alias("comp"))
-    links = led
-    mixed = table(_mixed(members, comp))
-    if not mixed.isEmpty():
-        links = links.unionAll(_meeting_links(mixed, sets, percent))
+    distance = 2 * chunks_for(percent) - 1
+    links = linked(members, sets, ["sig", "full"], _forest(percent, distance), _scout(distance), ["sig"], PART, SHINGLES, PACK)
     found = connected_components(links.unionAll(_same_key(rows)), "cid", "root")
     found = classes.select("cid", "id").join(found.select(F.col("node").alias("cid"), "component"), "cid", "left")
     return rows.drop("h1", "h2", "sig"), found.select("cid", "id", F.coalesce("component", "cid").alias("component"))
@@ -318,9 +231,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     """
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     rows, found = _components(docs.withColumn("row", F.xxhash64("id", "text")), words, percent)
-    first = found.groupBy("component").agg(F.min("id").alias("component_id")).select(apart("component").alias("k"), "component_id")
-    first = found.select("cid", apart("component").alias("k")).join(first, "k").select("cid", "component_id")
-    out = rows.join(first, "cid", "left")
+    out = rows.join(smallest_ids(found), "cid", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
 

@@ -5,6 +5,8 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from pitchline.llm import fingerprint
 
 
@@ -101,3 +103,39 @@ def test_near_groups_equal_brute_force(spark, monkeypatch):
             monkeypatch.setattr(fingerprint, "PART", part)
             got = {r["doc_id"]: r["component_id"] for r in fingerprint.near_by_edits(df, least=least).collect()}
             assert [got[i] for i in range(len(texts))] == want
+
+
+def test_equal_and_missing_keys_are_split_and_stay_in_order(spark):
+    rng = random.Random(6)
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, "".join(rng.choice("abc ") for _ in range(rng.randint(0, 30)))) for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    work = df.withColumns({"place": F.coalesce("doc_id", F.lit(-(2**63))), "tie": F.xxhash64("text")}).cache()
+    sizes = {}
+    ranked = work.withColumn("bucket", fingerprint._ranges(work, 12)).collect()
+    for r in ranked:
+        sizes.setdefault(r["bucket"], []).append(r)
+    assert len(sizes) >= 12 and max(map(len, sizes.values())) < 200
+    order = sorted(ranked, key=lambda r: (-r["place"], r["tie"]))
+    assert [r["bucket"] for r in order] == sorted((r["bucket"] for r in ranked), reverse=True)
+    want = {}
+    for k, r in enumerate(order):
+        t, after = r["text"], order[(k + 1) % len(order)]["text"]
+        want.setdefault((r["doc_id"], hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()), []).append(k)
+    got = fingerprint.fingerprint_with_next(df).collect()
+    assert len(got) == len(rows) and {(r["doc_id"], r["edited_sha256"]) for r in got} == set(want)
+
+
+def test_query_groups_equal_near_by_edits_and_recall_of_near_copies(spark):
+    rng = random.Random(12)
+    rows = []
+    for g in range(60):
+        base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.choice([200, 2000])))
+        for _ in range(3):
+            at = rng.randrange(len(base) // 2, len(base))
+            rows.append((len(rows), base[:at] + "#" + base[at + 1 :]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in fingerprint.fingerprints_with_groups(df).collect()}
+    assert got == {r["doc_id"]: r["component_id"] for r in fingerprint.near_by_edits(df, least=fingerprint.NEAR).collect()}
+    prints = fingerprint.walk([t for _, t in rows])
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] == prints[j]).mean() >= fingerprint.NEAR]
+    assert len(near) >= 100 and all(got[i] == got[j] for i, j in near)
