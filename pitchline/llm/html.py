@@ -1,7 +1,7 @@
 """Operator 2: layout-aware text of HTML pages.
 
 A tree builder reads tags leniently (implied ends of p, li, dt, dd, tr, td, th, option and their
-like, void elements, raw text, stray end tags), visibility rules drop what a browser wouldn't
+like, void elements, raw text, stray end tags), visibility rules (attributes, inline styles, simple selectors of style elements) drop what a browser wouldn't
 show (of an object that names data, the fallback; of an svg, all but its texts), and a renderer walks the tree: blocks start new lines, paragraphs and headings stand apart,
 lists are marked and indented, preformatted text keeps its spaces, and the cells of a table are
 aligned in columns.  Building and walking use explicit stacks, so deep nesting is no limit.
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .storage import inner
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# a tag ends at the first > outside quoted values, or with the page; a quote that nothing closes quotes nothing.  No part is given back once taken
+_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>][^\s>]*+)))?+")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title noscript".split())
@@ -40,7 +41,10 @@ IMPLIED = {
     "option": (frozenset(["option"]), frozenset(["select", "datalist", "optgroup"])), "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
 } | {g: (frozenset(["tr", "td", "th", "caption", "colgroup", "thead", "tbody", "tfoot"]), frozenset(["table"])) for g in ("thead", "tbody", "tfoot")}
 _ENDS_P = (BLOCK - frozenset("html body li dd dt td th tr tbody thead tfoot caption option optgroup legend".split())) | frozenset(["li", "dt", "dd"])
-_NO_DISPLAY = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_DECLARED = re.compile(r"(?:^|;)\s*+(display|visibility)\s*+:\s*+([a-z-]++)\s*+(!\s*+important)?", re.I)
+_RULE = re.compile(r"([^{}]*+)\{([^{}]*+)\}")
+_CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_SIMPLE = re.compile(r"([a-zA-Z][\w-]*+|\*)?+((?:[.#][\w-]++)*+)\Z")
 
 
 class Node:
@@ -122,7 +126,7 @@ def parse(html: str) -> Node:
             body = html[at : end if end >= 0 else len(html)]
             if tag in ("textarea", "title"):
                 node.items.append(unescape(body))
-            elif tag not in HIDDEN:
+            elif tag == "style" or tag not in HIDDEN:
                 node.items.append(body)
             close_at = html.find(">", end) if end >= 0 else -1
             at = close_at + 1 if close_at >= 0 else len(html)
@@ -138,23 +142,84 @@ def _upto(stack: list[Node], barrier: frozenset[str]) -> Iterator[Node]:
         yield n
 
 
-def visible(node: Node) -> bool:
-    if node.tag in HIDDEN or "hidden" in node.attrs:
+class Sheet:
+    """Display and visibility rules of a page's style elements, by weight and order.
+
+    Selectors of one compound (tag, classes, id) count; those with combinators, attributes or states, and
+    what stands in at-rules, don't.
+    """
+
+    def __init__(self, css: str = "") -> None:
+        self.rules: dict[str, list[tuple]] = {}
+        flat, within, before = [], [], ""  # within: for each open brace, whether an at-rule holds it
+        for part in re.split(r"([{}])", _CSS_COMMENT.sub("", css)):
+            if part == "{":
+                within.append(bool(within and within[-1]) or "@" in before)
+                if not within[-1]:
+                    flat.append(before + part)
+            elif part == "}":
+                if within and not within.pop():
+                    flat.append(part)
+            elif not within:
+                before = part.rpartition(";")[2]
+            elif not within[-1]:
+                flat.append(part)
+        for n, m in enumerate(_RULE.finditer("".join(flat))):
+            told = [(p.lower(), v.lower(), bool(i)) for p, v, i in _DECLARED.findall(m[2])]
+            for selector in m[1].split(",") if told else ():
+                s = _SIMPLE.match(selector.strip())
+                if s and (s[1] or s[2]):
+                    marks = re.findall(r"[.#][\w-]+", s[2])
+                    tag = (s[1] or "*").lower()
+                    weight = (sum(x[0] == "#" for x in marks), sum(x[0] == "." for x in marks), tag != "*")
+                    for p, v, important in told:
+                        self.rules.setdefault(marks[0] if marks else tag, []).append((important, weight, n, tag, frozenset(marks), p, v))
+
+    def of(self, node: Node) -> dict[str, str]:
+        """What the rules and the element's own style say."""
+        best: dict[str, tuple] = {}
+        if self.rules:
+            marks = {f".{c}" for c in node.attrs.get("class", "").split()} | ({f"#{node.attrs['id']}"} if node.attrs.get("id") else set())
+            for key in (*marks, node.tag, "*"):
+                for important, weight, n, tag, need, p, v in self.rules.get(key, ()):
+                    if tag in ("*", node.tag) and need <= marks:
+                        best[p] = max(best.get(p, ()), (important, weight, n, v))
+        style = node.attrs.get("style")
+        if style:
+            for n, (p, v, important) in enumerate(_DECLARED.findall(style)):
+                best[p.lower()] = max(best.get(p.lower(), ()), (bool(important), (1 << 30, 0, 0), n, v.lower()))
+        return {p: b[-1] for p, b in best.items()}
+
+
+def _style(root: Node) -> Sheet:
+    """The rules of all style elements of a page."""
+    css, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.tag == "style":
+            css.append("".join(c for c in node.items if isinstance(c, str)))
+        else:
+            todo.extend(c for c in reversed(node.items) if isinstance(c, Node))
+    return Sheet("\n".join(css)) if css else Sheet()
+
+
+def visible(node: Node, told: dict[str, str]) -> bool:
+    """Whether an element has a place on the page, going by its tag, attributes and what styles say of it."""
+    if node.tag in HIDDEN or told.get("display") == "none":
         return False
-    style = node.attrs.get("style")
-    if style and _NO_DISPLAY.search(style):
+    if "hidden" in node.attrs and "display" not in told:
         return False
     if node.tag == "object" and "data" in node.attrs:
         return False
     return not (node.tag == "dialog" and "open" not in node.attrs)
 
 
-def _labels(svg: Node) -> list[Node | str]:
+def _labels(svg: Node, sheet: Sheet) -> list[Node | str]:
     """The texts of an svg, in order and apart from one another."""
     out, todo = [], list(reversed(svg.items))
     while todo:
         node = todo.pop()
-        if isinstance(node, str) or node.tag in _UNDRAWN or not visible(node):
+        if isinstance(node, str) or node.tag in _UNDRAWN or not visible(node, sheet.of(node)):
             continue
         if node.tag in _LABELS:
             out += [" ", node, " "]
@@ -220,24 +285,42 @@ class _Box:
                 self.lines.append("")
 
 
-def _layout(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Aligned columns, two spaces apart; a cell may hold several lines and span columns."""
+def _placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[list[str], int, int]]]:
+    """(lines, first column, columns) of every row's cells; columns that a cell of a row above still fills are passed over."""
+    out: list[list[tuple[list[str], int, int]]] = []
+    busy: list[tuple[int, int, int]] = []  # (first column, column after the last, first row that is free again) of cells that reach down
+    for r, row in enumerate(rows):
+        busy = sorted(x for x in busy if x[2] > r)
+        col, placed, k = 0, [], 0
+        for lines, span, down in row:
+            while k < len(busy) and busy[k][0] <= col:
+                col = max(col, busy[k][1])
+                k += 1
+            placed.append((lines, col, span))
+            col += span
+        busy += [(c, c + span, r + down) for (_, c, span), (_, _, down) in zip(placed, row, strict=True) if down > 1]
+        out.append(placed)
+    return out
+
+
+def _layout(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Aligned columns, two spaces apart; a cell may hold several lines, span columns, and reach down over rows, where its columns stay blank."""
+    placed = _placed(rows)
     widths: dict[int, int] = {}
-    for row in rows:
-        col = 0
-        for lines, span in row:
+    for row in placed:
+        for lines, col, span in row:
             if span == 1:
                 widths[col] = max(widths.get(col, 0), max(map(len, lines), default=0))
-            col += span
     out = []
-    for row in rows:
-        height = max((len(lines) for lines, _ in row), default=0)
+    for row in placed:
+        height = max((len(lines) for lines, _, _ in row), default=0)
         for k in range(height):
             at, col, line = 0, 0, ""
-            for lines, span in row:
+            for lines, first, span in row:
+                at += sum(widths.get(c, 0) + 2 for c in range(col, first))
                 line = line.ljust(at) + (lines[k] if k < len(lines) else "")
-                at += sum(widths.get(c, 0) + 2 for c in range(col, col + span))
-                col += span
+                at += sum(widths.get(c, 0) + 2 for c in range(first, first + span))
+                col = first + span
                 at = max(at, len(line) + 2) if span > 1 else at
             out.append(line.rstrip())
     while out and not out[0]:
@@ -248,17 +331,20 @@ def _layout(rows: list[list[tuple[list[str], int]]]) -> list[str]:
 def render(root: Node) -> str:
     """All visible text of a tree, laid out."""
     boxes, tables, lists = [_Box()], [], []
-    pre = 0
+    pre, sheet, unseen = 0, _style(root), [False]  # unseen: visibility, from which an element within can come back
     todo: list[tuple[Node | str, bool]] = [(root, False)]
     while todo:
         node, leaving = todo.pop()
         if isinstance(node, str):
-            boxes[-1].text(node, pre > 0)
+            if not unseen[-1]:
+                boxes[-1].text(node, pre > 0)
             continue
         tag = node.tag
         if not leaving:
-            if tag != "#root" and not visible(node):
+            told = sheet.of(node)
+            if tag != "#root" and not visible(node, told):
                 continue
+            shown = {"hidden": True, "collapse": True, "visible": False}.get(told.get("visibility"), unseen[-1])
             if tag == "br":
                 boxes[-1].br()
                 continue
@@ -268,7 +354,7 @@ def render(root: Node) -> str:
             if tag in ("wbr", "img", "area", "col", "embed"):
                 continue
             if tag == "input":
-                if node.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "") and node.attrs.get("value"):
+                if node.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "") and node.attrs.get("value") and not shown:
                     boxes[-1].text(f" {node.attrs['value']} ", False)
                 continue
             if tag in BLOCK:
@@ -283,7 +369,7 @@ def render(root: Node) -> str:
                     mark = f"{lists[-1][1]}. "
                     lists[-1][1] += 1
                 box = _Box(" " * len(mark))
-                box.first = mark
+                box.first = "" if shown else mark
                 boxes.append(box)
             elif tag in ("dd", "blockquote"):
                 boxes.append(_Box("  "))
@@ -295,8 +381,9 @@ def render(root: Node) -> str:
                 boxes.append(_Box())
             elif tag in ("pre", "textarea", "xmp"):
                 pre += 1
+            unseen.append(shown)
             todo.append((node, True))
-            items = _labels(node) if tag == "svg" else node.items
+            items = _labels(node, sheet) if tag == "svg" else node.items
             if tag == "pre" and items and isinstance(items[0], str) and items[0].startswith("\n"):
                 items = [items[0][1:], *items[1:]]
             if tag == "details" and "open" not in node.attrs:
@@ -305,6 +392,7 @@ def render(root: Node) -> str:
                 items = [c for c in items if isinstance(c, Node) or not c.isspace()]
             todo.extend((c, False) for c in reversed(items))
             continue
+        unseen.pop()
         if tag in BLOCK or tag in ("#root", "textarea"):
             boxes[-1].flush()
         if tag in ("ul", "ol", "menu"):
@@ -321,8 +409,8 @@ def render(root: Node) -> str:
             else:
                 if not tables[-1]:
                     tables[-1].append([])
-                span = node.attrs.get("colspan", "1")
-                tables[-1][-1].append((lines, min(max(int(span), 1), 1000) if span.isdigit() and len(span) < 6 else 1))
+                across, down = (int(v) if v.isascii() and v.isdigit() and len(v) < 6 else 1 for v in (node.attrs.get(a, "1") for a in ("colspan", "rowspan")))
+                tables[-1][-1].append((lines, min(max(across, 1), 1000), down or 65_534))  # 0 rows: all that follow
         elif tag == "table":
             lines = _layout(tables.pop())
             box = boxes[-1]

@@ -138,11 +138,10 @@ def _evidence(model: Model, body: str, out: str):
     return run
 
 
-def with_evidence(df: DataFrame, model: Model, text: str, out: str) -> DataFrame:
-    """``df`` with its columns and ``out``, each text's evidence."""
-    (body,) = inner(df, "body")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.withColumn(body, F.col(text).cast("string")).mapInArrow(_evidence(model, body, out), f"{kinds}, `{out}` double")
+def with_evidence(df: DataFrame, model: Model, body: str, out: str) -> DataFrame:
+    """``df`` with ``out``, the evidence of each text, in place of the column of the texts."""
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name != body)
+    return df.mapInArrow(_evidence(model, body, out), f"{kinds}`{out}` double")
 
 
 def site_priors(narrow: DataFrame, share: float) -> DataFrame:
@@ -176,26 +175,28 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def score(df: DataFrame, model: Model, host: Column, path: Column, text: str = "text", threshold: float = 0.5) -> DataFrame:
+def score(df: DataFrame, model: Model, host: Column, path: Column, text: str = "text", threshold: float = 0.5, keep_text: bool = True) -> DataFrame:
     """``df`` with ``evidence``, ``host_share``, ``path_share``, ``quality`` (the posterior, 0 to 1) and ``keep``.
 
     Texts that are null or have no words have no evidence: their quality is their path's share.  Null hosts and
     paths are sites of their own.  Every row is scored, repeated ones too; an empty table gives none.
-    Columns of ``df`` with the added names are replaced.
+    Columns of ``df`` with the added names are replaced.  The evidence is computed once, for a table of all
+    columns; without ``keep_text`` that table, and the result, leave the text out.
     """
     added = ["evidence", "host_share", "path_share", "quality", "keep"]
     base = df.drop(*added)
     prior = float(np.log(model.share / (1 - model.share)))
-    ev, hc, pc, *site = inner(base, "evidence", "host", "path", "sh", "sp", "ss", "sn", "sg", "sw", "hs", "share", "quality")
+    ev, hc, pc, bc, *site = inner(base, "evidence", "host", "path", "body", "sh", "sp", "ss", "sn", "sg", "sw", "hs", "share", "quality")
     sh, sp, ss, sn, sg, sw, hs, sc, qc = site
     to_p = 1 / (1 + F.exp(-(F.col(ev) + prior)))
     names = {hc: host.cast("string"), pc: path.cast("string")}
-    bare = base.select(F.col(text).alias("body"), *[c.alias(k) for k, c in names.items()])
-    narrow = table(with_evidence(bare, model, "body", ev).select(F.col(hc).alias("host"), F.col(pc).alias("path"), to_p.alias("p")))
+    rows = base.withColumns(names).withColumn(bc, F.col(text).cast("string"))
+    rows = table(with_evidence(rows if keep_text else rows.drop(text), model, bc, ev))
+    base = base if keep_text else base.drop(text)
+    narrow = rows.select(F.col(hc).alias("host"), F.col(pc).alias("path"), to_p.alias("p"))
     sites = table(site_priors(narrow, model.share))
     small = sites.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS
     sites = sites.select(*[F.col(c).alias(n) for c, n in (("host", sh), ("path", sp), ("s", ss), ("n", sn), ("prior_good", sg), ("prior_n", sw), ("host_share", hs))])
-    rows = with_evidence(base.withColumns(names), model, text, ev)
     rows = rows.join(F.broadcast(sites) if small else sites, F.col(hc).eqNullSafe(F.col(sh)) & F.col(pc).eqNullSafe(F.col(sp)), "left")
     share = (F.col(sg) + F.col(ss) - to_p) / (F.col(sw) + F.col(sn) - 1)
     quality = 1 / (1 + F.exp(-(_logit(share) + F.col(ev))))

@@ -53,7 +53,7 @@ def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score(docs, model, host=F.col("source"), path=F.col("lang"))
+    scored = quality.score(docs, model, host=F.col("source"), path=F.col("lang"), keep_text=False)
     return scored.select("doc_id", "evidence", "host_share", "path_share", "quality", "keep")
 
 

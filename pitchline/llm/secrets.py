@@ -38,7 +38,7 @@ PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xo
 SAMPLE_PATHS = ("test", "example", "sample", "doc", "fixture", "mock")
 _EDGE = "\"'`()[]{}<>,;.!?"
 _ASSIGN = re.compile(r"^([\"']?[A-Za-z][\w.\-]{1,40}[\"']?)(?:=|:=|:)(?!//)(.+)$")
-_PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)
+_PEM = re.compile(rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----.*?(?:-----END [A-Z ]{0,40}PRIVATE KEY-----|\Z)", re.S)
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 _GAP = re.compile(r"\s")
 _DIGIT = np.zeros(256, bool)
@@ -82,6 +82,7 @@ def candidates(data: np.ndarray, off: np.ndarray) -> list[Candidate]:
         if bytes(data[starts[i] : ends[i] - 1]).lower().strip(b"\"'") in telling:
             named[i + 1 : i + 2] = True
     named &= size >= 8
+    named[1:] &= row[1:] == row[:-1]
     raw = data.tobytes()
     # so is one that starts like a key, quotes and brackets aside
     rest = np.flatnonzero((size >= LEAST) & ~hit)
@@ -358,14 +359,15 @@ def scan_chunk(model: Model, data: np.ndarray, off: np.ndarray, paths: list[str]
     scores = model.forest.predict(np.array([describe(model.known, c, paths[c.row]) for c in found])) if found else []
     out = [(c.row, c.start, c.end, "assigned" if c.name else "prefixed" if c.value.startswith(PREFIXES) else "token", float(s)) for c, s in zip(found, scores, strict=True)]
     raw = data.tobytes()
+    blocks = []
     if b"PRIVATE KEY-----" in raw:
-        for r, (a, b) in enumerate(zip(off[:-1], off[1:], strict=True)):
-            text = raw[a:b].decode("utf-8", "replace") if b"PRIVATE KEY-----" in raw[a:b] else ""
-            for m in _PEM.finditer(text):
-                x = int(a) + len(text[: m.start()].encode())
-                y = x + len(m[0].encode())
-                out = [o for o in out if not x <= o[1] < y] + [(r, x, y, "private key", 1.0)]
-    return sorted(out)
+        for r, (a, b) in enumerate(zip(off.tolist(), off[1:].tolist(), strict=False)):
+            blocks += [(r, m.start(), m.end(), "private key", 1.0) for m in _PEM.finditer(raw, a, b)]
+    if blocks:  # they are apart and in order; candidates within go
+        starts, ends = (np.array([k[i] for k in blocks]) for i in (1, 2))
+        at = np.searchsorted(starts, [o[1] for o in out], "right") - 1
+        out = [o for o, i in zip(out, at, strict=True) if i < 0 or o[1] >= ends[i]]
+    return sorted(out + blocks)
 
 
 def _scan(model: Model):
@@ -420,7 +422,11 @@ def _redact(model: Model, threshold: float, mask: str, names: list[str]):
 
 
 def redact(df: DataFrame, model: Model, path: Column, text: str = "text", threshold: float = 0.5, mask: str = MASK) -> DataFrame:
-    """``df`` with every secret of its texts replaced by ``mask``; rows and other columns stay as they are."""
+    """``df`` with every secret of its texts replaced by ``mask``; rows and other columns stay as they are.
+
+    A null or empty text stays null or empty, a null path is an empty one, repeated rows are treated alike; of findings
+    that overlap a private key's block the block alone is replaced.  An empty table gives an empty result.
+    """
     names = inner(df, "body", "path", "clean")
     rows = df.withColumns({names[0]: F.col(text).cast("string"), names[1]: path.cast("string")}).drop(text)
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name not in names)

@@ -7,15 +7,18 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder, as in single-machine tests.
+#: Used only where the session names no folder and all runs on one machine, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints/pitchline"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; sets a local one only if none is named."""
+    """The session's shared checkpoint folder; on a local master a local one if none is named."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or FALLBACK_DIR)
     return sc.getCheckpointDir()
 
 

@@ -9,7 +9,9 @@ from the vectors as given.
 
 Which tiles meet: a cosine of at least t means a distance of at most sqrt(2 - 2t), so on the two
 axes of largest variance linked vectors lie in the same or adjacent cells of that width.  Cells
-are split by hash into tiles of about ``TILE`` rows and only tiles of adjacent cells are paired.
+are split by hash into tiles of about ``TILE`` rows and only tiles of adjacent cells are paired.  A tile
+goes to each of its pairs, so what is shuffled is the input times the tiles of neighbouring cells: few
+where the leading axes tell vectors apart, all where vectors point everywhere alike.
 A tile pair gives one row a vector (its number of links and the smallest vector connected in the
 pair), never the pairs themselves, so groups of copies don't grow with their square.  Equal
 vectors are one row with a count from the start.
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from . import components
 from .storage import cut
 
-TILE, BLOCK, LEAD = 4096, 1024, 16
+#: Rows of a tile, fewer if vectors have more than WIDE components; rows compared at once; leading components.
+TILE, WIDE, BLOCK, LEAD = 16_384, 64, 1024, 16
 #: Cosines this close to the threshold are computed again from the given vectors.
 ROUNDING = 1e-7
 #: Share of surviving pairs beyond which a block is finished by one matrix product.
@@ -127,7 +130,7 @@ def _links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
     kind = dict(classes.dtypes)["v"]
     rows = classes.mapInArrow(_cells(axes, np.argsort(-spread)[:2], width), f"h1 long, h2 long, rep long, n long, v {kind}, c1 int, c2 int")
     rows = cut(rows)
-    tiles = rows.groupBy("c1", "c2").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    tiles = rows.groupBy("c1", "c2").agg(F.ceil(F.count("*") / max(1, TILE * WIDE // max(dim, WIDE))).cast("int").alias("tiles"))
     rows = rows.join(tiles, ["c1", "c2"]).withColumn("k", F.pmod(F.xxhash64("h1", "h2"), F.col("tiles")).cast("int")).drop("tiles")
     each = tiles.select("c1", "c2", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("k"))
     around = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
