@@ -34,7 +34,7 @@ from . import wordhash as W
 from .storage import table
 
 #: Characters of text in a block, the unit that is counted and scored together.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 5_000_000
 ADD = 0.1
 #: Bins of the held-out histogram: eighths of an octave of the ratio of the two estimates.
 BINS_PER_OCTAVE, MOST_OCTAVES, ROUNDS = 8, 60, 60
