@@ -257,16 +257,15 @@ def _bands(need: int):
 def _groups(rows: DataFrame, least: float) -> DataFrame:
     """(cid, component_id) of the fingerprints of rows (id, n_chars, fingerprint, cid)."""
     need = min(SLOTS, max(1, int(np.ceil(least * SLOTS - 1e-9))))
-    rows = rows.filter("n_chars > 0")
-    bucket = rows.select("cid", "fingerprint").mapInArrow(_bands(need), "cid long, bands array<long>").select("cid", F.explode("bands").alias("key"))
+    classes = table(rows.filter("n_chars > 0").groupBy("cid").agg(F.min("id").alias("id"), F.min("fingerprint").alias("fingerprint")))
+    bucket = classes.select("cid", "fingerprint").mapInArrow(_bands(need), "cid long, bands array<long>").select("cid", F.explode("bands").alias("key"))
     shared = bucket.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low < high").drop("high")
-    members = table(bucket.join(shared.withColumn("k", apart("key")).drop("key"), apart("key") == F.col("k")).select("key", "cid", "low").distinct())
-    items = rows.join(members.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min("fingerprint").alias("fingerprint"))
+    members = table(bucket.join(shared.withColumn("k", apart("key")).drop("key"), apart("key") == F.col("k")).select("key", "cid", "low"))
+    items = classes.join(members.select("cid").distinct(), "cid", "left_semi")
     items = table(items.select("cid", F.lit(1).cast("long").alias("n"), "fingerprint"))
     links = linked(members, items, ["fingerprint"], _alike(need), rows=PART, units=PART * SLOTS, shared=SMALL)
     found = connected_components(links, "cid", "root").select(F.col("node").alias("cid"), "component")
-    classes = rows.groupBy("cid").agg(F.min("id").alias("id")).join(found, "cid", "left")
-    return smallest_ids(classes.select("cid", "id", F.coalesce("component", "cid").alias("component")))
+    return smallest_ids(classes.join(found, "cid", "left").select("cid", "id", F.coalesce("component", "cid").alias("component")))
 
 
 def near_by_edits(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
