@@ -41,6 +41,13 @@ def unknown_names(df: DataFrame, column: str, known: DataFrame) -> DataFrame:
     return df.select(F.trim(column).alias("name")).filter("name is not null").distinct().join(known.select("name"), "name", "left_anti")
 
 
+def localised(df: DataFrame, columns: list[str], names: DataFrame) -> DataFrame:
+    """``columns`` as ``names`` (name, shown) shows them; names it lacks stay as they are."""
+    for c in columns:
+        df = canonical_names(df, c, names.select(F.col("name").alias("alias"), F.col("shown").alias("canonical"), F.lit(1).alias("priority")))
+    return df
+
+
 def match_id(day: Column, home: Column, away: Column) -> Column:
     """yyyyMMdd_Home_Away without blanks."""
     clean = lambda c: F.replace(c.cast("string"), F.lit(" "), F.lit(""))

@@ -48,7 +48,8 @@ def fit_platt(df: DataFrame, cells: int = 1000) -> Platt:
     """One-dimensional ridge logistic regressions (penalty w ** 2 / 2) of each outcome on its probability.
 
     Rows are summed into at most ``cells`` cells of the probability with their mean and hits; Newton steps on the
-    cells run on the driver, so the data that reaches it doesn't grow with the rows.
+    cells run on the driver, so the data that reaches it doesn't grow with the rows.  A cell's rows count at their
+    mean: an approximation whose error in the gradient is below a row's share of 1 / (8 * cells ** 2) of slope squared.
     """
     slope, intercept = [], []
     for p, k in zip(P, OUTCOMES, strict=True):

@@ -1,13 +1,19 @@
-"""Rule-based (Mamdani) inference as generated column expressions.
+"""Rule-based (Mamdani) inference over batches of rows.
 
-Membership functions and rules are data; strengths are least() and greatest() over columns, and the
-centroid is a sum over the points where two terms meet.  No row leaves the JVM.
+Membership functions and rules are data; a rule's strength is a minimum of memberships, an output term's a
+maximum over rules, and the centroid is a closed sum.  All are array operations over an Arrow batch: as
+column expressions the rule base outgrows what the JVM compiles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Universes (low, high, step), terms as trapezoids (a triangle repeats its peak), and the rules.
 UNIVERSES = {"Form": (0, 1, 0.01), "Attack": (0, 4.5, 0.05), "Defense": (0, 4.5, 0.05), "HomeAdvantage": (0, 1, 0.01), "Fatigue": (0, 1, 0.01), "TeamStrength": (1200, 1950, 5), "StrengthGap": (-600, 600, 10), "FormGap": (-1, 1, 0.02)}
@@ -22,54 +28,54 @@ TERMS = {
     "FormGap": {"AwayFormMuchBetter": (-1, -1, -0.5, -0.3), "AwayFormBetter": (-0.45, -0.22, -0.22, 0), "FormSimilar": (-0.25, 0, 0, 0.25), "HomeFormBetter": (0, 0.22, 0.22, 0.45), "HomeFormMuchBetter": (0.3, 0.5, 1, 1)},
 }
 OUTPUT_TERMS = {"Low": (0, 0, 25, 50), "Medium": (25, 50, 50, 75), "High": (50, 75, 100, 100)}
-OUTPUTS = {"HW": "HomeWin", "D": "Draw", "AW": "AwayWin", "HG": "HomeGoals", "AG": "AwayGoals", "O25": "Over25", "U25": "Under25"}
+OUTPUTS = {n: n for n in ("HomeWin", "Draw", "AwayWin", "HomeGoals", "AwayGoals", "Over25", "Under25")}
 RULES = """
-StrengthGap=HomeMuchStronger > HW=High D=Low AW=Low
-StrengthGap=HomeStronger > HW=Medium D=Medium AW=Low
-StrengthGap=Similar > HW=Medium D=Medium AW=Low
-StrengthGap=AwayStronger > HW=Low D=Medium AW=Medium
-StrengthGap=AwayMuchStronger > HW=Low D=Low AW=High
-FormGap=HomeFormMuchBetter > HW=High D=Low AW=Low
-FormGap=HomeFormBetter > HW=Medium D=Medium AW=Low
-FormGap=FormSimilar > HW=Medium D=Medium AW=Low
-FormGap=AwayFormBetter > HW=Low D=Medium AW=Medium
-FormGap=AwayFormMuchBetter > HW=Low D=Low AW=High
-HomeAdvantage=High HomeForm=Good > HW=High
-HomeAdvantage=High StrengthGap=Similar > HW=Medium
-HomeAdvantage=Low AwayForm=Good > AW=Medium
-HomeAdvantage=Low AwayStrength=Strong > AW=High
-HomeAdvantage=Medium StrengthGap=Similar > D=High
-HomeFatigue=High AwayFatigue=Low > AW=Medium
-AwayFatigue=High HomeFatigue=Low > HW=Medium
-HomeFatigue=High HomeStrength=Strong > HW=Medium
-AwayFatigue=High AwayStrength=Strong > AW=Medium
-HomeFatigue=High AwayFatigue=High > U25=Medium
-HomeStrength=Weak AwayStrength=Weak > D=Medium
-HomeStrength=Strong AwayStrength=Strong > D=Medium
-HomeStrength=Strong HomeForm=VeryGood > HW=High
-AwayStrength=Strong AwayForm=VeryGood > AW=High
-HomeStrength=Weak HomeForm=VeryPoor > AW=Medium
-AwayStrength=Weak AwayForm=VeryPoor > HW=Medium
-HomeAttack=Strong AwayDefense=Weak > HG=High
-HomeAttack=Weak AwayDefense=Strong > HG=Low
-AwayAttack=Strong HomeDefense=Weak > AG=High
-AwayAttack=Weak HomeDefense=Strong > AG=Low
-HomeAttack=Average AwayDefense=Average > HG=Medium
-AwayAttack=Average HomeDefense=Average > AG=Medium
-HomeAttack=Strong AwayDefense=Average > HG=Medium
-AwayAttack=Strong HomeDefense=Average > AG=Medium
-HomeForm=VeryGood HomeAttack=Strong > HG=High
-AwayForm=VeryGood AwayAttack=Strong > AG=High
-HomeAttack=Strong AwayAttack=Strong HomeDefense=Weak AwayDefense=Weak > O25=High U25=Low
-HomeDefense=Strong AwayDefense=Strong HomeAttack=Weak AwayAttack=Weak > U25=High O25=Low
-HomeDefense=Weak AwayDefense=Weak > O25=High
-HomeAttack=Strong AwayDefense=Weak > O25=Medium
-AwayAttack=Strong HomeDefense=Weak > O25=Medium
-HomeDefense=Strong AwayDefense=Strong > U25=Medium
-HomeAttack=Weak AwayAttack=Weak > U25=Medium
-HomeAttack=Weak AwayDefense=Strong > O25=Low
-AwayAttack=Weak HomeDefense=Strong > O25=Low
-HomeAttack=Average AwayAttack=Average > O25=Medium U25=Medium
+StrengthGap=HomeMuchStronger > HomeWin=High Draw=Low AwayWin=Low
+StrengthGap=HomeStronger > HomeWin=Medium Draw=Medium AwayWin=Low
+StrengthGap=Similar > HomeWin=Medium Draw=Medium AwayWin=Low
+StrengthGap=AwayStronger > HomeWin=Low Draw=Medium AwayWin=Medium
+StrengthGap=AwayMuchStronger > HomeWin=Low Draw=Low AwayWin=High
+FormGap=HomeFormMuchBetter > HomeWin=High Draw=Low AwayWin=Low
+FormGap=HomeFormBetter > HomeWin=Medium Draw=Medium AwayWin=Low
+FormGap=FormSimilar > HomeWin=Medium Draw=Medium AwayWin=Low
+FormGap=AwayFormBetter > HomeWin=Low Draw=Medium AwayWin=Medium
+FormGap=AwayFormMuchBetter > HomeWin=Low Draw=Low AwayWin=High
+HomeAdvantage=High HomeForm=Good > HomeWin=High
+HomeAdvantage=High StrengthGap=Similar > HomeWin=Medium
+HomeAdvantage=Low AwayForm=Good > AwayWin=Medium
+HomeAdvantage=Low AwayStrength=Strong > AwayWin=High
+HomeAdvantage=Medium StrengthGap=Similar > Draw=High
+HomeFatigue=High AwayFatigue=Low > AwayWin=Medium
+AwayFatigue=High HomeFatigue=Low > HomeWin=Medium
+HomeFatigue=High HomeStrength=Strong > HomeWin=Medium
+AwayFatigue=High AwayStrength=Strong > AwayWin=Medium
+HomeFatigue=High AwayFatigue=High > Under25=Medium
+HomeStrength=Weak AwayStrength=Weak > Draw=Medium
+HomeStrength=Strong AwayStrength=Strong > Draw=Medium
+HomeStrength=Strong HomeForm=VeryGood > HomeWin=High
+AwayStrength=Strong AwayForm=VeryGood > AwayWin=High
+HomeStrength=Weak HomeForm=VeryPoor > AwayWin=Medium
+AwayStrength=Weak AwayForm=VeryPoor > HomeWin=Medium
+HomeAttack=Strong AwayDefense=Weak > HomeGoals=High
+HomeAttack=Weak AwayDefense=Strong > HomeGoals=Low
+AwayAttack=Strong HomeDefense=Weak > AwayGoals=High
+AwayAttack=Weak HomeDefense=Strong > AwayGoals=Low
+HomeAttack=Average AwayDefense=Average > HomeGoals=Medium
+AwayAttack=Average HomeDefense=Average > AwayGoals=Medium
+HomeAttack=Strong AwayDefense=Average > HomeGoals=Medium
+AwayAttack=Strong HomeDefense=Average > AwayGoals=Medium
+HomeForm=VeryGood HomeAttack=Strong > HomeGoals=High
+AwayForm=VeryGood AwayAttack=Strong > AwayGoals=High
+HomeAttack=Strong AwayAttack=Strong HomeDefense=Weak AwayDefense=Weak > Over25=High Under25=Low
+HomeDefense=Strong AwayDefense=Strong HomeAttack=Weak AwayAttack=Weak > Under25=High Over25=Low
+HomeDefense=Weak AwayDefense=Weak > Over25=High
+HomeAttack=Strong AwayDefense=Weak > Over25=Medium
+AwayAttack=Strong HomeDefense=Weak > Over25=Medium
+HomeDefense=Strong AwayDefense=Strong > Under25=Medium
+HomeAttack=Weak AwayAttack=Weak > Under25=Medium
+HomeAttack=Weak AwayDefense=Strong > Over25=Low
+AwayAttack=Weak HomeDefense=Strong > Over25=Low
+HomeAttack=Average AwayAttack=Average > Over25=Medium Under25=Medium
 """
 
 
@@ -87,11 +93,12 @@ def kind_of(variable: str) -> str:
     return "TeamStrength" if bare == "Strength" else bare
 
 
-def trapezoid(x: Column, shape: tuple[float, float, float, float]) -> Column:
+def trapezoid(x: np.ndarray, shape: tuple[float, float, float, float]) -> np.ndarray:
+    """Membership of ``x`` in a trapezoid; equal corners on a side mean that it starts at full height."""
     a, b, c, d = map(float, shape)
-    up = F.lit(1.0) if a == b else (x - a) / (b - a)
-    down = F.lit(1.0) if c == d else (d - x) / (d - c)
-    return F.when((x < a) | (x > d), 0.0).when(x < b, up).when(x <= c, 1.0).otherwise(down)
+    up = np.ones_like(x) if a == b else (x - a) / (b - a)
+    down = np.ones_like(x) if c == d else (d - x) / (d - c)
+    return np.where((x < a) | (x > d), 0.0, np.where(x < b, up, np.where(x <= c, 1.0, down)))
 
 
 def on_grid(shape: tuple[float, float, float, float], universe: tuple[float, float, float]) -> bool:
@@ -100,17 +107,18 @@ def on_grid(shape: tuple[float, float, float, float], universe: tuple[float, flo
     return all(abs((v - low) / step - round((v - low) / step)) < 1e-9 for v in shape)
 
 
-def membership(x: Column, kind: str, term: str) -> Column:
-    """Membership of ``x``, clipped to the universe, read off the sampled function by linear interpolation; null: 0."""
+def membership(x: np.ndarray, kind: str, term: str) -> np.ndarray:
+    """Membership of ``x``, clipped to the universe, read off the sampled function by linear interpolation; NaN: 0."""
     low, high, step = UNIVERSES[kind]
     shape = TERMS[kind][term]
-    x = F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(float(high))), F.lit(float(low))))
+    x = np.clip(x, low, high)
     if on_grid(shape, UNIVERSES[kind]):
-        return F.coalesce(trapezoid(x, shape), F.lit(0.0))
-    at = F.floor((x - low) / step)
-    left = trapezoid(at * step + low, shape)
-    right = trapezoid(F.least((at + 1) * step + low, F.lit(float(high))), shape)
-    return F.coalesce(left + (right - left) * ((x - low) / step - at), F.lit(0.0))
+        out = trapezoid(x, shape)
+    else:
+        at = np.floor((x - low) / step)
+        left, right = trapezoid(at * step + low, shape), trapezoid(np.minimum((at + 1) * step + low, high), shape)
+        out = left + (right - left) * ((x - low) / step - at)
+    return np.where(np.isnan(x), 0.0, out)
 
 
 def fatigue(rest_days: Column, recent: Column) -> Column:
@@ -136,56 +144,64 @@ def crisp_inputs(df: DataFrame) -> DataFrame:
 STRETCH = 25
 
 
-def _cuts(falling: Column, rising: Column) -> tuple[Column, Column, Column]:
-    """Where two terms meet over points 1..24: up to n the falling one is larger, up to k it is cut off at its strength, up to q the rising one isn't."""
-    last = float(STRETCH - 1)
-    within = lambda x, low: F.least(F.greatest(x, low), F.lit(last))
-    cross = F.ceil(F.least(STRETCH * falling, F.lit(STRETCH / 2)))
-    cross = F.when(falling <= rising, cross).otherwise(F.greatest(cross, F.ceil(STRETCH * (1 - rising)))).cast("double")
-    n = within(cross - 1, F.lit(0.0))
-    return n, F.least(within(F.floor(STRETCH * (1 - falling)).cast("double"), F.lit(0.0)), n), within(F.floor(STRETCH * rising).cast("double"), n)
-
+def _meeting(falling: np.ndarray, rising: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum over points i = 1..24 of the larger of two clipped terms, and the sum weighted by i: arithmetic series between three cuts.
 
-def _meeting(falling: Column, rising: Column, n: Column, k: Column, q: Column) -> tuple[Column, Column]:
-    """Sum over points i = 1..24 of the larger of two clipped terms, and the sum weighted by i: arithmetic series between the cuts."""
+    Up to n the falling term is larger, up to k it is cut off at its strength, up to q the rising one isn't.
+    """
+    last = STRETCH - 1
+    cross = np.ceil(np.minimum(STRETCH * falling, STRETCH / 2))
+    cross = np.where(falling <= rising, cross, np.maximum(cross, np.ceil(STRETCH * (1 - rising))))
+    n = np.clip(cross - 1, 0, last)
+    k = np.minimum(np.clip(np.floor(STRETCH * (1 - falling)), 0, last), n)
+    q = np.minimum(np.maximum(np.floor(STRETCH * rising), n), last)
     one = lambda x: x * (x + 1) / 2
     two = lambda x: x * (x + 1) * (2 * x + 1) / 6
-    last = STRETCH - 1
     area = falling * k + (n - k) - (one(n) - one(k)) / STRETCH + (one(q) - one(n)) / STRETCH + rising * (last - q)
     moment = falling * one(k) + (one(n) - one(k)) - (two(n) - two(k)) / STRETCH + (two(q) - two(n)) / STRETCH + rising * (one(last) - one(q))
     return area, moment
 
 
-def infer(df: DataFrame, key: str = "MatchID") -> DataFrame:
-    """(key, 7 potentials from 0 to 100, 5 probabilities): inference over a table of feature rows."""
-    rows = crisp_inputs(df)
-    used = sorted({p for a, _ in rules() for p in a})
-    rows = rows.select(key, *[membership(F.col(f"_{v}"), kind_of(v), t).alias(f"m_{v}_{t}") for v, t in used])
-    fired: dict[tuple[str, str], list[Column]] = {}
+def centroid(low: np.ndarray, mid: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Centroid of the clipped output terms on 0..100: points where one term stands alone, and the two stretches where two meet; 50 without any."""
+    left, left_moment = _meeting(low, mid)
+    right, right_moment = _meeting(mid, high)
+    area = low * 26 + mid + high * 26 + left + right
+    moment = low * sum(range(26)) + mid * 50 + high * sum(range(75, 101)) + left_moment + 25 * left + right_moment + 50 * right
+    return np.where(area > 0, moment / np.maximum(area, 1e-300), 50.0)
+
+
+def potentials(variables: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Each output's potential from the rules' variables: memberships, strengths of the rules, centroids."""
+    member = {(v, t): membership(variables[v], kind_of(v), t) for v, t in {p for a, _ in rules() for p in a}}
+    strength: dict[tuple[str, str], np.ndarray] = {}
     for before, after in rules():
-        parts = [F.col(f"m_{v}_{t}") for v, t in before]
+        fired = np.minimum.reduce([member[p] for p in before])
         for then in after:
-            fired.setdefault(then, []).append(F.least(*parts) if len(parts) > 1 else parts[0])
-    strength = [(F.greatest(*fired[o, t]) if len(fired[o, t]) > 1 else fired[o, t][0]) if (o, t) in fired else F.lit(0.0) for o in OUTPUTS for t in OUTPUT_TERMS]
-    rows = rows.select(key, *[c.alias(f"s_{o}_{t}") for c, (o, t) in zip(strength, [(o, t) for o in OUTPUTS for t in OUTPUT_TERMS], strict=True)])
-
-    for o in OUTPUTS:
-        low, mid, high = (F.col(f"s_{o}_{t}") for t in OUTPUT_TERMS)
-        cuts = {f"{c}_{o}_{side}": v for side, f, r in (("l", low, mid), ("r", mid, high)) for c, v in zip("nkq", _cuts(f, r), strict=True)}
-        rows = rows.select("*", *[v.alias(c) for c, v in cuts.items()])
-
-    def centroid(o: str) -> Column:
-        """Centroid of the clipped terms on 0..100: points where one term stands alone, and the two stretches where two meet."""
-        low, mid, high = (F.col(f"s_{o}_{t}") for t in OUTPUT_TERMS)
-        left, left_moment = _meeting(low, mid, *[F.col(f"{c}_{o}_l") for c in "nkq"])
-        right, right_moment = _meeting(mid, high, *[F.col(f"{c}_{o}_r") for c in "nkq"])
-        area = low * 26 + mid + high * 26 + left + right
-        moment = low * sum(range(26)) + mid * 50 + high * sum(range(75, 101)) + left_moment + 25 * left + right_moment + 50 * right
-        return F.when(area > 0, moment / area).otherwise(50.0)
-
-    rows = rows.select(key, *[centroid(o).alias(f"Fuzzy_{n}Potential") for o, n in OUTPUTS.items()])
-    p = {n: F.col(f"Fuzzy_{n}Potential") for n in OUTPUTS.values()}
-    three = p["HomeWin"] + p["Draw"] + p["AwayWin"]
-    two = p["Over25"] + p["Under25"]
-    share = lambda x, s, d: F.when(s > 0, x / s).otherwise(d)
-    return rows.select("*", *[share(p[n], three, 1 / 3).alias(f"Fuzzy_P_{n}") for n in ("HomeWin", "Draw", "AwayWin")], *[share(p[n], two, 0.5).alias(f"Fuzzy_P_{n}") for n in ("Over25", "Under25")])
+            strength[then] = np.maximum(strength[then], fired) if then in strength else fired
+    none = np.zeros_like(next(iter(variables.values())))
+    return {o: centroid(*[strength.get((o, t), none) for t in OUTPUT_TERMS]) for o in OUTPUTS}
+
+
+def _infer(variables: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = {v: batch.column(i + 1).to_numpy(zero_copy_only=False).astype(float) for i, v in enumerate(variables)}
+            p = {OUTPUTS[o]: v for o, v in potentials(x).items()}
+            three, two = p["HomeWin"] + p["Draw"] + p["AwayWin"], p["Over25"] + p["Under25"]
+            share = lambda a, total, other: np.where(total > 0, a / np.where(total > 0, total, 1), other)
+            chances = [share(p[n], three, 1 / 3) for n in ("HomeWin", "Draw", "AwayWin")] + [share(p[n], two, 0.5) for n in ("Over25", "Under25")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, [*p.values(), *chances])], names=[batch.schema.names[0], *_COLUMNS])
+
+    return run
+
+
+_COLUMNS = [f"Fuzzy_{n}Potential" for n in OUTPUTS.values()] + [f"Fuzzy_P_{n}" for n in ("HomeWin", "Draw", "AwayWin", "Over25", "Under25")]
+
+
+def infer(df: DataFrame, key: str = "MatchID") -> DataFrame:
+    """(key, 7 potentials from 0 to 100, 5 probabilities): inference over a table of feature rows, a batch at a time."""
+    variables = sorted({v for a, _ in rules() for v, _ in a})
+    rows = crisp_inputs(df).select(F.col(key), *[F.col(f"_{v}").cast("double").alias(f"_{v}") for v in variables])
+    shape = StructType([rows.schema.fields[0], *StructType.fromDDL(", ".join(f"{c} double" for c in _COLUMNS)).fields])
+    return rows.mapInArrow(_infer(variables), shape)

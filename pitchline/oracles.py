@@ -154,6 +154,7 @@ select id, round(h / (h + d + a), 6) as p_h, round(d / (h + d + a), 6) as p_d, r
 O["m10_platt_apply"] = f"""
 with {SQL_PROBS}, b as (select id, 1 / (1 + exp(-(4 * p_h - 2))) as h, 1 / (1 + exp(-(3 * p_d - 1.5))) as d, 1 / (1 + exp(-(5 * p_a - 2.5))) as a from p)
 select id, round(h / (h + d + a), 6) as p_h, round(d / (h + d + a), 6) as p_d, round(a / (h + d + a), 6) as p_a from b"""
+O["m10_platt_balance"] = f"with {SQL_PROBS} select {', '.join(f"round(avg((y = '{k}')::int), 4) as {k.lower()}" for k in 'HDA')} from p"
 _LASTN = ", ranks as (select season, row_number() over (order by season desc) as k from (select distinct season from p)), q as (select p.*, n.last_n from p join ranks using (season) join (select unnest([1, 2, 3])::int as last_n) n on k <= last_n)"
 O["a20_pooled_seasons"] = f"with {SQL_PROBS}{_LASTN}, {_report('q', 'last_n')} select last_n, n, accuracy, log_loss, brier, recall_h, ece_home, auc from report"
 O["a21_goals_sanity"] = f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-#: Used only where the session names no folder, as in single-machine tests.
+#: Used only where the session names no folder and all runs on one machine, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints/pitchline"
 
 
@@ -12,5 +12,8 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the checkpoint folder that all executors share, and read from there."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR)
+        named, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+        if not named and master != "local" and not master.startswith("local["):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        spark.sparkContext.setCheckpointDir(named or FALLBACK_DIR)
     return df.checkpoint(eager=True)

@@ -1,8 +1,9 @@
 """The classifier registry on Spark ML, and training on top of it.
 
 Missing values are imputed with exact medians of the training rows; the standardisation uses the
-population deviation.  Boosted trees are one-versus-rest gradient-boosted trees: the three
-third-party boosting libraries aren't part of Spark and stand in the registry as unavailable.
+population deviation.  Boosted trees are one-versus-rest gradient-boosted trees; the three
+third-party boosting libraries aren't part of Spark: their entries count as available where their Spark packages are installed
+(not tested here, as none is).
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.ml import Model as MLModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.metrics import outcome_index
@@ -38,6 +39,11 @@ def with_values(train: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in columns if n[c]]
 
 
+def _value(c: str) -> Column:
+    """A feature as a number; NaN counts as missing."""
+    return F.nanvl(F.col(c).cast("double"), F.lit(None))
+
+
 @dataclass
 class Preparation:
     """Medians, means and deviations of the training rows."""
@@ -48,7 +54,7 @@ class Preparation:
     deviation: dict[str, float]
 
     def apply(self, df: DataFrame, scale: bool, label: str | None = None) -> DataFrame:
-        filled = {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(self.median[c])) for c in self.columns}
+        filled = {c: F.coalesce(_value(c), F.lit(self.median[c])) for c in self.columns}
         if scale:
             filled = {c: (v - self.mean[c]) / self.deviation[c] for c, v in filled.items()}
         out = df.select(*[F.col(c) for c in df.columns if c not in filled], *[v.alias(c) for c, v in filled.items()])
@@ -58,9 +64,9 @@ class Preparation:
 
 
 def prepare(train: DataFrame, columns: list[str]) -> Preparation:
-    q = train.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in columns]).first()
+    q = train.agg(*[F.percentile(_value(c), F.lit(0.5)).alias(c) for c in columns]).first()
     median = {c: float(q[c]) if q[c] is not None else 0.0 for c in columns}
-    filled = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(median[c])).alias(c) for c in columns])
+    filled = train.select(*[F.coalesce(_value(c), F.lit(median[c])).alias(c) for c in columns])
     m = filled.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
     return Preparation(columns, median, {c: float(m[f"m_{c}"] or 0) for c in columns}, {c: float(m[f"s_{c}"] or 0) or 1.0 for c in columns})
 
@@ -79,6 +85,24 @@ class Entry:
     available: bool = True
 
 
+def _xgboost(n: int):
+    from xgboost.spark import SparkXGBClassifier
+
+    return SparkXGBClassifier(n_estimators=100, max_depth=4, learning_rate=0.05, subsample=0.8, random_state=SEED)
+
+
+def _synapse(n: int):
+    from synapse.ml.lightgbm import LightGBMClassifier
+
+    return LightGBMClassifier(objective="multiclass", numIterations=100, maxDepth=4, learningRate=0.05, seed=SEED)
+
+
+def _catboost(n: int):
+    from catboost_spark import CatBoostClassifier
+
+    return CatBoostClassifier(iterations=100, depth=4, learningRate=0.05, randomSeed=SEED)
+
+
 def registry(trees: int = 400, boosts: int = 100) -> dict[str, Entry]:
     boosted = lambda depth, bins: OneVsRest(classifier=GBTClassifier(maxIter=boosts, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, maxBins=bins, seed=SEED), parallelism=3)
     there = lambda name: importlib.util.find_spec(name) is not None
@@ -87,7 +111,7 @@ def registry(trees: int = 400, boosts: int = 100) -> dict[str, Entry]:
         "RandomForest": Entry(lambda n: RandomForestClassifier(numTrees=trees, maxDepth=8, minInstancesPerNode=5, featureSubsetStrategy="sqrt", seed=SEED), False),
         "BoostedTrees": Entry(lambda n: boosted(4, 32), False),
         "BoostedTreesShallow": Entry(lambda n: boosted(3, 64), False),
-        "XGBoost": Entry(lambda n: None, False, there("xgboost") and False), "LightGBM": Entry(lambda n: None, False, False and there("lightgbm")), "CatBoost": Entry(lambda n: None, False, False and there("catboost")),
+        "XGBoost": Entry(_xgboost, False, there("xgboost")), "LightGBM": Entry(_synapse, False, there("synapse")), "CatBoost": Entry(_catboost, False, there("catboost_spark")),
     }
 
 
@@ -137,9 +161,3 @@ def fit_all(train: DataFrame, columns: list[str], label: str = "FTR", entries: d
     for d in data.values():
         d.unpersist()
     return out
-
-
-def save(fitted: dict[str, Fitted], path: str) -> None:
-    """Each model under ``path``; an existing version is never overwritten."""
-    for name, f in fitted.items():
-        f.model.write().save(f"{path}/{name}")

@@ -69,6 +69,13 @@ def train(dataset: DataFrame, current: int | None = None, entries: dict[str, mod
     return Trained(columns, fitted, score, weights, platt, reports)
 
 
+def production(trained: Trained, dataset: DataFrame, entries: dict[str, models.Entry] | None = None) -> Trained:
+    """Members refitted on all rows with a result; columns, weights and calibration stay those of ``trained``."""
+    rows = cut(dataset.filter(F.col("FTR").isNotNull()))
+    known = {k: e for k, e in (entries or models.registry()).items() if k in trained.classifiers}
+    return Trained(trained.columns, models.fit_all(rows, trained.columns, entries=known), score_fit.fit(rows), trained.weights, trained.platt, trained.reports)
+
+
 def predict_round(trained: Trained, calendar: DataFrame, history: DataFrame, season: int, round_number: int, version: str) -> DataFrame:
     """Prediction documents of a round: serving features, members, blend, calibration, scores, influences."""
     rows = predict.upcoming(calendar, season, round_number)

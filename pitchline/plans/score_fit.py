@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scores import TAU_FLOOR, sufficient_statistics
+from .lineage import cut
 
 #: Penalty, bounds (attack and defence, advantage, base, rho), shrinkage in matches.
 RIDGE, SHRINK = 0.01, 3.0
@@ -93,12 +94,23 @@ def minimise(f, x: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int =
     return x
 
 
+#: Rows of statistics that the driver fits: 40 bytes each, some 1,000 teams that all play one another.
+MOST_ROWS = 10_000_000
+
+
+def _to_driver(stats: DataFrame):
+    stats = cut(stats)
+    if (n := stats.count()) > MOST_ROWS:
+        raise ValueError(f"{n} pairings and scores are too many for one fit; fit leagues apart")
+    return stats.toPandas()
+
+
 def fit(matches: DataFrame, as_of: Column | None = None, half_life: float = 260.0, **names: str) -> ScoreModel:
     """Fits, centres (prediction-neutral) and shrinks sparse teams' attack and defence by n / (n + 3)."""
     if as_of is None:
         last = matches.agg(F.max(F.to_date(names.get("date", "Date")))).first()[0]
         as_of = F.lit(last)
-    stats = sufficient_statistics(matches, as_of, half_life, **names).filter("home is not null and away is not null and hg is not null and ag is not null").toPandas()
+    stats = _to_driver(sufficient_statistics(matches, as_of, half_life, **names).filter("home is not null and away is not null and hg is not null and ag is not null"))
     if not len(stats):
         return ScoreModel({}, {}, 0.25, 0.0, 0.0)
     stats = stats.sort_values(["home", "away", "hg", "ag"])
@@ -120,7 +132,7 @@ def fit(matches: DataFrame, as_of: Column | None = None, half_life: float = 260.
 
 def log_likelihood(matches: DataFrame, model: ScoreModel, as_of: Column, half_life: float = 260.0, **names: str) -> float:
     """The fitted model's weighted log-likelihood (constants and penalty aside), from the same statistics."""
-    s = sufficient_statistics(matches, as_of, half_life, **names).toPandas()
+    s = _to_driver(sufficient_statistics(matches, as_of, half_life, **names))
     teams = sorted(set(s.home) | set(s.away))
     at = {t: i for i, t in enumerate(teams)}
     x = np.array([model.attack.get(t, 0.0) for t in teams] + [model.defence.get(t, 0.0) for t in teams] + [model.advantage, model.base, model.rho])

@@ -218,6 +218,15 @@ def m10_platt_fit(s: SparkSession, d: str) -> DataFrame:
     return rounded(s.createDataFrame([(k, a, b) for k, a, b in zip("HDA", m.slope, m.intercept, strict=True)], "outcome string, slope double, intercept double"), 4)
 
 
+@query
+def m10_platt_balance(s: SparkSession, d: str) -> DataFrame:
+    """What a fitted logistic curve with an intercept must meet: its mean is the outcome's share."""
+    p = probabilities(s, d)
+    m = ensemble.fit_platt(p)
+    curve = [1 / (1 + F.exp(-(F.col(c) * a + b))) for c, a, b in zip(("p_h", "p_d", "p_a"), m.slope, m.intercept, strict=True)]
+    return rounded(p.agg(*[F.avg(c).alias(k) for k, c in zip("hda", curve, strict=True)]), 4)
+
+
 @query
 def a20_pooled_seasons(s: SparkSession, d: str) -> DataFrame:
     p = probabilities(s, d)

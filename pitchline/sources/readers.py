@@ -76,11 +76,14 @@ def union_seasons(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def prediction_documents(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Prediction files with prediction_time from their names; other names and malformed files are skipped."""
-    reader = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
+def prediction_documents(spark: SparkSession, path: str, schema: str | None = None, parent: bool = False) -> DataFrame:
+    """Prediction files with prediction_time from their names; other names and malformed files are skipped.
+
+    With ``parent`` each prediction is a folder of that name, of files with a document a line, as Spark writes them.
+    """
+    reader = spark.read.option("multiLine", not parent).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
     df = (reader.schema(f"{schema}, _bad string") if schema else reader).json(path)
-    df = df.select("*", F.regexp_extract(F.col("_metadata.file_name"), FILE_NAME, 1).alias("_stamp"))
+    df = df.select("*", F.regexp_extract(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1) if parent else F.col("_metadata.file_name"), FILE_NAME, 1).alias("_stamp"))
     df = df.filter(F.col("_bad").isNull()).drop("_bad") if "_bad" in df.columns else df
     return df.filter(F.col("_stamp") != "").withColumn("prediction_time", F.try_to_timestamp("_stamp", F.lit("yyyyMMdd_HHmmss"))).drop("_stamp")
 
