@@ -270,6 +270,10 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 
 def tag_words(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, langs): the most probable language of every word in turn."""
+    """(key, langs): the most probable language of every word in turn.
+
+    Figures and signs take the language of their neighbours, ties go to the first language by code point.  A null
+    text and one without words have no entries; repeated rows stay; an empty table gives an empty result.
+    """
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(_tag(model), f"key {dict(rows.dtypes)['key']}, langs array<string>").withColumnRenamed("key", key)

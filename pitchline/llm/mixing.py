@@ -118,7 +118,9 @@ def mix_report(df: DataFrame, key: str = "doc_id", source: str = "source", text:
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, budget: float = 1.0) -> DataFrame:
     """The mixed corpus: each row of ``df``, with its columns, as often as the mix takes it.
 
-    Only the narrow table is shuffled; texts stay in their partitions.
+    Only the narrow table is shuffled; texts stay in their partitions.  Rows whose text is null or has no words
+    weigh nothing and follow their source's threshold; a null source is a source of its own; rows that repeat a key are taken or
+    left together.  An empty table gives an empty result.
     """
     _, plan = plan_mix(df, key, source, text, weights, cap, budget)
     whole, cut_at, one = inner(df, "repeats", "cut", "copy")

@@ -122,3 +122,34 @@ def test_components(spark):
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == dict.fromkeys(range(41), 0) | dict.fromkeys((100, 150, 200), 100)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_without_a_key_are_documents_of_their_own(spark):
+    rng = random.Random(77)
+    t, u, v = (" ".join(f"{c}{rng.randrange(900)}" for _ in range(80)) for c in "tuv")
+    near = u.rsplit(" ", 1)[0] + " other"
+    rows = [(1, t, "a"), (None, t, "a"), (None, "", "a"), (None, "", "a"), (None, None, "b"), (None, u, "a"), (None, near, "a"), (None, u, "a"), (5, v, "b"), (5, v, "a"), (None, "one two", "a"), (None, "one two", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    kept = sorted(minhash.drop_near_duplicates(df).collect(), key=str)
+    by = {}
+    for r in kept:
+        by.setdefault(r["text"], []).append((r["doc_id"], r["source"]))
+    assert by[t] == [(1, "a")] and len(by[""]) == 2 and by[None] == [(None, "b")]
+    assert len(by.get(u, []) + by.get(near, [])) == 1 and len(by["one two"]) == 1 and len(by[v]) == 1 and by[v][0][0] == 5
+    again = sorted(minhash.drop_near_duplicates(df.repartition(7)).collect(), key=str)
+    assert again == kept
+    found = minhash.near_duplicates(df, percent=80).collect()
+    assert len(found) == len(rows)
+    assert sorted((r["component_id"] is None, r["kept"]) for r in found if r["doc_id"] is None and r["n_shingles"] > 0) == [(False, False)] + [(True, True)] * 5
+
+
+def test_intersections_equal_set_operations():
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = []
+    for _ in range(90):
+        own = rng.integers(0, 2**63, rng.integers(1, 30), dtype=np.uint64)
+        sets.append(np.unique(np.concatenate([common[rng.random(60) < 0.7], own, sets[rng.integers(len(sets))][:5] if sets else own])))
+    for left, right in ((np.arange(90), np.arange(90)), (np.arange(30), np.arange(30, 90))):
+        got = minhash.overlaps(sets, left, right)
+        assert all(got[i, j] == len(np.intersect1d(sets[p], sets[q])) for i, p in enumerate(left) for j, q in enumerate(right) if p != q)

@@ -46,6 +46,20 @@ def test_stage_list_and_empty_table(spark):
         assert docs.count() == 0
 
 
+def test_stages_on_odd_rows(spark, odd_docs):
+    """Nulls in every column, empty and long texts, ties, repeated rows, clashing names: defined results, no crash."""
+    docs = odd_docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA).cache()
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        if "mixing" not in name:
+            assert out.count() <= docs.count()
+        assert out.count() > 0
+        docs = out
+    ids = corpus_pipeline.pieces_stage(spark, docs, DATA)
+    assert ids.count() == docs.count() and ids.filter("not lossless").count() == 0
+
+
 def test_registry_names():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.queries() if n.startswith("op")) == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(registry.queries())

@@ -42,6 +42,30 @@ def test_quality_features_of_whole_texts():
     assert abs(x[0, 0] - 2 / 9) < 1e-12 and abs(x[0, 9] - 1 / 3) < 1e-12
 
 
+def test_quality_shrinkage_equals_plain_sums(spark):
+    rng = random.Random(15)
+    rows = [(rng.choice(["a", "b", "c", None]), rng.choice(["x", "y", None]), rng.random() ** 2) for _ in range(400)] + [("lone", "x", 0.9)]
+    got = {(r["host"], r["path"]): r for r in quality.site_priors(spark.createDataFrame(rows, "host string, path string, p double"), 0.5).collect()}
+    of = lambda key: [p for h, x, p in rows if key(h, x)]
+    n = len(rows)
+    mean = sum(p for *_, p in rows) / n
+    hosts, paths = {h for h, *_ in rows}, {(h, x) for h, x, _ in rows}
+    size = {h: len(of(lambda a, _, h=h: a == h)) for h in hosts}
+    share = {h: sum(of(lambda a, _, h=h: a == h)) / size[h] for h in hosts}
+    chance = mean * (1 - mean)
+    between = sum(size[h] * (share[h] - mean) ** 2 for h in hosts)  # beyond what chance gives, over the moments' divisor
+    spread = (between - (len(hosts) - 1) * chance) / (n - sum(x * x for x in size.values()) / n)
+    strength = lambda v: min(max(chance / max(v, 1e-9) - 1, 1.0), 1e4)
+    k_host = strength(spread)
+    shrunk = {h: (share[h] * size[h] + k_host * mean) / (size[h] + k_host) for h in hosts}
+    within = sum(len(of(lambda a, b, k=k: (a, b) == k)) * (sum(of(lambda a, b, k=k: (a, b) == k)) / len(of(lambda a, b, k=k: (a, b) == k)) - share[k[0]]) ** 2 for k in paths)
+    k_path = strength((within - (len(paths) - len(hosts)) * chance) / n)
+    assert set(got) == paths
+    for (h, x), r in got.items():
+        assert abs(r["host_share"] - shrunk[h]) < 1e-9 and abs(r["prior_n"] - k_path) < 1e-6 * k_path and abs(r["prior_good"] - shrunk[h] * k_path) < 1e-6 * k_path
+    assert abs(got["lone", "x"]["host_share"] - mean) < abs(0.9 - mean)  # a sparse site is drawn toward the global share
+
+
 def test_quality_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(0, 1), (4, 1), (11, 0), (13, 0), (None, 1), (3, None)], "doc_id long, quality int")
     model = quality.fit(odd_docs, labels)
