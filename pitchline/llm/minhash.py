@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import wordhash as W
 from .components import connected_components, lower_labels, smallest_ids
 from .meetings import linked, sides, within
-from .storage import inner, table
+from .storage import apart, inner, table
 
 POSITIONS, BITS, MISS = 64, 16, 2e-5
 #: Rows and shingles of a part, on average; a comparison holds two parts.
@@ -201,7 +201,7 @@ def _components(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, D
     classes = table(rows.filter("n > 0").groupBy("cid").agg(F.min("id").alias("id"), F.min("row").alias("row"), F.min("sig").alias("sig")))
     bucket = classes.select("cid", "sig").mapInArrow(_keys(chunks_for(percent)), "cid long, keys array<long>").select("cid", F.explode("keys").alias("key"))
     shared = bucket.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low < high").drop("high")
-    members = table(bucket.join(shared, "key"))
+    members = table(bucket.withColumn("k", apart("key")).join(shared.select(apart("key").alias("k"), "low"), "k").select("key", "cid", "low"))
     wanted = classes.join(members.select("cid").distinct(), "cid", "left_semi")
     texts = docs.select("row", "text").join(wanted, "row").dropDuplicates(["row"])
     sets = table(texts.select("cid", "sig", "text").mapInArrow(_sets(words), "cid long, n long, sig binary, full binary"))
