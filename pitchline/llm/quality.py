@@ -127,21 +127,21 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     return train(x[order], got.column("good").to_numpy().astype(float)[order])
 
 
-def _evidence(model: Model, body: str, out: str):
+def _evidence(model: Model, body: str, out: str, drop: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 z = model.evidence(features(batch.column(body)))
-                keep = [c for c in batch.schema.names if c != body]
+                keep = [c for c in batch.schema.names if not (drop and c == body)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(z)], names=[*keep, out])
 
     return run
 
 
-def with_evidence(df: DataFrame, model: Model, body: str, out: str) -> DataFrame:
-    """``df`` with ``out``, the evidence of each text, in place of the column of the texts."""
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name != body)
-    return df.mapInArrow(_evidence(model, body, out), f"{kinds}`{out}` double")
+def with_evidence(df: DataFrame, model: Model, body: str, out: str, drop: bool) -> DataFrame:
+    """``df`` with ``out``, the evidence of each text of the string column ``body``; ``drop`` leaves that column out."""
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if not (drop and f.name == body))
+    return df.mapInArrow(_evidence(model, body, out, drop), f"{kinds}`{out}` double")
 
 
 def site_priors(narrow: DataFrame, share: float) -> DataFrame:
@@ -190,8 +190,11 @@ def score(df: DataFrame, model: Model, host: Column, path: Column, text: str = "
     sh, sp, ss, sn, sg, sw, hs, sc, qc = site
     to_p = 1 / (1 + F.exp(-(F.col(ev) + prior)))
     names = {hc: host.cast("string"), pc: path.cast("string")}
-    rows = base.withColumns(names).withColumn(bc, F.col(text).cast("string"))
-    rows = table(with_evidence(rows if keep_text else rows.drop(text), model, bc, ev))
+    rows, body = base.withColumns(names), text
+    if dict(base.dtypes)[text] != "string":
+        rows, body = rows.withColumn(bc, F.col(text).cast("string")), bc
+    rows = rows if keep_text or body == text else rows.drop(text)
+    rows = table(with_evidence(rows, model, body, ev, body == bc or not keep_text))
     base = base if keep_text else base.drop(text)
     narrow = rows.select(F.col(hc).alias("host"), F.col(pc).alias("path"), to_p.alias("p"))
     sites = table(site_priors(narrow, model.share))
