@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pitchline import cli
 from pitchline.functions.names import localised
 from pitchline.plans import models, pipelines, store
-from pitchline.sources import readers
+from pitchline.sources import readers, sinks
 
 TEAMS = ["Alba", "Boro", "Crest", "Dale", "Elms"]
 
@@ -100,3 +100,15 @@ def test_names_as_shown(spark):
     names = spark.createDataFrame([("A", "Ah")], "name string, shown string")
     assert [r["team"] for r in localised(df, ["team"], names).orderBy("k").collect()] == ["Ah", "B", None]
     assert json.loads(df.select(F.to_json(F.struct("k"))).first()[0])
+
+
+def test_reads_by_season_skip_other_folders(spark, tmp_path):
+    path = str(tmp_path / "matches")
+    df = spark.createDataFrame([(2019, 1), (2020, 2), (2020, 3)], "SeasonStartYear int, x int")
+    sinks.write_seasons(df, path)
+    sinks.write_seasons(df.filter("x = 2"), path)  # replaces its season, leaves the other
+    one = spark.read.parquet(path).filter("SeasonStartYear = 2020")
+    assert [r["x"] for r in one.collect()] == [2] and spark.read.parquet(path).count() == 2
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(SeasonStartYear" in plan
+    assert {f.rsplit("/", 2)[1] for f in one.select(F.input_file_name()).toPandas().iloc[:, 0]} == {"SeasonStartYear=2020"}
