@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, html, langid, lmscore, minhash, mixing, pieces, quality, secrets, vectors
+from . import alignment, bpe, fingerprint, html, langid, lmscore, minhash, mixing, pieces, quality, secrets, vectors
 from . import sql as S
 
 
@@ -69,6 +69,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op11_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(_documents(spark, sf_dir))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir))
 
@@ -80,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op2_html_text, op3_sentencepiece_sampling, op4_secret_scan, op5_language_id, op6_lm_score, op7_quality, op8_embedding_near_dedup, op9_edit_fingerprint, op10_minhash_near_dedup, op13_byte_bpe, pipeline, lm_base_scores)}
+    return {f.__name__: f for f in (op1_source_mix, op2_html_text, op3_sentencepiece_sampling, op4_secret_scan, op5_language_id, op6_lm_score, op7_quality, op8_embedding_near_dedup, op9_edit_fingerprint, op10_minhash_near_dedup, op11_cross_alignment, op13_byte_bpe, pipeline, lm_base_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
