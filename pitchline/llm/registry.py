@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, fingerprint, html, langid, lmscore, minhash, mixing, pieces, quality, secrets, vectors
+from . import alignment, bpe, fingerprint, html, langid, lmscore, minhash, mixing, phrases, pieces, quality, secrets, vectors
 from . import sql as S
 
 
@@ -73,6 +73,10 @@ def op11_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.report(_documents(spark, sf_dir))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_documents(spark, sf_dir))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir))
 
@@ -84,8 +88,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_source_mix, op2_html_text, op3_sentencepiece_sampling, op4_secret_scan, op5_language_id, op6_lm_score, op7_quality, op8_embedding_near_dedup, op9_edit_fingerprint, op10_minhash_near_dedup, op11_cross_alignment, op13_byte_bpe, pipeline, lm_base_scores)}
+    return {f.__name__: f for f in (op1_source_mix, op2_html_text, op3_sentencepiece_sampling, op4_secret_scan, op5_language_id, op6_lm_score, op7_quality, op8_embedding_near_dedup, op9_edit_fingerprint, op10_minhash_near_dedup, op11_cross_alignment, op12_phrase_collocations, op13_byte_bpe, pipeline, lm_base_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mix": S.SOURCE_MIX, "op8_embedding_near_dedup": S.NEAR_VECTORS, "op10_minhash_near_dedup": S.MINHASH, "lm_base_scores": S.LM_BASE}
+    return {"op1_source_mix": S.SOURCE_MIX, "op8_embedding_near_dedup": S.NEAR_VECTORS, "op10_minhash_near_dedup": S.MINHASH, "op12_phrase_collocations": S.PHRASES, "lm_base_scores": S.LM_BASE}

@@ -14,7 +14,7 @@ _VALUE = _RNG.integers(0, 2**64, 256, dtype=U)
 _STEP = int(_RNG.integers(0, 2**62)) * 2 + 1
 _UNSTEP = pow(_STEP, -1, 2**64)
 #: Answers that a worker remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 _power_cache = [np.ones(1, U), np.ones(1, U)]
 
 

@@ -96,3 +96,33 @@ select doc_id, any_value(held_out) as held_out, count(*) as n_tokens, count(c) a
        round(sum(log10((coalesce(c, 0) + 0.1::double) / (n + 0.1::double * (v + 1)))), 4) as base_score
 from tokens left join counts using (t), all_ group by doc_id
 """
+
+PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), listed AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, n, array_to_string(w[i:i + n - 1], ' ') AS phrase
+  FROM (SELECT lang, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT lang, w, unnest([1, 2, 3, 4]) AS n FROM listed) WHERE len(w) >= n)
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM listed GROUP BY lang
+), counts AS (
+  SELECT lang, n, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM grams GROUP BY lang, n, phrase HAVING count(*) >= 30
+), cuts AS (
+  SELECT lang, phrase, f AS a, n, k, array_to_string(w[1:k], ' ') AS lp, array_to_string(w[k + 1:n], ' ') AS rp FROM (SELECT *, unnest(range(1, n)) AS k FROM counts WHERE n >= 2)
+), scored AS (
+  SELECT c.*, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f))::BIGINT AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.lp JOIN counts y ON y.lang = c.lang AND y.phrase = c.rp
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, part, max(f) AS most
+  FROM (SELECT lang, f, unnest(flatten([[array_to_string(w[i:i + m - 1], ' ') FOR i IN range(1, n - m + 2)] FOR m IN range(2, n)])) AS part FROM counts WHERE n >= 3) GROUP BY lang, part
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.part = b.phrase WHERE g.most IS NULL OR 100::HUGEINT * g.most < 80::HUGEINT * b.a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000
+"""
