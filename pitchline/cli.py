@@ -11,7 +11,6 @@ import argparse
 import sys
 from collections.abc import Callable
 from datetime import UTC, date, datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,21 +19,16 @@ from .functions.calendar import current_season
 from .functions.names import localised
 from .operators import cleaning, fuzzy, metrics, predict, rating, reconcile, splits
 from .plans import models, pipelines, store
-from .sources import readers, sinks
+from .sources import files, readers, sinks
 
 #: Rows that the quality report lists of each kind of finding.
 LISTED = 20
 
 
-def _fetch(text: str, kind: str, season: int, folder: Path) -> None:
-    folder.mkdir(parents=True, exist_ok=True)
-    (folder / f"{kind}_{season}.csv").write_text(text, encoding="utf-8")
-
-
 def update(spark: SparkSession, data: str, as_of: date, seasons_back: int = 9, force: bool = False, fetch: Callable[[str, str], str] = readers.fetch_csv) -> int:
     """Raw files to clean tables; 1 if a source failed, before anything is cleaned."""
-    raw = Path(data) / "raw"
-    done, errors = readers.update_all(current_season(as_of), seasons_back, lambda kind, s, text: _fetch(text, kind, s, raw), lambda kind, s: (raw / f"{kind}_{s}.csv").exists(), force, fetch)
+    last, raw = current_season(as_of), lambda kind, s: f"{data}/raw/{kind}_{s}.csv"
+    done, errors = readers.update_all(last, seasons_back, lambda kind, s, text: files.write_text(spark, raw(kind, s), text), lambda kind, s: files.exists(spark, raw(kind, s)), force, fetch)
     if done:
         spark.createDataFrame(done, "kind string, season int, downloaded_at string, row_count long, source_url string").write.mode("append").parquet(f"{data}/provenance")
     if errors:

@@ -4,22 +4,25 @@ from __future__ import annotations
 
 import csv
 import io
-import json
+import re
 import urllib.request
 from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.calendar import fixtures_url, lenient_date, results_url, season_label
 from ..functions.names import known_name
 from ..operators.cleaning import BOUNDS, CORE, FIXTURE_CORE, OPTIONAL, require_columns
 from ..operators.reconcile import FILE_NAME
+from . import files
 
 TIMEOUT_S = 30
 _INT = [c for c in BOUNDS if c not in ("HxG", "AxG")]
-RESULTS_SCHEMA = "Date string, HomeTeam string, AwayTeam string, FTHG string, FTAG string, FTR string, " + ", ".join(f"{c} string" for c in OPTIONAL)
+#: The season in the name of a raw file.
+SEASON_IN_NAME = r"_(\d{4})\.csv"
 
 
 class DataSourceError(RuntimeError):
@@ -42,30 +45,60 @@ def fetch_csv(url: str, name: str, opener: Callable[..., object] = urllib.reques
     return text
 
 
-def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """CSV files with their own header, all columns as text, and the file's name and order for ties."""
-    df = spark.read.option("header", True).option("encoding", "UTF-8").csv(paths)
-    return df.select("*", F.col("_metadata.file_name").alias("_file"))
+def header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Column names of a CSV file: its first line that isn't blank, () without one.
+
+    A column without a name, or with that of one further left (in any case), is called ``_c`` and its place.
+    """
+    line = next((x for x in files.lines(spark, path) if x.strip()), None)
+    names: list[str] = []
+    for i, name in enumerate(next(csv.reader([line])) if line else []):
+        name = name.strip()
+        names.append(f"_c{i}" if not name or name.lower() in {n.lower() for n in names} else name)
+    return tuple(names)
+
+
+def read_csv(spark: SparkSession, paths: str | list[str], since: int | None = None) -> DataFrame:
+    """CSV files (paths or patterns) by column name, all columns as text, and ``_file``, the file's name.
+
+    Each file's values stand under its own header: files of one header are read together, and those of different
+    headers are united by name, so a column that a file lacks is null there.  With ``since``, files
+    of earlier seasons by their name, or of none, aren't opened.  Blank files have no rows.
+    """
+    found = [f for p in ([paths] if isinstance(paths, str) else paths) for f in files.found(spark, p)]
+    if not found:
+        raise DataSourceError(f"no files match {paths}")
+    if since is not None:
+        found = [f for f in found if (m := re.search(SEASON_IN_NAME, f.rsplit("/", 1)[-1])) and int(m[1]) >= since]
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for f in found:  # one line of each file
+        if names := header(spark, f):
+            groups.setdefault(names, []).append(f)
+    frames = []
+    for names, same in groups.items():
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        frames.append(spark.read.option("header", True).option("encoding", "UTF-8").schema(schema).csv(same).select(*[F.col(f"`{n}`") for n in names], F.col("_metadata.file_name").alias("_file")))
+    if not frames:
+        raise DataSourceError(f"no files with a header match {paths}" + ("" if since is None else f" since {since}"))
+    return union_seasons(frames)
 
 
 def season_of_file(name: str = "_file"):
-    return F.try_element_at(F.regexp_extract_all(name, F.lit(r"_(\d{4})\.csv")), F.lit(1)).cast("int")
+    return F.try_element_at(F.regexp_extract_all(name, F.lit(SEASON_IN_NAME)), F.lit(1)).cast("int")
 
 
 def results(spark: SparkSession, paths: str | list[str], since: int | None = None) -> DataFrame:
     """Typed results: lenient dates and numbers (bad ones null), canonical names, season of the file."""
-    raw = require_columns(read_csv(spark, paths), CORE, "results")
+    raw = require_columns(read_csv(spark, paths, since), CORE, "results")
     names = {c: F.expr(f"try_cast(`{c}` as int)") for c in _INT if c in raw.columns} | {c: F.expr(f"try_cast(`{c}` as double)") for c in ("HxG", "AxG") if c in raw.columns}
     out = raw.withColumns({**names, "Date": F.to_date(lenient_date(F.col("Date"))), "HomeTeam": known_name(F.col("HomeTeam")), "AwayTeam": known_name(F.col("AwayTeam")), "SeasonStartYear": season_of_file()})
-    out = out.withColumn("Season", season_label(F.col("SeasonStartYear")))
-    return out if since is None else out.filter(F.col("SeasonStartYear") >= since)
+    return out.withColumn("Season", season_label(F.col("SeasonStartYear")))
 
 
 def fixtures(spark: SparkSession, paths: str | list[str], since: int | None = None) -> DataFrame:
-    raw = require_columns(read_csv(spark, paths), FIXTURE_CORE, "fixtures")
+    raw = require_columns(read_csv(spark, paths, since), FIXTURE_CORE, "fixtures")
     out = raw.withColumns({"Round Number": F.expr("try_cast(`Round Number` as int)"), "Date": lenient_date(F.col("Date")), "Home Team": known_name(F.col("Home Team")), "Away Team": known_name(F.col("Away Team")), "SeasonStartYear": season_of_file()})
-    out = out.withColumn("Season", season_label(F.col("SeasonStartYear")))
-    return out if since is None else out.filter(F.col("SeasonStartYear") >= since)
+    return out.withColumn("Season", season_label(F.col("SeasonStartYear")))
 
 
 def union_seasons(frames: list[DataFrame]) -> DataFrame:
@@ -107,7 +140,3 @@ def update_all(last: int, seasons_back: int, land: Callable[[str, int, str], Non
             land(kind, start, text)
             done.append({"kind": kind, "season": start, "downloaded_at": datetime.now(UTC).isoformat(), "row_count": max(0, sum(1 for _ in csv.reader(io.StringIO(text))) - 1), "source_url": url})
     return done, errors
-
-
-def provenance(rows: list[dict]) -> str:
-    return "\n".join(json.dumps(r) for r in rows)

@@ -35,7 +35,7 @@ def sources(played_until: date):
 
 
 def test_a_season_from_update_to_report(spark, tmp_path):
-    data, day = str(tmp_path), date(2023, 8, 20)
+    data, day = tmp_path.as_uri(), date(2023, 8, 20)
     entries = {k: v for k, v in models.registry(trees=5).items() if k in ("LogisticRegression", "RandomForest", "XGBoost")}
     assert cli.update(spark, data, day, 5, fetch=sources(day)) == 0
     quality = store.read_document(spark, f"{data}/quality_report")
