@@ -31,7 +31,7 @@ DEPTH, FEWEST_BITS, MOST_BITS, BYTES_A_CELL = 3, 14, 24, 256
 #: Cells that are merged as one row.
 BLOCK_BITS = 14
 #: UTF-8 bytes of whole texts that are sketched, and that are counted, together.
-CHUNK_BYTES, COUNTED_BYTES = 1 << 21, 1 << 22
+CHUNK_BYTES, COUNTED_BYTES = 1 << 20, 1 << 21
 #: Shares in which a language's phrases are ranked before its best ones meet.
 SHARES = 64
 UNKNOWN = "und"
