@@ -1,7 +1,9 @@
-"""Elo ratings: a fold over each league's matches in order of date.
+"""Elo ratings: a fold over matches in order of date.
 
-The recurrence crosses teams, so it is no window.  Leagues are dealt to partitions and sorted;
-each partition streams its rows and keeps one number a team, never a league's matches.
+The recurrence crosses teams, so it is no window; but it crosses only teams that meet, directly or through others.
+Groups of such teams are dealt to partitions and sorted; each partition streams its rows and keeps one number a team, never a
+group's matches.  Groups over the whole history are large where teams change leagues; by season they are
+smaller, and seasons follow one another with the ratings handed on.
 """
 
 from __future__ import annotations
@@ -12,6 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import inner
+from ..plans.lineage import cut
+from .groups import connected
+
 START, K_FACTOR, HOME_ADVANTAGE = 1500.0, 20.0, 100.0
 
 
@@ -25,14 +31,35 @@ def margin(gap: Column) -> Column:
     return F.when(gap <= 1, 1.0).when(gap == 2, 1.5).otherwise((11 + gap) / 8)
 
 
-def _fold(k: float, advantage: float, start: float):
+_IN = ("group", "league", "day", "id", "home", "away", "hg", "ag", "rating")
+_OUT = ("id", "league", "day", "home", "away", "home_pre", "away_pre", "home_post", "away_post")
+
+
+def _fold(k: float, advantage: float, start: float, hand_on: bool):
+    """Matches of a group in their order; rows with a rating set their home team's.  ``hand_on``: each group ends with a row a team."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        league, rating = object(), {}
+        group, league, rating = object(), None, {}
+        kinds: dict[str, pa.DataType] = {}
+
+        def batch_of(columns: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.float64())) for n, c in zip(_OUT, columns, strict=True)], names=list(_OUT))
+
+        def ratings_of(league: str | None) -> pa.RecordBatch:
+            n, none = len(rating), [None] * len(rating)
+            return batch_of([none, [league] * n, none, list(rating), none, none, none, list(rating.values()), none])
+
         for batch in batches:
-            out = [[], [], [], []]
-            for at, h, a, hg, ag in zip(*(batch.column(c).to_pylist() for c in ("league", "home", "away", "hg", "ag")), strict=True):
-                if at != league:
-                    league, rating = at, {}
+            kinds = {n: batch.schema.field(n).type for n in _OUT[:5]}
+            out: list[list] = [[] for _ in _OUT]
+            for at, of, day, key, h, a, hg, ag, known in zip(*(batch.column(c).to_pylist() for c in _IN), strict=True):
+                if at != group:
+                    if hand_on and rating:
+                        yield ratings_of(league)
+                    group, league, rating = at, of, {}
+                if known is not None:
+                    rating[h] = known
+                    continue
                 eh, ea = rating.get(h, start), rating.get(a, start)
                 nh, na = eh, ea
                 if hg is not None and ag is not None:
@@ -42,26 +69,62 @@ def _fold(k: float, advantage: float, start: float):
                     change = k * mult * (won - 1 / (1 + 10 ** (-(eh + advantage - ea) / 400)))
                     nh, na = eh + change, ea - change
                     rating[h], rating[a] = nh, na
-                for c, v in zip(out, (eh, ea, nh, na), strict=True):
+                for c, v in zip(out, (key, of, day, h, a, eh, ea, nh, na), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("league"), batch.column("day"), batch.column("home"), batch.column("away"), *(pa.array(c, pa.float64()) for c in out)], names=["id", "league", "day", "home", "away", "home_pre", "away_pre", "home_post", "away_post"])
+            yield batch_of(out)
+        if hand_on and rating:
+            yield ratings_of(league)
 
     return run
 
 
-def elo(matches: DataFrame, key: str = "MatchID", date: str = "Date", home: str = "HomeTeam", away: str = "AwayTeam", home_goals: str = "FTHG", away_goals: str = "FTAG", league: Column | None = None, k: float = K_FACTOR, advantage: float = HOME_ADVANTAGE, start: float = START) -> DataFrame:
+def _node(team: str) -> Column:
+    """A team of a league and season as text, nulls included."""
+    return F.to_json(F.struct("league", "season", F.col(team).alias("team")))
+
+
+def elo(matches: DataFrame, key: str = "MatchID", date: str = "Date", home: str = "HomeTeam", away: str = "AwayTeam", home_goals: str = "FTHG", away_goals: str = "FTAG", league: Column | None = None, k: float = K_FACTOR, advantage: float = HOME_ADVANTAGE, start: float = START, season: Column | None = None) -> DataFrame:
     """(id, league, day, home, away, home_pre, away_pre, home_post, away_post) of each match.
 
-    Rows of one day are folded in the order of their key.  A match without goals changes nothing.
+    Rows of one day are folded in the order of their key.  A match without goals changes nothing.  A null team is a team.
+    Without ``league`` teams that never meet, even through others, are still rated apart, in tasks of their own.  With
+    ``season`` (a number that doesn't fall with the date; null comes first) groups are those of a season, one job a season.
     """
-    rows = matches.select(F.col(key).alias("id"), (league if league is not None else F.lit("all")).cast("string").alias("league"), F.to_date(date).alias("day"), F.col(home).alias("home"), F.col(away).alias("away"), F.col(home_goals).cast("int").alias("hg"), F.col(away_goals).cast("int").alias("ag"))
+    of = (league if league is not None else F.lit("all")).cast("string")
+    rows = matches.select(F.col(key).alias("id"), of.alias("league"), F.to_date(date).alias("day"), F.col(home).alias("home"), F.col(away).alias("away"), F.col(home_goals).cast("int").alias("hg"), F.col(away_goals).cast("int").alias("ag"), (season if season is not None else F.lit(0)).cast("int").alias("season"))
     t = dict(rows.dtypes)
-    return rows.repartition("league").sortWithinPartitions("league", "day", "id").mapInArrow(_fold(k, advantage, start), f"id {t['id']}, league string, day date, home {t['home']}, away {t['away']}, home_pre double, away_pre double, home_post double, away_post double")
+    schema = f"id {t['id']}, league string, day date, home {t['home']}, away {t['away']}, " + ", ".join(f"{c} double" for c in _OUT[5:])
+    rows = rows.withColumns({"node": _node("home"), "other": _node("away"), "rating": F.lit(None).cast("double")})
+    groups = connected(rows, "node", "other")
+    fold = lambda part, hand_on: part.select("group", "league", "day", "id", "home", "away", "hg", "ag", "rating").repartition("group").sortWithinPartitions("group", F.col("rating").isNull(), "day", "id").mapInArrow(_fold(k, advantage, start, hand_on), schema)
+    if season is None:
+        return fold(rows.join(groups, "node"), False)
+    seasons = [r[0] for r in rows.select("season").distinct().sort("season").collect()]  # a row a season
+    done, known = [], None
+    for at in seasons:
+        now = rows.filter(F.col("season").eqNullSafe(F.lit(at)))
+        part = now.join(groups, "node")
+        if known is not None:
+            handed = known.withColumns({"season": F.lit(at).cast("int"), "node": _node("home")}).join(groups, "node")
+            part = part.unionByName(handed, allowMissingColumns=True)
+        folded = cut(fold(part, True))
+        is_team = F.col("id").isNull() & F.col("home_pre").isNull()
+        done.append(folded.filter(~is_team))
+        new = folded.filter(is_team).select("league", "home", F.col("home_post").alias("rating"))
+        if known is not None:
+            left = known.withColumn("node", F.to_json(F.struct("league", "home"))).join(new.select(F.to_json(F.struct("league", "home")).alias("node")), "node", "left_anti").drop("node")
+            new = new.unionByName(left)
+        known = cut(new)
+    out = done[0] if done else fold(rows.join(groups, "node"), False)
+    for part in done[1:]:
+        out = out.unionAll(part)
+    return out
 
 
 def with_ratings(matches: DataFrame, rated: DataFrame, key: str = "MatchID") -> DataFrame:
-    pre = rated.select(F.col("id").alias("_id"), F.col("home_pre").alias("HomeEloPre"), F.col("away_pre").alias("AwayEloPre"), (F.col("home_pre") - F.col("away_pre")).alias("EloDiffPre"))
-    return matches.join(pre, matches[key] == F.col("_id"), "left").drop("_id")
+    (own,) = inner(matches, "id")
+    pre = rated.select(F.col("id").alias(own), F.col("home_pre").alias("HomeEloPre"), F.col("away_pre").alias("AwayEloPre"), (F.col("home_pre") - F.col("away_pre")).alias("EloDiffPre"))
+    return matches.join(pre, matches[key] == F.col(own), "left").drop(own)
 
 
 def latest_ratings(rated: DataFrame, digits: int | None = None) -> DataFrame:
