@@ -2,6 +2,9 @@
 
 All windows of one partitioning share one Exchange and one Sort: lags of every metric are taken in
 one select, the weighted means are arithmetic over them.
+
+A team's log may be cut in pieces by time, each lent the rows before it that its windows reach, so that a team with
+very many rows is the work of many tasks.
 """
 
 from __future__ import annotations
@@ -9,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import inner
+
 DECAY, WINDOWS, CONGESTION_DAYS = 0.85, (3, 5, 10), 14
 METRICS = ("Result", "GF", "GA", "ShotsF", "SOTF", "xGF", "xGA")
 VENUE_METRICS = ("GF", "GA", "Result")
@@ -55,11 +60,60 @@ def schedule_load(df: DataFrame, keys: list[str], date: str, order: list[str], d
     return df.select("*", prior.alias("MatchesPlayedPrior"), F.datediff(F.to_date(date), F.lag(F.to_date(date)).over(w)).alias("RestDays"), (prior - F.count("*").over(older)).cast("int").alias("MatchesLast14Days"))
 
 
-def form_features(log: DataFrame) -> DataFrame:
-    """The log with rolling form, load and venue-split form."""
+class Pieces:
+    """A log cut by time: pieces of ``width`` days a key, each with the last ``rows`` rows and ``days`` days before it on loan.
+
+    ``lent`` is the log with loans, ``keys`` the columns by which its windows are partitioned; ``settle`` drops the
+    loans again.  The first column of ``order`` is the date or time; rows without one stand before all others.
+    """
+
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], width: int, rows: int = max(WINDOWS), days: int = 0) -> None:
+        if width < max(1, days):
+            raise ValueError("a piece is at least as long as its loan in days")
+        piece, lent, self._before, place, n, targets, t = inner(df, "piece", "lent", "before", "place", "n", "targets", "t")
+        self._columns, self._lent, self.keys = df.columns, lent, [*keys, piece]
+        day = F.unix_date(F.to_date(order[0]))
+        own = df.withColumn(piece, F.coalesce(F.floor(day / width), F.lit(-(2**40))))
+        backwards = Window.partitionBy(*self.keys).orderBy(*[F.col(c).desc() for c in order])
+        # What a piece lends: to the next pieces, until those between have rows enough.  A key has a row a piece here.
+        sizes = own.groupBy(*self.keys).agg(F.count("*").alias(n))
+        by_time = Window.partitionBy(*keys).orderBy(piece)
+        after = F.collect_list(F.struct(F.col(piece).alias("p"), F.col(n).alias("n"))).over(by_time.rowsBetween(1, rows))
+        before = F.sum(n).over(by_time)
+        gap = lambda i: F.aggregate(F.slice(targets, F.lit(1), i), F.lit(0).cast("long"), lambda x, y: x + y["n"])
+        lending = sizes.select(*self.keys, before.alias(self._before), after.alias(targets))
+        lending = lending.withColumn(targets, F.transform(targets, lambda x, i: F.struct(x["p"].alias("p"), gap(i).alias("gap"))))
+        lending = lending.select(*[F.col(k).alias(f"{t}{i}") for i, k in enumerate(self.keys)], self._before, F.explode(targets).alias(t))
+        same = [F.col(k).eqNullSafe(F.col(f"{t}{i}")) for i, k in enumerate(self.keys)]
+        last = own.withColumn(place, F.row_number().over(backwards)).filter(F.col(place) <= rows)
+        loans = [last.join(lending, same).filter(F.col(place) + F.col(f"{t}.gap") <= rows).withColumn(piece, F.col(f"{t}.p")).withColumn(self._before, F.col(self._before) + F.col(f"{t}.gap"))]
+        if days:  # the end of a piece is its last rows, so their places count from its end too
+            end = own.filter(day > (F.col(piece) + 1) * width - days).withColumn(place, F.row_number().over(backwards)).filter(F.col(place) > rows)
+            loans.append(end.withColumns({piece: F.col(piece) + 1, self._before: F.lit(None).cast("long")}))
+        out = own.withColumns({lent: F.lit(False), self._before: F.lit(None).cast("long")})
+        for loan in loans:
+            out = out.unionByName(loan.withColumn(lent, F.lit(True)).select(*out.columns))
+        self.lent = out
+
+    def settle(self, df: DataFrame, prior: str | None = None) -> DataFrame:
+        """``df`` without loans and working columns; ``prior``, a count of earlier rows, gets those of earlier pieces added."""
+        if prior:
+            w = Window.partitionBy(*self.keys)
+            more = F.coalesce(F.max(self._before).over(w), F.lit(0)) - F.count_if(F.col(self._lent)).over(w)
+            df = df.withColumn(prior, (F.col(prior) + more).cast("int"))
+        return df.filter(~F.col(self._lent)).drop(self.keys[-1], self._lent, self._before)
+
+
+def form_features(log: DataFrame, width: int | None = None) -> DataFrame:
+    """The log with rolling form, load and venue-split form; with ``width`` in pieces of so many days a team."""
     order = ["Date", "MatchID"]
-    out = schedule_load(weighted_form(log, ["Team"], order, METRICS), ["Team"], "Date", order)
-    return weighted_form(out, ["Team", "Venue"], order, VENUE_METRICS, (5,), prefix="Venue")
+    if width is None:
+        out = schedule_load(weighted_form(log, ["Team"], order, METRICS), ["Team"], "Date", order)
+        return weighted_form(out, ["Team", "Venue"], order, VENUE_METRICS, (5,), prefix="Venue")
+    p = Pieces(log, ["Team"], order, width, days=CONGESTION_DAYS)
+    out = p.settle(schedule_load(weighted_form(p.lent, p.keys, order, METRICS), p.keys, "Date", order), "MatchesPlayedPrior")
+    p = Pieces(out, ["Team", "Venue"], order, width, rows=5)
+    return p.settle(weighted_form(p.lent, p.keys, order, VENUE_METRICS, (5,), prefix="Venue"))
 
 
 def feature_names() -> list[str]:

@@ -16,6 +16,9 @@ from .plans import pipelines, score_fit
 #: Days before which a match counts as played, has a result on file, or an entry in the old history.
 PLAYED_BEFORE, RESULTS_BEFORE, OLD_BEFORE = date(1997, 10, 1), date(2000, 3, 1), date(1996, 1, 1)
 
+#: Days of a team's log that one task looks at, besides what it is lent.
+PIECE_DAYS = 180
+
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -30,14 +33,17 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 @query
 def w1_rolling_form(s: SparkSession, d: str) -> DataFrame:
-    e = event_log(s, d)
-    out = form.schedule_load(form.weighted_form(e, ["user_id"], ["ts", "event_id"], ("value",)), ["user_id"], "ts", ["ts", "event_id"])
+    order = ["ts", "event_id"]
+    p = form.Pieces(event_log(s, d), ["user_id"], order, PIECE_DAYS, days=form.CONGESTION_DAYS)
+    out = p.settle(form.schedule_load(form.weighted_form(p.lent, p.keys, order, ("value",)), p.keys, "ts", order), "MatchesPlayedPrior")
     return rounded(out.select("event_id", "value_L3", "value_L5", "value_L10", F.col("MatchesPlayedPrior").alias("prior"), F.col("RestDays").alias("rest"), F.col("MatchesLast14Days").alias("last14")))
 
 
 @query
 def w5_venue_form(s: SparkSession, d: str) -> DataFrame:
-    return rounded(form.weighted_form(event_log(s, d), ["user_id", "event_type"], ["ts", "event_id"], ("value",), (5,), prefix="venue_").select("event_id", "venue_value_L5"))
+    order = ["ts", "event_id"]
+    p = form.Pieces(event_log(s, d), ["user_id", "event_type"], order, PIECE_DAYS, rows=5)
+    return rounded(p.settle(form.weighted_form(p.lent, p.keys, order, ("value",), (5,), prefix="venue_")).select("event_id", "venue_value_L5"))
 
 
 @query
@@ -49,7 +55,7 @@ def fe_team_log(s: SparkSession, d: str) -> DataFrame:
 @query
 def j1_training_features(s: SparkSession, d: str) -> DataFrame:
     m = matches(s, d)
-    wide = form.merge_sides(m.select("MatchID"), form.form_features(form.team_log(m)))
+    wide = form.merge_sides(m.select("MatchID"), form.form_features(form.team_log(m), PIECE_DAYS))
     return rounded(wide.select(F.col("MatchID").alias("id"), *[F.col(f"{x}_{c}").alias(f"{x[0].lower()}_{c.lower()}") for x in ("Home", "Away") for c in ("Result_L5", "GF_L10", "GA_L3", "VenueGF_L5", "RestDays", "MatchesLast14Days")]))
 
 
