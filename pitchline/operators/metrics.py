@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.probability import OUTCOMES, argmax_label, normalised
+from .quantiles import exact_quantiles
 
 P = ("p_h", "p_d", "p_a")
 BINS = 10
@@ -112,9 +113,8 @@ def beating_baseline(reports: DataFrame, baseline: str, model: str = "model") ->
 
 
 def quantiles(df: DataFrame, columns: list[str], at: tuple[float, ...] = (0.10, 0.25, 0.50, 0.75, 0.90)) -> DataFrame:
-    """(column_name, q): exact interpolated quantiles of each column, nulls aside."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column_name", "value")
-    return long.groupBy("column_name").agg(F.percentile("value", list(at)).alias("q"))
+    """(column_name, q): exact interpolated quantiles of each column, nulls aside; null for a column without values."""
+    return df.sparkSession.createDataFrame(list(exact_quantiles(df, columns, at).items()), "column_name string, q array<double>")
 
 
 def goals_sanity(df: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.metrics import outcome_index
+from ..operators.quantiles import exact_quantiles
 
 DENY = ("MatchID", "Season", "SeasonStartYear", "Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "FTR", "Referee", "split")
 DENY_PREFIX = ("Fuzzy_", "Poisson_")
@@ -64,8 +65,7 @@ class Preparation:
 
 
 def prepare(train: DataFrame, columns: list[str]) -> Preparation:
-    q = train.agg(*[F.percentile(_value(c), F.lit(0.5)).alias(c) for c in columns]).first()
-    median = {c: float(q[c]) if q[c] is not None else 0.0 for c in columns}
+    median = {c: q[0] if q else 0.0 for c, q in exact_quantiles(train.select(*[_value(c).alias(c) for c in columns]), columns, (0.5,)).items()}
     filled = train.select(*[F.coalesce(_value(c), F.lit(median[c])).alias(c) for c in columns])
     m = filled.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
     return Preparation(columns, median, {c: float(m[f"m_{c}"] or 0) for c in columns}, {c: float(m[f"s_{c}"] or 0) or 1.0 for c in columns})
