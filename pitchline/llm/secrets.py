@@ -25,19 +25,20 @@ from pyspark.sql import functions as F
 from . import wordhash as W
 from .storage import cut, inner
 
-#: The dictionary holds the words that occur COMMON times or more; if those were more than WORDS, the
-#: least frequency is the smallest that leaves no more.
-COMMON, WORDS = 3, 500_000
+#: The dictionary holds the words that occur COMMON times or more and are at least this share of all words: however
+#: large the corpus, no more than 1 / SHARE words can be.
+COMMON, SHARE = 3, 2e-6
 #: Characters cut into words at a time, and distinct words that are counted before they are handed on.
 SLICE, HELD = 1_000_000, 100_000
-LEAST, MASK = 10, "[SECRET]"
+LEAST, NAME_BYTES, MASK = 10, 42, "[SECRET]"
 TREES, DEPTH, LEAF = 24, 8, 3
-TELLING = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "authorization", "bearer", "credential", "private_key", "client_secret", "key")
+TELLING = ("password", "passphrase", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "access_key", "auth", "authorization", "bearer", "credential", "private_key", "client_secret", "key")
 HARMLESS = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "digest", "rev", "revision", "id", "uuid", "guid", "phone", "tel", "card", "iban", "isbn", "version", "order", "build", "hash", "etag")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "sk-", "rk_live_", "AIza", "ya29.", "eyJ", "SG.", "npm_", "pypi-", "hf_", "dop_v1_")
 SAMPLE_PATHS = ("test", "example", "sample", "doc", "fixture", "mock")
 _EDGE = "\"'`()[]{}<>,;.!?"
 _ASSIGN = re.compile(r"^([\"']?[A-Za-z][\w.\-]{1,40}[\"']?)(?:=|:=|:)(?!//)(.+)$")
+_NAME_ONLY = re.compile(r"^[\"']?[A-Za-z][\w.\-]*[\"']?(?::=|=|:)$")
 _PEM = re.compile(rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----.*?(?:-----END [A-Z ]{0,40}PRIVATE KEY-----|\Z)", re.S)
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 _GAP = re.compile(r"\s")
@@ -50,6 +51,15 @@ _TWO = np.zeros(1 << 16, bool)  # whether a prefix starts with these two bytes
 _TWO[[h[0] << 8 | h[1] for h in _HEADS]] = True
 
 
+def tells(names: Iterable[str], word: str) -> bool:
+    """Whether a word is one of the names, or holds one of four letters or more."""
+    return any(word == x or (len(x) > 3 and x in word) for x in names)
+
+
+def _telling(raw: bytes) -> bool:
+    return tells(TELLING, raw.decode("utf-8", "replace").lower().strip("\"'"))
+
+
 @dataclass
 class Candidate:
     row: int
@@ -71,15 +81,20 @@ def candidates(data: np.ndarray, off: np.ndarray) -> list[Candidate]:
     equals = np.concatenate([[0], np.cumsum((data == 61) | (data == 58), dtype=np.int32)])
     size = ends - starts
     hit = (size >= LEAST) & ((digits[ends] > digits[starts]) | (equals[ends] > equals[starts]))
-    telling = {w.encode() for w in TELLING}
     row = np.searchsorted(first, np.arange(len(starts)), "right") - 1
     named = np.zeros(len(starts), bool)
-    # a word after "name =" or "name:" is a candidate without figures, too
-    for i in np.flatnonzero((size <= 2) & (equals[ends] > equals[starts])):
-        if i and bytes(data[starts[i - 1] : ends[i - 1]]).lower().strip(b"\"'") in telling:
+    text_of = lambda i: bytes(data[starts[i] : ends[i]])
+    # a word after "name =", "name:", "name is" or "bearer" is a candidate without figures, too
+    signs = (size <= 2) & (equals[ends] > equals[starts])
+    signs |= (size == 2) & (data[starts] == ord("i")) & (data[ends - 1] == ord("s"))
+    for i in np.flatnonzero(signs):
+        if i and row[i - 1] == row[i] and _telling(text_of(i - 1)):
+            named[i + 1 : i + 2] = True
+    for i in np.flatnonzero((data[ends - 1] == 58) & (size <= NAME_BYTES)):
+        if _telling(text_of(i)[:-1]):
             named[i + 1 : i + 2] = True
-    for i in np.flatnonzero((data[ends - 1] == 58) & (size <= 24)):
-        if bytes(data[starts[i] : ends[i] - 1]).lower().strip(b"\"'") in telling:
+    for i in np.flatnonzero((size == 6) & ((data[starts] | 32) == ord("b")) & ((data[ends - 1] | 32) == ord("r"))):
+        if text_of(i).lower() == b"bearer":
             named[i + 1 : i + 2] = True
     named &= size >= 8
     named[1:] &= row[1:] == row[:-1]
@@ -96,11 +111,14 @@ def candidates(data: np.ndarray, off: np.ndarray) -> list[Candidate]:
     for i in np.flatnonzero(hit | named):
         r = int(row[i])
         text, a, name = word(i, r), int(starts[i]), ""
+        if _NAME_ONLY.match(text):
+            continue  # the value stands in the next word
         if m := _ASSIGN.match(text):
             name, value = m[1].strip("\"'"), m[2]
             a += len(text[: m.start(2)].encode())
         else:
-            value = text
+            value = text.lstrip("=:")  # the name stands in the word before
+            a += len(text) - len(value)
         lead = value[: len(value) - len(value.lstrip(_EDGE))]
         a += len(lead.encode())
         value = value.strip(_EDGE)
@@ -161,7 +179,8 @@ def learn_words(texts: list[str]) -> Knowledge:
     for p, n in pairs.items():
         firsts[p[0]] += n
     moves = {p: m for p, n in pairs.items() if (m := _move(n, firsts[p[0]])) > _RARE}
-    return Knowledge(frozenset(w for w, n in words.items() if n >= COMMON and len(w) >= 3), moves, _RARE)
+    least = max(COMMON, SHARE * sum(words.values()))
+    return Knowledge(frozenset(w for w, n in words.items() if n >= least and len(w) >= 3), moves, _RARE)
 
 
 def _coverage(k: Knowledge, value: str) -> float:
@@ -189,14 +208,14 @@ def describe(k: Knowledge, c: Candidate, path: str) -> list[float]:
     freq = Counter(v)
     moves = sum(k.moves.get(a + b, k.rare) for a, b in zip("^" + low, low + "$", strict=True)) / (n + 1)
     near = [c.name.lower(), c.before.lower().strip("=:\"' "), c.further.lower().strip("=:\"' ")]
-    tells = lambda names, w: float(any(w == x or (len(x) > 3 and x in w) for x in names)) if w else 0.0
+    told = lambda names, w: float(tells(names, w))
     return [
         min(len(c.value), 400), moves, _coverage(k, v), -sum(f / n * math.log2(f / n) for f in freq.values()),
         kinds.count("9") / n, kinds.count("a") / n, kinds.count("A") / n, kinds.count("-") / n,
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n, float(all(x in "0123456789abcdefABCDEF" for x in v)),
         float(v.replace("-", "").isdigit()), float(_luhn(v)), float(bool(re.fullmatch(r"[\d.:/]+", v))), float("@" in v), float("/" in v), float("." in v),
         float(bool(_UUID.match(v))), float(v.startswith(PREFIXES)), float(len(c.value) in (32, 40, 64)),
-        tells(TELLING, near[0]), max(tells(TELLING, near[1]), tells(TELLING, near[2])), max(tells(HARMLESS, w) for w in near),
+        told(TELLING, near[0]), max(told(TELLING, near[1]), told(TELLING, near[2])), max(told(HARMLESS, w) for w in near),
         float(c.before in ("=", ":", ":=", "=>") or c.before.endswith((":", "="))), float(c.after[:1] in ("", "#", "/")), float(any(x in path.lower() for x in SAMPLE_PATHS)),
     ]
 
@@ -255,8 +274,11 @@ def grow_forest(x: np.ndarray, y: np.ndarray, seed: int = 4) -> Forest:
     return Forest(trees)
 
 
-def labelled_findings(known: Knowledge, n: int = 1400, seed: int = 44) -> list[tuple[str, str, int]]:
-    """(text, path, is a secret) of made-up findings: credentials of many forms, and look-alikes, among ordinary words."""
+Finding = tuple[str, str, tuple[tuple[int, int], ...]]
+
+
+def labelled_findings(known: Knowledge, n: int = 2800, seed: int = 44) -> list[Finding]:
+    """(text, path, where its secrets start and end) of made-up findings: credentials of many forms, and look-alikes without a secret, among ordinary words."""
     rng = np.random.default_rng(seed)
     words = sorted(known.words) or ["lorem", "ipsum", "dolor"]
     pick = lambda s, n: "".join(rng.choice(list(s), n))
@@ -265,7 +287,7 @@ def labelled_findings(known: Knowledge, n: int = 1400, seed: int = 44) -> list[t
     word = lambda: words[rng.integers(len(words))]
     some = lambda *x: x[rng.integers(len(x))]
     mixed = lambda a, b: pick(b62, int(rng.integers(a, b))) + pick(dig, 1)
-    bare = lambda a, b: pick(up + low, int(rng.integers(a, b)))
+    bare = lambda a, b: pick(some(up + low, up + low, low), int(rng.integers(a, b)))
     long_words = [w for w in words if len(w) >= 8] or [w * 8 for w in words]
     longer = lambda: long_words[rng.integers(len(long_words))]
     phrase = lambda: "".join(word().title() for _ in range(rng.integers(3, 5)))
@@ -274,13 +296,16 @@ def labelled_findings(known: Knowledge, n: int = 1400, seed: int = 44) -> list[t
         d = "4" + pick(dig, 14)
         return next(d + c for c in dig if _luhn(d + c)) if rng.random() < 0.5 else "4" + pick(dig, 15)
 
+    mark = lambda v: f"\x01{v}\x02"  # noqa: E731  the borders of a secret, until the text is whole
+    names = lambda: some("DB_PASSWORD", "db_password", "user_token", "passphrase", "smtp_secret", "AUTH_TOKEN", "client-secret", "password")
     secret = [
-        lambda: some("AKIA", "ASIA") + pick(up + "234567" + dig, 16), lambda: some("ghp_", "gho_", "ghs_") + pick(b62, 36), lambda: some("sk_live_", "rk_live_") + pick(b62, 24),
-        lambda: "xoxb-" + pick(dig, 12) + "-" + pick(b62, 24), lambda: "AIza" + pick(b62 + "-_", 35), lambda: "hf_" + pick(b62, 34), lambda: "glpat-" + pick(b62, 20), lambda: "eyJ" + pick(b62, 30) + "." + pick(b62, 60) + "." + pick(b62, 40),
-        lambda: some("password", "passwd", "pwd", "secret", "api_key", "token", "client_secret") + some("=", ":") + some(pick(hexa, 18), pick(hexa, 32), mixed(12, 30), pick(b62 + "!#%+/", 16) + "9"),
-        lambda: some("token", "secret", "api_key", "password", "auth") + some(" = ", ": ") + '"' + some(pick(hexa, 40), pick(hexa, 32), pick(hexa, 64), mixed(20, 44)) + '"',
-        lambda: some("password", "passwd", "secret", "token", "api_key") + some(" = ", ": ", "=", " := ") + some('"{}"', "{}").format(some(bare(8, 30), phrase())), lambda: some(*PREFIXES[:10]) + bare(16, 37),
-        lambda: some("Authorization: Bearer ", "bearer ") + mixed(24, 60), lambda: "export " + some("AWS_SECRET_ACCESS_KEY", "API_KEY", "DB_PASSWORD", "AUTH_TOKEN") + "=" + mixed(16, 40),
+        lambda: mark(some("AKIA", "ASIA") + pick(up + "234567" + dig, 16)), lambda: mark(some("ghp_", "gho_", "ghs_") + pick(b62, 36)), lambda: mark(some("sk_live_", "rk_live_") + pick(b62, 24)),
+        lambda: mark("xoxb-" + pick(dig, 12) + "-" + pick(b62, 24)), lambda: mark("AIza" + pick(b62 + "-_", 35)), lambda: mark("hf_" + pick(b62, 34)), lambda: mark("glpat-" + pick(b62, 20)), lambda: mark("eyJ" + pick(b62, 30) + "." + pick(b62, 60) + "." + pick(b62, 40)),
+        lambda: some("password", "passwd", "pwd", "secret", "api_key", "token", "client_secret") + some("=", ":", " =") + mark(some(pick(hexa, 18), pick(hexa, 32), mixed(12, 30), pick(b62 + "#%+/", 16) + "9")),
+        lambda: some("token", "secret", "api_key", "password", "auth") + some(" = ", ": ") + '"' + mark(some(pick(hexa, 40), pick(hexa, 32), pick(hexa, 64), mixed(20, 44))) + '"',
+        lambda: some("password", "passwd", "secret", "token", "api_key") + some(" = ", ": ", "=", " := ", " =") + some('"{}"', "{}").format(mark(some(bare(8, 30), phrase()))), lambda: mark(some(*PREFIXES[:10]) + bare(16, 37)),
+        lambda: some("Authorization: Bearer ", "bearer ", "Authorization: bearer ") + mark(some(mixed(24, 60), bare(20, 44))), lambda: "export " + some("AWS_SECRET_ACCESS_KEY", "API_KEY", "DB_PASSWORD", "AUTH_TOKEN") + "=" + mark(mixed(16, 40)),
+        lambda: names() + some(": ", " = ", "=", " =", " := ") + mark(some(phrase(), bare(10, 24), mixed(12, 30))), lambda: some("my ", "the ", "") + some("password", "token", "passphrase") + some(" is ", " is: ") + mark(some(bare(10, 24), phrase(), mixed(10, 24))),
     ]
     plain = [
         card, lambda: ".".join(str(rng.integers(1, 255)) for _ in range(4)), lambda: word() + "." + pick(dig, 2) + "@mail" + pick(dig, 1) + ".example.com", lambda: word() + "@" + word() + ".org", lambda: some("+1 (547) ", "+49 30 ") + "555-" + pick(dig, 4),
@@ -288,12 +313,14 @@ def labelled_findings(known: Knowledge, n: int = 1400, seed: int = 44) -> list[t
         lambda: f"20{pick(dig, 2)}-0{pick('123456789', 1)}-1{pick(dig, 1)}T1{pick(dig, 1)}:{pick('12345', 1)}0:00Z", lambda: word() + "_" + word() + pick(dig, 2), lambda: word() + word().title() + word().title() + pick(dig, 1), lambda: "version=" + pick(dig, 1) + "." + pick(dig, 2) + "." + pick(dig, 4), lambda: word() + "/" + word() + "/" + word() + pick(dig, 3) + ".html",
         lambda: some("password", "token", "secret", "api_key") + "=" + some("changeme123", "your_token_here1", "<your-key-1>", "example123456", "xxxxxxxxxxxx1", "${DB_PASSWORD1}", "0000000000"), lambda: "ISBN 978-" + pick(dig, 1) + "-" + pick(dig, 2) + "-" + pick(dig, 6) + "-" + pick(dig, 1), lambda: "order=" + pick(dig, 12), lambda: word() + "=" + word() + pick(dig, 1) + word(), lambda: word().upper() + pick(dig, 3) + word().upper(), lambda: word() + "***" + pick(dig, 2) + word(), lambda: word() * 3 + pick(dig, 2),
         lambda: some("password", "secret", "token", "auth", "key", "api_key") + some(": ", " = ", ":") + some(longer(), longer().title(), longer() + "_" + word(), "changeme", "<your-key>", "undefined", "xxxxxxxxxx"), lambda: some("sk-", "npm_", "pypi-", "hf_", "SG.", "eyJ") + longer() + some("-", "_", "") + word(),
+        lambda: some("password", "token", "secret", "bearer", "passphrase") + some(" is ", " ") + longer(), lambda: names() + some(": ", " = ") + some(longer(), longer() + "_" + word(), longer().title()), lambda: some("author: ", "tokens: ", "keywords: ") + some(longer(), longer().title()),
     ]
     out = []
     for i in range(n):
         made = some(*(secret if i % 2 else plain))()
         text = " ".join([word() for _ in range(rng.integers(0, 4))] + [made] + [word() for _ in range(rng.integers(0, 4))])
-        out.append((text, some("src" + pick(dig, 1), "web", "app/config", "docs/example", "test/data"), i % 2))
+        start, end = text.find("\x01"), text.find("\x02") - 1
+        out.append((text.replace("\x01", "").replace("\x02", ""), some("src" + pick(dig, 1), "web", "app/config", "docs/example", "test/data"), ((start, end),) if i % 2 else ()))
     return out
 
 
@@ -303,19 +330,23 @@ class Model:
     forest: Forest
 
 
-def train(texts: list[str], findings: list[tuple[str, str, int]] | None = None) -> Model:
-    """A model with the dictionary of ``texts``, trained on labelled findings (text, path, is a secret)."""
+def train(texts: list[str], findings: list[Finding] | None = None) -> Model:
+    """A model with the dictionary of ``texts``, trained on labelled findings: (text, path, where its secrets start and end)."""
     return teach(learn_words(texts), findings)
 
 
-def teach(known: Knowledge, findings: list[tuple[str, str, int]] | None = None) -> Model:
-    """A model with this dictionary, trained on labelled findings (text, path, is a secret)."""
+def teach(known: Knowledge, findings: list[Finding] | None = None) -> Model:
+    """A model with this dictionary, trained on labelled findings (places count code points).
+
+    A candidate is a secret if it overlaps one; names and other words beside it aren't.
+    """
     x, y = [], []
-    for text, path, label in findings if findings is not None else labelled_findings(known):
+    for text, path, spans in findings if findings is not None else labelled_findings(known):
         raw = np.frombuffer(text.encode(), np.uint8)
+        places = [(len(text[:a].encode()), len(text[:b].encode())) for a, b in spans]
         for c in candidates(raw, np.array([0, len(raw)])):
             x.append(describe(known, c, path))
-            y.append(label)
+            y.append(any(c.start < b and a < c.end for a, b in places))
     return Model(known, grow_forest(np.array(x), np.array(y, float)) if x else Forest([]))
 
 
@@ -329,18 +360,15 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def know(df: DataFrame, text: str = "text") -> Knowledge:
     """What ``learn_words`` learns, over all whole texts of ``df``: words and pairs are counted where the texts lie.
 
-    The driver gets the dictionary, of at most ``WORDS`` words, and the pairs above the least log-probability,
-    of which a character begins no more than 400.
+    The driver gets the dictionary, of at most 1 / SHARE words, and the pairs above the least log-probability,
+    of which a character begins no more than 400.  Null and empty texts have no words, rows that repeat a text count each;
+    an empty table gives an empty dictionary.
     """
     parts = df.select(F.col(text).cast("string").alias("text")).mapInArrow(_counts, "pair boolean, item string, n long")
     counts = cut(parts.groupBy("pair", "item").agg(F.sum("n").alias("n")))
-    words = counts.filter(~F.col("pair") & (F.length("item") >= 3) & (F.col("n") >= COMMON))
-    left, least = 0, COMMON
-    for r in sorted(words.groupBy("n").count().collect(), reverse=True):
-        left += r["count"]
-        if left > WORDS:
-            least = r["n"] + 1
-            break
+    words = counts.filter(~F.col("pair"))
+    least = max(COMMON, SHARE * (words.agg(F.sum("n")).first()[0] or 0))
+    words = words.filter(F.length("item") >= 3)
     pairs = counts.filter("pair").withColumn("first", F.substring("item", 1, 1))
     firsts = pairs.groupBy("first").agg(F.sum("n").alias("all"))
     usual = pairs.join(firsts, "first").filter((F.col("n") + 0.5) / (F.col("all") + 20.0) > 0.5 / 200.0)
@@ -349,7 +377,7 @@ def know(df: DataFrame, text: str = "text") -> Knowledge:
 
 
 def fit(df: DataFrame, text: str = "text") -> Model:
-    """A model whose dictionary and transitions come from all whole texts."""
+    """A model whose dictionary and transitions come from all whole texts; see ``know`` for odd ones."""
     return teach(know(df, text))
 
 

@@ -125,9 +125,9 @@ def test_secrets_dictionary_counts_all_whole_texts(spark, no_docs):
 def test_secrets_dictionary_bound_and_slices(spark, monkeypatch):
     rows = [(i, "aaaa " * 9 + "bbbb " * 5 + "cccc dddd " * 3) for i in range(2)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for most, words in ((1, {"aaaa"}), (2, {"aaaa", "bbbb"}), (3, {"aaaa", "bbbb"}), (4, {"aaaa", "bbbb", "cccc", "dddd"})):
-        monkeypatch.setattr(secrets, "WORDS", most)
-        assert secrets.know(df).words == words
+    for share, words in ((0.4, {"aaaa"}), (0.25, {"aaaa", "bbbb"}), (0.2, {"aaaa", "bbbb"}), (0.1, {"aaaa", "bbbb", "cccc", "dddd"}), (0.9, set())):
+        monkeypatch.setattr(secrets, "SHARE", share)  # of 40 words
+        assert secrets.know(df).words == secrets.learn_words([r[1] for r in rows]).words == words and len(words) <= 1 / share
     text = "ab cde\u2003fgh  cde " * 50
     whole = secrets.learn_words([text])
     monkeypatch.setattr(secrets, "SLICE", 7)
@@ -157,13 +157,18 @@ def plain_candidates(texts: list[str]) -> list[tuple]:
         for i, (at, w) in enumerate(words):
             one, two = (words[i - k][1] if i >= k else b"" for k in (1, 2))
             sign = lambda x: b"=" in x or b":" in x
-            named = len(w) >= 8 and (0 < len(one) <= 2 and sign(one) and bare(two) in secrets.TELLING or len(one) <= 24 and one.endswith(b":") and bare(one[:-1]) in secrets.TELLING)
+            tell = lambda x: any(bare(x) == n or len(n) > 3 and n in bare(x) for n in secrets.TELLING)
+            named = len(w) >= 8 and ((0 < len(one) <= 2 and sign(one) or one == b"is") and tell(two) or len(one) <= 42 and one.endswith(b":") and tell(one[:-1]) or one.lower() == b"bearer")
             head = w.lstrip(secrets._EDGE.encode()).startswith(tuple(p.encode() for p in secrets.PREFIXES))
             if not named and not (len(w) >= secrets.LEAST and (any(48 <= c < 58 for c in w) or sign(w) or head)):
                 continue
             value, name = w.decode("utf-8", "replace"), ""
+            if re.match(r"^[\"']?[A-Za-z][\w.\-]*[\"']?(?::=|=|:)$", value):
+                continue
             if m := re.match(r"^([\"']?[A-Za-z][\w.\-]{1,40}[\"']?)(?:=|:=|:)(?!//)(.+)$", value):
                 name, value, at = m[1].strip("\"'"), m[2], at + len(value[: m.start(2)].encode())
+            else:
+                at, value = at + len(value) - len(value.lstrip("=:")), value.lstrip("=:")
             while value and value[0] in secrets._EDGE:
                 value, at = value[1:], at + len(value[0].encode())
             value = value.rstrip(secrets._EDGE)
@@ -174,7 +179,7 @@ def plain_candidates(texts: list[str]) -> list[tuple]:
 
 def test_no_candidate_is_lost_against_a_plain_finder():
     rng = random.Random(31)
-    bits = ["password", "secret:", "token", "api_key", "=", ":", ":=", "=>", '"', "'", "(", "AKIA", "ghp_", "glpat-", "sk-", "eyJ", "river", "mountains", "x9", "0123456789", "é", "—", "key=", "Étage12345", "a@b.c", "https://h/1", "-----", "CorrectHorseBattery", "{", "}", ",", "ABCDEFGH"]
+    bits = ["password", "secret:", "token", "api_key", "=", ":", ":=", "=>", '"', "'", "(", "AKIA", "ghp_", "glpat-", "sk-", "eyJ", "river", "mountains", "x9", "0123456789", "é", "—", "key=", "Étage12345", "a@b.c", "https://h/1", "-----", "CorrectHorseBattery", "{", "}", ",", "ABCDEFGH", " is ", "Bearer ", "DB_PASSWORD: ", "=hunter2abcde", "user_token:"]
     for _ in range(300):
         texts = ["".join(rng.choice(bits) + rng.choice(["", "", " ", "\n", "\u2003"]) for _ in range(rng.randint(0, 40))) for _ in range(rng.randint(1, 4))]
         raw = [t.encode() for t in texts]
@@ -204,6 +209,35 @@ def test_secrets_in_formats_not_trained_on():
     assert np.mean([ok for y, ok in right if y]) >= 0.75 and np.mean([ok for y, ok in right if not y]) >= 0.75
 
 
+#: Carriers of a secret in formats of several kinds; {} is where it stands.
+CARRIERS = [
+    "Authorization: Bearer {}", "curl -H \"Authorization: Bearer {}\" quiet", "db_password = {}", "passphrase = {}", "user_token: {}", "my password is {} there", "DB_PASSWORD: {}", "password ={}", "smtp_secret={}", "the token is {}", 'client_secret: "{}"', "export API_TOKEN={}",
+]
+
+
+def test_secrets_are_found_where_they_were_planted():
+    texts = ["the river runs past the old stone window and the quiet garden sleeps there with order and number " * 3] * 40
+    model, rng = secrets.train(texts), random.Random(12)
+    letters, planted, found, extra = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ", 0, 0, 0
+    for carrier in CARRIERS:
+        for kind in range(20):
+            value = "".join(rng.choice(letters + "23456789" * (kind % 2)) for _ in range(rng.randint(16, 30))) if kind % 4 else "".join(w.title() for w in rng.sample(["zebra", "crossing", "night", "correct", "horse", "battery"], 4))
+            text = "the old stone " + carrier.format(value) + " past the garden"
+            raw, at = np.frombuffer(text.encode(), np.uint8), len("the old stone " + carrier.split("{}")[0])
+            spans = [(a, b) for _, a, b, _, s in secrets.scan_chunk(model, raw, np.array([0, len(raw)]), ["src1"]) if s >= 0.5]
+            planted, found = planted + 1, found + ((at, at + len(value)) in spans)
+            extra += len([x for x in spans if x != (at, at + len(value))])
+    assert found >= 0.93 * planted and extra == 0, (planted, found, extra)
+
+
+def test_names_beside_a_secret_are_no_secrets():
+    model = secrets.train(["the river runs past the old stone window and the quiet garden sleeps there " * 3] * 40)
+    for text in ("Authorization: Bearer abcdefghijklmnopqrstuv", "Authorization: Bearer x", "Proxy-Authorization: none here", "DB_PASSWORD: the garden sleeps", "password: garden_window", "the password is sleeping"):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        got = [text[a:b] for _, a, b, _, s in secrets.scan_chunk(model, raw, np.array([0, len(raw)]), ["src1"]) if s >= 0.5]
+        assert got == (["abcdefghijklmnopqrstuv"] if "abcdef" in text else []), text
+
+
 def test_many_private_keys_take_no_longer_each():
     import time
 
