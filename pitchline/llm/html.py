@@ -10,7 +10,7 @@ aligned in columns.  Building and walking use explicit stacks, so deep nesting i
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -58,7 +58,7 @@ def parse(html: str) -> Node:
     """The page's tree: nodes hold nodes and strings (entities resolved)."""
     root = Node("#root", {})
     stack, at, low = [root], 0, None
-    opened: Counter[str] = Counter()  # tags on the stack
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # by tag, its places on the stack
 
     def add_text(s: str) -> None:
         if s:
@@ -66,17 +66,19 @@ def parse(html: str) -> Node:
                 close(frozenset(["head"]), frozenset())
             stack[-1].items.append(unescape(s) if "&" in s else s)
 
-    def close(tags: frozenset[str], barrier: frozenset[str]) -> None:
-        if not any(opened[t] for t in tags):
-            return
-        for i in range(len(stack) - 1, 0, -1):
-            tag = stack[i].tag
-            if tag in tags:
-                opened.subtract(n.tag for n in stack[i:])
-                del stack[i:]
-                return
-            if tag in barrier:
-                return
+    def last(tags: frozenset[str]) -> int:
+        """The highest place of any of the tags, 0 (the root's) without one."""
+        return max((opened[t][-1] for t in tags if opened[t]), default=0)
+
+    def close(tags: frozenset[str], barrier: frozenset[str]) -> bool:
+        """Ends the innermost of the tags with all within it, unless a barrier stands further in; whether it did."""
+        place = last(tags)
+        if not place or place < last(barrier):
+            return False
+        for n in stack[place:]:
+            opened[n.tag].pop()
+        del stack[place:]
+        return True
 
     while True:
         m = _TOKEN.search(html, at)
@@ -111,8 +113,8 @@ def parse(html: str) -> Node:
             close(frozenset(["head"]), frozenset())
         if tag in IMPLIED:
             tags, barrier = IMPLIED[tag]
-            while any(opened[t] for t in tags) and any(n.tag in tags for n in _upto(stack, barrier)):
-                close(tags, barrier)
+            while close(tags, barrier):
+                pass
         node = Node(tag, attrs)
         stack[-1].items.append(node)
         foreign = (opened["svg"] or opened["math"]) and not opened["foreignobject"]
@@ -131,15 +133,8 @@ def parse(html: str) -> Node:
             close_at = html.find(">", end) if end >= 0 else -1
             at = close_at + 1 if close_at >= 0 else len(html)
             continue
+        opened[tag].append(len(stack))
         stack.append(node)
-        opened[tag] += 1
-
-
-def _upto(stack: list[Node], barrier: frozenset[str]) -> Iterator[Node]:
-    for n in reversed(stack[1:]):
-        if n.tag in barrier:
-            return
-        yield n
 
 
 class Sheet:
