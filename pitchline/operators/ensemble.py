@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.probability import OUTCOMES, normalised
+from ..plans.lineage import cut
 
 P = ("p_h", "p_d", "p_a")
 
@@ -44,36 +47,60 @@ class Platt:
         return df.select(*[out[c].alias(c) if c in out else F.col(c) for c in df.columns])
 
 
-def fit_platt(df: DataFrame, cells: int = 1000) -> Platt:
-    """One-dimensional ridge logistic regressions (penalty w ** 2 / 2) of each outcome on its probability.
+def fit_platt(df: DataFrame, rounds: int = 50) -> Platt:
+    """One-dimensional ridge logistic regressions (penalty w ** 2 / 2) of each outcome on its probability, over all rows.
 
-    Rows are summed into at most ``cells`` cells of the probability with their mean and hits; Newton steps on the
-    cells run on the driver, so the data that reaches it doesn't grow with the rows.  A cell's rows count at their
-    mean: an approximation whose error in the gradient is below a row's share of 1 / (8 * cells ** 2) of slope squared.
+    Each Newton step is one aggregation: slope and curvature of the three objectives, fifteen sums.  Rows without a
+    probability count for the other outcomes alone.
     """
-    slope, intercept = [], []
-    for p, k in zip(P, OUTCOMES, strict=True):
-        got = df.filter(F.col(p).isNotNull()).groupBy(F.floor(F.col(p) * cells).alias("c")).agg(F.avg(p).alias("x"), F.count("*").alias("n"), F.count_if(F.col("y") == k).alias("hits")).collect()
-        x, n, h = (np.array([r[c] for r in got], float) for c in ("x", "n", "hits"))
-        w = np.zeros(2)
-        z = np.stack([x, np.ones(len(x))], axis=1)
-        for _ in range(50):
-            q = 1 / (1 + np.exp(-z @ w))
-            g = z.T @ (h - n * q) - np.array([w[0], 0.0])
-            hess = (z * (n * q * (1 - q))[:, None]).T @ z + np.diag([1.0, 1e-9])
-            step = np.linalg.solve(hess, g)
-            w += step
-            if np.abs(step).max() < 1e-10:
-                break
-        slope.append(float(w[0]))
-        intercept.append(float(w[1]))
-    return Platt(tuple(slope), tuple(intercept))
-
-
-def fit_isotonic(df: DataFrame, p: str, outcome: str):
-    """A non-decreasing calibration curve (diagnostic), by the library's isotonic regression."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
-
-    rows = VectorAssembler(inputCols=[p], outputCol="x").transform(df.select(p, (F.col("y") == outcome).cast("double").alias("label")))
-    return IsotonicRegression(featuresCol="x", labelCol="label").fit(rows)
+    rows = cut(df.select(*P, "y"))
+    w, open_ = np.zeros((3, 2)), [0, 1, 2]
+    for _ in range(rounds):
+        sums = []
+        for k in open_:
+            p, (slope, intercept) = F.col(P[k]), w[k].tolist()
+            q = 1 / (1 + F.exp(-(p * slope + intercept)))
+            gap, wide = F.coalesce((F.col("y") == OUTCOMES[k]).cast("double"), F.lit(0.0)) - q, q * (1 - q)
+            sums += [F.sum(F.when(p.isNotNull(), x)) for x in (p * gap, gap, p * p * wide, p * wide, wide)]
+        got = np.array([x or 0.0 for x in rows.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]).reshape(-1, 5)
+        moved = []
+        for k, (g0, g1, h00, h01, h11) in zip(open_, got, strict=True):
+            step = np.linalg.solve([[h00 + 1.0, h01], [h01, h11 + 1e-9]], [g0 - w[k, 0], g1])
+            w[k] += step
+            if np.abs(step).max() >= 1e-10:
+                moved.append(k)
+        open_ = moved
+        if not open_:
+            break
+    return Platt(tuple(w[:, 0].tolist()), tuple(w[:, 1].tolist()))
+
+
+def _pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks in order of their values, neighbours pooled as long as the earlier one's mean isn't the lower."""
+    blocks: list[list] = []
+    for batch in batches:
+        for block in zip(*(batch.column(c).to_pylist() for c in _BLOCK), strict=True):
+            blocks.append(list(block))
+            while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:  # whole numbers: exact
+                _, high, hits, n = blocks.pop()
+                blocks[-1][1:] = high, blocks[-1][2] + hits, blocks[-1][3] + n
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*blocks, strict=True) if blocks else [[]] * 4, (pa.float64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=list(_BLOCK))
+
+
+_BLOCK = ("low", "high", "hits", "n")
+
+
+def fit_isotonic(df: DataFrame, p: str, outcome: str, ranges: int = 64, fewer: int = 16) -> DataFrame:
+    """(low, high, hits, n, value): the non-decreasing calibration curve of least squares, as blocks of equal value.
+
+    Rows are summed by probability, pooled within ranges of it, and the blocks of neighbouring ranges are pooled again in
+    ever fewer ranges; pooling blocks instead of rows changes nothing.  The last task sees blocks, not rows.  Rows without a
+    probability don't count; no rows give no blocks.
+    """
+    rows = df.filter(F.col(p).isNotNull()).groupBy(F.col(p).cast("double").alias("low")).agg(F.count_if(F.col("y") == outcome).alias("hits"), F.count("*").alias("n"))
+    blocks = rows.select("low", F.col("low").alias("high"), "hits", "n")
+    while True:
+        blocks = cut(blocks.repartitionByRange(ranges, "low").sortWithinPartitions("low").mapInArrow(_pool, "low double, high double, hits long, n long"))
+        if ranges == 1:
+            return blocks.select(*_BLOCK, (F.col("hits") / F.col("n")).alias("value"))
+        ranges = max(1, ranges // fewer)

@@ -160,7 +160,17 @@ O["a20_pooled_seasons"] = f"with {SQL_PROBS}{_LASTN}, {_report('q', 'last_n')} s
 O["a21_goals_sanity"] = f"""
 with {SQL_PROBS}, {_ROWS.format(rows="p")} select round(avg((guess = y)::int), 6) as accuracy, round(avg(((p_h + p_d / 2 > 0.5) = (goals > 2.5))::int), 6) as over_under_accuracy,
   {", ".join(f"round(avg(p_h) filter (y = '{k}'), 6) as mean_p_h_{k.lower()}" for k in "HDA")} from s"""
-O["a29_comparison"] = f"with {SQL_PROBS}, {_ROWS.format(rows='p')} select model, count(*) as n, round(avg((guess = y)::int), 4) as accuracy, round(avg(ll), 4) as log_loss, round(avg(br), 4) as brier, round(avg((guess = y)::int) filter (y = 'H'), 3) as recall_h from s group by model"
+O["a29_comparison"] = f"with {SQL_PROBS}, {_report('p', 'model')} select model, n, round(accuracy, 4) as accuracy, round(log_loss, 4) as log_loss, round(brier, 4) as brier, round(auc, 4) as auc, round(ece_home, 4) as ece_home, round(recall_h, 3) as recall_h from report"
+O["m11_isotonic"] = f"""
+with {SQL_PROBS}, v as (select p_h, count(*) filter (y = 'H') as hits, count(*) as n, row_number() over (order by p_h) as i from p group by p_h),
+means as (select j.i as j, k.i as k, (select sum(hits) / sum(n) from v where i between j.i and k.i) as m from v j join v k on j.i <= k.i),
+least_from as (select j, k as i, min(m) over (partition by j order by k desc) as m from means),
+curve as (select i, max(m) as m from least_from group by i)
+select round(p_h, 6) as p_h, round(m, 6) as value, (sum(n) over (partition by round(m, 12)))::bigint as block_rows from v join curve using (i)"""
+O["d4_score_balance"] = f"""
+with {SQL_MATCHES}, w as (select *, exp(-ln(2) / 260 * datediff('day', d, (select max(d) from m))) as w from m),
+s as (select home as team, w * fthg as f, w * ftag as g from w union all select away, w * ftag, w * fthg from w)
+select team, round(sum(f), 4) as scored, round(sum(g), 4) as conceded from s group by team"""
 O["a30_beating_baseline"] = f"with {SQL_PROBS}, {_report('p', 'model')}, l as (select model, avg(ll) as x, coalesce(avg((guess = y)::int) filter (y = 'D'), 0) as rd from s group by model) select model, round(x, 6) as log_loss, rd < 0.05 as hardly_any_draw from l where model <> 'm0' and x < (select x from l where model = 'm0')"
 O["a25_extremes_by_key"] = f"with {SQL_PROBS}, {_ROWS.format(rows='p')}, l as (select model, avg(ll) as x, avg((guess = y)::int) as acc from s group by model) select arg_min(model, x) as best, arg_max(model, acc) as most_accurate, round(min(x), 6) as log_loss from l"
 O["w12_walk_forward"] = f"""

@@ -165,26 +165,53 @@ class Statistics:
         return -total + RIDGE * ((att**2).sum() + (dfc**2).sum()), -gradient
 
 
-def fit(matches: DataFrame, as_of: Column | None = None, half_life: float = 260.0, **names: str) -> ScoreModel:
-    """Fits, centres (prediction-neutral) and shrinks sparse teams' attack and defence by n / (n + 3)."""
+def _statistics(matches: DataFrame, as_of: Column | None, half_life: float, **names: str) -> Statistics:
     if as_of is None:
-        last = matches.agg(F.max(F.to_date(names.get("date", "Date")))).first()[0]
-        as_of = F.lit(last)
-    stats = Statistics(sufficient_statistics(matches, as_of, half_life, **names))
-    n, teams = stats.n, stats.teams
-    if not n:
-        return ScoreModel({}, {}, 0.25, 0.0, 0.0)
+        as_of = F.lit(matches.agg(F.max(F.to_date(names.get("date", "Date")))).first()[0])
+    return Statistics(sufficient_statistics(matches, as_of, half_life, **names))
+
+
+def _optimum(stats: Statistics) -> tuple[np.ndarray, np.ndarray]:
+    """(parameters of least objective, matches of each team)."""
+    n = stats.n
     mean, games = stats.goals_and_games()
     x = np.zeros(2 * n + 3)
     x[2 * n], x[2 * n + 1] = 0.25, np.log(max(mean, 0.1))
     low, high = (np.array([BOUNDS["team"][i]] * (2 * n) + [BOUNDS[k][i] for k in ("advantage", "base", "rho")]) for i in (0, 1))
-    x = minimise(stats.objective, np.clip(x, low, high), low, high)
+    return minimise(stats.objective, np.clip(x, low, high), low, high), games
+
+
+def fit(matches: DataFrame, as_of: Column | None = None, half_life: float = 260.0, **names: str) -> ScoreModel:
+    """Fits, centres (prediction-neutral) and shrinks sparse teams' attack and defence by n / (n + 3)."""
+    stats = _statistics(matches, as_of, half_life, **names)
+    n, teams = stats.n, stats.teams
+    if not n:
+        return ScoreModel({}, {}, 0.25, 0.0, 0.0)
+    x, games = _optimum(stats)
     att, dfc = x[:n] - x[:n].mean(), x[n : 2 * n] - x[n : 2 * n].mean()
     base = x[2 * n + 1] + x[:n].mean() - x[n : 2 * n].mean()
     shrink = games / (games + SHRINK)
     return ScoreModel(dict(zip(teams, (att * shrink).tolist(), strict=True)), dict(zip(teams, (dfc * shrink).tolist(), strict=True)), float(x[2 * n]), float(base), float(x[2 * n + 2]))
 
 
+def balance(matches: DataFrame, as_of: Column | None = None, half_life: float = 260.0, **names: str) -> DataFrame:
+    """(team, scored, conceded): weighted goals that the fitted likelihood, its penalty included, expects of each team.
+
+    At the optimum these are the team's own weighted goals; what they miss those by is the objective's slope.
+    """
+    stats = _statistics(matches, as_of, half_life, **names)
+    n, spark = stats.n, stats.spark
+    if not n:
+        return spark.createDataFrame([], "team string, scored double, conceded double")
+    x, _ = _optimum(stats)
+    slope = stats.objective(x)[1]
+    rows = sufficient_statistics(matches, as_of if as_of is not None else F.lit(matches.agg(F.max(F.to_date(names.get("date", "Date")))).first()[0]), half_life, **names).filter("home is not null and away is not null and hg is not null and ag is not null")
+    side = lambda t, f, g: F.struct(F.col(t).alias("team"), (F.col("w") * F.col(f)).alias("f"), (F.col("w") * F.col(g)).alias("g"))
+    own = rows.select(F.explode(F.array(side("home", "hg", "ag"), side("away", "ag", "hg"))).alias("s")).groupBy("s.team").agg(F.sum("s.f").alias("f"), F.sum("s.g").alias("g"))
+    missed = spark.createDataFrame([(t, float(slope[i]), float(slope[n + i])) for i, t in enumerate(stats.teams)], f"team {dict(rows.dtypes)['home']}, ds double, dc double")
+    return own.join(missed, "team").select("team", (F.col("f") + F.col("ds")).alias("scored"), (F.col("g") - F.col("dc")).alias("conceded"))
+
+
 def log_likelihood(matches: DataFrame, model: ScoreModel, as_of: Column, half_life: float = 260.0, **names: str) -> float:
     """The fitted model's weighted log-likelihood (constants and penalty aside), from the same statistics."""
     s = Statistics(sufficient_statistics(matches, as_of, half_life, **names))

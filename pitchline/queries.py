@@ -233,6 +233,15 @@ def m10_platt_balance(s: SparkSession, d: str) -> DataFrame:
     return rounded(p.agg(*[F.avg(c).alias(k) for k, c in zip("hda", curve, strict=True)]), 4)
 
 
+@query
+def m11_isotonic(s: SparkSession, d: str) -> DataFrame:
+    """The isotonic curve's value at each probability of a home win."""
+    p = probabilities(s, d)
+    curve = ensemble.fit_isotonic(p, "p_h", "H")
+    at = p.select("p_h").distinct()
+    return rounded(at.join(curve, at["p_h"].between(curve["low"], curve["high"])).select(F.round("p_h", 6).alias("p_h"), "value", F.col("n").alias("block_rows")))
+
+
 @query
 def a20_pooled_seasons(s: SparkSession, d: str) -> DataFrame:
     p = probabilities(s, d)
@@ -246,7 +255,7 @@ def a21_goals_sanity(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def a29_comparison(s: SparkSession, d: str) -> DataFrame:
-    return metrics.comparison(metrics.full_report(probabilities(s, d), ["model"])).select("model", "n", "accuracy", "log_loss", "brier", "recall_h")
+    return metrics.comparison(metrics.full_report(probabilities(s, d), ["model"])).select("model", "n", "accuracy", "log_loss", "brier", "auc", "ece_home", "recall_h")
 
 
 @query
@@ -307,6 +316,18 @@ def d4_score_fit(s: SparkSession, d: str) -> DataFrame:
     return rounded(m.teams(s).withColumns({"advantage": F.lit(m.advantage), "base": F.lit(m.base), "rho": F.lit(m.rho)}), 4)
 
 
+@query
+def d4_score_balance(s: SparkSession, d: str) -> DataFrame:
+    """What a fitted likelihood must meet: each team's weighted goals; where it misses them by a thousandth, its own figure."""
+    m = matches(s, d)
+    last = F.lit(m.agg(F.max("Date")).first()[0])
+    w = scores.time_weight(F.col("Date"), last)
+    side = lambda t, f, g: F.struct(F.col(t).alias("team"), (w * F.col(f)).alias("f"), (w * F.col(g)).alias("g"))
+    own = m.select(F.explode(F.array(side("HomeTeam", "FTHG", "FTAG"), side("AwayTeam", "FTAG", "FTHG"))).alias("x")).groupBy("x.team").agg(F.sum("x.f").alias("f"), F.sum("x.g").alias("g"))
+    met = lambda fitted, goals: F.when(F.abs(F.col(fitted) - F.col(goals)) <= 1e-3 * F.greatest(F.col(goals), F.lit(1.0)), F.col(goals)).otherwise(F.col(fitted))
+    return rounded(score_fit.balance(m).join(own, "team").select("team", met("scored", "f").alias("scored"), met("conceded", "g").alias("conceded")), 4)
+
+
 def _fuzzy_rows(s: SparkSession, d: str) -> DataFrame:
     m = matches(s, d)
     i = F.col("MatchID")

@@ -202,7 +202,7 @@ def test_platt_equals_a_newton_fit(spark):
     p = rng.dirichlet([2, 1, 1.5], 400)
     y = ["HDA"[rng.choice(3, p=q)] for q in p]
     df = spark.createDataFrame([(*map(float, q), k) for q, k in zip(p, y, strict=True)], "p_h double, p_d double, p_a double, y string")
-    m = ensemble.fit_platt(df, cells=10**9)
+    m = ensemble.fit_platt(df)
     for i, k in enumerate("HDA"):
         z, t = np.stack([p[:, i], np.ones(400)], axis=1), np.array([c == k for c in y], float)
         w = np.zeros(2)
