@@ -33,7 +33,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META, SPACE, NEWLINE = 0x2581, 0x20, 0x0A
 ALPHA, RANK_SHIFT, SEED = 1.0, 10.0, 17
 #: Characters of whole texts that are worked on together; a longer text makes a chunk of its own.
-CHUNK_CHARS = 3_000_000
+CHUNK_CHARS = 1_500_000
 _rng = np.random.default_rng(333)
 _STEP = int(_rng.integers(0, 2**62)) * 2 + 1
 _UNSTEP = pow(_STEP, -1, 2**64)
