@@ -19,6 +19,7 @@ from .functions.calendar import current_season
 from .functions.names import localised
 from .operators import cleaning, fuzzy, metrics, predict, rating, reconcile, splits
 from .plans import models, pipelines, store
+from .plans.ledger import Ledger
 from .sources import files, readers, sinks
 
 #: Rows that the quality report lists of each kind of finding.
@@ -121,16 +122,16 @@ def collect(spark: SparkSession, data: str, as_of: date) -> int:
     rows = documents.select("prediction_time", "home_team", "away_team", F.to_date("date").alias("match_date"), "model_version", F.col("p_home_win").alias("p_h"), F.col("p_draw").alias("p_d"), F.col("p_away_win").alias("p_a"))
     m = spark.read.parquet(f"{data}/matches")
     actual = m.select(F.col("HomeTeam").alias("home_team"), F.col("AwayTeam").alias("away_team"), F.to_date("Date").alias("match_date"), F.col("FTHG").alias("actual_home"), F.col("FTAG").alias("actual_away"))
-    old = store.read_or_none(spark, f"{data}/history")
-    sinks.append_new(reconcile.score_history(reconcile.latest_per_match(rows), actual, old), old, f"{data}/history", reconcile.KEY)
-    r = reconcile.summary(spark.read.parquet(f"{data}/history")).first()
+    history = Ledger(spark, f"{data}/history")
+    history.append(lambda old: reconcile.score_history(reconcile.latest_per_match(rows), actual, old))
+    r = reconcile.summary(history.read()).first()
     print(f"{r['n']} matches, hit rate {r['hit_rate'] or 0:.3f}, Brier {r['mean_brier'] or 0:.3f}, log loss {r['mean_log_loss'] or 0:.3f}")
     return 0
 
 
 def report(spark: SparkSession, data: str, as_of: date, language: str = "en") -> int:
     """The newest history rows, names as ``language`` shows them, and the latest predictions' text blocks."""
-    page = sinks.history_page(spark.read.parquet(f"{data}/history"))
+    page = sinks.history_page(Ledger(spark, f"{data}/history").read())
     shown = store.read_or_none(spark, f"{data}/display_names")
     if shown is not None:
         page = localised(page, ["home_team", "away_team"], shown.filter(F.col("language") == language))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ensemble, predict
-from ..sources import sinks
+from ..sources import files, sinks
 from .models import Fitted, Preparation
 from .pipelines import Trained
 from .score_fit import ScoreModel
@@ -82,21 +82,21 @@ def load(spark: SparkSession, path: str) -> Trained:
 
 
 def publish(documents: DataFrame, root: str, season: int, round_number: int, made: datetime) -> str:
-    """Writes a round's documents, their flat rows, and the latest pointer; returns the documents' path.
+    """Writes a round's documents and their flat rows, then points to them; returns the documents' path.
 
-    The pointer is a copy under a fixed path and a document that says which predictions it holds.
+    The pointer is one file, replaced in one step when all else is written: a reader finds the old round or the new one.
     """
     spark = documents.sparkSession
     stamp = f"{made:%Y%m%d_%H%M%S}"
-    path = f"{root}/predictions_{season}_R{round_number}_{stamp}.json"
+    name = f"predictions_{season}_R{round_number}_{stamp}"
+    path = f"{root}/{name}.json"
     sinks.write_documents(documents, path)
-    written = spark.read.schema(documents.schema).json(path)
-    sinks.write_csv(predict.flat(written), f"{root}/flat/predictions_{season}_R{round_number}_{stamp}.csv")
-    sinks.write_documents(written, f"{root}/latest/documents")
-    write_document(spark, {"season": season, "round": round_number, "prediction_time": stamp, "source": path}, f"{root}/latest/meta", overwrite=True)
+    sinks.write_csv(predict.flat(spark.read.schema(documents.schema).json(path)), f"{root}/flat/{name}.csv")
+    files.write_text(spark, f"{root}/latest.json", json.dumps({"season": season, "round": round_number, "prediction_time": stamp, "source": path}))
     return path
 
 
 def latest(spark: SparkSession, root: str) -> tuple[dict, DataFrame]:
-    """(what the latest pointer says, the documents it holds)."""
-    return read_document(spark, f"{root}/latest/meta"), spark.read.json(f"{root}/latest/documents")
+    """(what the latest pointer says, the documents it points to)."""
+    said = json.loads("".join(files.lines(spark, f"{root}/latest.json")))
+    return said, spark.read.json(said["source"])

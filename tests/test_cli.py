@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pitchline import cli
 from pitchline.functions.names import localised
 from pitchline.plans import models, pipelines, store
+from pitchline.plans.ledger import Ledger
 from pitchline.sources import readers, sinks
 
 TEAMS = ["Alba", "Boro", "Crest", "Dale", "Elms"]
@@ -64,7 +65,7 @@ def test_a_season_from_update_to_report(spark, tmp_path):
     later = day + timedelta(days=9)
     assert cli.update(spark, data, later, 5, fetch=sources(later)) == 0
     assert cli.collect(spark, data, later) == cli.collect(spark, data, later) == 0
-    assert spark.read.parquet(f"{data}/history").count() == 1
+    assert Ledger(spark, f"{data}/history").read().count() == 1
     spark.createDataFrame([("Elms", "Ulmen", "de")], "name string, shown string, language string").write.parquet(f"{data}/display_names")
     assert cli.report(spark, data, later, "de") == 0
     assert len(spark.read.json(f"{data}/report/latest").first()["report"].splitlines()) == 5
