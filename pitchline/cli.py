@@ -63,7 +63,11 @@ def features(spark: SparkSession, data: str, as_of: date) -> int:
 
 
 def fuzzy_outputs(spark: SparkSession, data: str, as_of: date) -> int:
-    sinks.write_table(fuzzy.infer(spark.read.parquet(f"{data}/dataset")), f"{data}/fuzzy_outputs")
+    dataset = spark.read.parquet(f"{data}/dataset")
+    sinks.write_table(fuzzy.infer(dataset), f"{data}/fuzzy_outputs")
+    told = fuzzy.sanity(fuzzy.with_outcomes(dataset, spark.read.parquet(f"{data}/fuzzy_outputs"))).first().asDict()
+    spread = metrics.quantiles(dataset, [c for c in ("HomeEloPre", "AwayEloPre", "Home_Result_L5", "Away_Result_L5", "Home_GF_L10", "Away_GF_L10", "Home_GA_L10", "Away_GA_L10") if c in dataset.columns])
+    store.write_document(spark, told | {"inputs": {r["column_name"]: r["q"] for r in spread.collect()}}, f"{data}/fuzzy_report", overwrite=True)
     return 0
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .metrics import goals_sanity
+
 #: Universes (low, high, step), terms as trapezoids (a triangle repeats its peak), and the rules.
 UNIVERSES = {"Form": (0, 1, 0.01), "Attack": (0, 4.5, 0.05), "Defense": (0, 4.5, 0.05), "HomeAdvantage": (0, 1, 0.01), "Fatigue": (0, 1, 0.01), "TeamStrength": (1200, 1950, 5), "StrengthGap": (-600, 600, 10), "FormGap": (-1, 1, 0.02)}
 TERMS = {
@@ -205,3 +207,14 @@ def infer(df: DataFrame, key: str = "MatchID") -> DataFrame:
     rows = crisp_inputs(df).select(F.col(key), *[F.col(f"_{v}").cast("double").alias(f"_{v}") for v in variables])
     shape = StructType([rows.schema.fields[0], *StructType.fromDDL(", ".join(f"{c} double" for c in _COLUMNS)).fields])
     return rows.mapInArrow(_infer(variables), shape)
+
+
+def with_outcomes(matches: DataFrame, outputs: DataFrame, key: str = "MatchID") -> DataFrame:
+    """Inference beside what happened: the outputs of the matches that are in both tables, each once (one row a key on either side)."""
+    return matches.select(key, "FTR", "FTHG", "FTAG").join(outputs, key)
+
+
+def sanity(merged: DataFrame) -> DataFrame:
+    """How far inference tells matches apart: hit rates of the likeliest outcome and of more than 2.5 goals, mean home chance by outcome."""
+    chances = {f"p_{x}": F.col(f"Fuzzy_P_{n}") for x, n in (("h", "HomeWin"), ("d", "Draw"), ("a", "AwayWin"), ("over", "Over25"))}
+    return goals_sanity(merged.select(F.col("FTR").alias("y"), (F.col("FTHG") + F.col("FTAG")).alias("goals"), *[c.alias(n) for n, c in chances.items()]))

@@ -266,6 +266,11 @@ select id, {cols}, round("HomeWin" / {win}, 9) as "Fuzzy_P_HomeWin", round("Draw
 
 
 O["f10_fuzzy_inference"] = _fuzzy_sql()
+O["j4_inference_outcomes"] = f"""
+with {SQL_MATCHES}, o as ({O['f10_fuzzy_inference']}),
+j as (select m.ftr, m.fthg + m.ftag as goals, o.*, case when Fuzzy_P_HomeWin >= Fuzzy_P_Draw and Fuzzy_P_HomeWin >= Fuzzy_P_AwayWin then 'H' when Fuzzy_P_Draw >= Fuzzy_P_AwayWin then 'D' else 'A' end as guess from m join o on o.id = m.id)
+select round(avg((guess = ftr)::int), 6) as accuracy, round(avg(((Fuzzy_P_Over25 > 0.5) = (goals > 2.5))::int), 6) as over_under_accuracy,
+  {", ".join(f"round(avg(Fuzzy_P_HomeWin) filter (ftr = '{k}'), 6) as mean_p_h_{k.lower()}" for k in "HDA")} from j"""
 O["w10_influences"] = f"""
 with {_FEED},
 c as (
@@ -321,5 +326,10 @@ select id, {mean("gf", 5, "home")} as "Home_GF_L5", {mean("res", 10, "away")} as
 O["j12_serving_features"] = _serving_sql()
 
 
+O["m1_logistic_balance"] = f"""
+with {SQL_MATCHES}, t as ({O['w13_chronological_split']})
+select {", ".join(f"round(avg((m.ftr = '{k}')::int), 6) as p_{k.lower()}" for k in "HDA")} from m join t on t.id = m.id where t.split = 'Train'"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(O)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .analogues import event_log, matches, probabilities, read
 from .functions import calendar, names, probability
 from .operators import cleaning, ensemble, form, fuzzy, metrics, predict, rating, reconcile, scores, splits
-from .plans import pipelines, score_fit
+from .plans import models, pipelines, score_fit
+from .plans.lineage import cut
 
 #: Days before which a match counts as played, has a result on file, or an entry in the old history.
 PLAYED_BEFORE, RESULTS_BEFORE, OLD_BEFORE = date(1997, 10, 1), date(2000, 3, 1), date(1996, 1, 1)
@@ -344,6 +345,24 @@ def f10_fuzzy_inference(s: SparkSession, d: str) -> DataFrame:
     return rounded(fuzzy.infer(_fuzzy_rows(s, d), "id"), 9)
 
 
+@query
+def j4_inference_outcomes(s: SparkSession, d: str) -> DataFrame:
+    """Inference joined with what happened, as the figures that tell how far it tells matches apart."""
+    outputs = rounded(fuzzy.infer(_fuzzy_rows(s, d), "id"), 9)
+    return rounded(fuzzy.sanity(fuzzy.with_outcomes(matches(s, d).withColumnRenamed("MatchID", "id"), outputs, "id")))
+
+
+@query
+def m1_logistic_balance(s: SparkSession, d: str) -> DataFrame:
+    """What a fitted multinomial logistic regression must meet: its mean probabilities are the outcomes' shares; where it misses by a thousandth, its own."""
+    split = splits.chronological_split(pipelines.training_dataset(matches(s, d)), "SeasonStartYear", current=2001)
+    rows = cut(split.filter("split = 'Train'"))
+    entry = {"LogisticRegression": models.registry()["LogisticRegression"]}
+    fitted = models.fit_all(rows, models.with_values(rows, models.feature_columns(rows)), entries=entry)["LogisticRegression"]
+    mean = fitted.probabilities(rows, "MatchID").join(rows.select("MatchID", "FTR"), "MatchID").agg(*[x for k, p in zip("HDA", ("p_h", "p_d", "p_a"), strict=True) for x in (F.avg(p).alias(p), F.avg((F.col("FTR") == k).cast("double")).alias(k))])
+    return rounded(mean.select(*[F.when(F.abs(F.col(p) - F.col(k)) < 1e-3, F.col(k)).otherwise(F.col(p)).alias(p) for k, p in zip("HDA", ("p_h", "p_d", "p_a"), strict=True)]))
+
+
 @query
 def f5_fatigue(s: SparkSession, d: str) -> DataFrame:
     r = _fuzzy_rows(s, d)
