@@ -117,8 +117,9 @@ def _unzip(raw: bytes, n: int) -> np.ndarray:
 _REQUEST = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("width", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
-def _borders(buckets: int, bits: int) -> np.ndarray:
-    return np.array([(b << bits) // buckets for b in range(1, buckets)], W.U)
+def _buckets_of(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """The bucket of each key, in the order of the keys; the same wherever it is asked."""
+    return np.minimum((keys.astype(np.float64) * (buckets / 2.0**bits)).astype(np.int64), buckets - 1)
 
 
 def _request(buckets: int, bits: int, orders: int):
@@ -131,11 +132,11 @@ def _request(buckets: int, bits: int, orders: int):
         keys, which = np.unique(np.concatenate(parts), return_inverse=True)
         del parts
         counts = np.bincount(which, counted, len(keys)).astype(np.uint32)
-        at = np.concatenate([[0], np.searchsorted(keys, _borders(buckets, bits)), [len(keys)]])
-        out = []
-        for b, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)):
-            if y > x:
-                out.append((b, group.column("block")[0].as_py(), int(y - x), *_squeeze(keys[x:y]), _zip(counts[x:y])))
+        bucket = _buckets_of(keys, buckets, bits)
+        at = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(keys))
+        block, out = group.column("block")[0].as_py(), []
+        for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):  # buckets that hold a key of the block
+            out.append((int(bucket[x]), block, y - x, *_squeeze(keys[x:y]), _zip(counts[x:y])))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _REQUEST, strict=True)], schema=_REQUEST)
 
     return run
@@ -277,7 +278,9 @@ def score(df: DataFrame, held_out: Column, em_fold: Column, key: str = "doc_id",
     blocks = {em: max(1, -(-chars.get(em, 0) // block_chars)) for em in (False, True)}
     spread = F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("null")), "text", F.lit(6))
     block = F.when(F.col("em"), F.pmod(spread, F.lit(blocks[True])) + blocks[False]).otherwise(F.pmod(spread, F.lit(blocks[False]))).cast("int")
-    packed = rows.select("key", "text", "held_out", (~F.col("held_out")).alias("train"), block.alias("block")).mapInArrow(_pack, "block int, packed binary")
+    dealt = rows.select("key", "text", "held_out", (~F.col("held_out")).alias("train"), "em", block.alias("block"))
+    pack = lambda part: part.drop("em").mapInArrow(_pack, "block int, packed binary")
+    packed = pack(dealt)
     buckets = blocks[False] + blocks[True]
     requests = packed.groupBy("block").applyInArrow(_request(buckets, bits, orders), "bucket int, block int, n int, width int, keys binary, counts binary")
     answers = table(requests.groupBy("bucket").applyInArrow(_serve(blocks[False]), "block int, bucket int, n int, every binary, main binary, totals array<long>"))
@@ -286,7 +289,7 @@ def score(df: DataFrame, held_out: Column, em_fold: Column, key: str = "doc_id",
     own = answers.filter("block >= 0").select("block", "bucket", "n", "every", "main")
     weights: list[np.ndarray] = []
     while len(weights) < orders - 1:
-        told = packed.filter(F.col("block") >= blocks[False]).groupBy("block").cogroup(own.filter(F.col("block") >= blocks[False]).groupBy("block"))
+        told = pack(dealt.filter("em")).groupBy("block").cogroup(own.filter(F.col("block") >= blocks[False]).groupBy("block"))
         cells = told.applyInArrow(_histogram(n_main, v_main, weights, bits, orders), "f long, r long, n long").groupBy("f", "r").agg(F.sum("n").alias("n"))
         weights = [*weights, mixture_weights([tuple(r) for r in cells.collect()] if chars.get(True) else [])]
     kind = dict(rows.dtypes)["key"]
