@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import inner
+
 #: Spellings of team names and the canonical name of each.
 ALIASES = {
     "Man Utd": "Man United", "Spurs": "Tottenham", "Manchester United": "Man United", "Manchester Utd": "Man United", "Manchester City": "Man City", "Tottenham Hotspur": "Tottenham",
@@ -29,11 +31,12 @@ def canonical_names(df: DataFrame, column: str, names: DataFrame, priority: str
 
     Of several rows for an alias the one of the lowest priority number counts.  Null stays null, unknown names stay.
     """
-    best = names.groupBy("alias").agg(F.min_by("canonical", priority).alias("_canonical"))
+    canonical, known, alias = inner(df, "canonical", "known", "alias")
+    best = names.groupBy(F.col("alias").alias(known)).agg(F.min_by("canonical", priority).alias(canonical))
     small = best.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
     best = F.broadcast(best) if small else best
-    out = df.withColumn("_alias", F.trim(column)).join(best.withColumnRenamed("alias", "_known"), F.col("_alias") == F.col("_known"), "left")
-    return out.select(*[F.coalesce("_canonical", "_alias").alias(c) if c == column else F.col(c) for c in df.columns])
+    out = df.withColumn(alias, F.trim(column)).join(best, F.col(alias) == F.col(known), "left")
+    return out.select(*[F.coalesce(canonical, alias).alias(c) if c == column else F.col(c) for c in df.columns])
 
 
 def unknown_names(df: DataFrame, column: str, known: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.columns import inner
 from ..functions.probability import poisson
 
 MAX_GOALS, TOP = 10, 5
@@ -32,26 +33,27 @@ def tau(h: Column, a: Column, rate_h: Column, rate_a: Column, rho: Column) -> Co
 
 def with_rates(matches: DataFrame, teams: DataFrame, base: float, advantage: float, home: str = "HomeTeam", away: str = "AwayTeam") -> DataFrame:
     """Adds rate_h and rate_a; ``teams`` (team, attack, defence), unknown teams at 0."""
-    out = matches
+    out, own = matches, inner(matches, "team_h", "attack_h", "defence_h", "team_a", "attack_a", "defence_a")
     small = teams.limit(BROADCAST_TEAMS + 1).count() <= BROADCAST_TEAMS
-    for side, c in (("h", home), ("a", away)):
-        dim = teams.select(F.col("team").alias(f"_t{side}"), F.col("attack").alias(f"_att_{side}"), F.col("defence").alias(f"_def_{side}"))
-        out = out.join(F.broadcast(dim) if small else dim, F.col(c) == F.col(f"_t{side}"), "left")
-    v = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    rate_h, rate_a = F.exp(F.lit(base + advantage) + v("_att_h") - v("_def_a")), F.exp(F.lit(base) + v("_att_a") - v("_def_h"))
+    for (team, attack, defence), c in ((own[:3], home), (own[3:], away)):
+        dim = teams.select(F.col("team").alias(team), F.col("attack").alias(attack), F.col("defence").alias(defence))
+        out = out.join(F.broadcast(dim) if small else dim, F.col(c) == F.col(team), "left")
+    att_h, def_h, att_a, def_a = (F.coalesce(F.col(own[i]), F.lit(0.0)) for i in (1, 2, 4, 5))
+    rate_h, rate_a = F.exp(F.lit(base + advantage) + att_h - def_a), F.exp(F.lit(base) + att_a - def_h)
     return out.select(*[F.col(c) for c in matches.columns], rate_h.alias("rate_h"), rate_a.alias("rate_a"))
 
 
 def _vectors(df: DataFrame, rho: Column | float, max_goals: int) -> tuple[DataFrame, list[Column], list[Column], dict[tuple[int, int], Column], Column]:
     """``df`` with both sides' goal probabilities and the four corrections as columns, and what the grid sums to."""
-    n = max_goals + 1
-    base = df.withColumn("_rho", rho if isinstance(rho, Column) else F.lit(float(rho)))
-    base = base.select("*", *[poisson(F.col(f"rate_{s}"), k).alias(f"_{s}{k}") for s in "ha" for k in range(n)])
-    lh, la, r = F.col("rate_h"), F.col("rate_a"), F.col("_rho")
-    extra = {(i, j): (tau(F.lit(i), F.lit(j), lh, la, r) - 1) * F.col(f"_h{i}") * F.col(f"_a{j}") for i in (0, 1) for j in (0, 1)}
-    base = base.select("*", *[c.alias(f"_x{i}{j}") for (i, j), c in extra.items()])
-    h, a = [F.col(f"_h{k}") for k in range(n)], [F.col(f"_a{k}") for k in range(n)]
-    x = {(i, j): F.col(f"_x{i}{j}") for i in (0, 1) for j in (0, 1)}
+    n, (rho_,) = max_goals + 1, inner(df, "rho")
+    own = {s: inner(df, *[f"{s}{k}" for k in range(n)]) for s in "ha"}
+    cells = dict(zip([(i, j) for i in (0, 1) for j in (0, 1)], inner(df, "x00", "x01", "x10", "x11"), strict=True))
+    base = df.withColumn(rho_, rho if isinstance(rho, Column) else F.lit(float(rho)))
+    base = base.select("*", *[poisson(F.col(f"rate_{s}"), k).alias(own[s][k]) for s in "ha" for k in range(n)])
+    h, a = ([F.col(c) for c in own[s]] for s in "ha")
+    lh, la, r = F.col("rate_h"), F.col("rate_a"), F.col(rho_)
+    base = base.select("*", *[((tau(F.lit(i), F.lit(j), lh, la, r) - 1) * h[i] * a[j]).alias(c) for (i, j), c in cells.items()])
+    x = {at: F.col(c) for at, c in cells.items()}
     return base, h, a, x, _add(h) * _add(a) + _add(list(x.values()))
 
 
@@ -68,8 +70,9 @@ def marginals(df: DataFrame, rho: Column | float, max_goals: int = MAX_GOALS) ->
     draws = _add([h[k] * a[k] for k in range(n)]) + x[0, 0] + x[1, 1]
     under = h[0] * (a[0] + a[1] + a[2]) + h[1] * (a[0] + a[1]) + h[2] * a[0] + _add(list(x.values()))
     both = _add(h[1:]) * _add(a[1:]) + x[1, 1]
-    base = base.select(*[F.col(c) for c in df.columns], *[c.alias(f"_{k}") for k, c in {"t": total, "w": wins, "l": loses, "d": draws, "u": under, "b": both}.items()])
-    share = lambda c: F.col(f"_{c}") / F.col("_t")
+    own = dict(zip("twldub", inner(df, "total", "wins", "loses", "draws", "under", "both"), strict=True))
+    base = base.select(*[F.col(c) for c in df.columns], *[c.alias(own[k]) for k, c in {"t": total, "w": wins, "l": loses, "d": draws, "u": under, "b": both}.items()])
+    share = lambda c: F.col(own[c]) / F.col(own["t"])
     return base.select(*[F.col(c) for c in df.columns], share("w").alias("P_HomeWin"), share("d").alias("P_Draw"), share("l").alias("P_AwayWin"), (1 - share("u")).alias("P_Over25"), share("u").alias("P_Under25"), share("b").alias("P_BTTS_Yes"), (1 - share("b")).alias("P_BTTS_No"))
 
 
@@ -104,7 +107,8 @@ def top_scores(df: DataFrame, rho: Column | float, top: int = TOP, max_goals: in
     Probabilities that agree to twelve digits count as equal; fewer goals come first then.  The grid of a
     row is only sorted here, a batch of rows at a time; no grid leaves its batch.
     """
-    work = df.select("*", F.col("rate_h").cast("double").alias("_rate_h"), F.col("rate_a").cast("double").alias("_rate_a"), (rho if isinstance(rho, Column) else F.lit(float(rho))).alias("_rho"))
+    own = inner(df, "rate_h", "rate_a", "rho")
+    work = df.select("*", F.col("rate_h").cast("double").alias(own[0]), F.col("rate_a").cast("double").alias(own[1]), (rho if isinstance(rho, Column) else F.lit(float(rho))).alias(own[2]))
     shape = StructType([*df.schema.fields, *StructType.fromDDL("top_scorelines array<struct<score: string, probability: double>>").fields])
     return work.mapInArrow(_likeliest(top, max_goals), shape)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import inner
+
 
 def ranked_seasons(df: DataFrame, season: str, current: int | None = None) -> DataFrame:
     """(season, index from 0, newest from 1) of completed seasons; a season is one row here."""
@@ -20,7 +22,8 @@ def chronological_split(df: DataFrame, season: str, current: int | None = None,
     if count < n_test + n_val + 1:
         raise ValueError(f"{count} completed seasons are too few for {n_test} test, {n_val} validation and one training season")
     label = F.when(F.col("season_newest") <= n_test, "Test").when(F.col("season_newest") <= n_test + n_val, "Validation").otherwise("Train")
-    return df.join(F.broadcast(s.select(F.col(season).alias("_s"), label.alias("split"))), F.col(season) == F.col("_s")).drop("_s")  # a row a season
+    (of,) = inner(df, "season")
+    return df.join(F.broadcast(s.select(F.col(season).alias(of), label.alias("split"))), F.col(season) == F.col(of)).drop(of)  # a row a season
 
 
 def walk_forward_folds(df: DataFrame, season: str, min_train: int = 3, current: int | None = None) -> DataFrame:
@@ -38,5 +41,6 @@ def backtest_floor(completed: int) -> int:
 def pooled_last(df: DataFrame, season: str, most: int = 3) -> DataFrame:
     """Rows repeated for each n up to ``most`` whose last n seasons hold them, with column last_n."""
     s = ranked_seasons(df, season).filter(F.col("season_newest") <= most)
-    s = s.select(F.col(season).alias("_s"), F.explode(F.sequence(F.col("season_newest"), F.lit(most))).alias("last_n"))
-    return df.join(F.broadcast(s), F.col(season) == F.col("_s")).drop("_s")
+    (of,) = inner(df, "season")
+    s = s.select(F.col(season).alias(of), F.explode(F.sequence(F.col("season_newest"), F.lit(most))).alias("last_n"))
+    return df.join(F.broadcast(s), F.col(season) == F.col(of)).drop(of)
