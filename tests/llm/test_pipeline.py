@@ -61,7 +61,7 @@ def test_stages_on_odd_rows(spark, odd_docs):
 
 
 def test_registry_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries() if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries() if n.startswith("op")) == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
