@@ -150,16 +150,16 @@ def _sketch(lengths: tuple[int, ...], reached: Reached):
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    """Counts of a block: all of them, or where few cells are used their places and counts."""
+    """Counts of a block: all of them, or where few cells are used their places and counts; compressed, as most are small."""
     at = np.flatnonzero(counts)
     if len(at) * 4 > len(counts):
-        return b"\0" + counts.tobytes()
+        return b"\0" + pa.compress(counts.tobytes(), codec="zstd", asbytes=True)
     return b"\1" + at.astype("<u2").tobytes() + counts[at].tobytes()
 
 
 def _unpacked(raw: bytes, size: int) -> np.ndarray:
     if raw[0] == 0:
-        return np.frombuffer(raw, np.uint8, offset=1)
+        return np.frombuffer(pa.decompress(raw[1:], size, codec="zstd"), np.uint8)
     out, n = np.zeros(size, np.uint8), (len(raw) - 1) // 3
     out[np.frombuffer(raw, "<u2", n, 1)] = np.frombuffer(raw, np.uint8, n, 1 + 2 * n)
     return out
