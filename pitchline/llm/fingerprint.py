@@ -199,7 +199,11 @@ def fingerprint_with_next(df: DataFrame, key: str = "doc_id", text: str = "text"
 
 
 def fingerprints_with_groups(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = NEAR) -> DataFrame:
-    """``fingerprint_with_next`` and ``component_id``, the smallest key of the documents joined as by ``near_by_edits``."""
+    """``fingerprint_with_next`` and ``component_id``, the smallest key of the documents joined as by ``near_by_edits``.
+
+    Null texts are empty, and an empty one is joined with nothing; rows that repeat a key or text have a row each, equal
+    texts are joined; an empty table gives no rows.
+    """
     prints = table(_dealt(df, key, text))
     rows = prints.withColumn("cid", F.xxhash64("fingerprint"))
     out = rows.join(_groups(rows.select("id", "n_chars", "fingerprint", "cid"), least), "cid", "left")

@@ -237,7 +237,9 @@ def fit(df: DataFrame, where: Column, key: str = "doc_id", text: str = "text", l
     """A model from rows that meet ``where`` and have a language.
 
     The sample: per language about ``max_docs`` rows of at most ``max_chars`` characters, those with the
-    smallest key hashes.  Only these texts reach the driver.
+    smallest key hashes.  Only these texts reach the driver.  Rows without a language or text teach nothing, nor do
+    those for which ``where`` is null; an empty text holds no word; rows that repeat a key are drawn together.  Without
+    a row the model knows no language.
     """
     rows = df.filter(where & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= max_chars))
     rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), (F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)).alias("u"))

@@ -111,6 +111,8 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     """Fits the classifier to labelled rows: if there are more than ``max_rows``, to those with the smallest key hashes.
 
     Only the sample's features reach the driver.  Texts meet their labels by a hash join of the sample's keys.
+    Labels without a key or value don't count, and of repeated keys one does; null and empty texts are texts without
+    features; documents that repeat a key count each.  Without a labelled row the classifier is even.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), (F.col(label) > 0).cast("int").alias("good")).dropDuplicates(["key"])
     n = known.count()
