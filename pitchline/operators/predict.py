@@ -41,18 +41,20 @@ def upcoming(calendar: DataFrame, season: int, round_number: int, include_played
 def influences(df: DataFrame, key: str, importance: dict[str, float], spread: dict[str, float], top: int = 5) -> DataFrame:
     """(key, factors array<struct<label, score, favors>>): the largest standardised, importance-weighted differences.
 
-    Within the row: candidates are an array, missing ones drop out, the rest are sorted by size.
+    Within the row: candidates are an array, missing ones drop out, the rest are sorted by size, equal sizes by
+    label.  Sizes count as equal if they are so to nine digits, for a product's last bits depend on how it is written.
     """
     parts = []
+    size = lambda x: (-F.round(F.abs(x), 9)).alias("size")
     pairs = [(f"Home_{m}", f"Away_{m}", m, label) for m, label in FACTORS.items()]
     for h, a, m, label in pairs:
         if h in df.columns and a in df.columns:
             weight = (importance.get(h, 0.0) + importance.get(a, 0.0)) / 2 / (spread.get(h) or 1.0)
             diff = (F.col(h) - F.col(a)).cast("double") * (-1.0 if m in REVERSED else 1.0)
-            parts.append(F.when(F.col(h).isNotNull() & F.col(a).isNotNull(), F.struct((-F.abs(diff * weight)).alias("size"), F.lit(label).alias("label"), (diff * weight).alias("score"), F.when(diff > 0, "Home").otherwise("Away").alias("favors"))))
+            parts.append(F.when(F.col(h).isNotNull() & F.col(a).isNotNull(), F.struct(size(diff * weight), F.lit(label).alias("label"), (diff * weight).alias("score"), F.when(diff > 0, "Home").otherwise("Away").alias("favors"))))
     if "EloDiffPre" in df.columns:
         diff = F.col("EloDiffPre") * (importance.get("EloDiffPre", 0.0) / (spread.get("EloDiffPre") or 1.0))
-        parts.append(F.when(F.col("EloDiffPre").isNotNull(), F.struct((-F.abs(diff)).alias("size"), F.lit("Rating difference").alias("label"), diff.alias("score"), F.when(F.col("EloDiffPre") > 0, "Home").otherwise("Away").alias("favors"))))
+        parts.append(F.when(F.col("EloDiffPre").isNotNull(), F.struct(size(diff), F.lit("Rating difference").alias("label"), diff.alias("score"), F.when(F.col("EloDiffPre") > 0, "Home").otherwise("Away").alias("favors"))))
     if not parts:
         return df.select(key, F.expr("cast(array() as array<struct<label: string, score: double, favors: string>>)").alias("factors"))
     best = F.slice(F.array_sort(F.filter(F.array(*parts), lambda x: x.isNotNull())), 1, top)

@@ -280,7 +280,7 @@ c as (
   union all select id, 'Rest days', 0.025 * (hr - ar)::double, hr - ar > 0 from fz where hr is not null and ar is not null
   union all select id, 'Matches in the last 14 days', 0.0, hn - an > 0 from fz where hn is not null and an is not null
   union all select id, 'Rating difference', 0.4 / 150 * (hs_ - as_), hs_ - as_ > 0 from fz),
-z as (select *, row_number() over (partition by id order by abs(score) desc, label) - 1 as place from c qualify place < 2)
+z as (select *, row_number() over (partition by id order by round(abs(score), 9) desc, label) - 1 as place from c qualify place < 2)
 select id, place::int as place, label, round(score, 6) as score, case when up then 'Home' else 'Away' end as favors from z"""
 
 _PRED = (

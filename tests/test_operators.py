@@ -303,3 +303,10 @@ def test_trained_members_use_the_whole_registry(spark, monkeypatch):
     available = [k for k, e in whole.items() if e.available]
     assert [k for k, e in used.items() if e.available] == available and {"BoostedTrees", "BoostedTreesShallow"} <= set(available)
     assert used["RandomForest"].build(9).getNumTrees() == whole["RandomForest"].build(9).getNumTrees() == 400
+
+
+def test_influences_of_equal_size_go_by_label(spark):
+    # 0.4 * 0.1 and 0.4 / 150 * 15 are equal but for their last bits
+    df = spark.createDataFrame([(0, 2.2, 2.3, 15.0), (1, 2.8, 2.7, 15.0)], "id long, Home_GA_L10 double, Away_GA_L10 double, EloDiffPre double")
+    got = predict.influences(df, "id", {"Home_GA_L10": 0.3, "Away_GA_L10": 0.1, "EloDiffPre": 0.4}, {"Home_GA_L10": 0.5, "EloDiffPre": 150.0}).collect()
+    assert [[x["label"] for x in r["factors"]] for r in got] == [["Goals conceded (last 10)", "Rating difference"]] * 2
