@@ -3,23 +3,31 @@
 The recurrence crosses teams, so it is no window; but it crosses only teams that meet, directly or through others.
 Groups of such teams are dealt to partitions and sorted; each partition streams its rows and keeps one number a team, never a
 group's matches.  Groups over the whole history are large where teams change leagues; by season they are
-smaller, and seasons follow one another with the ratings handed on.
+smaller, and seasons follow one another with the ratings handed on.  A group of very many matches is cut by date into
+pieces of a bounded number of rows; a piece is a task of its own and hands its ratings on to the next.
 """
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import inner
-from ..plans.lineage import cut
+from ..plans.lineage import cut, table
 from .groups import connected
 
 START, K_FACTOR, HOME_ADVANTAGE = 1500.0, 20.0, 100.0
 
+#: Matches of a group that one task sorts and folds, about.
+PIECE_ROWS = 1_000_000
+
 
 def expected(home: Column, away: Column, advantage: float = HOME_ADVANTAGE) -> Column:
     return 1 / (1 + F.pow(F.lit(10.0), -(home + advantage - away) / 400))
@@ -31,49 +39,48 @@ def margin(gap: Column) -> Column:
     return F.when(gap <= 1, 1.0).when(gap == 2, 1.5).otherwise((11 + gap) / 8)
 
 
-_IN = ("group", "league", "day", "id", "home", "away", "hg", "ag", "rating")
 _OUT = ("id", "league", "day", "home", "away", "home_pre", "away_pre", "home_post", "away_post")
 
 
-def _fold(k: float, advantage: float, start: float, hand_on: bool):
-    """Matches of a group in their order; rows with a rating set their home team's.  ``hand_on``: each group ends with a row a team."""
+def _fold(advantage: float, start: float, hand_on: bool):
+    """Matches of a group in their order; rows with a rating come first and set their home team's.  ``hand_on``: each group ends with a row a team."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, league, rating = object(), None, {}
-        kinds: dict[str, pa.DataType] = {}
-
-        def batch_of(columns: list[list]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.float64())) for n, c in zip(_OUT, columns, strict=True)], names=list(_OUT))
+        group, league, now = None, None, {}
+        kinds: list[pa.DataType] = []
 
-        def ratings_of(league: str | None) -> pa.RecordBatch:
-            n, none = len(rating), [None] * len(rating)
-            return batch_of([none, [league] * n, none, list(rating), none, none, none, list(rating.values()), none])
+        def ratings() -> pa.RecordBatch:
+            n, none = len(now), [None] * len(now)
+            columns = [none, [league] * n, none, list(now), none, none, none, list(now.values()), none]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(_OUT))
 
         for batch in batches:
-            kinds = {n: batch.schema.field(n).type for n in _OUT[:5]}
-            out: list[list] = [[] for _ in _OUT]
-            for at, of, day, key, h, a, hg, ag, known in zip(*(batch.column(c).to_pylist() for c in _IN), strict=True):
-                if at != group:
-                    if hand_on and rating:
-                        yield ratings_of(league)
-                    group, league, rating = at, of, {}
-                if known is not None:
-                    rating[h] = known
-                    continue
-                eh, ea = rating.get(h, start), rating.get(a, start)
-                nh, na = eh, ea
-                if hg is not None and ag is not None:
-                    gap = abs(hg - ag)
-                    mult = 1.0 if gap <= 1 else 1.5 if gap == 2 else (11 + gap) / 8
-                    won = 1.0 if hg > ag else 0.5 if hg == ag else 0.0
-                    change = k * mult * (won - 1 / (1 + 10 ** (-(eh + advantage - ea) / 400)))
-                    nh, na = eh + change, ea - change
-                    rating[h], rating[a] = nh, na
-                for c, v in zip(out, (key, of, day, h, a, eh, ea, nh, na), strict=True):
-                    c.append(v)
-            yield batch_of(out)
-        if hand_on and rating:
-            yield ratings_of(league)
+            kinds = [batch.schema.field(n).type for n in _OUT[:5]] + [pa.float64()] * 4
+            runs, pre_h, pre_a, changes = pc.run_end_encode(batch.column("group")), [], [], []
+            at = 0
+            for value, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                part, at = batch.slice(at, end - at), end
+                if value != group:
+                    if hand_on and now:
+                        yield ratings()
+                    group, league, now = value, part.column("league")[0].as_py(), defaultdict(lambda: start)
+                known = len(part) - part.column("rating").null_count
+                if known:
+                    now.update(zip(part.column("home").slice(0, known).to_pylist(), part.column("rating").slice(0, known).to_pylist(), strict=True))
+                    part = part.slice(known)
+                for h, a, gain, won in zip(*(part.column(c).to_pylist() for c in ("home", "away", "gain", "won")), strict=True):
+                    x, y = now[h], now[a]
+                    change = gain * (won - 1 / (1 + 10 ** (-(x + advantage - y) / 400)))
+                    now[h] = x + change
+                    now[a] = y - change
+                    pre_h.append(x)
+                    pre_a.append(y)
+                    changes.append(change)
+            rows = batch.filter(pc.is_null(batch.column("rating")))
+            h, a, c = np.array(pre_h, float), np.array(pre_a, float), np.array(changes, float)
+            yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in _OUT[:5]), *map(pa.array, (h, a, h + c, a - c))], names=list(_OUT))
+        if hand_on and now:
+            yield ratings()
 
     return run
 
@@ -88,39 +95,76 @@ def elo(matches: DataFrame, key: str = "MatchID", date: str = "Date", home: str
 
     Rows of one day are folded in the order of their key.  A match without goals changes nothing.  A null team is a team.
     Without ``league`` teams that never meet, even through others, are still rated apart, in tasks of their own.  With
-    ``season`` (a number that doesn't fall with the date; null comes first) groups are those of a season, one job a season.
+    ``season`` (a number that doesn't fall with the date; null comes first) groups are those of a season, one job or more a
+    season.  Groups of more than about PIECE_ROWS matches take a job a piece.
     """
     of = (league if league is not None else F.lit("all")).cast("string")
     rows = matches.select(F.col(key).alias("id"), of.alias("league"), F.to_date(date).alias("day"), F.col(home).alias("home"), F.col(away).alias("away"), F.col(home_goals).cast("int").alias("hg"), F.col(away_goals).cast("int").alias("ag"), (season if season is not None else F.lit(0)).cast("int").alias("season"))
     t = dict(rows.dtypes)
     schema = f"id {t['id']}, league string, day date, home {t['home']}, away {t['away']}, " + ", ".join(f"{c} double" for c in _OUT[5:])
-    rows = rows.withColumns({"node": _node("home"), "other": _node("away"), "rating": F.lit(None).cast("double")})
+    # A match without goals gains nothing, whatever is expected of it.
+    gap, won = F.col("hg") - F.col("ag"), F.when(F.col("hg") > F.col("ag"), 1.0).when(F.col("hg") == F.col("ag"), 0.5).otherwise(0.0)
+    rows = rows.withColumns({"gain": F.when(gap.isNotNull(), F.lit(float(k)) * margin(gap)).otherwise(0.0), "won": won, "node": _node("home"), "other": _node("away"), "rating": F.lit(None).cast("double")})
     groups = connected(rows, "node", "other")
-    fold = lambda part, hand_on: part.select("group", "league", "day", "id", "home", "away", "hg", "ag", "rating").repartition("group").sortWithinPartitions("group", F.col("rating").isNull(), "day", "id").mapInArrow(_fold(k, advantage, start, hand_on), schema)
-    if season is None:
-        return fold(rows.join(groups, "node"), False)
-    seasons = [r[0] for r in rows.select("season").distinct().sort("season").collect()]  # a row a season
+    fold = lambda part, hand_on: part.select("group", "league", "day", "id", "home", "away", "gain", "won", "rating").repartition("group").sortWithinPartitions("group", F.col("rating").isNull(), "day", "id").mapInArrow(_fold(advantage, start, hand_on), schema)
+    grouped = rows.join(groups, "node")
+    count = rows.count()
+    if not count or (season is None and count <= PIECE_ROWS):
+        return fold(grouped, False)
     done, known = [], None
-    for at in seasons:
-        now = rows.filter(F.col("season").eqNullSafe(F.lit(at)))
-        part = now.join(groups, "node")
+    for at, pieces, part, going_on in _steps(grouped, count):
         if known is not None:
             handed = known.withColumns({"season": F.lit(at).cast("int"), "node": _node("home")}).join(groups, "node")
+            handed = handed if going_on is None else handed.filter(F.col("group").isin(going_on))
             part = part.unionByName(handed, allowMissingColumns=True)
-        folded = cut(fold(part, True))
+        folded = table(fold(part, True))
         is_team = F.col("id").isNull() & F.col("home_pre").isNull()
         done.append(folded.filter(~is_team))
-        new = folded.filter(is_team).select("league", "home", F.col("home_post").alias("rating"))
-        if known is not None:
-            left = known.withColumn("node", F.to_json(F.struct("league", "home"))).join(new.select(F.to_json(F.struct("league", "home")).alias("node")), "node", "left_anti").drop("node")
-            new = new.unionByName(left)
-        known = cut(new)
-    out = done[0] if done else fold(rows.join(groups, "node"), False)
+        if pieces:
+            new = folded.filter(is_team).select("league", "home", F.col("home_post").alias("rating"))
+            if known is not None:
+                left = known.withColumn("node", F.to_json(F.struct("league", "home"))).join(new.select(F.to_json(F.struct("league", "home")).alias("node")), "node", "left_anti").drop("node")
+                new = new.unionByName(left)
+            known = cut(new)
+    out = done[0]
     for part in done[1:]:
         out = out.unionAll(part)
     return out
 
 
+def _steps(grouped: DataFrame, count: int) -> Iterator[tuple[int | None, bool, DataFrame, list[str] | None]]:
+    """(season, whether steps follow, rows, groups that go on or None for all) of each step of a fold, in order.
+
+    Rows are written once in the order of season, group, date and key, in parts of about PIECE_ROWS.  Where a part begins
+    within a group, the group goes on one step later than in the part before; all else is a season's first step.
+    """
+    order = ["season", "group", "day", "id"]
+    dealt = grouped.repartitionByRange(math.ceil(count / PIECE_ROWS), *order).withColumn("part", F.spark_partition_id())
+    stored = table(dealt.select("part", *order, "league", "home", "away", "gain", "won", "rating"), "part")
+    ends = F.struct("season", "group")
+    bounds = stored.groupBy("part").agg(F.min(ends).alias("low"), F.max(ends).alias("high")).sort("part").collect()  # a row a piece
+    seasons = [r[0] for r in stored.select("season").distinct().sort("season").collect()]  # a row a season
+    later: dict[int, int] = {}  # a part's first group: how many steps after the season's first
+    for before, now in zip(bounds, bounds[1:], strict=False):
+        if now["low"] == before["high"]:
+            later[now["part"]] = 1 + (later.get(before["part"], 0) if before["low"] == before["high"] else 0)
+    steps = []
+    for place, at in enumerate(seasons):
+        within = [r for r in bounds if seasons.index(r["low"]["season"]) <= place <= seasons.index(r["high"]["season"])]
+        begun = [r for r in within if r["part"] in later and r["low"]["season"] == at]
+        for step in range(1 + max((later[r["part"]] for r in begun), default=0)):
+            mine = [r for r in begun if later[r["part"]] == step]
+            own = lambda rs: F.array_contains(F.array(*[F.struct(F.lit(r["part"]).alias("part"), F.lit(r["low"]["group"]).alias("group")) for r in rs]), F.struct("part", "group"))
+            if step:
+                rows = stored.filter(F.col("part").isin([r["part"] for r in mine]) & own(mine))
+                steps.append((at, rows, [r["low"]["group"] for r in mine]))
+            else:
+                rows = stored.filter(F.col("part").isin([r["part"] for r in within if r not in begun or r["low"] != r["high"]]))
+                steps.append((at, rows.filter(~own(begun)) if begun else rows, None))
+    for i, (at, rows, going_on) in enumerate(steps):
+        yield at, i + 1 < len(steps), rows.filter(F.col("season").eqNullSafe(F.lit(at))).drop("part"), going_on
+
+
 def with_ratings(matches: DataFrame, rated: DataFrame, key: str = "MatchID") -> DataFrame:
     (own,) = inner(matches, "id")
     pre = rated.select(F.col("id").alias(own), F.col("home_pre").alias("HomeEloPre"), F.col("away_pre").alias("AwayEloPre"), (F.col("home_pre") - F.col("away_pre")).alias("EloDiffPre"))

@@ -87,3 +87,16 @@ def test_long_chains_are_one_group(spark, monkeypatch):
     got = groups.connected(spark.createDataFrame(pairs, "a string, b string")).collect()
     want = {n: min(part) for part in (names[:40], names[40:59], names[59:]) for n in part}
     assert {r["node"]: r["group"] for r in got} == want
+
+
+def test_a_long_group_is_folded_in_pieces(spark, leagues, monkeypatch):
+    rows, df = leagues
+    one = df.filter("HomeTeam is not null").withColumns({c: F.concat(F.lit("t"), F.abs(F.hash(c)) % k) for c, k in (("HomeTeam", 7), ("AwayTeam", 5))})
+    want = {r[0]: r[1:] for r in ((x["id"], *(x[c] for c in ("home_pre", "away_pre", "home_post", "away_post"))) for x in rating.elo(one).collect())}
+    monkeypatch.setattr(rating, "PIECE_ROWS", 150, raising=False)
+    for season in (None, F.col("SeasonStartYear")):
+        got = rating.elo(one, season=season).withColumn("p", F.spark_partition_id()).collect()
+        assert {r["id"]: (r["home_pre"], r["away_pre"], r["home_post"], r["away_post"]) for r in got} == want
+        of = [r["p"] for r in got]
+        assert max(of.count(p) for p in set(of)) < 400 < len(of) / 3
+    assert rated(rating.elo(df)) == plain(rows)
