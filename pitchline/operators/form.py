@@ -64,10 +64,11 @@ class Pieces:
     """A log cut by time: pieces of ``width`` days a key, each with the last ``rows`` rows and ``days`` days before it on loan.
 
     ``lent`` is the log with loans, ``keys`` the columns by which its windows are partitioned; ``settle`` drops the
-    loans again.  The first column of ``order`` is the date or time; rows without one stand before all others.
+    loans again.  The first column of ``order`` is the date or time; rows without one stand before all others.  Rows that
+    ``marks`` tells are borrowers only: they are lent to no piece and not counted.
     """
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str], width: int, rows: int = max(WINDOWS), days: int = 0) -> None:
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], width: int, rows: int = max(WINDOWS), days: int = 0, marks: Column | None = None) -> None:
         if width < max(1, days):
             raise ValueError("a piece is at least as long as its loan in days")
         piece, lent, self._before, place, n, targets, t = inner(df, "piece", "lent", "before", "place", "n", "targets", "t")
@@ -76,31 +77,36 @@ class Pieces:
         own = df.withColumn(piece, F.coalesce(F.floor(day / width), F.lit(-(2**40))))
         backwards = Window.partitionBy(*self.keys).orderBy(*[F.col(c).desc() for c in order])
         # What a piece lends: to the next pieces, until those between have rows enough.  A key has a row a piece here.
-        sizes = own.groupBy(*self.keys).agg(F.count("*").alias(n))
+        lenders = own if marks is None else own.filter(~marks)
+        sizes = own.groupBy(*self.keys).agg((F.count("*") if marks is None else F.count_if(~marks)).alias(n))
         by_time = Window.partitionBy(*keys).orderBy(piece)
-        after = F.collect_list(F.struct(F.col(piece).alias("p"), F.col(n).alias("n"))).over(by_time.rowsBetween(1, rows))
+        # Pieces of marks alone fill no loan, so with marks any later piece may borrow.
+        after = F.collect_list(F.struct(F.col(piece).alias("p"), F.col(n).alias("n"))).over(by_time.rowsBetween(1, rows if marks is None else Window.unboundedFollowing))
         before = F.sum(n).over(by_time)
         gap = lambda i: F.aggregate(F.slice(targets, F.lit(1), i), F.lit(0).cast("long"), lambda x, y: x + y["n"])
         lending = sizes.select(*self.keys, before.alias(self._before), after.alias(targets))
         lending = lending.withColumn(targets, F.transform(targets, lambda x, i: F.struct(x["p"].alias("p"), gap(i).alias("gap"))))
         lending = lending.select(*[F.col(k).alias(f"{t}{i}") for i, k in enumerate(self.keys)], self._before, F.explode(targets).alias(t))
         same = [F.col(k).eqNullSafe(F.col(f"{t}{i}")) for i, k in enumerate(self.keys)]
-        last = own.withColumn(place, F.row_number().over(backwards)).filter(F.col(place) <= rows)
+        last = lenders.withColumn(place, F.row_number().over(backwards)).filter(F.col(place) <= rows)
         loans = [last.join(lending, same).filter(F.col(place) + F.col(f"{t}.gap") <= rows).withColumn(piece, F.col(f"{t}.p")).withColumn(self._before, F.col(self._before) + F.col(f"{t}.gap"))]
         if days:  # the end of a piece is its last rows, so their places count from its end too
-            end = own.filter(day > (F.col(piece) + 1) * width - days).withColumn(place, F.row_number().over(backwards)).filter(F.col(place) > rows)
+            end = lenders.filter(day > (F.col(piece) + 1) * width - days).withColumn(place, F.row_number().over(backwards)).filter(F.col(place) > rows)
             loans.append(end.withColumns({piece: F.col(piece) + 1, self._before: F.lit(None).cast("long")}))
         out = own.withColumns({lent: F.lit(False), self._before: F.lit(None).cast("long")})
         for loan in loans:
             out = out.unionByName(loan.withColumn(lent, F.lit(True)).select(*out.columns))
         self.lent = out
 
+    def more(self) -> Column:
+        """How many rows before a piece it wasn't lent."""
+        w = Window.partitionBy(*self.keys)
+        return F.coalesce(F.max(self._before).over(w), F.lit(0)) - F.count_if(F.col(self._lent)).over(w)
+
     def settle(self, df: DataFrame, prior: str | None = None) -> DataFrame:
         """``df`` without loans and working columns; ``prior``, a count of earlier rows, gets those of earlier pieces added."""
         if prior:
-            w = Window.partitionBy(*self.keys)
-            more = F.coalesce(F.max(self._before).over(w), F.lit(0)) - F.count_if(F.col(self._lent)).over(w)
-            df = df.withColumn(prior, (F.col(prior) + more).cast("int"))
+            df = df.withColumn(prior, (F.col(prior) + self.more()).cast("int"))
         return df.filter(~F.col(self._lent)).drop(self.keys[-1], self._lent, self._before)
 
 
@@ -130,24 +136,29 @@ def merge_sides(matches: DataFrame, featured: DataFrame) -> DataFrame:
     return matches.join(wide, "MatchID", "left")
 
 
-def snapshot(upcoming: DataFrame, log: DataFrame, team: str, as_of: str, key: str, metrics: tuple[str, ...] = METRICS, windows: tuple[int, ...] = WINDOWS, venue: Column | None = None, order: tuple[str, ...] = ("Date", "MatchID"), decay: float = DECAY, date: str = "Date", log_team: str = "Team") -> DataFrame:
+def snapshot(upcoming: DataFrame, log: DataFrame, team: str, as_of: str, key: str, metrics: tuple[str, ...] = METRICS, windows: tuple[int, ...] = WINDOWS, venue: Column | None = None, order: tuple[str, ...] = ("Date", "MatchID"), decay: float = DECAY, date: str = "Date", log_team: str = "Team", width: int | None = None) -> DataFrame:
     """As-of features: per row of ``upcoming`` the weighted means over its team's last rows with a date before ``as_of``.
 
     ``venue`` restricts the log rows.  A team may have any number of upcoming rows.  Upcoming rows stand in the
     log as markers before the rows of their day; one window by team looks back over rows that aren't markers,
-    so there is one shuffle and no join.  Rows without a team or date have no history and are none.
+    so there is one shuffle and no join.  Rows without a team or date have no history and are none.  With ``width`` the log
+    is cut in pieces of so many days a team.
     """
     rows = log if venue is None else log.filter(venue)
     past = rows.filter(F.col(log_team).isNotNull() & F.to_date(date).isNotNull())
     past = past.select(F.col(log_team).alias("_team"), F.to_date(date).alias("_day"), F.lit(0).alias("_mark"), F.struct(*[F.col(m).cast("double").alias(m) for m in metrics]).alias("_s"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
     marks = upcoming.select(F.col(team).alias("_team"), F.to_date(as_of).alias("_day"), F.lit(1).alias("_mark"), F.struct(*[F.col(c) for c in upcoming.columns]).alias("_up"))
     both = past.unionByName(marks, allowMissingColumns=True)
+    keys, more = ["_team"], F.lit(0)
+    if width is not None:
+        p = Pieces(both, keys, ["_day", *[f"_o{i}" for i in range(len(order))]], width, max(windows), CONGESTION_DAYS, F.col("_mark") == 1)
+        both, keys, more = p.lent, p.keys, p.more()
     by = ", ".join(["_day", "_mark DESC", *[f"_o{i}" for i in range(len(order))]])
-    lags = [F.expr(f"lag(_s, {k}) IGNORE NULLS OVER (PARTITION BY _team ORDER BY {by})").alias(f"_{k}") for k in range(1, max(windows) + 1)]
-    w = Window.partitionBy("_team").orderBy("_day", F.col("_mark").desc(), *[f"_o{i}" for i in range(len(order))])
-    recent = Window.partitionBy("_team").orderBy(F.unix_date("_day")).rangeBetween(1 - CONGESTION_DAYS, -1)
+    lags = [F.expr(f"lag(_s, {k}) IGNORE NULLS OVER (PARTITION BY {', '.join(keys)} ORDER BY {by})").alias(f"_{k}") for k in range(1, max(windows) + 1)]
+    w = Window.partitionBy(*keys).orderBy("_day", F.col("_mark").desc(), *[f"_o{i}" for i in range(len(order))])
+    recent = Window.partitionBy(*keys).orderBy(F.unix_date("_day")).rangeBetween(1 - CONGESTION_DAYS, -1)
     seen = F.when(F.col("_mark") == 0, F.col("_day"))
-    loads = [F.count(seen).over(w).alias("MatchesPlayedPrior"), F.datediff("_day", F.last(seen, ignorenulls=True).over(w)).alias("RestDays"), F.count(seen).over(recent).alias("MatchesLast14Days")]
+    loads = [(F.count(seen).over(w) + more).alias("MatchesPlayedPrior"), F.datediff("_day", F.last(seen, ignorenulls=True).over(w)).alias("RestDays"), F.count(seen).over(recent).alias("MatchesLast14Days")]
     got = both.select("_up", "_mark", *lags, *loads).filter("_mark = 1")
     means = []
     for m in metrics:
@@ -158,17 +169,18 @@ def snapshot(upcoming: DataFrame, log: DataFrame, team: str, as_of: str, key: st
     return got.select("_up.*", "MatchesPlayedPrior", "RestDays", "MatchesLast14Days", *means)
 
 
-def features_for_upcoming(upcoming: DataFrame, log: DataFrame, ratings: DataFrame, default_rating: float = 1500.0) -> DataFrame:
+def features_for_upcoming(upcoming: DataFrame, log: DataFrame, ratings: DataFrame, default_rating: float = 1500.0, width: int | None = None) -> DataFrame:
     """Serving features: ``upcoming`` (MatchID, Date, HomeTeam, AwayTeam) with both sides' snapshots and ratings.
 
     Played rows of the log on the day itself or later never count.  Venue features are those of the side's own venue.
+    ``width``: days of a piece of a team's log.
     """
     sides = F.array(F.struct(F.lit("H").alias("Venue"), F.col("HomeTeam").alias("Team")), F.struct(F.lit("A").alias("Venue"), F.col("AwayTeam").alias("Team")))
     two = upcoming.select("MatchID", "Date", F.explode(sides).alias("s")).select("MatchID", "Date", "s.*").withColumn("_side", F.concat("Venue", F.lit("|"), "MatchID"))
-    every = snapshot(two, log, "Team", "Date", "_side")
+    every = snapshot(two, log, "Team", "Date", "_side", width=width)
     parts = []
     for v in ("H", "A"):
-        one = snapshot(two.filter(F.col("Venue") == v), log, "Team", "Date", "_side", VENUE_METRICS, (5,), venue=F.col("Venue") == v)
+        one = snapshot(two.filter(F.col("Venue") == v), log, "Team", "Date", "_side", VENUE_METRICS, (5,), venue=F.col("Venue") == v, width=width)
         parts.append(one.select("_side", *[F.col(f"{m}_L5").alias(f"Venue{m}_L5") for m in VENUE_METRICS]))
     featured = every.join(parts[0].unionByName(parts[1]), "_side")
     out = merge_sides(upcoming, featured)

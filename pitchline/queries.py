@@ -65,7 +65,7 @@ def j11_asof_snapshot(s: SparkSession, d: str) -> DataFrame:
     e = event_log(s, d)
     days = e.groupBy("user_id").agg(F.date_sub(F.max(F.to_date("ts")), 30).alias("early"), F.date_add(F.max(F.to_date("ts")), 1).alias("late"))
     up = days.select("user_id", F.explode(F.array("early", "late")).alias("as_of")).withColumn("k", F.concat_ws("|", "user_id", "as_of"))
-    out = form.snapshot(up, e, "user_id", "as_of", "k", ("value",), (3, 10), order=("ts", "event_id"), date="ts", log_team="user_id")
+    out = form.snapshot(up, e, "user_id", "as_of", "k", ("value",), (3, 10), order=("ts", "event_id"), date="ts", log_team="user_id", width=PIECE_DAYS)
     return rounded(out.select("user_id", "as_of", "value_L3", "value_L10", F.col("MatchesPlayedPrior").alias("prior"), F.col("RestDays").alias("rest"), F.col("MatchesLast14Days").alias("last14")))
 
 
@@ -454,7 +454,7 @@ def j12_serving_features(s: SparkSession, d: str) -> DataFrame:
     m = matches(s, d)
     history = m.filter("SeasonStartYear < 2000")
     up = m.filter("SeasonStartYear = 2000").select("MatchID", "Date", "HomeTeam", "AwayTeam")
-    f = form.features_for_upcoming(up, form.team_log(history), rating.latest_ratings(rating.elo(history)).withColumn("team", F.col("team")))
+    f = form.features_for_upcoming(up, form.team_log(history), rating.latest_ratings(rating.elo(history)).withColumn("team", F.col("team")), width=PIECE_DAYS)
     return rounded(f.select(F.col("MatchID").alias("id"), "Home_GF_L5", "Away_Result_L10", "Home_VenueGA_L5", "Away_VenueResult_L5", "Home_RestDays", "Away_MatchesPlayedPrior", "HomeEloPre", "AwayEloPre"))
 
 

@@ -58,3 +58,14 @@ def test_all_features_in_pieces(spark):
     teams = form.team_log(league(spark, 3, 6))
     key = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select("MatchID", "Venue", *[F.coalesce(F.col(c).cast("double"), F.lit(-1.0)) for c in form.feature_names()]).collect())
     assert key(form.form_features(teams, 40)) == key(form.form_features(teams))
+
+
+@pytest.mark.parametrize("width", [14, 90])
+def test_snapshots_in_pieces_equal_whole_ones(spark, log, width):
+    rng = random.Random(5)
+    marks = [(team, None if rng.random() < 0.05 else date(2000, 1, 1) + timedelta(days=rng.randrange(-50, 10_000)), i) for i, team in enumerate(["busy", "idle", "rare", None, "once", "new"] * 20)]
+    up = spark.createDataFrame([*marks, ("busy", date(2000, 3, 1), 900), ("busy", date(2000, 3, 1), 901)], "t string, d date, k long")
+    key = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else str(x) for x in r) for r in df.collect())
+    part = lambda **more: form.snapshot(up, log, "t", "d", "k", ("g",), (3, 10), **more)
+    assert part(width=width).dtypes == part().dtypes
+    assert key(part(width=width)) == key(part())
