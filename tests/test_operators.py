@@ -310,3 +310,18 @@ def test_influences_of_equal_size_go_by_label(spark):
     df = spark.createDataFrame([(0, 2.2, 2.3, 15.0), (1, 2.8, 2.7, 15.0)], "id long, Home_GA_L10 double, Away_GA_L10 double, EloDiffPre double")
     got = predict.influences(df, "id", {"Home_GA_L10": 0.3, "Away_GA_L10": 0.1, "EloDiffPre": 0.4}, {"Home_GA_L10": 0.5, "EloDiffPre": 150.0}).collect()
     assert [[x["label"] for x in r["factors"]] for r in got] == [["Goals conceded (last 10)", "Rating difference"]] * 2
+
+
+def test_entries_are_fitted_side_by_side(spark):
+    import threading
+
+    both = threading.Barrier(2, timeout=30)
+
+    class Waits:
+        def fit(self, df):
+            both.wait()
+            return df.rdd.getNumPartitions()
+
+    train = spark.createDataFrame([(i, float(i), "HDA"[i % 3]) for i in range(30)], "MatchID long, x double, FTR string").repartition(4)
+    got = models.fit_all(train, ["x"], entries={k: models.Entry(lambda n: Waits(), False) for k in ("a", "b")})
+    assert {k: f.model for k, f in got.items()} == {"a": 1, "b": 1}
