@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 
 from ..operators import ensemble, form, fuzzy, metrics, predict, rating, scores, splits
 from . import models, score_fit
-from .lineage import cut
+from .lineage import cut, table
 
 SCORE_MODEL = "Poisson"
 
 
-def training_dataset(matches: DataFrame, rated: DataFrame | None = None) -> DataFrame:
-    """Keys, outcome and pre-match features of every match; none of the match's own statistics."""
+def training_dataset(matches: DataFrame, rated: DataFrame | None = None, width: int | None = None) -> DataFrame:
+    """Keys, outcome and pre-match features of every match; none of the match's own statistics.  ``width``: days of a piece of a team's log."""
     rated = rating.elo(matches) if rated is None else rated
     keep = [c for c in ("MatchID", "Season", "SeasonStartYear", "Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "FTR", "Referee") if c in matches.columns]
-    wide = form.merge_sides(matches.select(*keep), form.form_features(form.team_log(matches)))
+    wide = form.merge_sides(matches.select(*keep), form.form_features(form.team_log(matches), width))
     return rating.with_ratings(wide, rated)
 
 
@@ -54,7 +54,7 @@ class Trained:
 
 def train(dataset: DataFrame, current: int | None = None, entries: dict[str, models.Entry] | None = None) -> Trained:
     """Fits on Train, weighs and calibrates on Validation; Test isn't touched."""
-    split = cut(splits.chronological_split(dataset, "SeasonStartYear", current))
+    split = table(splits.chronological_split(dataset, "SeasonStartYear", current))
     tr, va = (split.filter(F.col("split") == s) for s in ("Train", "Validation"))
     columns = models.with_values(tr, models.feature_columns(dataset))
     fitted = models.fit_all(tr, columns, entries=entries)

@@ -12,7 +12,7 @@ from .analogues import event_log, matches, probabilities, read
 from .functions import calendar, names, probability
 from .operators import cleaning, ensemble, form, fuzzy, metrics, predict, rating, reconcile, scores, splits
 from .plans import models, pipelines, score_fit
-from .plans.lineage import cut
+from .plans.lineage import cut, table
 
 #: Days before which a match counts as played, has a result on file, or an entry in the old history.
 PLAYED_BEFORE, RESULTS_BEFORE, OLD_BEFORE = date(1997, 10, 1), date(2000, 3, 1), date(1996, 1, 1)
@@ -355,8 +355,8 @@ def j4_inference_outcomes(s: SparkSession, d: str) -> DataFrame:
 @query
 def m1_logistic_balance(s: SparkSession, d: str) -> DataFrame:
     """What a fitted multinomial logistic regression must meet: its mean probabilities are the outcomes' shares; where it misses by a thousandth, its own."""
-    split = splits.chronological_split(pipelines.training_dataset(matches(s, d)), "SeasonStartYear", current=2001)
-    rows = cut(split.filter("split = 'Train'"))
+    split = splits.chronological_split(pipelines.training_dataset(matches(s, d), width=PIECE_DAYS), "SeasonStartYear", current=2001)
+    rows = table(split.filter("split = 'Train'"))
     entry = {"LogisticRegression": models.registry()["LogisticRegression"]}
     fitted = models.fit_all(rows, models.with_values(rows, models.feature_columns(rows)), entries=entry)["LogisticRegression"]
     mean = fitted.probabilities(rows, "MatchID").join(rows.select("MatchID", "FTR"), "MatchID").agg(*[x for k, p in zip("HDA", ("p_h", "p_d", "p_a"), strict=True) for x in (F.avg(p).alias(p), F.avg((F.col("FTR") == k).cast("double")).alias(k))])
@@ -460,7 +460,7 @@ def j12_serving_features(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def m4_trained_members(s: SparkSession, d: str) -> DataFrame:
-    data = pipelines.training_dataset(matches(s, d))
+    data = pipelines.training_dataset(matches(s, d), width=PIECE_DAYS)
     return rounded(pipelines.train(data, current=2001).reports)
 
 
