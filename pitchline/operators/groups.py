@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,8 @@ def connected(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for x, y in few:
         low, high = sorted((top(x), top(y)))
         root[high] = low
-    out = pairs.sparkSession.createDataFrame([(x, top(x)) for x in sorted(root)], "node string, group string")
+    nodes = sorted(root)
+    out = pairs.sparkSession.createDataFrame(pa.table({"node": pa.array(nodes, pa.string()), "group": pa.array([top(x) for x in nodes], pa.string())}))  # a local relation: no job a use
     return F.broadcast(out)  # two rows a pair at most
 
 

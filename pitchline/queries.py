@@ -77,7 +77,7 @@ def w6_elo(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def w7_latest_ratings(s: SparkSession, d: str) -> DataFrame:
-    return rating.latest_ratings(rating.elo(matches(s, d), season=F.col("SeasonStartYear")), 1).select("team", "rating")
+    return rating.last_ratings(matches(s, d), season=F.col("SeasonStartYear"), digits=1).select("team", "rating")
 
 
 @query

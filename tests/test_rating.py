@@ -100,3 +100,23 @@ def test_a_long_group_is_folded_in_pieces(spark, leagues, monkeypatch):
         of = [r["p"] for r in got]
         assert max(of.count(p) for p in set(of)) < 400 < len(of) / 3
     assert rated(rating.elo(df)) == plain(rows)
+
+
+def test_pieces_hand_on_a_row_a_team_and_write_no_matches(spark, leagues, monkeypatch):
+    rows, df = leagues
+    want = {x["team"]: x["rating"] for x in rating.latest_ratings(rating.elo(df)).collect()}
+    monkeypatch.setattr(rating, "PIECE_ROWS", 400)
+    tables, handed = [], []
+    monkeypatch.setattr(rating, "table", lambda x, *by, write=rating.table: tables.append(1) or write(x, *by))
+    monkeypatch.setattr(rating, "cut", lambda x, write=rating.cut: handed.append(write(x)) or handed[-1])
+    for season in (None, F.col("SeasonStartYear")):
+        tables.clear()
+        assert {x["team"]: x["rating"] for x in rating.last_ratings(df, season=season).collect()} == want
+        assert len(tables) == 2  # the matches and their pieces, however many pieces there are
+    assert len(handed) > 6 and max(k.count() for k in handed) <= len(want)
+    tables.clear()
+    assert rated(rating.elo(df, season=F.col("SeasonStartYear"))) == plain(rows) and len(tables) == 2
+    of = F.substring("HomeTeam", 1, 1)
+    one = {(x["league"], x["home"]): x["home_post"] for x in rating.elo(df, league=of).sort("day", "id").collect()}
+    two = {(x["league"], x["team"]): x["rating"] for x in rating.last_ratings(df, league=of).collect()}
+    assert {k[0] for k in two} == {k[0] for k in one} and set(one) <= set(two)
