@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model as MLModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.metrics import outcome_index
 from ..operators.quantiles import exact_quantiles
+from . import trees as grown
 
 DENY = ("MatchID", "Season", "SeasonStartYear", "Date", "HomeTeam", "AwayTeam", "FTHG", "FTAG", "FTR", "Referee", "split")
 DENY_PREFIX = ("Fuzzy_", "Poisson_")
@@ -110,11 +111,11 @@ def _catboost(n: int):
 
 
 def registry(trees: int = 400, boosts: int = 100) -> dict[str, Entry]:
-    boosted = lambda depth, bins: OneVsRest(classifier=GBTClassifier(maxIter=boosts, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, maxBins=bins, seed=SEED), parallelism=3)
+    boosted = lambda depth, bins: grown.Boosting(boosts, depth, bins, step=0.05, share=0.8, seed=SEED)
     there = lambda name: importlib.util.find_spec(name) is not None
     return {
         "LogisticRegression": Entry(lambda n: LogisticRegression(family="multinomial", regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False, maxIter=300), True),
-        "RandomForest": Entry(lambda n: RandomForestClassifier(numTrees=trees, maxDepth=8, minInstancesPerNode=5, featureSubsetStrategy="sqrt", seed=SEED), False),
+        "RandomForest": Entry(lambda n: grown.Forest(trees, depth=8, least=5, seed=SEED), False),
         "BoostedTrees": Entry(lambda n: boosted(4, 32), False),
         "BoostedTreesShallow": Entry(lambda n: boosted(3, 64), False),
         "XGBoost": Entry(_xgboost, False, there("xgboost")), "LightGBM": Entry(_synapse, False, there("synapse")), "CatBoost": Entry(_catboost, False, there("catboost_spark")),
@@ -135,19 +136,13 @@ class Fitted:
     def probabilities(self, df: DataFrame, key: str) -> DataFrame:
         """(key, model, p_h, p_d, p_a); a class the training rows lacked has 0."""
         rows = self.preparation.apply(df, self.scaled).select(key, "features")
-        if hasattr(self.model, "models"):
-            # one-versus-rest: each class' own probability, normalised
-            parts = rows
-            for i, m in enumerate(self.model.models):
-                parts = m.setPredictionCol(f"_p{i}").setProbabilityCol(f"_q{i}").setRawPredictionCol(f"_r{i}").transform(parts)
-            p = [vector_to_array(f"_q{i}")[1] for i in range(len(self.model.models))]
-            total = sum(p[1:], p[0])
-            cols = [x / total for x in p]
+        if isinstance(self.model, grown.TreesModel):
+            parts = self.model.probabilities(rows, key)
+            cols = [F.coalesce(F.get("p", F.lit(i)), F.lit(0.0)) for i in range(3)]
         else:
             parts = self.model.transform(rows)
             p = vector_to_array("probability")
             cols = [F.coalesce(F.get(p, F.lit(i)), F.lit(0.0)) for i in range(3)]
-        cols += [F.lit(0.0)] * (3 - len(cols))
         return parts.select(key, F.lit(self.name).alias("model"), *[c.alias(n) for c, n in zip(cols, ("p_h", "p_d", "p_a"), strict=True)])
 
     def importances(self) -> dict[str, float]:
@@ -159,15 +154,21 @@ def fit_all(train: DataFrame, columns: list[str], label: str = "FTR", entries: d
     """Every available entry fitted to the training rows; unavailable ones are left out.
 
     Entries are fitted side by side: boosting is a long chain of short jobs, which alone leave most cores idle.  Trees share their
-    rows, held in partitions of about TASK_ROWS; the regression keeps blocks of its own.
+    rows, held in partitions of about TASK_ROWS, and those with equally many bins their coded blocks; the regression keeps blocks of its own.
     """
     prep = prepare(train, columns)
     n = train.count()
     data = {s: prep.apply(train, s, label).select("features", "label").filter("label is not null") for s in (True, False)}
     data[False] = data[False].coalesce(max(1, math.ceil(n / TASK_ROWS))).persist()
     chosen = {k: e for k, e in (entries or registry()).items() if e.available}
-    fit = inheritable_thread_target(train.sparkSession)(lambda e: e.build(n).fit(data[e.scaled]))
-    with ThreadPoolExecutor(max(1, len(chosen))) as pool:
-        fitted = dict(zip(chosen, pool.map(fit, chosen.values()), strict=True))
+    built = {k: e.build(n) for k, e in chosen.items()}
+    bins = {e.bins for e in built.values() if isinstance(e, (grown.Boosting, grown.Forest))}
+    thread = inheritable_thread_target(train.sparkSession)
+    with ThreadPoolExecutor(max(1, len(chosen) + len(bins))) as pool:
+        coded = {b: pool.submit(thread(grown.Coded), data[False], b) for b in bins}
+        fit = lambda k: built[k].fit(data[chosen[k].scaled], *([coded[b].result()] if (b := getattr(built[k], "bins", None)) in coded else []))
+        fitted = dict(zip(chosen, pool.map(thread(fit), chosen), strict=True))
+    for c in coded.values():
+        c.result().blocks.unpersist()
     data[False].unpersist()
     return {k: Fitted(k, fitted[k], prep, e.scaled) for k, e in chosen.items()}

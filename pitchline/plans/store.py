@@ -15,6 +15,7 @@ from ..sources import files, sinks
 from .models import Fitted, Preparation
 from .pipelines import Trained
 from .score_fit import ScoreModel
+from .trees import TreesModel
 
 
 def write_document(spark: SparkSession, doc: dict, path: str, overwrite: bool = False) -> None:
@@ -73,7 +74,8 @@ def load(spark: SparkSession, path: str) -> Trained:
     doc = read_document(spark, f"{path}/parameters")
     fitted = {}
     for name, k in doc["classifiers"].items():
-        model = getattr(classification, k["kind"]).load(f"{path}/classifiers/{name}")
+        kind = TreesModel if k["kind"] == TreesModel.__name__ else getattr(classification, k["kind"])
+        model = kind.load(f"{path}/classifiers/{name}")
         fitted[name] = Fitted(name, model, Preparation(k["columns"], k["median"], k["mean"], k["deviation"]), k["scaled"])
     teams = spark.read.parquet(f"{path}/score_teams").collect()  # as many as the fit had on the driver
     scores = ScoreModel({t["team"]: t["attack"] for t in teams}, {t["team"]: t["defence"] for t in teams}, **doc["scores"])
